@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import exact_dedup, mixing, packing, sharding
+from spanloom.llm import exact_dedup, html_text, lang_id, lm, mixing, near_dedup, packing, pii, quality, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(_read(spark, sf_dir, "documents"))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -62,11 +66,23 @@ from documents
 """
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(_read(spark, sf_dir, "documents"))
+
+
 def op5_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_read(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_read(spark, sf_dir, "pages"))
+
+
+def op7_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identify(_read(spark, sf_dir, "documents"))
+
+
 def op8_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     return sharding.shuffled_shards(_read(spark, sf_dir, "documents")).select(
@@ -80,5 +96,27 @@ def op8_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mixing, op3_exact_dedup, op5_concat_and_cut, op8_external_shuffle)}
+def op9_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.clean_lines(_read(spark, sf_dir, "documents")).drop("clean_text")
+
+
+def op10_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_pii_surrogates,
+        op2_source_mixing,
+        op3_exact_dedup,
+        op4_minhash_near_dedup,
+        op5_concat_and_cut,
+        op6_line_blocks,
+        op7_ppm_language_id,
+        op8_external_shuffle,
+        op9_line_first_quality,
+        op10_elias_fano_lm,
+    )
+}
 ORACLES = {"op2_source_mixing": OP2_SQL, "op3_exact_dedup": OP3_SQL}

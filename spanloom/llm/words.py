@@ -87,3 +87,41 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     """The hash of each word, A-Z in lower case, and where each row's words begin."""
     starts, ends, at = spans(data, offsets)
     return span_hashes(LOWER[data], starts, ends), at
+
+
+class Table:
+    """Rows of numbers by 64-bit key: open addressing, a quarter full, looked up for whole arrays."""
+
+    def __init__(self, keys: np.ndarray, rows: np.ndarray):
+        self.bits = max(4, int(len(keys) * 4).bit_length())
+        self.keys, self.index = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+        self.rows, self.steps = rows, 0
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = self.keys[slot] == 0
+            taken, first = np.unique(slot[free], return_index=True)
+            chosen = np.flatnonzero(free)[first]
+            self.keys[taken], self.index[taken] = keys[left[chosen]], left[chosen]
+            stay = np.ones(len(left), bool)
+            stay[chosen] = False
+            slot, left = (slot[stay] + 1) & ((1 << self.bits) - 1), left[stay]
+            self.steps += 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key's row, -1 if there is none."""
+        slot = self._slot(keys)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.index[slot], -1)
+        open_ = np.flatnonzero((there != keys) & (there != 0))
+        for step in range(1, self.steps):
+            if not len(open_):
+                break
+            at = (slot[open_] + step) & ((1 << self.bits) - 1)
+            there = self.keys[at]
+            hit = there == keys[open_]
+            out[open_[hit]] = self.index[at[hit]]
+            open_ = open_[~hit & (there != 0)]
+        return out
