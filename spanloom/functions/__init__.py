@@ -1 +1 @@
-
+"""Column expressions: text shapes and spans, check digits, dates."""

@@ -1 +1 @@
-
+"""Matching, recognition, resolution, grouping, metrics and model arithmetic on DataFrames."""

@@ -1 +1 @@
-
+"""Whole extraction plans."""

@@ -1 +1 @@
-
+"""Gazetteers, corpora and sinks."""
