@@ -9,10 +9,9 @@ similarity J precisely: pairs far below the threshold go no further.  The rest
 are confirmed on their full sets.
 
 Candidates are no all-pairs lists.  In each band bucket the smallest member is
-the hub and the others are tried against it.  Buckets whose members then lie in
-more than one component go on: members outside the bucket's first component
-meet ever more partners of other components (a window of ranks that grows
-eightfold) until all such pairs have been tried or the bucket is one component.
+the hub and the others are tried against it.  Where the members of a bucket
+then lie in more than one component, those outside its largest one are held
+against that whole component and against each other, set by set, in blocks.
 So every pair that shares a bucket and is not yet connected is tested, and
 links inside a component need no test.  At J = 0.8 a pair shares no bucket with
 probability (1 - 0.8^8)^64 = 8e-6.
@@ -42,6 +41,8 @@ BANDS, ROWS = 64, 8
 SKETCH_BITS = 1024
 #: A pair is dropped unread if its sketches estimate less than this below the threshold (six standard deviations).
 MARGIN = 0.15
+#: Bytes of sets in one block where nodes meet a component.
+BLOCK_BYTES = 2_000_000
 _U = np.uint64
 
 
@@ -210,75 +211,124 @@ def near_groups(
     tried = tried.unionByName(many.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))).where("a <> b").distinct()
     likely = written(_likely(tried, classes, bands * rows, percent), "likely")
 
-    links, labels, sets = None, None, None
-    low, high = 1, 8
-    first = True
-    while True:
-        if not likely.isEmpty():
-            ends = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
-            ends = ends.join(classes.select("node", "set_key"), "node")
-            if sets is not None:
-                ends = ends.join(sets.select("node"), "node", "left_anti")
-            more = written(_sets(docs, ends, width), "sets")
-            sets = more if sets is None else sets.unionByName(more)
-            if first:  # each node's most similar hub first: most links of the rest then lie inside a component
-                best = likely.groupBy("b").agg(F.max_by("a", "estimate").alias("a"))
-                links = written(_confirmed(best, sets, percent), "confirmed")
-                labels = components(links)
-                rest = _across(likely.join(best, ["a", "b"], "left_anti"), labels)
-            else:
-                rest = _across(likely, labels)
-            new = written(_confirmed(rest, sets, percent), "confirmed")
-            if not new.isEmpty():
-                links = new if links is None else links.unionByName(new)
-                labels = components(links)
-        first = False
-        # Buckets that still hold more than one component.
-        open_ = _labelled(many.select("key", "node"), labels)
-        mixed_ = open_.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other"), F.count("*").alias("m")).where("one <> other and m > 2")
-        open_ = written(open_.join(mixed_.select("key", "one", "m"), "key"), "open")
-        widest = open_.agg(F.max("m")).first()[0] or 0
-        if widest <= low:
-            break
-        rank = F.row_number().over(W.partitionBy("key").orderBy("node")) - 1
-        ranked = written(open_.withColumn("rank", rank.cast("long")), "ranked")
-        steps = F.sequence(F.lit(low).cast("long"), F.least(F.lit(high).cast("long"), F.col("m")) - 1)
-        reach = ranked.where((F.col("root") != F.col("one")) & (F.col("m") > low)).select("key", "node", "root", F.explode(steps).alias("step"), "rank", "m")
-        reach = reach.select("key", F.col("node").alias("f"), F.col("root").alias("r"), F.pmod(F.col("rank") + F.col("step"), "m").alias("rank"))
-        met = reach.join(ranked.select("key", "rank", "node", "root"), ["key", "rank"]).where("root <> r")
-        met = met.select(F.least("f", "node").alias("a"), F.greatest("f", "node").alias("b")).distinct()
-        likely = written(_likely(met, classes, bands * rows, percent), "likely")
-        low, high = high, high * 8
+    # Each node's most similar hub first: most links of the rest then lie inside a component and need no test.
+    best = likely.groupBy("b").agg(F.max_by("a", "estimate").alias("a"))
+    sets = _wanted_sets(docs, classes, _ends(likely), None, width)
+    links = written(_confirmed(best, sets, percent), "confirmed")
+    labels = components(links)
+    rest = _across(likely.join(best, ["a", "b"], "left_anti"), labels)
+    links = written(links.unionByName(_confirmed(rest, sets, percent)), "confirmed")
+    labels = components(links)
+
+    # Buckets that hold more than one component: members outside the largest one meet that component and each other.
+    inside = _labelled(many.select("key", "node"), labels)
+    largest = inside.groupBy("key", "root").agg(F.count("*").alias("n"))
+    largest = largest.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("core"), F.count("*").alias("roots")).where("roots > 1")
+    asking = inside.join(largest.select("key", "core"), "key").where("root <> core").select("core", "node").distinct()
+    asking = written(asking, "asking")
+    if not asking.isEmpty():
+        cores = asking.select("core").distinct()
+        asked = _labelled(classes.select("node"), labels).join(cores, F.col("root") == F.col("core")).select("core", "node").unionByName(asking).distinct()
+        sets = _wanted_sets(docs, classes, asked.select("node").distinct(), sets, width)
+        more = written(_block_links(asking, asked, sets, percent), "confirmed")
+        links = links.unionByName(more)
+        labels = components(links)
 
     own = classes.select("set_key", "node")
-    if labels is not None:
-        grouped = _labelled(own, labels)
-        smallest = grouped.groupBy("root").agg(F.min("node").alias("component_id"))
-        own = grouped.join(smallest, "root").select("set_key", "component_id")
-    else:
-        own = own.withColumnRenamed("node", "component_id")
-    out = profiles.select("doc_id", "n", F.when(F.col("n") > 0, F.col("set_key")).alias("set_key")).join(own, "set_key", "left")
+    grouped = _labelled(own, labels)
+    smallest = grouped.groupBy("root").agg(F.min("node").alias("component_id"))
+    own = grouped.join(smallest, "root").select("set_key", "component_id")
+    # Rows without words have keys of their own, so that they are no hot key of the join.
+    out = profiles.select("doc_id", "n", F.when(F.col("n") > 0, F.col("set_key")).otherwise(F.encode(F.col("doc_id").cast("string"), "UTF-8")).alias("set_key")).join(own, "set_key", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def _labelled(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """nodes with the root of their component (a node without links is its own)."""
-    if labels is None:
-        return nodes.withColumn("root", F.col("node"))
     return nodes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs that lie in two components."""
-    pairs = pairs.select("a", "b")
-    if labels is None:
-        return pairs
     a, b = (labels.select(F.col("node").alias(k), F.col("root").alias(f"r{k}")) for k in "ab")
-    pairs = pairs.join(a, "a", "left").join(b, "b", "left")
+    pairs = pairs.select("a", "b").join(a, "a", "left").join(b, "b", "left")
     return pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+
+def _wanted_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, have: DataFrame | None, width: int) -> DataFrame:
+    """node, set of the nodes, and of those there are already."""
+    if have is not None:
+        nodes = nodes.join(have.select("node"), "node", "left_anti")
+    more = written(_sets(docs, nodes.join(classes.select("node", "set_key"), "node"), width), "sets")
+    return more if have is None else have.unionByName(more)
+
+
+def _block_links(asking: DataFrame, asked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of the asking nodes to the nodes asked under the same core, one at least for each pair that is similar enough.
+
+    Both sides of a core are dealt into blocks of about BLOCK_BYTES of sets by
+    a hash, and each block of the one meets each block of the other: a query
+    set against rows in blocks, with full sets, and rows grow with neither
+    side's square.
+    """
+
+    def dealt(side: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        side = side.join(sets, "node")
+        blocks = side.groupBy("core").agg(F.ceil(F.sum(F.length("set")) / BLOCK_BYTES).alias(f"{name}s"))
+        return side, blocks
+
+    q, q_blocks = dealt(asking, "q")
+    t, t_blocks = dealt(asked, "t")
+    blocks = written(q_blocks.join(t_blocks, "core"), "blocks")
+    block = lambda n: F.pmod(F.xxhash64("node", F.lit(1)), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    q = q.join(blocks, "core").withColumn("q", block("qs")).withColumn("t", every("ts")).select("core", "q", "t", "node", "set")
+    t = t.join(blocks, "core").withColumn("t", block("ts")).withColumn("q", every("qs")).select("core", "q", "t", "node", "set")
+
+    def run(asking: pa.Table, asked: pa.Table) -> pa.Table:
+        nodes = asked.column("node").to_numpy()
+        own = [np.frombuffer(x, _U) for x in asked.column("set").to_pylist()]
+        sizes = np.array([len(x) for x in own], np.int64)
+        keys, owner = np.concatenate([np.zeros(0, _U), *own]), np.repeat(np.arange(len(own)), sizes)
+        order = np.argsort(keys, kind="stable")
+        keys, owner = keys[order], owner[order]
+        a, b = [], []
+        for node, x in zip(asking.column("node").to_pylist(), asking.column("set").to_pylist(), strict=True):
+            x = np.frombuffer(x, _U)
+            begin = np.searchsorted(keys, x)
+            n = np.searchsorted(keys, x, side="right") - begin
+            at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=len(own))
+            hits = nodes[(100 * both >= percent * (sizes + len(x) - both)) & (both > 0) & (nodes != node)]
+            a += [node] * len(hits)
+            b += hits.tolist()
+        # A spanning forest of these links says as much as all of them.
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = root[up]
+                x = up
+            return x
+
+        keep = []
+        for u, v in zip(a, b, strict=True):
+            p, r = find(u), find(v)
+            if p != r:
+                root[max(p, r)] = min(p, r)
+                keep.append((u, v))
+        return pa.table([pa.array([u for u, _ in keep], pa.int64()), pa.array([v for _, v in keep], pa.int64())], names=["a", "b"])
+
+    by = ["core", "q", "t"]
+    t = t.select(*[F.col(c).alias(c) for c in t.columns])  # both sides come from the same tables; new columns keep them apart
+    return q.groupBy(*by).cogroup(t.groupBy(*by)).applyInArrow(run, "a long, b long")
+
+
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """The rows that stay: one document of each group, with all columns."""
     doc_id = options.get("doc_id", "doc_id")
