@@ -90,10 +90,10 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 class Table:
-    """Rows of numbers by 64-bit key: open addressing, a quarter full, looked up for whole arrays."""
+    """Rows of numbers by 64-bit key: open addressing, at most half full, looked up for whole arrays."""
 
     def __init__(self, keys: np.ndarray, rows: np.ndarray):
-        self.bits = max(4, int(len(keys) * 4).bit_length())
+        self.bits = max(4, int(len(keys) * 2).bit_length())
         self.keys, self.index = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
         self.rows, self.steps = rows, 0
         slot, left = self._slot(keys), np.arange(len(keys))
