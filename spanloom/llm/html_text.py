@@ -3,9 +3,10 @@
 Markup is stripped to lines, one for each block of text.  Lines of parts that
 are no article by their element or its name (menus, adverts, forms, reader
 comments and the like) weigh nothing; lines inside an article or main element
-weigh at least a surge, and where these hold half of all, others weigh nothing.  The weights are summed over a sliding window of
-WINDOW lines.  Text surges where a window's sum rises to the threshold and the
-next window is not empty, and dives where the sum has fallen to nothing; the
+weigh at least a surge, and where these hold half of all, others weigh nothing.  Lines of
+links alone weigh nothing outside these, and headings half a surge more.  The weights are summed over a sliding window of
+WINDOW lines.  Text surges where a window's sum rises to the threshold, its first
+line has half of that and the next window is not empty, and dives where the sum has fallen to nothing; the
 lines between are the text.  The threshold is SURGE characters, or a fourth of
 the page's fullest window where that is less, so that short pages have text.
 
@@ -31,6 +32,7 @@ SURGE = 80
 SKIPPED = {"script", "style", "noscript", "template", "svg", "math", "head", "iframe", "object", "canvas", "textarea", "select", "audio", "video"}
 APART = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "label", "fieldset", "datalist"}
 MAIN = {"article", "main"}
+HEADINGS = {"h1", "h2", "h3"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
 APART_NAMES = re.compile(
@@ -69,28 +71,40 @@ def lines(page: str) -> tuple[list[str], list[int]]:
     texts, weights, within, parts = [], [], [], []
     stack: list[tuple[str, bool, bool]] = []  # element, whether it starts a part that is no article, whether it is a main element
     apart, mains, at, end = 0, 0, 0, len(page)
+    anchor, linked, heading = False, 0, False
 
     def flush() -> None:
+        nonlocal linked
         text = " ".join(htmllib.unescape("".join(parts)).split())
         parts.clear()
         if text:
+            only_links = not mains and 10 * linked >= 8 * len(text)
             texts.append(text)
-            weights.append(0 if apart else len(text) + SURGE * bool(mains))
+            weights.append(0 if apart or only_links else len(text) + SURGE * bool(mains) + SURGE // 2 * heading)
             within.append(bool(mains))
+        linked = 0
+
+    def add(text: str) -> None:
+        nonlocal linked
+        parts.append(text)
+        linked += len(text.strip()) * anchor
 
     while at < end:
         m = _TOKEN.search(page, at)
         if not m:
-            parts.append(page[at:])
+            add(page[at:])
             break
-        parts.append(page[at : m.start()])
+        add(page[at : m.start()])
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
             continue
+        if name == "a":
+            anchor = not m[1]
         if m[1]:
             if name not in INLINE:
                 flush()
+                heading = heading and name not in HEADINGS
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
             if k is not None and not (name in INLINE and any(x[0] not in INLINE for x in stack[k + 1 :])):
                 if any(x[1] for x in stack[k:]):
@@ -105,6 +119,7 @@ def lines(page: str) -> tuple[list[str], list[int]]:
             continue
         if name not in INLINE:
             flush()
+            heading = name in HEADINGS
         if name in VOID or m[0].endswith("/>"):
             continue
         if name in MAIN and not any(x[1] and x[0] in MAIN for x in stack):
@@ -134,7 +149,7 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     threshold = min(surge, -(-int(sums.max()) // 4))
     kept, inside = [], False
     for k, text in enumerate(texts):
-        if not inside and weights[k] and sums[k] >= threshold and (k + 1 == len(texts) or sums[k + 1] > 0 or weights[k] >= threshold):
+        if not inside and 2 * weights[k] >= threshold and sums[k] >= threshold and (k + 1 == len(texts) or sums[k + 1] > 0 or weights[k] >= threshold):
             inside = True
         elif inside and not sums[k]:
             inside = False

@@ -1,0 +1,141 @@
+from __future__ import annotations
+
+import json
+import re
+from collections import Counter
+
+import pytest
+
+from spanloom.llm import html_text, pii, quality, shared
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def brute_counts(text):
+    text = text or ""
+    own = WORD.findall(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    windows = Counter(tuple(own[i : i + 5]) for i in range(len(own) - 4))
+    covered = {i + k for i in range(len(own) - 4) if windows[tuple(own[i : i + 5])] > 1 for k in range(5)}
+    return len(own), sum(map(len, own)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_counts(docs, rows, empty):
+    extra = [(900, "a b c d e a b c d e f", None, None, 1), (901, "x\nx\n\n \n x\nx", None, None, 1), (902, "é*ü # <b>\r\n", None, None, 1), (903, "w " * 40, None, None, 1)]
+    table = docs.sparkSession.createDataFrame(rows + extra, docs.schema)
+    got = Counter((r[0], *r[1:6]) for r in quality.clean_lines(table).collect())
+    assert got == Counter((r[0], *brute_counts(r[1])) for r in rows + extra)
+    for r in quality.clean_lines(table).collect():
+        assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
+        assert not (r.kept and r.base_failed)
+    assert quality.clean_lines(empty).count() == 0
+
+
+def test_line_rules(spark):
+    prose = "\n".join(" ".join(f"word{i * k}x{i}" for k in range(1, 12)) + "." for i in range(8))
+    rows = [(1, prose), (2, prose.replace(" ", "*** ")), (3, prose.replace(".", "")), (4, "Home | About | Contact\n" + prose + "\nAll rights reserved."), (5, " | ".join(prose.split()))]
+    got = {r.doc_id: r for r in quality.clean_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r.kept for i, r in got.items()} == {1: True, 2: False, 3: False, 4: True, 5: False}
+    assert got[4].removed == 2 and got[4].clean_text == prose
+
+
+PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var a="</p><p>no</p>";</script></head><body>
+<header class="site"><a href=/>Site name</a></header><nav><ul><li><a>Home</a></li></ul></nav><div class="ad big">Buy this now, it is a very long advert text.</div>
+<div id="cookie-notice">We use cookies.</div><article><header class="entry-header"><h1>Title &amp; more</h1></header><p>First <b>bold</b>  text&nbsp;here.<br>After break.<p>Hi.
+<aside>Related: other things</aside><ul><li>one</li><li>two &lt;3</li></ul><form><input name=q><button>Go</button></form><p hidden>secret</p><div class="share">Share me</div></article>
+<section id="comments"><p>First! Great reader comment that is quite long, longer than the article.</p></section><footer>&copy; me</footer></body></html>"""
+
+
+def test_page():
+    assert html_text.main_text(PAGE) == "Title & more\nFirst bold text here.\nAfter break.\nHi.\none\ntwo <3"
+
+
+def test_page_without_article():
+    long = "Words of the story go on and on until the line is long enough to be text."
+    page = f"<body><div><a>Home</a></div><div class=menu>menu</div><div><p>{long}</p><p>Short.</p><p>{long}</p></div><div class='footer'>Imprint</div>"
+    assert html_text.main_text(page) == f"{long}\nShort.\n{long}"
+
+
+@pytest.mark.parametrize("page", [None, "", "   ", "<p>", "<nav>x</nav>", "<!-- x", "<script>var a", "<p", "&nbsp;"])
+def test_pages_without_text(page):
+    assert html_text.main_text(page) == ""
+
+
+@pytest.mark.parametrize(("page", "text"), [("plain", "plain"), ("<p>a &am", "a &am"), ("<article><p>x</p>", "x"), ("<nav><ul><li>m<article><p>x</p></article>", "x"), ("<P CLASS=x>A<BR>b</P>", "A\nb"), ("<article>a<!-- c -->b</article>", "ab"), ("a < b and c > d", "a < b and c > d")])
+def test_odd_pages(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_pages_table(spark):
+    rows = [(1, "u", PAGE), (2, None, None), (None, "u", "<p>x"), (1, "u", PAGE)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 4 and {r.page_id: r.n_chars for r in got}[2] == 0
+    assert all(len(r.text) == r.n_chars for r in got)
+    assert html_text.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+def test_driver_pages(spark):
+    """Pages of the test tables: the heading and paragraphs of the article, in order."""
+    import html
+
+    for r in html_text.extract(spark.read.parquet("/root/testdata/sf0.001/pages.parquet")).join(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"), "page_id").limit(40).collect():
+        body = re.search(r"<article>(.*?)(?:</article>|$)", r.html, re.S)[1]
+        want = [" ".join(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1|br)>", body)]
+        assert r.text == "\n".join(x for x in want if x)
+
+
+PRIVATE = [
+    "Mail und.34@mail7.example.com or 12@MAIL6.EXAMPLE.COM!! and 12@mail6.example.com",
+    "+1 (017) 555-7713 and 97.51.17.173, card 4111 1111 1111 1111 or 9807915762804490.",
+    'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" DE91 3705 0198 0061 1832 73 123-45-6789',
+    "Mr. John Smith met Frau Anna Müller and г-н Иван Петров; Frau Anna Müller left. JOHN",
+]
+
+
+def test_surrogates(spark):
+    rows = [*enumerate(PRIVATE), (7, None), (8, ""), (9, PRIVATE[0]), (None, PRIVATE[0])]
+    got = pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by = {r.doc_id: r for r in got}
+    assert by[7].text is None and by[7].n_entities == 0 and by[8].text == ""
+    assert by[9].text == by[0].text == by[None].text
+    for i, text in enumerate(PRIVATE):
+        new, found = by[i].text, json.loads(by[i].entities)
+        assert len(found) == by[i].n_entities > 0
+        for start, end, kind, put in found:
+            old = text[start:end]
+            assert put in new and put != old
+            if kind in ("phone", "card", "ssn"):
+                assert re.sub(r"\d", "9", old) == re.sub(r"\d", "9", put)
+            if kind == "card":
+                assert (pii.luhn(re.sub(r"\D", "", old)) == 0) == (pii.luhn(re.sub(r"\D", "", put)) == 0)
+        for secret in re.findall(r"\S+@\S+\.com|\d{6,}|97\.51\.17\.173|Smith|Müller|Петров|[0-9a-f]{40}", text):
+            assert secret not in new
+    a, b, c = re.findall(r"\S+@\S+?(?=!| |$)", by[0].text)
+    assert b.isupper() and b.lower() == c
+    names = [x[3] for x in json.loads(by[3].entities)]
+    assert names[1] == names[3] and names[1].split()[1] in pii.NAMES["latin"]["f"]
+    assert names[0].split()[1] in pii.NAMES["latin"]["m"] and names[2].split()[1] in pii.NAMES["cyrillic"]["m"]
+
+
+def test_surrogates_stay_distinct(spark, monkeypatch):
+    """Addresses with few others like them, and more names than there are pairs of names."""
+    rows = [(i, f"{i % 10}@a.example.com Herr {chr(65 + i % 26)}aa {chr(65 + i // 26)}oo") for i in range(600)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    made = pii.assignments(table, b"k").collect()
+    assert len({(r.kind, r.surrogate) for r in made}) == len(made)
+    assert not {(r.kind, r.surrogate) for r in made} & {(r.kind, r.canon) for r in made}
+    few = {r.doc_id: r.text for r in pii.replace_pii(table, "k").collect()}
+    assert len(set(few.values())) == 600
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", 3)
+    assert {r.doc_id: r.text for r in pii.replace_pii(table, "k").collect()} == few
+    assert {r.doc_id: r.text for r in pii.replace_pii(table, "other").collect()} != few
+
+
+def test_surrogates_empty(empty):
+    assert pii.replace_pii(empty).count() == 0
+
+
+def test_shared_folder(spark):
+    table = shared.written(spark.range(5).toDF("x"), "t")
+    assert table.count() == 5
+    assert shared.shared_dir(spark) in table.inputFiles()[0]
