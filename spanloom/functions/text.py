@@ -41,22 +41,29 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def spans(text: Column, pattern: str) -> Column:
-    """start, len and value of each match.  Starts add up from the gaps between matches, which split gives."""
-    found = matches(text, pattern)
-    gaps = F.split(text, pattern)
-    pairs = F.transform(found, lambda v, i: F.struct(F.length(F.element_at(gaps, i + 1)).alias("gap"), v.alias("value")))
-    none = F.from_json(F.lit("[]"), SPAN)
+    """start, len and value of each match.  Starts add up from the gaps between matches, which split gives.
+
+    Texts without a match cost one search; the array functions see only others.
+    """
+    none = F.array().cast(SPAN)
+    zipped = F.arrays_zip(F.split(text, pattern).alias("gap"), matches(text, pattern).alias("value"))
+    zipped = F.filter(zipped, lambda p: p["value"].isNotNull())
     added = F.aggregate(
-        pairs,
+        zipped,
         F.struct(F.lit(0).alias("at"), none.alias("out")),
         lambda acc, p: F.struct(
-            (acc["at"] + p["gap"] + F.length(p["value"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + p["gap"]).alias("start"), F.length(p["value"]).alias("len"), p["value"].alias("value")))).alias("out"),
+            (acc["at"] + F.length(p["gap"]) + F.length(p["value"])).alias("at"),
+            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(p["gap"])).alias("start"), F.length(p["value"]).alias("len"), p["value"].alias("value")))).alias("out"),
         ),
         lambda acc: acc["out"],
     )
-    return F.when(text.isNotNull() & (F.size(found) > 0), added).otherwise(none)
+    return F.when(text.rlike(pattern), added).otherwise(none)
 
 
 def tokens(text: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanloom.functions import text as T
+
 # What an entity of each label adds, and which labels weigh how by their share.
 LABEL_VALUES = {
     "Address": 1, "PhoneNumber": 1, "Email": 1, "Birthplace": 1, "MaritalStatus": 1, "Nationality": 1,
@@ -45,11 +47,11 @@ def relevance_of(entities: Column) -> Column:
     n = F.size(entities)
     labels = F.array_distinct(F.transform(entities, lambda e: e["label"]))
 
-    def points(total: Column, label: Column) -> Column:
-        own = F.size(F.filter(entities, lambda e: e["label"] == label))
-        return total + 10 + own * 2 + own * label_value(label) + own * focus(label, F.floor(own * 100 / n))
+    def points(label: Column) -> Column:
+        own = F.struct(label.alias("label"), F.size(F.filter(entities, lambda e: e["label"] == label)).alias("n"))
+        return T.let(own, lambda o: 10 + o["n"] * (2 + label_value(o["label"]) + focus(o["label"], F.floor(o["n"] * 100 / n))))
 
-    return F.aggregate(labels, F.lit(0).cast("long"), lambda total, label: points(total, label).cast("long"))
+    return F.aggregate(F.transform(labels, points), F.lit(0).cast("long"), lambda a, b: a + b)
 
 
 def label_counts(entities: DataFrame) -> DataFrame:

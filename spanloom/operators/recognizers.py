@@ -72,7 +72,7 @@ def _title(v: Column) -> Column:
 
 def recognizers(g: Gazetteers) -> list[Recognizer]:
     """All recognisers in order of priority."""
-    street = r"\p{Lu}[\p{L}.-]*(?:\s\p{Lu}[\p{L}-]*)?(?:straße|strasse|str\.|Straße|Strasse|Str\.|allee|Allee|platz|Platz|weg|Weg|ring|Ring|markt|Markt|berg|Berg)"
+    street = r"\p{Lu}[\p{L}.-]*(?:\s\p{Lu}?[\p{L}-]*)?(?:straße|strasse|str\.|Straße|Strasse|Str\.|allee|Allee|platz|Platz|weg|Weg|ring|Ring|markt|Markt|berg|Berg)"
     house = r"\d{1,4}(?:\s?[A-Za-z]\b)?(?:-\d{1,4})?"
     city = _or(g.cities)
     zip_city = rf"\d{{5}}\s+{city}"
@@ -155,10 +155,13 @@ def candidates(text: Column, rec: Recognizer, priority: int) -> Column:
     if rec.group:
 
         def inner(m: Column) -> Column:
-            value = F.regexp_extract(m["value"], rec.pattern, rec.group)
-            value = F.when(value != "", value).otherwise(m["value"])
-            shift = F.length(m["value"]) - F.instr(F.reverse(m["value"]), F.reverse(value)) - F.length(value) + 1
-            return F.struct((m["start"] + shift).cast("int").alias("start"), F.length(value).alias("len"), value.alias("value"))
+            own = F.struct(m["start"].alias("start"), m["value"].alias("whole"), F.regexp_extract(m["value"], rec.pattern, rec.group).alias("value"))
+
+            def placed(o: Column) -> Column:
+                shift = F.length(o["whole"]) - F.instr(F.reverse(o["whole"]), F.reverse(o["value"])) - F.length(o["value"]) + 1
+                return F.struct((o["start"] + shift).cast("int").alias("start"), F.length(o["value"]).alias("len"), o["value"].alias("value"))
+
+            return T.let(own, placed)
 
         found = F.transform(found, inner)
     if rec.check is not None:

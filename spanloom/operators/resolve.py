@@ -6,19 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def resolved(candidates: Column) -> Column:
-    """An array of candidate structs (priority, start, len, ...) without overlaps, in order of start.
+def resolved(candidates: Column, none: Column) -> Column:
+    """An array of candidate structs (priority, start, len, ...) without overlaps, in order of start; none: an empty one.
 
     A fold over the sorted candidates, inside the row: no shuffle.
     """
-    rank = F.transform(candidates, lambda c: F.struct(c["priority"].alias("a"), (-c["len"]).alias("b"), c["start"].alias("s"), c.alias("c")))
-    none = F.filter(candidates, lambda c: F.lit(False))
+    rank = F.array_sort(F.transform(candidates, lambda c: F.struct(c["priority"].alias("a"), (-c["len"]).alias("b"), c["start"].alias("s"), c.alias("c"))))
 
     def add(kept: Column, r: Column) -> Column:
         c = r["c"]
         free = ~F.exists(kept, lambda k: (k["start"] < c["start"] + c["len"]) & (c["start"] < k["start"] + k["len"]))
         return F.when(free, F.concat(kept, F.array(c))).otherwise(kept)
 
-    chosen = F.aggregate(F.array_sort(rank), none, add)
-    by_start = F.transform(chosen, lambda c: F.struct(c["start"].alias("s"), c.alias("c")))
-    return F.transform(F.array_sort(by_start), lambda x: x["c"])
+    chosen = F.aggregate(rank, none, add)
+    return F.transform(F.array_sort(F.transform(chosen, lambda c: F.struct(c["start"].alias("s"), c.alias("c")))), lambda x: x["c"])

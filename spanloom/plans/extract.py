@@ -8,6 +8,7 @@ guards each recogniser that needs digits or a keyword.
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,12 +36,23 @@ def entity_array(text: Column, gazetteers: Gazetteers | None = None, enabled: se
     for k, r in chosen:
         found = candidates(text, r, k)
         parts.append(F.when(text.rlike(GUARDS[r.name]), found).otherwise(none) if r.name in GUARDS else found)
-    return resolved(F.filter(F.concat(none, *[F.coalesce(p, none) for p in parts]), lambda e: e["len"] > 0))
+    return resolved(F.concat(none, *[F.coalesce(p, none) for p in parts]), none)
+
+
+_built: dict[tuple, Column] = {}
+
+
+def entities_of(text: str, gazetteers: Gazetteers | None, enabled: set[str] | None) -> Column:
+    """entity_array of a column by name.  Building the expression takes thousands of calls to the JVM, so it is kept."""
+    key = (id(SparkContext._active_spark_context), text, repr(gazetteers or Gazetteers()), tuple(sorted(enabled)) if enabled is not None else None)
+    if key not in _built:
+        _built[key] = entity_array(F.col(text), gazetteers, enabled)
+    return _built[key]
 
 
 def extract(docs: DataFrame, gazetteers: Gazetteers | None = None, enabled: set[str] | None = None, text: str = "text", emit_urls: bool = True) -> DataFrame:
     """doc_id, ent_id, label, recognizer, start, len, value, attrs."""
-    found = docs.select("doc_id", entity_array(F.col(text), gazetteers, enabled).alias("entities"))
+    found = docs.select("doc_id", entities_of(text, gazetteers, enabled).alias("entities"))
     rows = found.select("doc_id", F.posexplode("entities").alias("ent_id", "e"))
     out = rows.select("doc_id", "ent_id", "e.label", "e.recognizer", "e.start", "e.len", "e.value", F.map_from_entries("e.attrs").alias("attrs"))
     return out if emit_urls else out.where("label <> 'Url'")
@@ -48,9 +60,14 @@ def extract(docs: DataFrame, gazetteers: Gazetteers | None = None, enabled: set[
 
 def scored(docs: DataFrame, gazetteers: Gazetteers | None = None, enabled: set[str] | None = None, text: str = "text") -> DataFrame:
     """doc_id, n_entities, n_categories, score of documents with entities: within the row, without a shuffle."""
-    found = docs.select("doc_id", entity_array(F.col(text), gazetteers, enabled).alias("e"))
-    labels = F.size(F.array_distinct(F.transform("e", lambda x: x["label"])))
-    return found.where(F.size("e") > 0).select("doc_id", F.size("e").alias("n_entities"), labels.alias("n_categories"), metrics.relevance_of(F.col("e")).alias("score"))
+
+    def figures(e: Column) -> Column:
+        labels = F.size(F.array_distinct(F.transform(e, lambda x: x["label"])))
+        return F.struct(F.size(e).alias("n_entities"), labels.alias("n_categories"), metrics.relevance_of(e).alias("score"))
+
+    # Exploded, so that the filter on the figures does not bring the patterns with it a second time.
+    rows = docs.select("doc_id", F.explode(F.transform(F.array(entities_of(text, gazetteers, enabled)), figures)).alias("f"))
+    return rows.select("doc_id", "f.*").where("n_entities > 0")
 
 
 def united_entities(docs: DataFrame, gazetteers: Gazetteers | None = None, text: str = "text") -> DataFrame:
@@ -59,7 +76,7 @@ def united_entities(docs: DataFrame, gazetteers: Gazetteers | None = None, text:
     A token's order number is the count of gaps before it, so an entity's is
     counted in the text before it, within the row.
     """
-    found = docs.select("doc_id", F.col(text).alias("_text"), entity_array(F.col(text), gazetteers).alias("entities"))
+    found = docs.select("doc_id", F.col(text).alias("_text"), entities_of(text, gazetteers, None).alias("entities"))
     rows = found.select("doc_id", F.explode("entities").alias("e"), "_text")
     gaps = F.size(T.matches(F.substring(F.col("_text"), F.lit(1), F.col("e.start")), r"\s+"))
     rows = rows.select("doc_id", "e.start", "e.len", "e.label", "e.value", gaps.alias("order_num"))

@@ -674,6 +674,70 @@ def padded_ids(spark, sf_dir):
     return rows.select("doc_id", neural.padded(F.col("ids"), 64).alias("ids"))
 
 
+# -- letters: every recogniser on texts made from keys ------------------------
+
+#: Parts of a letter: what stands before a value, the value as SQL that both engines read, and its label.
+LETTER = [
+    ("Gez. ", "concat('Frau ', element_at(array('Anna', 'Lena', 'Petra'), cast(k % 3 + 1 as int)), ' ', element_at(array('Schmidt', 'Meyer', 'Koch', 'Braun'), cast(k % 4 + 1 as int)))", "Name"),
+    ("wohnhaft ", "concat('Lange Straße ', cast(k % 90 + 1 as string), ', ', cast(10000 + k % 80000 as string), ' Berlin')", "Address"),
+    ("Tel ", "concat('030/', lpad(cast(k * 7 as string), 7, '1'))", "PhoneNumber"),
+    ("IBAN ", "concat('DE', lpad(cast(k * 31 as string), 20, '4'))", "AccountNumber"),
+    ("Kundennummer ", "concat('K-', cast(100000 + k as string))", "CustomerNumber"),
+    ("", "concat('Geburtsdatum ', lpad(cast(k % 28 + 1 as string), 2, '0'), '.0', cast(k % 9 + 1 as string), '.19', cast(60 + k % 40 as string))", "Birthday"),
+    ("Geburtsort ", "element_at(array('Hamburg', 'Wien', 'Frankfurt am Main'), cast(k % 3 + 1 as int))", "Birthplace"),
+    ("Familienstand ", "element_at(array('ledig', 'verheiratet', 'getrennt lebend'), cast(k % 3 + 1 as int))", "MaritalStatus"),
+    ("Staatsangehörigkeit ", "element_at(array('deutsch', 'polnisch'), cast(k % 2 + 1 as int))", "Nationality"),
+    ("Karte ", "element_at(array('4111 1111 1111 1111', '5432110051294969'), cast(k % 2 + 1 as int))", "CreditCard"),
+    ("Kennzeichen ", "concat('HH-', element_at(array('A', 'BC'), cast(k % 2 + 1 as int)), ' ', cast(k % 9000 + 1 as string))", "CarNumber"),
+    ("Kasse ", "element_at(array('I526064554', 'A123456780', 'K734027627'), cast(k % 3 + 1 as int))", "HealthInsurance"),
+    ("Schein ", "element_at(array('J010000SD51', 'F0100LQUA01'), cast(k % 2 + 1 as int))", "DriverLicense"),
+    ("Rente ", "element_at(array('15070649C103', '13 020281 W 025', '12/190367/K/001'), cast(k % 3 + 1 as int))", "SocialSecurity"),
+    ("Pass ", "element_at(array('C73Z12345', 'L6Z3PGVYC3'), cast(k % 2 + 1 as int))", "PassportIdCardNumber"),
+    ("Steuer-ID ", "element_at(array('81872495633', '86 095 742 719'), cast(k % 2 + 1 as int))", "TaxIdentification"),
+    ("bei ", "concat('Nordwind ', element_at(array('Handel', 'Werke'), cast(k % 2 + 1 as int)), ' GmbH')", "Company"),
+    ("Mail ", "concat('kunde', cast(k as string), '@example.com')", "Email"),
+    ("Seite ", "concat('www.firma', cast(k as string), '.de')", "Url"),
+]
+BREAK = "; "
+LETTERS_SQL = (
+    "with c as (select c_custkey as k from customer), p as (select k as doc_id, unnest(["
+    + ", ".join(f"{{'n': {i}, 'before': '{b}', 'value': {v.replace('element_at(array(', 'list_extract(list_value(').replace('as string', 'as varchar')}, 'label': '{label}'}}" for i, (b, v, label) in enumerate(LETTER))
+    + f"]) as x from c), s as (select doc_id, x.label as label, x.value as value, length(x.value)::int as len, (sum(length(x.before) + length(x.value) + {len(BREAK)}) over (partition by doc_id order by x.n) - length(x.value) - {len(BREAK)})::int as start from p)"
+)
+
+
+def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [F.concat(F.lit(before), F.expr(value)) for before, value, _ in LETTER]
+    return read(spark, sf_dir, "customer").withColumn("k", F.col("c_custkey")).select(F.col("k").alias("doc_id"), F.concat_ws(BREAK, *parts).alias("text"))
+
+
+@query(LETTERS_SQL + " select doc_id, label, value, start, len from s")
+def letter_entities(spark, sf_dir):
+    """All recognisers on a letter for each customer."""
+    return plans.extract(letters(spark, sf_dir)).select("doc_id", "label", "value", "start", "len")
+
+
+@query(LETTERS_SQL + " select doc_id, count(*)::int as n_entities, count(distinct label)::int as n_categories, (10 * 19 + 2 * 19 + 6 * 1 + 3 * 30 + 5 * 20 + 8 * 1)::bigint as score from s group by doc_id")
+def letter_scores(spark, sf_dir):
+    return plans.scored(letters(spark, sf_dir))
+
+
+@query(LETTERS_SQL + ", a as (select doc_id, min(start) as start, max(start + len) as fin, count(*) as n_members from s group by doc_id) select doc_id, 0 as ue_id, start, (fin - start)::int as len, n_members from a")
+def letter_united(spark, sf_dir):
+    """The name and all that follows it within the distance."""
+    return plans.united_entities(letters(spark, sf_dir)).select("doc_id", "ue_id", "start", "len", "n_members")
+
+
+@query(LETTERS_SQL + """, m as (select doc_id, start - 1 as start, len + 2 as len, 'PERSON' as label from s where label = 'Name')
+select doc_id, start, len, label, 'rules' as origin from s where label <> 'Name' union all select doc_id, start, len, label, 'model' from m""")
+def letter_combined(spark, sf_dir):
+    """Rule entities with a model's, which is one character wider at each end of the name."""
+    docs = letters(spark, sf_dir)
+    names = plans.extract(docs).where("label = 'Name'")
+    model = names.select("doc_id", (F.col("start") - 1).alias("start"), (F.col("len") + 2).alias("len"), F.lit("PERSON").alias("label"))
+    return plans.combined(docs, model).select("doc_id", "start", "len", "label", "origin")
+
+
 # -- whole plans (no SQL) ----------------------------------------------------
 
 
