@@ -632,6 +632,63 @@ def predict_chunks(spark, sf_dir):
     return rows.select("doc_id", "n", F.size("c").cast("long").alias("parts"), kept.alias("kept"))
 
 
+@query(f"""with {TOKENS}, w as (select doc_id, list(value order by tok_id) as words from tokens group by doc_id), z as (select doc_id, words, list_transform(words[1:5], lambda x: length(x) % 3) as labels from w)
+select doc_id, unnest(range(0, least(len(words), len(labels))))::int as tok_id, unnest(words[1:least(len(words), len(labels))]) as token, unnest(labels) as label from z""")
+def label_zip(spark, sf_dir):
+    """Tokens with the labels a model gave them, as far as both go."""
+    words = T.matches(F.col("text"), WORDS)
+    rows = turns(spark, sf_dir).select("doc_id", words.alias("words")).withColumn("labels", F.transform(F.slice("words", 1, 5), lambda w: F.pmod(F.length(w), F.lit(3)).cast("long")))
+    pairs = F.arrays_zip(F.slice("words", F.lit(1), F.least(F.size("words"), F.size("labels"))).alias("token"), F.col("labels").alias("label"))
+    return rows.where("size(words) > 0").select("doc_id", F.posexplode(pairs).alias("tok_id", "p")).select("doc_id", "tok_id", "p.token", "p.label")
+
+
+MULTI = ["OF THE", "THE AND", "DE LA", "FOR THE"]
+
+
+@query(f"""with {TOKENS}, f as (select *, trim(regexp_replace(regexp_replace(regexp_replace({FOLD_SQL}, '[.&"''!]', '', 'g'), '[-–—/]', ' ', 'g'), ' +', ' ', 'g')) as u from tokens), g as (select *, lead(u) over (partition by doc_id order by tok_id) as u2 from f)
+select doc_id, tok_id, u || ' ' || u2 as key from g where u || ' ' || u2 in ({', '.join(repr(m) for m in MULTI)})""")
+def multiword_match(spark, sf_dir):
+    """Phrases of two words whatever dashes, dots and quotes stand in them."""
+    phrases = F.broadcast(spark.createDataFrame([(m,) for m in MULTI], "key string"))
+    grams = matching.k_grams(turn_tokens(spark, sf_dir), 2, T.phrase_key(F.col("value")))
+    return grams.where("n_tok = 2").join(phrases, "key", "left_semi").select("doc_id", "tok_id", "key")
+
+
+@query(f"""with {TOKENS}, n as (select doc_id, count(*) as n from tokens group by doc_id), b as (select doc_id, n, n // 100 as bucket from n), r as (select *, row_number() over (partition by bucket order by md5(doc_id::varchar), doc_id) - 1 as place from b)
+select doc_id, bucket, place // 32 as batch from r where n <= 500""")
+def length_batches(spark, sf_dir):
+    """Batches of 32 sentences of like length in a seeded order; longer ones are dropped."""
+    rows = turns(spark, sf_dir).select("doc_id", F.size(T.matches(F.col("text"), WORDS)).cast("long").alias("n")).where("n > 0")
+    rows = rows.withColumn("bucket", F.floor(F.col("n") / 100))
+    place = F.row_number().over(W.partitionBy("bucket").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")) - 1
+    return rows.withColumn("batch", F.floor(place / 32)).where("n <= 500").select("doc_id", "bucket", "batch")
+
+
+@query("select event_type, user_id, value from (select *, row_number() over (partition by event_type order by value desc, event_id) as r from events) where r <= 5")
+def top_values(spark, sf_dir):
+    """The five largest values of each kind."""
+    best = F.row_number().over(W.partitionBy("event_type").orderBy(F.desc("value"), "event_id"))
+    return read(spark, sf_dir, "events").withColumn("r", best).where("r <= 5").select("event_type", "user_id", "value")
+
+
+@query("""select phrase, count(*) as n_lists from (select distinct upper(trim(n_name)) as phrase, 1 as l from nation union select distinct upper(trim(r_name)), 2 from region union select distinct upper(trim(c_mktsegment)), 3 from customer) group by phrase""")
+def dictionary_union(spark, sf_dir):
+    """Word lists without repeats, as one."""
+    lists = [read(spark, sf_dir, t).select(F.upper(F.trim(c)).alias("phrase"), F.lit(k).alias("l")).distinct() for k, (t, c) in enumerate((("nation", "n_name"), ("region", "r_name"), ("customer", "c_mktsegment")))]
+    return lists[0].unionByName(lists[1]).unionByName(lists[2]).groupBy("phrase").agg(F.count("*").alias("n_lists"))
+
+
+@query(f"""with {TOKENS}, t as (select doc_id, tok_id, value, length(value) as value_len from tokens), g as (select *, {TAG_SQL} as tag from t),
+l as (select *, lower(value) in ('von', 'van', 'de', 'zu', 'vom') as part, lower(value) in ('der', 'den', 'dem', 'la', 'zu') as art from g),
+w as (select *, lead(tag) over o as t1, lead(tag, 2) over o as t2, lead(art) over o as a1, lag(tag) over o as b1, lag(part) over o as p1, lag(part, 2) over o as p2, lag(art) over o as q1 from l window o as (partition by doc_id order by tok_id))
+select doc_id, tok_id, case when tag = 'O' and part and (coalesce(t1 in ('B-PER', 'I-PER'), false) or coalesce(a1 and t1 = 'O' and t2 in ('B-PER', 'I-PER'), false)) then 'B-PER'
+  when tag = 'O' and art and coalesce(p1, false) and coalesce(t1 in ('B-PER', 'I-PER'), false) then 'I-PER'
+  when tag = 'B-PER' and coalesce(b1 = 'O', false) and (coalesce(p1, false) or (coalesce(q1, false) and coalesce(p2, false))) then 'I-PER' else tag end as tag from w""")
+def bio_repair(spark, sf_dir):
+    """Name particles before a person take the person's tags."""
+    return grouping.bio_repair(_tagged(spark, sf_dir), ["doc_id"]).select("doc_id", "tok_id", "tag")
+
+
 # -- model arithmetic --------------------------------------------------------
 
 
@@ -770,6 +827,16 @@ def tokens_full(spark, sf_dir):
     return matching.token_table(turns(spark, sf_dir))
 
 
+@query()
+def rouge_pairs(spark, sf_dir):
+    """Longest common subsequence of each turn's first words with those of the next turn."""
+    words = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.slice(T.matches(F.coalesce("text", F.lit("")), WORDS), 1, 30).alias("words"))
+    after = F.lead("words").over(W.partitionBy("conv_id").orderBy("turn"))
+    rows = words.withColumn("after", after).where("after is not null and size(words) > 0 and size(after) > 0")
+    lcs = metrics.longest_common(F.col("words"), F.col("after"))
+    return rows.select("conv_id", "turn", lcs.alias("lcs"), (lcs / F.size("words")).alias("precision"), (lcs / F.size("after")).alias("recall"))
+
+
 @query()
 def neural_tags(spark, sf_dir):
     """A tagger's forward pass over every turn (weights of a fixed seed)."""

@@ -6,7 +6,9 @@ the built-in ones are short enough to stand inside patterns.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
+from itertools import permutations, product
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +51,22 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
+def separator_versions(words: list[str], separator: str = "-") -> list[str]:
+    """All ways to put a separator or a space between neighbouring words."""
+    return [words[0] + "".join(s + w for s, w in zip(marks, words[1:], strict=True)) for marks in product((" ", separator), repeat=len(words) - 1)] if words else []
+
+
+def dropped_versions(phrase: str, characters: str = ".&\"'!") -> list[str]:
+    """The phrase with every choice of these characters left out, without repeats."""
+    kept = product(*[(c, "") if c in characters else (c,) for c in phrase])
+    return sorted({re.sub(" +", " ", "".join(x)).strip() for x in kept})
+
+
+def orders(labels: list[str]) -> list[tuple[str, ...]]:
+    """All orders of a set of labels."""
+    return list(permutations(labels))
+
+
 def symmetric(pairs: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("n2").alias("n1"), F.col("n1").alias("n2"))).distinct()
 

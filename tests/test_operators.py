@@ -56,6 +56,12 @@ def test_sinks(spark, tmp_path):
     assert corpora.load_weights(spark, f"{tmp_path}/w").first().shape == [2, 2]
 
 
+def test_phrase_versions():
+    assert gazetteers.separator_versions(["a", "b", "c"]) == ["a b c", "a b-c", "a-b c", "a-b-c"]
+    assert gazetteers.dropped_versions("A.B!") == ["A.B", "A.B!", "AB", "AB!"]
+    assert len(gazetteers.orders(["x", "y", "z"])) == 6
+
+
 def tags(spark, *pairs):
     return spark.createDataFrame([(1, i, t, g) for i, (t, g) in enumerate(pairs)], "s long, tok_id int, token string, tag string")
 
