@@ -32,7 +32,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from spanloom.llm import words
 from spanloom.llm.words import Table
-from spanloom.llm.shared import small_or_shuffled, written
+from spanloom.llm.shared import small_or_shuffled, tidy, written
 
 ORDER = 4
 SAMPLE_DOCS = 400
@@ -180,7 +180,7 @@ def predict(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text:
         for batch in batches:
             data, offsets = words.utf8(batch.column(1))
             letters = batch.column(2).to_numpy(zero_copy_only=False)
-            for i, j in words.slices(offsets, 500_000):
+            for i, j in words.slices(offsets, 250_000):
                 names, scores, bits = np.full(j - i, "und", object), np.zeros(j - i), np.full(j - i, np.nan)
                 if model is not None:
                     lengths = model.code_lengths(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
@@ -196,7 +196,7 @@ def predict(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text:
     lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), lettered.alias("letters"))
     schema = StructType([rows.schema["doc_id"], StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("bits", DoubleType())])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def identify(docs: DataFrame, held_out: int = 5) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import words
 from spanloom.llm.components import components
-from spanloom.llm.shared import small_or_shuffled, written
+from spanloom.llm.shared import small_or_shuffled, tidy, tidy_group, written
 
 SHINGLE = 2
 PERCENT = 80
@@ -132,7 +132,7 @@ def _profiles(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                     names=["doc_id", "n", "set_key", "bands", "sketch"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, set_key binary, bands array<long>, sketch binary")
+    return docs.mapInArrow(tidy(run), "doc_id long, n long, set_key binary, bands array<long>, sketch binary")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, samples: int, percent: int) -> DataFrame:
@@ -140,9 +140,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, samples: int, percent: int) ->
     least = percent / 100 - MARGIN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in (b.slice(k, 4096) for b in batches for k in range(0, len(b), 4096)):
             a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(len(batch), -1) for k in (2, 3))
             estimate = sketch_similarity(a, b, samples)
             keep = pa.array(estimate >= least)
@@ -152,7 +150,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, samples: int, percent: int) ->
     both = pairs.join(side.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
     both = both.join(side.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
     both = both.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, estimate double")
+    return both.select("a", "b", "sa", "sb").mapInArrow(tidy(run), "a long, b long, estimate double")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -170,14 +168,14 @@ def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                 yield out.filter(pa.array(found))
 
     nodes = small_or_shuffled(nodes.select(F.col("node").alias("doc_id"), "set_key"))
-    return docs.join(nodes, "doc_id").select("doc_id", "text", "set_key").mapInArrow(run, "node long, set binary")
+    return docs.join(nodes, "doc_id").select("doc_id", "text", "set_key").mapInArrow(tidy(run), "node long, set binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, 512) for b in batches for k in range(0, len(b), 512)):
             keep = []
             for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(a, _U), np.frombuffer(b, _U)
@@ -188,7 +186,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     both = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    return both.select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def near_groups(
@@ -326,7 +324,7 @@ def _block_links(asking: DataFrame, asked: DataFrame, sets: DataFrame, percent:
 
     by = ["core", "q", "t"]
     t = t.select(*[F.col(c).alias(c) for c in t.columns])  # both sides come from the same tables; new columns keep them apart
-    return q.groupBy(*by).cogroup(t.groupBy(*by)).applyInArrow(run, "a long, b long")
+    return q.groupBy(*by).cogroup(t.groupBy(*by)).applyInArrow(tidy_group(run, 2), "a long, b long")
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:

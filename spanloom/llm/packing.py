@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.shared import prefix_offsets, small_or_shuffled, written
+from spanloom.llm.shared import prefix_offsets, small_or_shuffled, tidy, written
 
 LENGTH = 2048
 END_ID = 1
@@ -49,13 +49,15 @@ def tokenizer(path: str):
     if path in _tokenizers:
         return _tokenizers[path]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    whole = Tokenizer.from_file(path)
     ranks_path = path.removesuffix(".json") + ".tiktoken"
+    files: dict = {}
 
     def by_file(text: str) -> np.ndarray:
-        return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
+        if not files:
+            from tokenizers import Tokenizer
+
+            files["whole"] = Tokenizer.from_file(path)
+        return np.array(files["whole"].encode(text, add_special_tokens=False).ids, np.uint32)
 
     encode = by_file
     if os.path.exists(ranks_path):
@@ -93,7 +95,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int = END_ID, doc_id: str = "d
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, part long, start long, doc_tokens long, ids binary")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, part long, start long, doc_tokens long, ids binary")
 
 
 def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -105,7 +107,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id:
     kind = placed.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, 512) for b in batches for k in range(0, len(b), 512)):
             at, n = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             first = at // length
             pieces = (at + n - 1) // length - first + 1
@@ -120,4 +122,4 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id:
                 names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
             )
 
-    return placed.mapInArrow(cut, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return placed.mapInArrow(tidy(cut), f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm import words
+from spanloom.llm.shared import tidy
 
 WINDOW = 5
 LEAST_WORDS = 10
@@ -136,7 +137,7 @@ def clean_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, {', '.join(f'{k} long' for k in NAMES)}, base_failed boolean, kept boolean, lost double, removed long, clean_text string")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, {', '.join(f'{k} long' for k in NAMES)}, base_failed boolean, kept boolean, lost double, removed long, clean_text string")
 
 
 NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -58,6 +61,43 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give freed memory back to the system: Spark keeps its Python workers, and one task's peak would stay in the next stage's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def tidy(run: Callable) -> Callable:
+    """A function over a task's batches that gives its memory back at the end."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
+def tidy_group(run: Callable, sides: int = 1) -> Callable:
+    """The same for a function over a group's table, or two tables."""
+
+    def one(table: pa.Table) -> pa.Table:
+        out = run(table)
+        release()
+        return out
+
+    def two(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = run(a, b)
+        release()
+        return out
+
+    return one if sides == 1 else two
+
+
 def small_or_shuffled(side: DataFrame, rows: int | None = None) -> DataFrame:
     """The side of a join with a broadcast hint if it is counted as small, else without one."""
     rows = side.count() if rows is None else rows
