@@ -1,7 +1,7 @@
 """Quality rules, line first.
 
 Each line is held against three groups of rules: punctuation (it ends a
-sentence, and its words don't each drag symbols or shouts), navigation (menus
+sentence or holds several, and its words don't each drag symbols or shouts), navigation (menus
 of separators, arrows and menu words) and boilerplate (notices that sites
 repeat).  Lines that fail are removed; then a document that has lost more than
 MOST_LOST of its word characters, or keeps fewer than LEAST_WORDS words, is
@@ -55,7 +55,8 @@ def line_fails(line: str) -> str | None:
         return "boilerplate"
     if sum(bool(_DRAGS.search(w)) for w in own) * 2 > len(own):
         return "punctuation"
-    return None if own[-1][-1] in ENDS else "punctuation"
+    # A line of several sentences is prose even if its last one is left open.
+    return None if own[-1][-1] in ENDS or sum(w[-1] in ".!?…" for w in own) >= 2 else "punctuation"
 
 
 def cleaned(text: str | None) -> str:
