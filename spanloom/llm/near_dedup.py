@@ -212,11 +212,9 @@ def near_groups(
     # Each node's most similar hub first: most links of the rest then lie inside a component and need no test.
     best = likely.groupBy("b").agg(F.max_by("a", "estimate").alias("a"))
     sets = _wanted_sets(docs, classes, _ends(likely), None, width)
-    links = written(_confirmed(best, sets, percent), "confirmed")
-    labels = components(links)
-    rest = _across(likely.join(best, ["a", "b"], "left_anti"), labels)
-    links = written(links.unionByName(_confirmed(rest, sets, percent)), "confirmed")
-    labels = components(links)
+    first = written(_confirmed(best, sets, percent), "confirmed")
+    rest = _across(likely.join(best, ["a", "b"], "left_anti"), _three_up(first))
+    labels = components(first.unionByName(_confirmed(rest, sets, percent)))
 
     # Buckets that hold more than one component: members outside the largest one meet that component and each other.
     inside = _labelled(many.select("key", "node"), labels)
@@ -229,13 +227,15 @@ def near_groups(
         asked = _labelled(classes.select("node"), labels).join(cores, F.col("root") == F.col("core")).select("core", "node").unionByName(asking).distinct()
         sets = _wanted_sets(docs, classes, asked.select("node").distinct(), sets, width)
         more = written(_block_links(asking, asked, sets, percent), "confirmed")
-        links = links.unionByName(more)
-        labels = components(links)
-
-    own = classes.select("set_key", "node")
-    grouped = _labelled(own, labels)
-    smallest = grouped.groupBy("root").agg(F.min("node").alias("component_id"))
-    own = grouped.join(smallest, "root").select("set_key", "component_id")
+        if not more.isEmpty():  # links between components: join these, and their nodes follow
+            ends = more.select("a", F.col("b").alias("node"))
+            ends = _labelled(ends, labels).select(F.col("a").alias("node"), F.col("root").alias("b"))
+            joined = components(_labelled(ends, labels).select(F.col("root").alias("a"), "b"))
+            known = labels.unionByName(joined.select("node", F.col("node").alias("root"))).dropDuplicates(["node"])
+            labels = known.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+
+    # A node is its class's smallest doc_id and a root its component's smallest node: the smallest doc_id reachable.
+    own = _labelled(classes.select("set_key", "node"), labels).select("set_key", F.col("root").alias("component_id"))
     # Rows without words have keys of their own, so that they are no hot key of the join.
     out = profiles.select("doc_id", "n", F.when(F.col("n") > 0, F.col("set_key")).otherwise(F.encode(F.col("doc_id").cast("string"), "UTF-8")).alias("set_key")).join(own, "set_key", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
@@ -247,6 +247,15 @@ def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     return nodes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
+def _three_up(links: DataFrame) -> DataFrame:
+    """node, root of links that give each b one smaller a: three steps up, which is the root of most."""
+    up = links.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    for _ in range(2):
+        step = links.select(F.col("b").alias("root"), F.col("a").alias("_a"))
+        up = up.join(step, "root", "left").select("node", F.coalesce("_a", "root").alias("root"))
+    return up
+
+
 def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs that lie in two components."""
     a, b = (labels.select(F.col("node").alias(k), F.col("root").alias(f"r{k}")) for k in "ab")
