@@ -88,7 +88,8 @@ def mix(
     cell_rows = max(CELL_ROWS, -(-(rows or 0) // MAX_CELLS))
     salts = classes.select("_source", "_class", F.ceil(F.col("n") / cell_rows).cast("long").alias("_salts"))
     salts = small_or_shuffled(salts.withColumnRenamed("_source", "_s").withColumnRenamed("_class", "_c"), n_classes)
-    same_class = F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_class") == F.col("_c"))
+    # Null-safe also where no null can be: a plain equality would add a filter on the class and count the words twice.
+    same_class = F.col("_source").eqNullSafe(F.col("_s")) & F.col("_class").eqNullSafe(F.col("_c"))
 
     def celled(d: DataFrame) -> DataFrame:
         d = d.join(salts, same_class).drop("_s", "_c")
@@ -104,7 +105,7 @@ def mix(
 
     place = F.row_number().over(W.partitionBy("_source", "_class", "_salt").orderBy("size", "_id"))
     placed = celled(sized([f"`{c}`" for c in docs.columns])).withColumn("_place", place)
-    same_cell = F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_class") == F.col("_c")) & (F.col("_salt") == F.col("_k"))
+    same_cell = same_class & F.col("_salt").eqNullSafe(F.col("_k"))
     placed = placed.join(small_or_shuffled(cells), same_cell)
     offset = hashed(F.lit(seed), F.col("_source")) / F.lit(4294967296.0)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
