@@ -66,7 +66,7 @@ DETECT = re.compile(
     |(?P<secret>(?:(?<=["'`=: ])|\b)(?=[0-9a-fA-F]*\d)(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{{32,128}}(?![0-9A-Za-z])|\b(?:sk|pk|ghp|gho|xox[abp]|AKIA|AIza)[-_A-Za-z0-9]{{12,}})
     |(?P<iban>(?<![A-Za-z0-9])[A-Z]{{2}}\d{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,4}})?(?![A-Za-z0-9]))
     |(?P<ip>(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d))
-    |(?P<phone>(?<![\w+])\+\d{{1,3}}(?:[ .\-/]?\(?\d{{1,5}}\)?){{2,6}}(?!\d)|(?<![\w+.-])\(\d{{3}}\)[ ]?\d{{3}}[-. ]\d{{4}}(?!\d)|(?<![\w+.-])\d{{3}}[-. ]\d{{3}}[-. ]\d{{4}}(?![\d-]))
+    |(?P<phone>(?<![\w+])\+1[ .\-]?\(?\d{{3}}\)?[ .\-]?\d{{3}}[ .\-]?\d{{4}}(?!\d)|(?<![\w+])\+\d{{1,3}}(?:[ .\-/]?\(?\d{{1,5}}\)?){{2,6}}(?!\d|\.\d)|(?<![\w+.-])\(\d{{3}}\)[ ]?\d{{3}}[-. ]\d{{4}}(?!\d)|(?<![\w+.-])\d{{3}}[-. ]\d{{3}}[-. ]\d{{4}}(?![\d-]))
     |(?P<card>(?<![\d.-])\d(?:[ -]?\d){{12,18}}(?![\d]|[.-]\d))
     |(?P<ssn>(?<![\d-])\d{{3}}-\d{{2}}-\d{{4}}(?![\d-]))
     |(?P<name>\b(?P<title>{_TITLE})\.?[ ]{_CAPITAL}(?:\.|{_REST})(?:[ ]{_CAPITAL}(?:\.|{_REST})){{0,2}})""",

@@ -117,6 +117,13 @@ def test_surrogates(spark):
     assert names[0].split()[1] in pii.NAMES["latin"]["m"] and names[2].split()[1] in pii.NAMES["cyrillic"]["m"]
 
 
+@pytest.mark.parametrize("after", ["43.21.141.204", "7536784127813050", "2023", "12 people"])
+def test_a_phone_number_ends_before_the_next_number(after):
+    found = pii.detect(f"call +1 (017) 555-7713 {after} or +49 30 901820.")
+    assert [k for _, _, k, _ in found if k == "phone"] == ["phone", "phone"]
+    assert found[0][3] == "+10175557713" and [k for _, _, k, _ in found[1:-1]] == {"43": ["ip"], "75": ["card"]}.get(after[:2], [])
+
+
 def test_surrogates_stay_distinct(spark, monkeypatch):
     """Addresses with few others like them, and more names than there are pairs of names."""
     rows = [(i, f"{i % 10}@a.example.com Herr {chr(65 + i % 26)}aa {chr(65 + i // 26)}oo") for i in range(600)]
