@@ -155,7 +155,7 @@ def url_pattern(tlds: list[str], schemes: list[str]) -> str:
     """Addresses that begin with a scheme or www., or are a name with a known top-level domain; the end has no punctuation but /."""
     tld = "|".join(sorted(tlds, key=len, reverse=True))
     body = r"[^\s<>\"”»]*[^\s<>\"”»\p{P}]/?|[^\s<>\"”»]*/"
-    return rf"\b(?:{'|'.join(schemes)}):(?://)?(?:{body})|\bwww\.(?:{body})|\b(?:[\p{{L}}\p{{Nd}}][\p{{L}}\p{{Nd}}-]*\.)+(?:{tld})\b(?:[/?#](?:{body})?)?"
+    return rf"(?=[\p{{L}}\p{{Nd}}])\b(?:(?:{'|'.join(schemes)}):(?://)?(?:{body})|www\.(?:{body})|(?:[\p{{L}}\p{{Nd}}][\p{{L}}\p{{Nd}}-]*\.)+(?:{tld})\b(?:[/?#](?:{body})?)?)"
 
 
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*(?:@|\(at\)|\[at\])(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"

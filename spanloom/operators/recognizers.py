@@ -49,6 +49,19 @@ class Recognizer:
     group: int = 0
     check: Callable[[Column], Column] | None = None
     attrs: Callable[[Column], dict[str, Column]] | None = None
+    #: A pattern that a text must have before this one is tried.
+    guard: str | None = None
+    #: Characters a match can begin with.  Tested first, they spare most places the look-behind and the alternatives.
+    lead: str | None = None
+
+    def __post_init__(self):
+        if self.lead:
+            flags, bare = ("(?i)", self.pattern[4:]) if self.pattern.startswith("(?i)") else ("", self.pattern)
+            self.pattern = rf"{flags}(?=[{self.lead}])(?:{bare})"
+
+
+def _initials(*lists: list[str]) -> str:
+    return "".join(sorted({re.escape(w[0]) for words in lists for w in words if w}))
 
 
 def _or(words: list[str]) -> str:
@@ -84,6 +97,8 @@ def recognizers(g: Gazetteers) -> list[Recognizer]:
     first, last = _or(g.firstnames), _or(g.surnames)
     double = rf"{last}(?:\s?-\s?{last})?"
     words = r"(?:\p{Lu}[\p{L}&.-]*\s+){1,4}"
+    suffix = rf"{_or(g.company_suffixes)}(?![\p{{L}}\p{{Nd}}])"
+    address_guard = rf"(?=[.w{_initials(g.schemes)}])(?:\.{_or(g.tlds)}\b|www\.|{_or(g.schemes)}:)"
 
     def parts(kind: str) -> Callable[[Column], dict[str, Column]]:
         return lambda v: {kind: v}
@@ -118,29 +133,29 @@ def recognizers(g: Gazetteers) -> list[Recognizer]:
     after = lambda kind: rf"(?<![\p{{L}}]){PREAMBLES[kind]}{_GAP}"
     return [
         Recognizer("email", "Email", T.EMAIL, 0, None, parts("email")),
-        Recognizer("url", "Url", T.url_pattern(g.tlds, g.schemes), 0, None, parts("url")),
-        Recognizer("address", "Address", address, 0, None, address_parts),
-        Recognizer("phone_preamble", "PhoneNumber", rf"{after('phone')}([+(]?\d(?:[\d ()/-]*\d))", 1, lambda v: (F.length(_digits(v)) >= 5) & T.bracket_balance(v), phone_parts),
-        Recognizer("iban", "AccountNumber", rf"{_L}DE\d{{2}}(?:\s?\d{{4}}){{4}}\s?\d{{2}}{_R}", 0, lambda v: C.iban_shape(_plain(v)), iban_parts),
-        Recognizer("bank_preamble", "AccountNumber", rf"{after('bank_code')}(\d[\d ]{{6,9}}\d)\W{{1,5}}{PREAMBLES['account']}{_GAP}(\d{{4,10}}){_R}", 0, lambda v: F.length(F.regexp_extract(v, rf"{PREAMBLES['bank_code']}{_GAP}([\d ]+)", 1)) >= 8, lambda v: {"bank_code": F.regexp_replace(F.regexp_extract(v, rf"^{PREAMBLES['bank_code']}{_GAP}([\d ]+)", 1), " ", ""), "account": F.regexp_extract(v, r"(\d{4,10})$", 1)}),
-        Recognizer("customer", "CustomerNumber", rf"{after('customer')}(?:(?:Lautet|Ist|Nummer|Number|Nr|No|lautet|ist)\.?{_GAP})?((?=[\p{{Lu}}\d.-]*\d)[\p{{Lu}}\d]+(?:[.-][\p{{Lu}}\d]+)*){_R}", 1, None, parts("number")),
-        Recognizer("birthday", "Birthday", rf"{after('birthday')}({_DATE})|(?<=\bam )(?:{_DATE})(?= geboren)", 0, lambda v: C.parse_date(F.regexp_extract(v, rf"({_DATE})", 1)).isNotNull(), lambda v: {"date": C.parse_date(F.regexp_extract(v, rf"({_DATE})", 1)).cast("string")}),
-        Recognizer("birthplace", "Birthplace", rf"{after('birthplace')}(?:\S+\s+){{0,3}}?({_or(g.birthplaces)})(?!\p{{L}})", 1, None, lambda v: {"place": F.regexp_replace(v, r"\(\s*(.*?)\s*\)", "($1)")}),
-        Recognizer("marital", "MaritalStatus", rf"(?i){after('marital')}(?:\S+\s+){{0,3}}?({_or(g.marital)}){_R}", 1, None, lambda v: {"status": F.lower(v)}),
-        Recognizer("nationality", "Nationality", rf"(?i){after('nationality')}(?:\S+\s+){{0,3}}?({_or(g.nationalities)})\p{{L}}{{0,2}}{_R}", 1, None, lambda v: {"nationality": F.lower(v)}),
-        Recognizer("card", "CreditCard", rf"(?<![\p{{L}}\p{{Nd}}_.,/-])(?:\d{{13,16}}|\d{{4}}[ -]\d{{4}}[ -]\d{{4}}[ -]\d{{1,4}}|\d{{5}}[ -]\d{{5}}[ -]\d{{5}}|\d{{8}}[ -]\d{{8}}){_R}", 0, lambda v: C.luhn(_digits(v)), lambda v: {"number": _digits(v)}),
-        Recognizer("passport", "PassportIdCardNumber", rf"{_L}(?=[A-Z0-9]*\d)(?=[A-Z0-9]*[A-Z])[A-Z0-9]{{8,10}}{_R}", 0, lambda v: C.passport(v, g.old_passport_prefixes), parts("number")),
-        Recognizer("car", "CarNumber", rf"{_L}(?:D\s?-\s?)?{_or(g.plate_areas)}(?:\s?-\s?|\s)[A-Z]{{1,2}}[\s-]{{0,3}}\d{{1,4}}[EH]?{_R}|{_L}D\s?-\s?{_or(g.plate_areas)}\s?-\s?\d{{1,4}}{_R}", 0, None, lambda v: {"number": F.regexp_replace(v, r"\s*-\s*", "-")}),
-        Recognizer("health", "HealthInsurance", rf"{_L}[A-Z]\d{{9}}{_R}", 0, C.health_insurance, parts("number")),
-        Recognizer("driver", "DriverLicense", rf"{_L}[A-Z0-9]{{9}}[0-9X][0-9A-Z]{_R}", 0, lambda v: F.substring(v, 1, 4).isin(g.licence_authorities) & C.driver_licence_digit(v), parts("number")),
-        Recognizer("ssn", "SocialSecurity", rf"{_L}\d{{2}}[ /-]{{0,3}}\d{{6}}[ /-]{{0,3}}[A-Z][ /-]{{0,3}}\d{{3}}{_R}", 0, lambda v: C.social_security(_plain(v)), lambda v: {"number": _plain(v)}),
-        Recognizer("tax", "TaxIdentification", rf"{after('tax')}(\d(?:[\d /-]*\d)){_R}", 1, lambda v: C.tax_id(_digits(v)) | C.tax_number_old(_digits(v), g.old_tax_prefixes), lambda v: {"number": _digits(v), "type": F.when(C.tax_id(_digits(v)), "New").otherwise("Old")}),
-        Recognizer("company_list", "Company", rf"{_L}{_or(g.companies)}(?:\s{_or(g.company_suffixes)})?(?![\p{{L}}\p{{Nd}}])", 0, None, parts("name")),
-        Recognizer("company_suffix", "Company", rf"{_L}(?:{words}|\p{{L}}+gesellschaft\s+){_or(g.company_suffixes)}(?![\p{{L}}\p{{Nd}}])", 0, None, parts("name")),
-        Recognizer("company_prefix", "Company", rf"{_L}{_or(g.company_prefixes)}(?:\s+(?:-\s+)?\p{{Lu}}[\p{{L}}-]*)+", 0, None, parts("name")),
-        Recognizer("name_title", "Name", rf"{_L}(?:{PREAMBLES['title']}\s+)+(?:{_NAME}\s+|\p{{Lu}}\.\s*)?{_NAME}", 0, None, name_parts),
-        Recognizer("name", "Name", rf"{_L}(?<!\b(?:{DETERMINERS})\s)(?:{first}\s?,?\s{double}|{double}\s?,?\s{first}){_R}", 0, lambda v: _not_excluded(v, g), name_parts),
-        Recognizer("phone", "PhoneNumber", phone, 0, lambda v: F.length(_digits(v)).between(7, 16) & T.bracket_balance(v), phone_parts),
+        Recognizer("url", "Url", T.url_pattern(g.tlds, g.schemes), 0, None, parts("url"), guard=address_guard),
+        Recognizer("address", "Address", address, 0, None, address_parts, lead=r"\p{Lu}\d"),
+        Recognizer("phone_preamble", "PhoneNumber", rf"{after('phone')}([+(]?\d(?:[\d ()/-]*\d))", 1, lambda v: (F.length(_digits(v)) >= 5) & T.bracket_balance(v), phone_parts, lead="TFHMPR"),
+        Recognizer("iban", "AccountNumber", rf"{_L}DE\d{{2}}(?:\s?\d{{4}}){{4}}\s?\d{{2}}{_R}", 0, lambda v: C.iban_shape(_plain(v)), iban_parts, lead="D"),
+        Recognizer("bank_preamble", "AccountNumber", rf"{after('bank_code')}(\d[\d ]{{6,9}}\d)\W{{1,5}}{PREAMBLES['account']}{_GAP}(\d{{4,10}}){_R}", 0, lambda v: F.length(F.regexp_extract(v, rf"{PREAMBLES['bank_code']}{_GAP}([\d ]+)", 1)) >= 8, lambda v: {"bank_code": F.regexp_replace(F.regexp_extract(v, rf"^{PREAMBLES['bank_code']}{_GAP}([\d ]+)", 1), " ", ""), "account": F.regexp_extract(v, r"(\d{4,10})$", 1)}, lead="B"),
+        Recognizer("customer", "CustomerNumber", rf"{after('customer')}(?:(?:Lautet|Ist|Nummer|Number|Nr|No|lautet|ist)\.?{_GAP})?((?=[\p{{Lu}}\d.-]*\d)[\p{{Lu}}\d]+(?:[.-][\p{{Lu}}\d]+)*){_R}", 1, None, parts("number"), lead="KVARMCF"),
+        Recognizer("birthday", "Birthday", rf"{after('birthday')}({_DATE})|(?<=\bam )(?:{_DATE})(?= geboren)", 0, lambda v: C.parse_date(F.regexp_extract(v, rf"({_DATE})", 1)).isNotNull(), lambda v: {"date": C.parse_date(F.regexp_extract(v, rf"({_DATE})", 1)).cast("string")}, lead=r"GgDb\d"),
+        Recognizer("birthplace", "Birthplace", rf"{after('birthplace')}(?:\S+\s+){{0,3}}?({_or(g.birthplaces)})(?!\p{{L}})", 1, None, lambda v: {"place": F.regexp_replace(v, r"\(\s*(.*?)\s*\)", "($1)")}, lead="GgPb"),
+        Recognizer("marital", "MaritalStatus", rf"(?i){after('marital')}(?:\S+\s+){{0,3}}?({_or(g.marital)}){_R}", 1, None, lambda v: {"status": F.lower(v)}, lead="fpm"),
+        Recognizer("nationality", "Nationality", rf"(?i){after('nationality')}(?:\S+\s+){{0,3}}?({_or(g.nationalities)})\p{{L}}{{0,2}}{_R}", 1, None, lambda v: {"nationality": F.lower(v)}, lead="snc"),
+        Recognizer("card", "CreditCard", rf"(?<![\p{{L}}\p{{Nd}}_.,/-])(?:\d{{13,16}}|\d{{4}}[ -]\d{{4}}[ -]\d{{4}}[ -]\d{{1,4}}|\d{{5}}[ -]\d{{5}}[ -]\d{{5}}|\d{{8}}[ -]\d{{8}}){_R}", 0, lambda v: C.luhn(_digits(v)), lambda v: {"number": _digits(v)}, lead=r"\p{Nd}"),
+        Recognizer("passport", "PassportIdCardNumber", rf"{_L}(?=[A-Z0-9]*\d)(?=[A-Z0-9]*[A-Z])[A-Z0-9]{{8,10}}{_R}", 0, lambda v: C.passport(v, g.old_passport_prefixes), parts("number"), lead="A-Z0-9"),
+        Recognizer("car", "CarNumber", rf"{_L}(?:D\s?-\s?)?{_or(g.plate_areas)}(?:\s?-\s?|\s)[A-Z]{{1,2}}[\s-]{{0,3}}\d{{1,4}}[EH]?{_R}|{_L}D\s?-\s?{_or(g.plate_areas)}\s?-\s?\d{{1,4}}{_R}", 0, None, lambda v: {"number": F.regexp_replace(v, r"\s*-\s*", "-")}, lead=f"D{_initials(g.plate_areas)}"),
+        Recognizer("health", "HealthInsurance", rf"{_L}[A-Z]\d{{9}}{_R}", 0, C.health_insurance, parts("number"), lead="A-Z"),
+        Recognizer("driver", "DriverLicense", rf"{_L}[A-Z0-9]{{9}}[0-9X][0-9A-Z]{_R}", 0, lambda v: F.substring(v, 1, 4).isin(g.licence_authorities) & C.driver_licence_digit(v), parts("number"), lead="A-Z0-9"),
+        Recognizer("ssn", "SocialSecurity", rf"{_L}\d{{2}}[ /-]{{0,3}}\d{{6}}[ /-]{{0,3}}[A-Z][ /-]{{0,3}}\d{{3}}{_R}", 0, lambda v: C.social_security(_plain(v)), lambda v: {"number": _plain(v)}, lead=r"\d"),
+        Recognizer("tax", "TaxIdentification", rf"{after('tax')}(\d(?:[\d /-]*\d)){_R}", 1, lambda v: C.tax_id(_digits(v)) | C.tax_number_old(_digits(v), g.old_tax_prefixes), lambda v: {"number": _digits(v), "type": F.when(C.tax_id(_digits(v)), "New").otherwise("Old")}, lead="SIT"),
+        Recognizer("company_list", "Company", rf"{_L}{_or(g.companies)}(?:\s{_or(g.company_suffixes)})?(?![\p{{L}}\p{{Nd}}])", 0, None, parts("name"), lead=_initials(g.companies)),
+        Recognizer("company_suffix", "Company", rf"{_L}(?:{words}|\p{{L}}+gesellschaft\s+){suffix}", 0, None, parts("name"), guard=rf"\s{suffix}", lead=r"\p{L}"),
+        Recognizer("company_prefix", "Company", rf"{_L}{_or(g.company_prefixes)}(?:\s+(?:-\s+)?\p{{Lu}}[\p{{L}}-]*)+", 0, None, parts("name"), lead=_initials(g.company_prefixes)),
+        Recognizer("name_title", "Name", rf"{_L}(?:{PREAMBLES['title']}\s+)+(?:{_NAME}\s+|\p{{Lu}}\.\s*)?{_NAME}", 0, None, name_parts, lead="HFPDM"),
+        Recognizer("name", "Name", rf"{_L}(?={first}|{last})(?<!\b(?:{DETERMINERS})\s)(?:{first}\s?,?\s{double}|{double}\s?,?\s{first}){_R}", 0, lambda v: _not_excluded(v, g), name_parts, lead=_initials(g.firstnames, g.surnames)),
+        Recognizer("phone", "PhoneNumber", phone, 0, lambda v: F.length(_digits(v)).between(7, 16) & T.bracket_balance(v), phone_parts, lead="+(0"),
     ]
 
 

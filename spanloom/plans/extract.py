@@ -35,7 +35,8 @@ def entity_array(text: Column, gazetteers: Gazetteers | None = None, enabled: se
     parts = []
     for k, r in chosen:
         found = candidates(text, r, k)
-        parts.append(F.when(text.rlike(GUARDS[r.name]), found).otherwise(none) if r.name in GUARDS else found)
+        guard = r.guard or GUARDS.get(r.name)
+        parts.append(F.when(text.rlike(guard), found).otherwise(none) if guard else found)
     return resolved(F.concat(none, *[F.coalesce(p, none) for p in parts]), none)
 
 
