@@ -4,19 +4,25 @@ Words are counted over all training rows; so are pairs of a word and the next.
 The model is P(w | x) = (1 - l) c(x, w) / c(x) + l P(w), with the add-one
 P(w) = (c(w) + 1) / (N + V + 1), and l by the size class of c(x), fitted by
 leave-one-out expectation maximisation on a bounded sample of training rows.
-Words that occur less than LEAST_CONTEXT times (or a higher power of two, if
-more than MOST_CONTEXTS words would stay) have no successors: l = 1 after them.
-
-Each occurrence (row, x, w) goes to the shard of w's hash, once, in packed
-blocks; training rows and all others alike.  The task of a shard counts the
-training ones, lays them down as a trie (contexts; monotone pointers; the
-successors of each context as one rising Elias-Fano sequence; probabilities as
-16-bit fixed-point logarithms) in a memory-mapped file, and looks its
-occurrences up there: the context, its pointer range, and the successor within
-it.  Sums by row are then added up.  No task or driver holds the whole model.
-What is broadcast are the contexts' counts, MOST_CONTEXTS at most.  A word with
-more than a fourth of a shard's occurrences is dealt over shards by its context;
-its count is in the broadcast table, and its pairs lie whole in one shard.
+Words that occur less than LEAST_CONTEXT times, at any size of the corpus, have
+no successors: l = 1 after them.
+
+Each occurrence (row, x, w) goes to one shard, once, in packed blocks; training
+rows and all others alike.  The task of a shard counts the training ones, lays
+them down as a trie (contexts; monotone pointers; the successors of each context
+as one rising Elias-Fano sequence; the longer context's shares as 16-bit
+fixed-point logarithms) in a memory-mapped file, and looks its occurrences up
+there: the context, its pointer range, and the successor within it.  Sums by row
+are then added up.  No task or driver holds the whole model.
+
+What is broadcast are numbers and counts of the frequent words only, those with
+more than one in FREQUENT of all occurrences (so fewer than FREQUENT at any
+size); no result depends on which they are.  Any other word h meets all its
+occurrences as x, and those after a frequent x, in the shard of h's hash, which
+thus counts c(h).  Where x and w are both infrequent the shard of x lacks c(w):
+it is asked for in a pass before, distinct (w, shard) against the vocabulary.
+A frequent w is at the shard of its hash, or, with more than a fourth of a
+shard's occurrences, dealt over shards by its context; a pair lies whole in one.
 
 Defined results: null text is empty and scores its end alone; without training
 rows every probability is 1 (a score of 0); rows with null or repeated ids are
@@ -41,7 +47,7 @@ from spanloom.llm.shared import tidy, tidy_group, written
 from spanloom.llm.words import Table
 
 LEAST_CONTEXT = 8
-MOST_CONTEXTS = 1 << 20
+FREQUENT = 1 << 18
 SHARD_TOKENS = 1_000_000
 TUNING_DOCS = 1000
 BLOCK_BYTES = 2_000_000
@@ -87,8 +93,10 @@ def is_training(doc_id: Column, n: int, left_out: int) -> Column:
 
 def _pack(values: np.ndarray) -> bytes:
     """Byte planes of an array, compressed."""
+    if not len(values):
+        return b""
     planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
-    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(values) else b""
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpack(data: bytes, kind) -> np.ndarray:
@@ -115,7 +123,7 @@ class Shard:
     """Trie of the pairs of one shard: contexts, pointers, successors and quantised logarithms, in one mapped file."""
 
     def __init__(self, x: np.ndarray, w: np.ndarray, logs: np.ndarray, n_words: int):
-        """Distinct pairs in order of x, w (w below n_words), and log10 P(w | x) of each."""
+        """Distinct pairs in order of x, w (w below n_words), and the log10 share of each after x."""
         contexts, first = np.unique(x, return_index=True)
         self.n_words = max(n_words, 1)
         rank = np.repeat(np.arange(len(contexts)), np.diff(np.append(first, len(x))))
@@ -135,7 +143,7 @@ class Shard:
             setattr(owner, name, np.frombuffer(self.map, old.dtype, len(old), place))
 
     def lookup(self, x: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """log10 P(w | x) of pairs that the trie has, NaN of others.  Pairs in order of x are looked up fastest."""
+        """The log10 share of pairs that the trie has, NaN of others.  Pairs in order of x are looked up fastest."""
         out = np.full(len(x), np.nan)
         contexts, pointers, successors = self.levels
         if not contexts.n or not len(x):
@@ -170,27 +178,32 @@ def _fit_weights(pairs: np.ndarray, c_pair: np.ndarray, c_x: np.ndarray, p_w: np
 
 
 class Counts:
-    """What all tasks know: corpus sizes, the kept contexts' hashes and counts, and the weights."""
+    """What all tasks know: corpus sizes, the frequent words' hashes and counts, and the weights; the driver also has the vocabulary."""
 
     def __init__(self, n: int, v: int, docs: int, hashes: np.ndarray, counts: np.ndarray):
         self.n, self.v, self.docs = n, v, docs
         self.hashes = np.concatenate((np.array([START, END], _U), hashes))
         self.counts = np.concatenate(([docs, docs], counts)).astype(np.int64)
         self.weights = np.full(CLASSES, 0.5)
-        self.table = None
+        self.table = self.vocabulary = None
 
     def __getstate__(self):
-        return self.__dict__ | {"table": None}
+        return self.__dict__ | {"table": None, "vocabulary": None}
 
     def number(self, hashes: np.ndarray) -> np.ndarray:
-        """1 + a kept word's place, 0 for others."""
+        """1 + a frequent word's place, 0 for others."""
         if self.table is None:
             self.table = Table(self.hashes, np.zeros(0))
         return self.table.find(hashes) + 1
 
+    def names(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of frequent words, marked hashes of others."""
+        numbers = self.number(hashes).astype(_U)
+        return np.where(numbers == 0, hashes | _RARE, numbers)
+
 
 def count(docs: DataFrame, left_out: int, folds: int, tuning_docs: int = TUNING_DOCS) -> Counts:
-    """Word counts over all training rows of doc_id, text; the kept contexts and fitted weights."""
+    """Word counts over all training rows of doc_id, text; the frequent words and fitted weights."""
     spark = docs.sparkSession
     training = docs.where(is_training(F.col("doc_id"), folds, left_out))
     n_docs = training.count()
@@ -231,12 +244,11 @@ def count(docs: DataFrame, left_out: int, folds: int, tuning_docs: int = TUNING_
     partial = training.select("doc_id", "text").mapInArrow(tidy(counted), "key long, n long")
     vocabulary = written(partial.groupBy("key").agg(F.sum("n").alias("n")), "vocabulary")
     word = vocabulary.where("key >= 0")
-    levels = [LEAST_CONTEXT << k for k in range(40)]
-    sums = word.agg(F.sum("n"), F.count("*"), *[F.count_if(F.col("n") >= t) for t in levels]).first()
-    least = next(t for t, n in zip(levels, sums[2:], strict=True) if n <= MOST_CONTEXTS)
-    kept = word.where(F.col("n") >= least).toArrow()
+    sums = word.agg(F.sum("n"), F.count("*")).first()
     n = (sums[0] or 0) + n_docs
+    kept = word.where(F.col("n") * F.lit(FREQUENT) > F.lit(n)).toArrow()
     out = Counts(n, sums[1] + (n_docs > 0), n_docs, kept.column("key").to_numpy().astype(np.int64).view(_U), kept.column("n").to_numpy())
+    out.vocabulary = word
 
     pairs = vocabulary.where("key < 0").toArrow()  # of the tuning sample only
     keys = pairs.column("key").to_numpy().astype(np.int64).view(_U) & ~_RARE
@@ -244,13 +256,64 @@ def count(docs: DataFrame, left_out: int, folds: int, tuning_docs: int = TUNING_
     if len(order):
         at_pair = np.minimum(np.searchsorted(keys[order], tune & ~_RARE), len(keys) - 1)
         c_pair = pairs.column("n").to_numpy()[order][at_pair]
-        x, w = out.number(ahead), out.number(own)
-        c_w = np.where(w > 0, out.counts[w - 1], least / 2)
-        use = x > 0
-        out.weights = _fit_weights(tune[use], c_pair[use], out.counts[x - 1][use], ((c_w + 1) / (out.n + out.v + 1))[use])
+        # The sample's words, and the start and end, with their counts over all training rows.
+        own_words = spark.createDataFrame(pa.table({"key": pa.array(np.unique(own[own != END]).view(np.int64))}))
+        found = word.join(F.broadcast(own_words), "key").toArrow()
+        hashes = np.append(found.column("key").to_numpy().astype(np.int64).view(_U), [START, END])
+        counts = np.append(found.column("n").to_numpy(), [n_docs, n_docs])
+        by_hash = np.argsort(hashes)
+        c_x, c_w = (counts[by_hash][np.searchsorted(hashes[by_hash], h)] for h in (ahead, own))
+        use = (c_x >= LEAST_CONTEXT) | (ahead == START)
+        out.weights = _fit_weights(tune[use], c_pair[use], c_x[use], ((c_w + 1) / (out.n + out.v + 1))[use])
     return out
 
 
+def asked_counts(docs: DataFrame, counts: Counts, shared, shards: int) -> DataFrame:
+    """shard, p0, p1: the words, and their counts, that a shard's infrequent contexts are followed by and that are infrequent too."""
+    far = max(1, shards // 4)
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for _, own, at in _blocks(batches):
+            x, rare = before(own, at), counts.number(own) == 0
+            both = np.flatnonzero(rare & np.append(False, rare[:-1]) & (x != START))
+            w, place = own[both], words.mix(x[both]) % _U(shards)
+            order = np.lexsort((place, w, w % _U(far)))
+            w, place = w[order], place[order].astype(np.uint32)
+            new = np.ones(len(w), bool)
+            new[1:] = (w[1:] != w[:-1]) | (place[1:] != place[:-1])
+            w, place = w[new], place[new]
+            if len(w):
+                to, first = np.unique(w % _U(far), return_index=True)  # in order
+                ends = np.append(first[1:], len(w))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(to.astype(np.int64)), *(pa.array(c, pa.binary()) for c in zip(*((_deltas(w[i:j]), _pack(place[i:j])) for i, j in zip(first, ends, strict=True)), strict=True))],
+                    names=["far", "p0", "p1"],
+                )
+
+    def answered(questions: pa.Table, known: pa.Table) -> pa.Table:
+        schema = pa.schema([("shard", pa.int64()), ("p0", pa.binary()), ("p1", pa.binary())])
+        key = known.column("key").to_numpy().astype(np.int64).view(_U)
+        if not len(questions) or not len(key):
+            return schema.empty_table()
+        order = np.argsort(key)
+        key, n = key[order], known.column("n").to_numpy()[order]
+        w = np.concatenate([np.cumsum(_unpack(p, _U), dtype=_U) for p in questions.column("p0").to_pylist()])
+        place = np.concatenate([_unpack(p, np.uint32) for p in questions.column("p1").to_pylist()])
+        at = np.minimum(np.searchsorted(key, w), len(key) - 1)
+        hit = key[at] == w
+        at, place = at[hit], place[hit]
+        both = np.unique(place.astype(_U) * _U(len(key)) + at.astype(_U))
+        place, at = both // _U(len(key)), (both % _U(len(key))).astype(np.int64)
+        to, first = np.unique(place, return_index=True)
+        parts = [(s, _deltas(key[at[i:j]]), _pack(n[at[i:j]].astype(np.int64))) for s, i, j in zip(to.tolist(), first, np.append(first[1:], len(at)), strict=True)]
+        return pa.Table.from_pylist([dict(zip(schema.names, p, strict=True)) for p in parts], schema)
+
+    rare = counts.vocabulary.where(F.col("n") * F.lit(FREQUENT) <= F.lit(counts.n)).select(F.pmod("key", F.lit(far)).alias("far"), "key", "n")
+    questions = docs.select("doc_id", "text").mapInArrow(tidy(asked), "far long, p0 binary, p1 binary")
+    return questions.groupBy("far").cogroup(rare.groupBy("far")).applyInArrow(tidy_group(answered, 2), "shard long, p0 binary, p1 binary")
+
+
 def score(docs: DataFrame, folds: int = 7, left_out: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -267,60 +330,78 @@ def score(docs: DataFrame, folds: int = 7, left_out: int = 2, doc_id: str = "doc
             n = np.diff(at)
             train = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint32)
             row = np.repeat(np.arange(len(n), dtype=np.uint32) << np.uint32(1) | train, n)
-            x = counts.number(before(own, at)).astype(np.uint32)
-            w = counts.number(own).astype(_U)
-            rare = w == 0
-            frequent = np.where(rare, 0, counts.counts[w.astype(np.int64) - 1])
-            name = np.where(rare, own | _RARE, w)
-            place = np.where(frequent > hot, words.mix(own + x), words.mix(own)) % _U(shards)
-            order = np.lexsort((row, x, name, place))
-            place, name, x, row = place[order], name[order], x[order], row[order]
+            ahead = before(own, at)
+            x, name = counts.names(ahead), counts.names(own)
+            # An occurrence after an infrequent word goes to that word's shard, others to their own word's.
+            after = x >= _RARE
+            frequent = np.where(name >= _RARE, 0, counts.counts[np.minimum(name, _U(len(counts.counts))).astype(np.int64) - 1])
+            place = words.mix(np.where(after, ahead, np.where(frequent > hot, own + ahead, own))) % _U(shards) * _U(2) + after
+            first, second = np.where(after, x, name), np.where(after, name, x)
+            order = np.lexsort((row, second, first, place))
+            place, first, second, row = place[order], first[order], second[order], row[order]
             new = np.ones(len(place), bool)
-            new[1:] = (name[1:] != name[:-1]) | (x[1:] != x[:-1]) | (row[1:] != row[:-1]) | (place[1:] != place[:-1])
+            new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1]) | (row[1:] != row[:-1]) | (place[1:] != place[:-1])
             start = np.flatnonzero(new)
             times = np.diff(np.append(start, len(place))).astype(np.uint32)
-            place, name, x, row = place[start], name[start], x[start], row[start]
-            edges = np.searchsorted(place, np.arange(shards + 1, dtype=_U))
-            parts = [(s, _deltas(name[i:j]), _pack(x[i:j]), _pack(row[i:j]), _pack(times[i:j])) for s, (i, j) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if i < j]
+            place, first, second, row = place[start], first[start], second[start], row[start]
+            edges = np.searchsorted(place, np.arange(2 * shards + 1, dtype=_U)).tolist()
+            parts = [
+                (s, _deltas(first[i:m]), _pack(second[i:m].astype(np.uint32)), _pack(row[i:j]), _pack(times[i:j]), _deltas(first[m:j]), _pack(second[m:j]))
+                for s, (i, m, j) in enumerate(zip(edges[:-1:2], edges[1::2], edges[2::2], strict=True))
+                if i < j
+            ]
             ids = batch.column(0)
-            rows = (block % shards, pa.array(ids.fill_null(0)).to_numpy().tobytes(), ids.is_null().to_numpy(zero_copy_only=False).tobytes(), n.astype(np.int64).tobytes(), train.tobytes())
+            rows = (block % shards, pa.array(ids.fill_null(0)).to_numpy().tobytes(), ids.is_null().to_numpy(zero_copy_only=False).tobytes(), n.astype(np.int64).tobytes(), train.tobytes(), b"", b"")
             columns = list(zip(*parts, rows, strict=True))
             kinds = [1] * len(parts) + [0]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(columns[0], pa.int64()), pa.array([block] * len(kinds), pa.int64()), pa.array(kinds, pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])],
-                names=["shard", "block", "kind", "p0", "p1", "p2", "p3"],
+                names=["shard", "block", "kind", "p0", "p1", "p2", "p3", "p4", "p5"],
             )
 
     def looked_up(table: pa.Table) -> pa.Table:
         """One shard: the trie of its training occurrences, and sums of each block's rows."""
         counts = shared.value
-        passed = table.filter(pa.array([k == 0 for k in table.column("kind").to_pylist()])).drop_columns(["shard"])
-        table = table.filter(pa.array([k == 1 for k in table.column("kind").to_pylist()]))
+        kinds = table.column("kind").to_numpy()
+        passed = table.filter(pa.array(kinds == 0)).drop_columns(["shard", "p4", "p5"])
+        answers = table.filter(pa.array(kinds == 2))
+        table = table.filter(pa.array(kinds == 1))
         blocks = table.column("block").to_pylist()
         if not blocks:
             return passed
-        name = np.concatenate([np.cumsum(_unpack(p, _U), dtype=_U) for p in table.column("p0").to_pylist()])
-        x, row, times = (np.concatenate([_unpack(p, np.uint32) for p in table.column(f"p{k}").to_pylist()]) for k in (1, 2, 3))
-        sizes = [int.from_bytes(p[:8], "little") for p in table.column("p1").to_pylist()]
+        packed = list(zip(*(table.column(f"p{k}").to_pylist() for k in (0, 1, 4, 5)), strict=True))
+        name = np.concatenate([part for p0, _, _, p5 in packed for part in (np.cumsum(_unpack(p0, _U), dtype=_U), _unpack(p5, _U))])
+        x = np.concatenate([part for _, p1, p4, _ in packed for part in (_unpack(p1, np.uint32).astype(_U), np.cumsum(_unpack(p4, _U), dtype=_U))])
+        row, times = (np.concatenate([_unpack(p, np.uint32) for p in table.column(f"p{k}").to_pylist()]) for k in (2, 3))
+        sizes = [int.from_bytes(p[:8], "little") for p in table.column("p2").to_pylist()]
         own, w = np.unique(name, return_inverse=True)
+        contexts, x = np.unique(x, return_inverse=True)
         learnt = np.where(row & np.uint32(1), times, 0).astype(np.int64)
-        c_w = np.bincount(w, learnt, minlength=len(own)).astype(np.int64)
-        kept = own < _RARE
-        c_w[kept] = counts.counts[own[kept].astype(np.int64) - 1]  # a word dealt over several shards has its whole count there
+        c_x = np.bincount(x, learnt, minlength=len(contexts)).astype(np.int64)
+        known = contexts < _RARE
+        c_x[known] = counts.counts[contexts[known].astype(np.int64) - 1]  # a frequent word has its whole count there
+        # An infrequent word is a context of this shard, with all its occurrences, or was asked for.
+        c_w = np.zeros(len(own), np.int64)
+        for hashes, n in [(contexts, c_x), *((np.cumsum(_unpack(p, _U), dtype=_U) | _RARE, _unpack(q, np.int64)) for p, q in zip(answers.column("p0").to_pylist(), answers.column("p1").to_pylist(), strict=True))]:
+            at = np.minimum(np.searchsorted(own, hashes), len(own) - 1)
+            hit = own[at] == hashes
+            c_w[at[hit]] = n[hit]
+        known = own < _RARE
+        c_w[known] = counts.counts[own[known].astype(np.int64) - 1]
         p_w = (c_w + 1) / (counts.n + counts.v + 1)
-        c_x = np.append(0, counts.counts)
-        weight = np.where(c_x > 0, counts.weights[size_classes(c_x)], 1.0)
+        kept = (c_x >= LEAST_CONTEXT) | ((contexts == 1) & (c_x > 0))
+        weight = np.where(kept, counts.weights[size_classes(c_x)], 1.0)
         # The trie, from the training pairs whose context is kept.
         key = x.astype(_U) * _U(len(own)) + w.astype(_U)
-        pairs, which = np.unique(key[(learnt > 0) & (x > 0)], return_inverse=True)
-        c_pair = np.bincount(which, learnt[(learnt > 0) & (x > 0)], minlength=len(pairs))
+        use = (learnt > 0) & kept[x]
+        pairs, which = np.unique(key[use], return_inverse=True)
+        c_pair = np.bincount(which, learnt[use], minlength=len(pairs))
         px, pw = (pairs // _U(len(own))).astype(np.int64), (pairs % _U(len(own))).astype(np.int64)
-        logs = np.log10((1 - weight[px]) * c_pair / np.maximum(c_x[px], 1) + weight[px] * p_w[pw])
-        trie = Shard(px, pw, logs, len(own))
+        trie = Shard(px, pw, np.log10(np.maximum((1 - weight[px]) * c_pair / c_x[px], 1e-15)), len(own))
         asked, which = np.unique(key, return_inverse=True)
         ax, aw = (asked // _U(len(own))).astype(np.int64), (asked % _U(len(own))).astype(np.int64)
-        found = trie.lookup(ax, aw)
-        model = np.where(np.isnan(found), np.log10(weight[ax] * p_w[aw]), found)[which] * times
+        longer = trie.lookup(ax, aw)
+        model = np.log10(np.where(np.isnan(longer), 0.0, 10.0**longer) + weight[ax] * p_w[aw])[which] * times
         base = (np.log10(c_w + 1.0))[w] * times
         known = (c_w > 0)[w] * times
         out, at = [], 0
@@ -356,8 +437,11 @@ def score(docs: DataFrame, folds: int = 7, left_out: int = 2, doc_id: str = "doc
         )
 
     rows = docs.withColumn("train", is_training(F.col("doc_id"), folds, left_out))
-    payload = rows.mapInArrow(tidy(dealt), "shard long, block long, kind int, p0 binary, p1 binary, p2 binary, p3 binary")
-    sums = payload.groupBy("shard").applyInArrow(tidy_group(looked_up), "block long, kind int, p0 binary, p1 binary, p2 binary, p3 binary")
+    payload = rows.mapInArrow(tidy(dealt), "shard long, block long, kind int, p0 binary, p1 binary, p2 binary, p3 binary, p4 binary, p5 binary")
+    answers = asked_counts(docs, counts, shared, shards)
+    empty = F.lit(b"")
+    answers = answers.select("shard", F.lit(0).cast("long").alias("block"), F.lit(2).alias("kind"), "p0", "p1", *[empty.alias(f"p{k}") for k in range(2, 6)])
+    sums = payload.unionByName(answers).groupBy("shard").applyInArrow(tidy_group(looked_up), "block long, kind int, p0 binary, p1 binary, p2 binary, p3 binary")
     return sums.groupBy("block").applyInArrow(
         summed, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )

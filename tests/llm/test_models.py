@@ -103,6 +103,16 @@ def test_lm_many_shards_and_hot_words(spark, monkeypatch):
     check_lm(spark.createDataFrame(rows, "doc_id long, text string"), rows)
 
 
+def test_lm_keeps_every_context(spark, monkeypatch):
+    """No context of LEAST_CONTEXT occurrences or more loses its pairs, however few words may be broadcast."""
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(f"w{int(60 * rng.random() ** 2)}" for _ in range(60)) + f" only{i}") for i in range(120)]
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 900)
+    monkeypatch.setattr(lm, "MOST_CONTEXTS", 10, raising=False)
+    monkeypatch.setattr(lm, "FREQUENT", 40, raising=False)
+    check_lm(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+
+
 def test_lm_held_out_and_empty(spark, empty):
     assert lm.score(empty).count() == 0
     none = spark.createDataFrame([(i, "a b") for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2], "doc_id long, text string")
