@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from spanloom.functions import text as T
 
@@ -107,3 +112,47 @@ def longest_common(a: Column, b: Column) -> Column:
         return F.aggregate(F.slice(cells, 1, F.size(b)), start, cell, lambda acc: acc["out"])
 
     return F.coalesce(F.array_max(F.aggregate(a, zero, row)), F.lit(0))
+
+
+def common_words(a: list[str], b: list[str]) -> list[str]:
+    """The words of the longest common subsequence, chosen as the reference walks back; the table is filled row by row."""
+    ids = {}
+    x, y = (np.array([ids.setdefault(w, len(ids)) for w in words], np.int64) for words in (a, b))
+    table = np.zeros((len(x) + 1, len(y) + 1), np.int32)
+    for i in range(len(x)):
+        # A cell is the most of the one above, the one before, and one more than the corner where the words are equal.
+        table[i + 1, 1:] = np.maximum.accumulate(np.maximum(table[i, 1:], (table[i, :-1] + 1) * (y == x[i])))
+    out, i, j = [], len(x), len(y)
+    while i and j:
+        if x[i - 1] == y[j - 1]:
+            out.append(a[i - 1])
+            i, j = i - 1, j - 1
+        elif table[i - 1, j] > table[i, j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return out[::-1]
+
+
+def rouge_words(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """The columns of by, ref, hyp and lcs for pairs with ref and hyp (arrays of words): the common words of whole arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ref, hyp = batch.column("ref").to_pylist(), batch.column("hyp").to_pylist()
+            lcs = pa.array([common_words(a or [], b or []) for a, b in zip(ref, hyp, strict=True)], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*by, "ref", "hyp"]), lcs], names=[*by, "ref", "hyp", "lcs"])
+
+    rows = pairs.select(*by, "ref", "hyp")
+    return rows.mapInArrow(run, StructType([*rows.schema, StructField("lcs", ArrayType(StringType()))]))
+
+
+def rouge(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """n_union, n_ref, n_hyp, precision, recall, f1 of each group of pairs: distinct words of all common subsequences over those of ref and hyp."""
+    lcs = rouge_words(pairs, by)
+    words = lcs.select(*by, F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).alias("words")) for k in ("lcs", "ref", "hyp")])).alias("s"))
+    words = words.select(*by, "s.k", F.explode_outer("s.words").alias("word"))
+    sizes = words.distinct().groupBy(*by).agg(*[F.count_if((F.col("k") == k) & F.col("word").isNotNull() & ((F.lit(k) != "lcs") | (F.col("word") != ""))).alias(n) for k, n in (("lcs", "n_union"), ("ref", "n_ref"), ("hyp", "n_hyp"))])
+    p = F.when(F.col("n_hyp") > 0, F.col("n_union") / F.col("n_hyp")).otherwise(0.0)
+    r = F.when(F.col("n_ref") > 0, F.col("n_union") / F.col("n_ref")).otherwise(0.0)
+    return sizes.select(*by, "n_union", "n_ref", "n_hyp", p.alias("precision"), r.alias("recall"), F.when((p > 0) & (r > 0), 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))

@@ -829,12 +829,10 @@ def tokens_full(spark, sf_dir):
 
 @query()
 def rouge_pairs(spark, sf_dir):
-    """Longest common subsequence of each turn's first words with those of the next turn."""
-    words = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.slice(T.matches(F.coalesce("text", F.lit("")), WORDS), 1, 30).alias("words"))
-    after = F.lead("words").over(W.partitionBy("conv_id").orderBy("turn"))
-    rows = words.withColumn("after", after).where("after is not null and size(words) > 0 and size(after) > 0")
-    lcs = metrics.longest_common(F.col("words"), F.col("after"))
-    return rows.select("conv_id", "turn", lcs.alias("lcs"), (lcs / F.size("words")).alias("precision"), (lcs / F.size("after")).alias("recall"))
+    """Each turn against the next: words of the longest common subsequence of both whole, over their distinct words."""
+    words = read(spark, sf_dir, "conversations").select("conv_id", "turn", T.matches(F.coalesce("text", F.lit("")), WORDS).alias("ref"))
+    rows = words.withColumn("hyp", F.lead("ref").over(W.partitionBy("conv_id").orderBy("turn"))).where("hyp is not null and size(ref) > 0 and size(hyp) > 0")
+    return metrics.rouge(rows, ["conv_id", "turn"])
 
 
 @query()

@@ -93,6 +93,18 @@ def test_longest_common_subsequence(spark):
     assert {(r.x, r.y): r.n for r in rows} == {(x, y): lcs(x.split(), y.split()) for x, y in cases}
 
 
+def test_rouge_of_whole_turns(spark, tmp_path):
+    """Words after the thirtieth count; words are distinct; and F1 is of the union over all pairs of a group."""
+    rows = [(1, 0, " ".join(f"a{i}" for i in range(40)) + " x x y"), (1, 1, " ".join(f"b{i}" for i in range(40)) + " x x z y")]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    (got,) = __spark_entry__.queries()["rouge_pairs"](spark, str(tmp_path)).collect()
+    assert (got.n_union, got.n_ref, got.n_hyp) == (2, 42, 43) and got.f1 == pytest.approx(4 / 85)
+    pairs = spark.createDataFrame([(1, ["p", "q"], ["q"]), (1, ["r"], ["r", "s"])], "g long, ref array<string>, hyp array<string>")
+    (got,) = metrics.rouge(pairs, ["g"]).collect()
+    assert (got.n_union, got.n_ref, got.n_hyp) == (2, 3, 3)
+    assert metrics.common_words(list("abab"), list("baba")) == list("bab")  # the reference goes left on ties
+
+
 def test_chunks(spark):
     for n, want in ((5, [5]), (110, [110]), (121, [110]), (122, [110, 12]), (300, [110, 110, 80])):
         got = spark.range(1).select(neural.chunked(F.array_repeat(F.lit("w"), n)).alias("c")).first().c
