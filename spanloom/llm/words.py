@@ -2,7 +2,8 @@
 
 A word is a maximal run of characters other than space and \\t \\n \\v \\f \\r;
 the separators are single bytes, so whole UTF-8 buffers are cut at once.
-A word's hash is a 64-bit polynomial over its bytes, A-Z in lower case, then mixed.
+A word's hash has 64 bits: a sum of its bytes, eight at a time, each eight mixed
+with their place by a function without structure, A-Z in lower case.
 """
 
 from __future__ import annotations
@@ -14,9 +15,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Masks that keep the first 0 to 8 bytes of a little-endian number.
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,17 +30,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2^64."""
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 16, 2 * len(_powers[0]))
-        for k, b in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, b, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts, one after another, and where each begins and ends (n + 1 offsets); nulls are empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -80,11 +69,20 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of the bytes of each span."""
-    power, inverse = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[1:], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts])
+    """A hash of the bytes of each span: eight bytes at a time, each mixed with its place, then summed and mixed with the length."""
+    size = ends - starts
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    pieces = np.maximum((size + 7) >> 3, 1)
+    begin = np.cumsum(pieces) - pieces
+    place = np.arange(int(pieces.sum())) - np.repeat(begin, pieces)
+    left = np.repeat(size, pieces) - 8 * place
+    value = eight[np.repeat(starts, pieces) + 8 * np.where(left > 0, place, 0)] & _BYTES[np.clip(left, 0, 8)]
+    salts = mix(np.arange(1, int(pieces.max()) + 1, dtype=np.uint64))
+    sums = np.add.reduceat(mix(value + salts[place]), begin)
+    return mix(sums + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,6 +91,17 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return span_hashes(LOWER[data], starts, ends), at
 
 
+def same_bytes(data: np.ndarray, start: np.ndarray, other: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the spans of equal size that begin at start and at other hold the same bytes."""
+    if not len(size):
+        return np.zeros(0, bool)
+    begin = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(begin, size)
+    differ = np.zeros(len(place) + 1, np.int64)
+    np.cumsum(data[np.repeat(start, size) + place] != data[np.repeat(other, size) + place], out=differ[1:])
+    return differ[begin + size] == differ[begin]
+
+
 class Table:
     """Rows of numbers by 64-bit key: open addressing, at most half full, looked up for whole arrays."""
 
