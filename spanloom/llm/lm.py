@@ -1,28 +1,33 @@
 """Language-model scores from an Elias-Fano n-gram trie that is sharded over the cluster.
 
-Words are counted over all training rows; so are pairs of a word and the next.
-The model is P(w | x) = (1 - l) c(x, w) / c(x) + l P(w), with the add-one
-P(w) = (c(w) + 1) / (N + V + 1), and l by the size class of c(x), fitted by
-leave-one-out expectation maximisation on a bounded sample of training rows.
-Words that occur less than LEAST_CONTEXT times, at any size of the corpus, have
-no successors: l = 1 after them.
-
-Each occurrence (row, x, w) goes to one shard, once, in packed blocks; training
-rows and all others alike.  The task of a shard counts the training ones, lays
-them down as a trie (contexts; monotone pointers; the successors of each context
-as one rising Elias-Fano sequence; the longer context's shares as 16-bit
-fixed-point logarithms) in a memory-mapped file, and looks its occurrences up
-there: the context, its pointer range, and the successor within it.  Sums by row
-are then added up.  No task or driver holds the whole model.
-
-What is broadcast are numbers and counts of the frequent words only, those with
-more than one in FREQUENT of all occurrences (so fewer than FREQUENT at any
-size); no result depends on which they are.  Any other word h meets all its
-occurrences as x, and those after a frequent x, in the shard of h's hash, which
-thus counts c(h).  Where x and w are both infrequent the shard of x lacks c(w):
-it is asked for in a pass before, distinct (w, shard) against the vocabulary.
-A frequent w is at the shard of its hash, or, with more than a fourth of a
-shard's occurrences, dealt over shards by its context; a pair lies whole in one.
+The model has order 3.  With counts c over all training rows (no n-gram is left
+out, whatever its count and whatever the corpus holds):
+
+    P(w | u x) = (c(u x w) - DISCOUNT) / c(u x) + DISCOUNT n(u x) / c(u x) * P(w | x)
+    P(w | x)   = (c(x w) + PRIOR P(w)) / (c(x) + PRIOR)
+    P(w)       = (c(w) + 1) / (N + V + 1)
+
+where n(u x) is the number of different words after u x; the first term is 0 for
+an unseen u x w, and P(w | u x) is P(w | x) after an unseen u x.  Each sums to 1.
+
+Rows are taken in blocks of about BLOCK_BYTES of text.  A block asks for each of
+its distinct words, pairs and triples once, and sends its own training counts of
+them along.  A pair lies in the shard of its hash, and so does what follows it:
+the task of a shard adds up the blocks' counts, lays them down as a trie
+(contexts; monotone pointers; the words after each context as one rising
+Elias-Fano sequence, relative to their context; the smoothed shares and back-off
+weights as 16-bit fixed-point logarithms) in a memory-mapped file, and answers
+each block in the block's own order.  The block then scores its rows.  Texts and
+answers meet by block; no task or driver holds the whole model, nothing that
+grows with the corpus is broadcast, and a frequent word, pair or triple is one
+entry a block.  A context that would have more than HOT of a shard's entries is
+split by the word that follows; its own totals are counted apart.  Which contexts
+are split comes from a bounded sample of rows (HOT_DOCS) and moves work only.
+
+Shards are ranges of the hash, so what a block sends does not grow with their
+number until they outnumber its entries; raise shard_bytes with the executors'
+memory.  Words and pairs are told apart by 64-bit hashes, and the words after one
+pair by 40 bits.
 
 Defined results: null text is empty and scores its end alone; without training
 rows every probability is 1 (a score of 0); rows with null or repeated ids are
@@ -44,92 +49,167 @@ from pyspark.sql import functions as F
 from spanloom.llm import words
 from spanloom.llm.elias_fano import EliasFano
 from spanloom.llm.shared import tidy, tidy_group, written
-from spanloom.llm.words import Table
-
-LEAST_CONTEXT = 8
-FREQUENT = 1 << 18
-SHARD_TOKENS = 1_000_000
-TUNING_DOCS = 1000
-BLOCK_BYTES = 2_000_000
-#: Steps of a quantised logarithm in one decade.
-STEPS = 4096
+
+DISCOUNT = 0.9
+PRIOR = 1000.0
+BLOCK_BYTES = 3_000_000
+SHARD_BYTES = 5_000_000
+HOT = 0.25
+HOT_DOCS = 2000
+#: Steps of a quantised logarithm in one decade; the largest code is none at all.
+STEPS, NONE = 4096, 65535
 _U = np.uint64
-#: Hashes of the end of a text and of what precedes its first word; contexts' numbers below 2 are none and the start.
+#: Hashes of the end of a text and of what precedes its first word.
 END, START = _U(0x452821E638D01377), _U(0xBE5466CF34E90C6C)
-_RARE = _U(1 << 63)
-CLASSES = 40
+#: Bits that tell the words after one context apart.
+_TAIL = 40
+_TAIL_MASK = _U((1 << _TAIL) - 1)
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each row's words and its end, and where each row's begin (n + 1 offsets)."""
     hashes, at = words.word_hashes(data, offsets)
     out = np.full(len(hashes) + len(offsets) - 1, END, _U)
-    n = np.diff(at)
-    row = np.repeat(np.arange(len(n)), n)
-    out[np.arange(len(hashes)) + row] = hashes & ~_RARE
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(at))
+    out[np.arange(len(hashes)) + row] = hashes
     return out, at + np.arange(len(offsets))
 
 
-def before(own: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The token before each token; START before a row's first."""
-    out = np.empty_like(own)
-    out[1:] = own[:-1]
-    out[at[:-1]] = START
-    return out
-
-
 def pair_keys(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return words.mix(words.mix(x) + w) | _U(1)
+    return words.mix(words.mix(x) + w)
 
 
-def size_classes(counts: np.ndarray) -> np.ndarray:
-    """Two classes for each power of two."""
-    return np.minimum((2 * np.log2(np.maximum(counts, 1))).astype(np.int64), CLASSES - 1)
+_FIRST = pair_keys(np.array([START]), np.array([START]))
 
 
 def is_training(doc_id: Column, n: int, left_out: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(n)) != left_out
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """Byte planes of an array, compressed."""
-    if not len(values):
-        return b""
-    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
-    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
-
-
-def _unpack(data: bytes, kind) -> np.ndarray:
-    if not data:
-        return np.zeros(0, kind)
-    n, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
-    planes = np.frombuffer(pa.decompress(data[8:], n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
+def codes(p: np.ndarray) -> np.ndarray:
+    """Shares as 16-bit logarithms; 0 is NONE."""
+    out = np.full(len(p), NONE, np.uint16)
+    some = p > 0
+    out[some] = np.minimum(np.rint(-np.log10(p[some]) * STEPS), NONE - 1)
+    return out
 
 
-def _deltas(values: np.ndarray) -> bytes:
-    return _pack(np.diff(values, prepend=values.dtype.type(0)))
+_SHARES = 10.0 ** (np.arange(NONE + 1) / -STEPS)
+_SHARES[NONE] = 0
+
+
+def pack(arrays: list[np.ndarray], plain: list[int]) -> bytes:
+    """Arrays as byte planes; the first planes of each, so many as plain says, are noise and are not compressed."""
+    noise, rest, head = [], [], []
+    for values, k in zip(arrays, plain, strict=True):
+        planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T) if len(values) else np.zeros((0, 0), np.uint8)
+        head.append(len(values))
+        noise.append(planes[:k].tobytes())
+        rest.append(planes[k:].tobytes())
+    body = b"".join(rest)
+    return np.array([*head, len(body)], np.uint32).tobytes() + b"".join(noise) + (pa.compress(body, codec="zstd", asbytes=True) if body else b"")
+
+
+def unpack(blob: bytes, kinds: list, plain: list[int]) -> list[np.ndarray]:
+    *head, size = np.frombuffer(blob, np.uint32, len(kinds) + 1).tolist()
+    at, out, done = 4 * len(kinds) + 4, [], 0
+    widths = [np.dtype(k).itemsize for k in kinds]
+    body_at = at + sum(n * k for n, k in zip(head, plain, strict=True))
+    body = np.frombuffer(pa.decompress(blob[body_at:], size, codec="zstd", asbytes=True) if size else b"", np.uint8)
+    noise = np.frombuffer(blob, np.uint8)
+    for n, kind, width, k in zip(head, kinds, widths, plain, strict=True):
+        planes = np.empty((width, n), np.uint8)
+        planes[:k] = noise[at : at + n * k].reshape(k, n)
+        planes[k:] = body[done : done + n * (width - k)].reshape(width - k, n)
+        at, done = at + n * k, done + n * (width - k)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+    return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Runs of rows of about BLOCK_BYTES of text (column 1), with their tokens."""
-    for batch in batches:
-        data, offsets = words.utf8(batch.column(1))
-        for i, j in words.slices(offsets, BLOCK_BYTES):
-            yield batch.slice(i, j - i), *tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-
-
-class Shard:
-    """Trie of the pairs of one shard: contexts, pointers, successors and quantised logarithms, in one mapped file."""
-
-    def __init__(self, x: np.ndarray, w: np.ndarray, logs: np.ndarray, n_words: int):
-        """Distinct pairs in order of x, w (w below n_words), and the log10 share of each after x."""
-        contexts, first = np.unique(x, return_index=True)
-        self.n_words = max(n_words, 1)
-        rank = np.repeat(np.arange(len(contexts)), np.diff(np.append(first, len(x))))
-        self.levels = [EliasFano(contexts), EliasFano(np.append(first, len(x))), EliasFano(rank.astype(_U) * _U(self.n_words) + w.astype(_U))]
-        self.logs = np.minimum(np.rint(-logs * STEPS), 65535).astype(np.uint16)
-        arrays = [(level, name) for level in self.levels for name in EliasFano.ARRAYS] + [(self, "logs")]
+#: What a block sends to a shard: words, their counts, pairs, their counts, words after each pair, these words (two parts), their counts.
+_ASKED = [_U, np.uint32, _U, np.uint32, np.uint32, np.uint32, np.uint8, np.uint32]
+_ASKED_PLAIN = [5, 0, 5, 0, 0, 4, 1, 0]
+#: What comes back: counts of words, counts and back-off weights of pairs, shares of triples.
+_ANSWERED = [np.int64, np.int64, np.uint16, np.uint16]
+_ANSWERED_PLAIN = [0, 0, 0, 0]
+
+
+class Grams:
+    """The distinct words, pairs and triples of a block with their training counts, and where each token has its own."""
+
+    def __init__(self, own: np.ndarray, at: np.ndarray, train: np.ndarray, hot: dict[int, int] | None = None):
+        self.own, self.at = own, at
+        weight = np.repeat(train.astype(np.float64), np.diff(at))
+        x = np.empty_like(own)
+        x[1:] = own[:-1]
+        x[at[:-1]] = START
+        pair = pair_keys(x, own)
+        context = np.empty_like(own)
+        context[1:] = pair[:-1]
+        context[at[:-1]] = _FIRST
+        tail = own & _TAIL_MASK
+        moved = np.zeros(0, np.int64)
+        if hot:  # parts of a hot context stand as contexts of their own
+            keys = np.array(sorted(hot), _U)
+            where = np.minimum(np.searchsorted(keys, context), len(keys) - 1)
+            moved = np.flatnonzero(keys[where] == context)
+            parts = np.array([hot[int(k)] for k in keys], _U)[where[moved]]
+            context[moved] = part_keys(context[moved], tail[moved] % parts)
+        self.words, self.word = np.unique(own, return_inverse=True)
+        self.n_words = np.bincount(self.word, weight, minlength=len(self.words)).astype(np.uint32)
+        self.pairs, which = np.unique(np.concatenate((pair, _FIRST, context[moved])), return_inverse=True)
+        self.pair, self.first = which[: len(own)], which[len(own)]
+        counts = np.bincount(self.pair, weight, minlength=len(self.pairs))
+        counts[self.first] += train.sum()
+        self.n_pairs = counts.astype(np.uint32)
+        self.context = np.empty_like(self.pair)
+        self.context[1:] = self.pair[:-1]
+        self.context[at[:-1]] = self.first
+        self.context[moved] = which[len(own) + 1 :]
+        self.triples, self.triple = np.unique(self.context.astype(_U) << _U(_TAIL) | tail, return_inverse=True)
+        self.n_triples = np.bincount(self.triple, weight, minlength=len(self.triples)).astype(np.uint32)
+
+
+def part_keys(context: np.ndarray, part: np.ndarray) -> np.ndarray:
+    return words.mix(context + (part.astype(_U) + _U(1)) * _U(0x9E3779B97F4A7C15))
+
+
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    return ((keys >> _U(32)) * _U(shards)) >> _U(32)
+
+
+def first_key(shard: int, shards: int) -> np.uint64:
+    return _U(-(-(shard << 32) // shards) << 32)
+
+
+def _check(pairs: np.ndarray, found: np.ndarray) -> int:
+    return (int(pairs.sum(dtype=_U)) + int(found.sum(dtype=_U))) & ((1 << 62) - 1)
+
+
+def asked(g: Grams, shards: int) -> Iterator[tuple[int, bytes, int]]:
+    """For each shard that a block has to do with: its number, the entries, and a check sum of them."""
+    of_words, of_pairs = shard_of(g.words, shards), shard_of(g.pairs, shards)
+    after = np.bincount((g.triples >> _U(_TAIL)).astype(np.int64), minlength=len(g.pairs)).astype(np.uint32)
+    begin = np.concatenate(([0], np.cumsum(after, dtype=np.int64)))
+    tail = g.triples & _TAIL_MASK
+    low, top = tail.astype(np.uint32), (tail >> _U(32)).astype(np.uint8)
+    present = np.union1d(of_words, of_pairs)
+    edges = zip(present.tolist(), *(np.searchsorted(of, present, side).tolist() for of in (of_words, of_pairs) for side in ("left", "right")), strict=True)
+    for s, a, b, c, d in edges:
+        base = first_key(s, shards)
+        e, f = begin[c], begin[d]
+        arrays = [np.diff(g.words[a:b], prepend=base), g.n_words[a:b], np.diff(g.pairs[c:d], prepend=base), g.n_pairs[c:d], after[c:d], low[e:f], top[e:f], g.n_triples[e:f]]
+        yield s, pack(arrays, _ASKED_PLAIN), _check(g.pairs[c:d], g.words[a:b])
+
+
+class Trie:
+    """Contexts, pointers and successors with quantised shares and back-off weights, in one mapped file."""
+
+    def __init__(self, contexts: np.ndarray, starts: np.ndarray, successors: np.ndarray, shares: np.ndarray, backoffs: np.ndarray):
+        """Contexts ascending; where the successors of each begin (n + 1 places); rank of the context << 40 | word, ascending."""
+        self.levels = [EliasFano(contexts), EliasFano(starts), EliasFano(successors)]
+        self.shares, self.backoffs = codes(shares), codes(backoffs)
+        arrays = [(level, name) for level in self.levels for name in EliasFano.ARRAYS] + [(self, "shares"), (self, "backoffs")]
         with tempfile.TemporaryFile() as f:  # it has no name, and goes with the mapping
             places = []
             for owner, name in arrays:
@@ -142,306 +222,195 @@ class Shard:
             old = getattr(owner, name)
             setattr(owner, name, np.frombuffer(self.map, old.dtype, len(old), place))
 
-    def lookup(self, x: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """The log10 share of pairs that the trie has, NaN of others.  Pairs in order of x are looked up fastest."""
-        out = np.full(len(x), np.nan)
-        contexts, pointers, successors = self.levels
-        if not contexts.n or not len(x):
-            return out
-        own, which = np.unique(x, return_inverse=True)
-        rank = np.minimum(contexts.successor(own), contexts.n - 1)
-        known = contexts.get(rank) == own.astype(_U)
+    def lookup(self, contexts: np.ndarray, which: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the back-off weight of each context (weight 1 if it is unknown), and of the share of the word tail after contexts[which]."""
+        backoffs, shares = np.zeros(len(contexts), np.uint16), np.full(len(which), NONE, np.uint16)
+        nodes, pointers, successors = self.levels
+        if not nodes.n:
+            return backoffs, shares
+        rank = np.minimum(nodes.successor(contexts), nodes.n - 1)
+        known = nodes.get(rank) == contexts
+        backoffs[known] = self.backoffs[rank[known]]
         begin, end = pointers.get(rank).astype(np.int64), pointers.get(rank + 1).astype(np.int64)
         ask = np.flatnonzero(known[which])
-        base = rank[which[ask]].astype(_U) * _U(self.n_words)  # successors are stored relative to their context
-        key = base + w[ask].astype(_U)
+        context = which[ask]
+        key = rank[context].astype(_U) << _U(_TAIL) | tail[ask]  # successors are stored relative to their context
         at = successors.successor(key)
-        inside = (at >= begin[which[ask]]) & (at < end[which[ask]])
+        inside = (at >= begin[context]) & (at < end[context])
         ask, key, at = ask[inside], key[inside], at[inside]
         hit = successors.get(at) == key
-        out[ask[hit]] = self.logs[at[hit]] / -STEPS
-        return out
-
-
-def _fit_weights(pairs: np.ndarray, c_pair: np.ndarray, c_x: np.ndarray, p_w: np.ndarray) -> np.ndarray:
-    """Weight of the shorter context by size class, from pairs of training text with one occurrence left out."""
-    out = np.full(CLASSES, 0.5)
-    use = c_x > 1
-    k = size_classes(c_x[use])
-    longer = np.maximum(c_pair[use] - 1, 0) / (c_x[use] - 1)
-    for _ in range(30):
-        short = out[k] * p_w[use]
-        share = short / (short + (1 - out[k]) * longer)
-        n = np.bincount(k, minlength=CLASSES)
-        out = np.where(n >= 50, np.bincount(k, share, minlength=CLASSES) / np.maximum(n, 1), out)
-    return np.clip(out, 0.01, 1.0)
-
-
-class Counts:
-    """What all tasks know: corpus sizes, the frequent words' hashes and counts, and the weights; the driver also has the vocabulary."""
-
-    def __init__(self, n: int, v: int, docs: int, hashes: np.ndarray, counts: np.ndarray):
-        self.n, self.v, self.docs = n, v, docs
-        self.hashes = np.concatenate((np.array([START, END], _U), hashes))
-        self.counts = np.concatenate(([docs, docs], counts)).astype(np.int64)
-        self.weights = np.full(CLASSES, 0.5)
-        self.table = self.vocabulary = None
-
-    def __getstate__(self):
-        return self.__dict__ | {"table": None, "vocabulary": None}
-
-    def number(self, hashes: np.ndarray) -> np.ndarray:
-        """1 + a frequent word's place, 0 for others."""
-        if self.table is None:
-            self.table = Table(self.hashes, np.zeros(0))
-        return self.table.find(hashes) + 1
-
-    def names(self, hashes: np.ndarray) -> np.ndarray:
-        """Numbers of frequent words, marked hashes of others."""
-        numbers = self.number(hashes).astype(_U)
-        return np.where(numbers == 0, hashes | _RARE, numbers)
-
-
-def count(docs: DataFrame, left_out: int, folds: int, tuning_docs: int = TUNING_DOCS) -> Counts:
-    """Word counts over all training rows of doc_id, text; the frequent words and fitted weights."""
-    spark = docs.sparkSession
-    training = docs.where(is_training(F.col("doc_id"), folds, left_out))
-    n_docs = training.count()
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("tune")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = training.where(draw < tuning_docs / max(n_docs, 1)).select("text").collect()
-    data, offsets = words.utf8(pa.array([r.text for r in sample], pa.string()))
-    own, at = tokens(data, offsets)
-    ahead = before(own, at)
-    tune = pair_keys(ahead, own)
-    wanted = spark.sparkContext.broadcast(np.unique(tune))
+        shares[ask[hit]] = self.shares[at[hit]]
+        return backoffs, shares
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    own, which = np.unique(np.concatenate(keys), return_inverse=True)
+    return own, which, np.bincount(which, np.concatenate(counts), minlength=len(own)).astype(np.int64)
+
+
+def answers(blobs: list[bytes], shard: int, shards: int, totals: dict[int, tuple[int, int]]) -> tuple[list[bytes], int, int]:
+    """A shard's answers to the blocks' entries, and its training words and distinct ones.  totals: count and kinds of words of split contexts."""
+    base = first_key(shard, shards)
+    asked = [unpack(b, _ASKED, _ASKED_PLAIN) for b in blobs]
+    _, i_words, n_words = _summed([base + np.cumsum(a[0], dtype=_U) for a in asked], [a[1] for a in asked])
+    pairs, i_pairs, n_pairs = _summed([base + np.cumsum(a[2], dtype=_U) for a in asked], [a[3] for a in asked])
+    after = np.concatenate([a[4] for a in asked])
+    tail = np.concatenate([a[6] for a in asked]).astype(_U) << _U(32) | np.concatenate([a[5] for a in asked])
+    triples, i_triples, n_triples = _summed([np.repeat(i_pairs, after).astype(_U) << _U(_TAIL) | tail], [a[7] for a in asked])
+    node = (triples >> _U(_TAIL)).astype(np.int64)
+    # The trie of what training rows have.
+    learnt = n_triples > 0
+    total = np.bincount(node, n_triples, minlength=len(pairs)).astype(np.int64)
+    kinds = np.bincount(node[learnt], minlength=len(pairs))
+    if totals:
+        keys = np.array(sorted(totals), _U)
+        where = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
+        hot = np.flatnonzero((keys[where] == pairs) & (total > 0))
+        total[hot], kinds[hot] = (np.array([totals[int(k)][j] for k in keys], np.int64)[where[hot]] for j in (0, 1))
+    some = np.flatnonzero(total)
+    rank = np.zeros(len(pairs), np.int64)
+    rank[some] = np.arange(len(some))
+    own = node[learnt]
+    starts = np.searchsorted(own, np.append(some, len(pairs)))
+    trie = Trie(pairs[some], starts, rank[own].astype(_U) << _U(_TAIL) | triples[learnt] & _TAIL_MASK, (n_triples[learnt] - DISCOUNT) / total[own], DISCOUNT * kinds[some] / total[some])
+    backoffs, shares = trie.lookup(pairs, node, triples & _TAIL_MASK)
+    out, at = [], [0, 0, 0]
+    for a in asked:
+        i, j, k = (slice(p, p + len(a[m])) for p, m in zip(at, (0, 2, 5), strict=True))
+        out.append(pack([n_words[i_words[i]], n_pairs[i_pairs[j]], backoffs[i_pairs[j]], shares[i_triples[k]]], _ANSWERED_PLAIN))
+        at = [i.stop, j.stop, k.stop]
+    return out, int(n_words.sum()), int((n_words > 0).sum())
+
+
+def token_scores(g: Grams, blobs: list[bytes], n: int, v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """log10 P(w), log10 P(w | u x) and c(w) > 0 of a block's tokens, from the answers of its shards in order; n and v of the corpus."""
+    parts = [unpack(b, _ANSWERED, _ANSWERED_PLAIN) for b in blobs]
+    n_words, n_pairs, backoffs, shares = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    if (len(n_words), len(n_pairs), len(shares)) != (len(g.words), len(g.pairs), len(g.triples)):
+        raise RuntimeError("a block's rows changed between two readings: write docs first (stable=False)")
+    p_word = (n_words + 1) / (n + v + 1)
+    c_x = np.empty(len(g.own))
+    c_x[1:] = n_words[g.word[:-1]]
+    c_x[g.at[:-1]] = n_pairs[g.first]
+    single = p_word[g.word]
+    double = (n_pairs[g.pair] + PRIOR * single) / (c_x + PRIOR)
+    triple = _SHARES[shares[g.triple]] + _SHARES[backoffs[g.context]] * double
+    return np.log10(single), np.log10(triple), (n_words > 0)[g.word]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Runs of rows of about so many bytes of text (column 1), numbered over all tasks."""
+    block = TaskContext.get().partitionId() << 24
+    for batch in batches:
+        _, offsets = words.utf8(batch.column(1))
+        for i, j in words.slices(offsets, most):
+            yield block, batch.slice(i, j - i)
+            block += 1
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, held, size = Table(wanted.value, np.zeros(0)), [], 0
-
-        def merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
-            keys, which = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-            return keys, np.bincount(which, np.concatenate([c for _, c in parts])).astype(np.int64)
-
-        def out(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000].view(np.int64)), pa.array(n[i : i + 100_000])], names=["key", "n"])
-
-        for _, own, at in _blocks(batches):
-            keys = pair_keys(before(own, at), own)
-            asked = wanted.value[(found := table.find(keys))[found >= 0]] if len(wanted.value) else keys[:0]
-            for part in (own[own != END], asked | _RARE):  # words have the top bit clear, pairs have it set
-                held.append(np.unique(part, return_counts=True))
-                size += len(held[-1][0])
-            if size > 1_500_000:
-                held = [merged(held)]
-                size = len(held[0][0])
-                if size > 1_000_000:
-                    yield from out(*held[0])
-                    held, size = [], 0
-        if held:
-            yield from out(*merged(held))
-
-    partial = training.select("doc_id", "text").mapInArrow(tidy(counted), "key long, n long")
-    vocabulary = written(partial.groupBy("key").agg(F.sum("n").alias("n")), "vocabulary")
-    word = vocabulary.where("key >= 0")
-    sums = word.agg(F.sum("n"), F.count("*")).first()
-    n = (sums[0] or 0) + n_docs
-    kept = word.where(F.col("n") * F.lit(FREQUENT) > F.lit(n)).toArrow()
-    out = Counts(n, sums[1] + (n_docs > 0), n_docs, kept.column("key").to_numpy().astype(np.int64).view(_U), kept.column("n").to_numpy())
-    out.vocabulary = word
-
-    pairs = vocabulary.where("key < 0").toArrow()  # of the tuning sample only
-    keys = pairs.column("key").to_numpy().astype(np.int64).view(_U) & ~_RARE
-    order = np.argsort(keys)
-    if len(order):
-        at_pair = np.minimum(np.searchsorted(keys[order], tune & ~_RARE), len(keys) - 1)
-        c_pair = pairs.column("n").to_numpy()[order][at_pair]
-        # The sample's words, and the start and end, with their counts over all training rows.
-        own_words = spark.createDataFrame(pa.table({"key": pa.array(np.unique(own[own != END]).view(np.int64))}))
-        found = word.join(F.broadcast(own_words), "key").toArrow()
-        hashes = np.append(found.column("key").to_numpy().astype(np.int64).view(_U), [START, END])
-        counts = np.append(found.column("n").to_numpy(), [n_docs, n_docs])
-        by_hash = np.argsort(hashes)
-        c_x, c_w = (counts[by_hash][np.searchsorted(hashes[by_hash], h)] for h in (ahead, own))
-        use = (c_x >= LEAST_CONTEXT) | (ahead == START)
-        out.weights = _fit_weights(tune[use], c_pair[use], c_x[use], ((c_w + 1) / (out.n + out.v + 1))[use])
-    return out
 
+def _grams(batch: pa.RecordBatch, hot: dict[int, int]) -> Grams:
+    own, at = tokens(*words.utf8(batch.column(1)))
+    return Grams(own, at, batch.column(2).to_numpy(zero_copy_only=False), hot)
+
+
+def hot_contexts(rows: DataFrame, shards: int, share: float, sample: int, most: int) -> tuple[dict[int, int], dict[int, tuple[int, int]]]:
+    """Contexts with more than share of a shard's entries, by a sample, and their parts; count and kinds of words of each part's context over all rows."""
+    if shards == 1:
+        return {}, {}
+    n = rows.count()
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, batch in _blocks(batches, most):
+            g = _grams(batch, {})
+            after = np.bincount((g.triples >> _U(_TAIL)).astype(np.int64), minlength=len(g.pairs))
+            often = np.append(np.flatnonzero(after > 1), -1)  # the last stands for all
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(g.pairs, _U(0))[often].view(np.int64)), pa.array(np.append(after, len(g.triples))[often]), pa.array(often < 0)], names=["key", "n", "all"])
+
+    sampled = rows.where(draw < sample / max(n, 1)).mapInArrow(tidy(entries), "key long, n long, all boolean").groupBy("key", "all").agg(F.sum("n").alias("n"))
+    sampled = written(sampled, "hot")
+    total = sampled.where("all").agg(F.sum("n")).first()[0] or 0
+    found = sampled.where(~F.col("all") & (F.col("n") * shards > F.lit(share * total))).collect()  # fewer than shards / share, and than the sample's contexts
+    hot = {int(np.int64(r["key"]).view(_U)): min(shards, int(r["n"] * shards / (share * total)) + 1) for r in found}
+    if not hot:
+        return {}, {}
+    shared = rows.sparkSession.sparkContext.broadcast(hot)
 
-def asked_counts(docs: DataFrame, counts: Counts, shared, shards: int) -> DataFrame:
-    """shard, p0, p1: the words, and their counts, that a shard's infrequent contexts are followed by and that are infrequent too."""
-    far = max(1, shards // 4)
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
-        for _, own, at in _blocks(batches):
-            x, rare = before(own, at), counts.number(own) == 0
-            both = np.flatnonzero(rare & np.append(False, rare[:-1]) & (x != START))
-            w, place = own[both], words.mix(x[both]) % _U(shards)
-            order = np.lexsort((place, w, w % _U(far)))
-            w, place = w[order], place[order].astype(np.uint32)
-            new = np.ones(len(w), bool)
-            new[1:] = (w[1:] != w[:-1]) | (place[1:] != place[:-1])
-            w, place = w[new], place[new]
-            if len(w):
-                to, first = np.unique(w % _U(far), return_index=True)  # in order
-                ends = np.append(first[1:], len(w))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(to.astype(np.int64)), *(pa.array(c, pa.binary()) for c in zip(*((_deltas(w[i:j]), _pack(place[i:j])) for i, j in zip(first, ends, strict=True)), strict=True))],
-                    names=["far", "p0", "p1"],
-                )
-
-    def answered(questions: pa.Table, known: pa.Table) -> pa.Table:
-        schema = pa.schema([("shard", pa.int64()), ("p0", pa.binary()), ("p1", pa.binary())])
-        key = known.column("key").to_numpy().astype(np.int64).view(_U)
-        if not len(questions) or not len(key):
-            return schema.empty_table()
-        order = np.argsort(key)
-        key, n = key[order], known.column("n").to_numpy()[order]
-        w = np.concatenate([np.cumsum(_unpack(p, _U), dtype=_U) for p in questions.column("p0").to_pylist()])
-        place = np.concatenate([_unpack(p, np.uint32) for p in questions.column("p1").to_pylist()])
-        at = np.minimum(np.searchsorted(key, w), len(key) - 1)
-        hit = key[at] == w
-        at, place = at[hit], place[hit]
-        both = np.unique(place.astype(_U) * _U(len(key)) + at.astype(_U))
-        place, at = both // _U(len(key)), (both % _U(len(key))).astype(np.int64)
-        to, first = np.unique(place, return_index=True)
-        parts = [(s, _deltas(key[at[i:j]]), _pack(n[at[i:j]].astype(np.int64))) for s, i, j in zip(to.tolist(), first, np.append(first[1:], len(at)), strict=True)]
-        return pa.Table.from_pylist([dict(zip(schema.names, p, strict=True)) for p in parts], schema)
-
-    rare = counts.vocabulary.where(F.col("n") * F.lit(FREQUENT) <= F.lit(counts.n)).select(F.pmod("key", F.lit(far)).alias("far"), "key", "n")
-    questions = docs.select("doc_id", "text").mapInArrow(tidy(asked), "far long, p0 binary, p1 binary")
-    return questions.groupBy("far").cogroup(rare.groupBy("far")).applyInArrow(tidy_group(answered, 2), "shard long, p0 binary, p1 binary")
-
-
-def score(docs: DataFrame, folds: int = 7, left_out: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row."""
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = np.array(sorted(shared.value), _U)
+        for _, batch in _blocks(batches, most):
+            g = _grams(batch, {})
+            context = g.pairs[(g.triples >> _U(_TAIL)).astype(np.int64)]
+            use = (keys[np.minimum(np.searchsorted(keys, context), len(keys) - 1)] == context) & (g.n_triples > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(context[use].view(np.int64)), pa.array((g.triples & _TAIL_MASK)[use].view(np.int64)), pa.array(g.n_triples[use].astype(np.int64))], names=["key", "word", "n"])
+
+    counts = rows.mapInArrow(tidy(counted), "key long, word long, n long").groupBy("key", "word").agg(F.sum("n").alias("n"))
+    totals = {int(np.int64(r["key"]).view(_U)): (r["n"], r["kinds"]) for r in counts.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()}
+    parts = {int(part_keys(np.array([k], _U), np.array([p], _U))[0]): totals[k] for k in totals for p in range(hot[k])}
+    return hot, parts
+
+
+def score(
+    docs: DataFrame, folds: int = 7, left_out: int = 2, doc_id: str = "doc_id", text: str = "text", stable: bool = False,
+    block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES, hot_share: float = HOT, hot_docs: int = HOT_DOCS,
+) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row.
+
+    The rows are read twice and must come in the same order both times, as they
+    do from files: say stable=True for a table that is read as it lies; any
+    other is written to the shared folder first.
+    """
+    spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    counts = count(docs, left_out, folds)
-    shards = max(1, -(-counts.n // SHARD_TOKENS))
-    hot = counts.n / shards / 4
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    docs = docs if stable else written(docs, "docs")
+    rows = docs.withColumn("train", is_training(F.col("doc_id"), folds, left_out))
+    size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
+    shards = max(1, -(-size // shard_bytes))
+    hot, totals = hot_contexts(rows, shards, hot_share, hot_docs, block_bytes)
+    shared = spark.sparkContext.broadcast((hot, totals))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Packed blocks: for each shard the occurrences (w, x, row) of a block in order of w, x; and the block's rows."""
-        counts, block = shared.value, TaskContext.get().partitionId() << 24
-        for batch, own, at in _blocks(batches):
-            block += 1
-            n = np.diff(at)
-            train = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint32)
-            row = np.repeat(np.arange(len(n), dtype=np.uint32) << np.uint32(1) | train, n)
-            ahead = before(own, at)
-            x, name = counts.names(ahead), counts.names(own)
-            # An occurrence after an infrequent word goes to that word's shard, others to their own word's.
-            after = x >= _RARE
-            frequent = np.where(name >= _RARE, 0, counts.counts[np.minimum(name, _U(len(counts.counts))).astype(np.int64) - 1])
-            place = words.mix(np.where(after, ahead, np.where(frequent > hot, own + ahead, own))) % _U(shards) * _U(2) + after
-            first, second = np.where(after, x, name), np.where(after, name, x)
-            order = np.lexsort((row, second, first, place))
-            place, first, second, row = place[order], first[order], second[order], row[order]
-            new = np.ones(len(place), bool)
-            new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1]) | (row[1:] != row[:-1]) | (place[1:] != place[:-1])
-            start = np.flatnonzero(new)
-            times = np.diff(np.append(start, len(place))).astype(np.uint32)
-            place, first, second, row = place[start], first[start], second[start], row[start]
-            edges = np.searchsorted(place, np.arange(2 * shards + 1, dtype=_U)).tolist()
-            parts = [
-                (s, _deltas(first[i:m]), _pack(second[i:m].astype(np.uint32)), _pack(row[i:j]), _pack(times[i:j]), _deltas(first[m:j]), _pack(second[m:j]))
-                for s, (i, m, j) in enumerate(zip(edges[:-1:2], edges[1::2], edges[2::2], strict=True))
-                if i < j
-            ]
-            ids = batch.column(0)
-            rows = (block % shards, pa.array(ids.fill_null(0)).to_numpy().tobytes(), ids.is_null().to_numpy(zero_copy_only=False).tobytes(), n.astype(np.int64).tobytes(), train.tobytes(), b"", b"")
-            columns = list(zip(*parts, rows, strict=True))
-            kinds = [1] * len(parts) + [0]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int64()), pa.array([block] * len(kinds), pa.int64()), pa.array(kinds, pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])],
-                names=["shard", "block", "kind", "p0", "p1", "p2", "p3", "p4", "p5"],
-            )
+        for block, batch in _blocks(batches, block_bytes):
+            shard, blob, check = zip(*asked(_grams(batch, shared.value[0]), shards), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array([block] * len(shard), pa.int64()), pa.array(blob, pa.binary()), pa.array(check, pa.int64())], names=["shard", "block", "blob", "check"])
 
     def looked_up(table: pa.Table) -> pa.Table:
-        """One shard: the trie of its training occurrences, and sums of each block's rows."""
-        counts = shared.value
-        kinds = table.column("kind").to_numpy()
-        passed = table.filter(pa.array(kinds == 0)).drop_columns(["shard", "p4", "p5"])
-        answers = table.filter(pa.array(kinds == 2))
-        table = table.filter(pa.array(kinds == 1))
-        blocks = table.column("block").to_pylist()
-        if not blocks:
-            return passed
-        packed = list(zip(*(table.column(f"p{k}").to_pylist() for k in (0, 1, 4, 5)), strict=True))
-        name = np.concatenate([part for p0, _, _, p5 in packed for part in (np.cumsum(_unpack(p0, _U), dtype=_U), _unpack(p5, _U))])
-        x = np.concatenate([part for _, p1, p4, _ in packed for part in (_unpack(p1, np.uint32).astype(_U), np.cumsum(_unpack(p4, _U), dtype=_U))])
-        row, times = (np.concatenate([_unpack(p, np.uint32) for p in table.column(f"p{k}").to_pylist()]) for k in (2, 3))
-        sizes = [int.from_bytes(p[:8], "little") for p in table.column("p2").to_pylist()]
-        own, w = np.unique(name, return_inverse=True)
-        contexts, x = np.unique(x, return_inverse=True)
-        learnt = np.where(row & np.uint32(1), times, 0).astype(np.int64)
-        c_x = np.bincount(x, learnt, minlength=len(contexts)).astype(np.int64)
-        known = contexts < _RARE
-        c_x[known] = counts.counts[contexts[known].astype(np.int64) - 1]  # a frequent word has its whole count there
-        # An infrequent word is a context of this shard, with all its occurrences, or was asked for.
-        c_w = np.zeros(len(own), np.int64)
-        for hashes, n in [(contexts, c_x), *((np.cumsum(_unpack(p, _U), dtype=_U) | _RARE, _unpack(q, np.int64)) for p, q in zip(answers.column("p0").to_pylist(), answers.column("p1").to_pylist(), strict=True))]:
-            at = np.minimum(np.searchsorted(own, hashes), len(own) - 1)
-            hit = own[at] == hashes
-            c_w[at[hit]] = n[hit]
-        known = own < _RARE
-        c_w[known] = counts.counts[own[known].astype(np.int64) - 1]
-        p_w = (c_w + 1) / (counts.n + counts.v + 1)
-        kept = (c_x >= LEAST_CONTEXT) | ((contexts == 1) & (c_x > 0))
-        weight = np.where(kept, counts.weights[size_classes(c_x)], 1.0)
-        # The trie, from the training pairs whose context is kept.
-        key = x.astype(_U) * _U(len(own)) + w.astype(_U)
-        use = (learnt > 0) & kept[x]
-        pairs, which = np.unique(key[use], return_inverse=True)
-        c_pair = np.bincount(which, learnt[use], minlength=len(pairs))
-        px, pw = (pairs // _U(len(own))).astype(np.int64), (pairs % _U(len(own))).astype(np.int64)
-        trie = Shard(px, pw, np.log10(np.maximum((1 - weight[px]) * c_pair / c_x[px], 1e-15)), len(own))
-        asked, which = np.unique(key, return_inverse=True)
-        ax, aw = (asked // _U(len(own))).astype(np.int64), (asked % _U(len(own))).astype(np.int64)
-        longer = trie.lookup(ax, aw)
-        model = np.log10(np.where(np.isnan(longer), 0.0, 10.0**longer) + weight[ax] * p_w[aw])[which] * times
-        base = (np.log10(c_w + 1.0))[w] * times
-        known = (c_w > 0)[w] * times
-        out, at = [], 0
-        for block, size in zip(blocks, sizes, strict=True):
-            here = slice(at, at + size)
-            doc, local = np.unique(row[here] >> np.uint32(1), return_inverse=True)
-            sums = [np.bincount(local, v[here]) for v in (known, base, model)]
-            out.append((block, _deltas(doc), _pack(sums[0].astype(np.uint32)), sums[1].tobytes(), sums[2].astype(np.float32).tobytes()))
-            at += size
-        columns = list(zip(*out, strict=True))
-        mine = pa.table([pa.array(columns[0], pa.int64()), pa.array([1] * len(out), pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["block", "kind", "p0", "p1", "p2", "p3"])
-        return pa.concat_tables([passed.cast(mine.schema), mine])
-
-    def summed(table: pa.Table) -> pa.Table:
-        """One block: its rows with the sums of all shards."""
-        counts = shared.value
-        rows = table.to_pylist()
-        (head,) = [r for r in rows if r["kind"] == 0]
-        n = np.frombuffer(head["p2"], np.int64)
-        train = np.frombuffer(head["p3"], np.uint32)
-        known, base, model = (np.zeros(len(n)) for _ in range(3))
-        # Added in one order always, so that equal runs give equal sums.
-        for r in sorted((r for r in rows if r["kind"] == 1), key=lambda r: (r["p0"], r["p1"], r["p2"])):
-            doc = np.cumsum(_unpack(r["p0"], np.uint32), dtype=np.uint32)
-            known[doc] += _unpack(r["p1"], np.uint32)
-            base[doc] += np.frombuffer(r["p2"], np.float64)
-            model[doc] += np.frombuffer(r["p3"], np.float32)
-        base -= n * np.log10(counts.n + counts.v + 1)
-        ids = pa.array(np.frombuffer(head["p0"], np.int64), mask=np.frombuffer(head["p1"], bool))
+        shard = table.column("shard")[0].as_py()
+        out, n, v = answers(table.column("blob").to_pylist(), shard, shards, shared.value[1])
+        nothing = pa.nulls(len(out), pa.int64())
+        mine = [table.column("block"), table.column("shard"), table.column("check"), pa.array(out, pa.binary()), nothing, nothing]
+        sums = [pa.array([x], t) for x, t in ((None, pa.int64()), (shard, pa.int64()), (None, pa.int64()), (None, pa.binary()), (n, pa.int64()), (v, pa.int64()))]
+        names = ["block", "shard", "check", "blob", "n", "v"]
+        return pa.concat_tables([pa.table(mine, names=names), pa.table(sums, names=names)])
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(shards // 2 + 1, 50_000))
+    questions = rows.mapInArrow(tidy(dealt), "shard long, block long, blob binary, check long").repartition(parts, "shard")
+    found = written(questions.groupBy("shard").applyInArrow(tidy_group(looked_up), "block long, shard long, check long, blob binary, n long, v long"), "answers")
+    n, v = (x or 0 for x in found.agg(F.sum("n"), F.sum("v")).first())
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block's rows as one compressed record."""
+        for block, batch in _blocks(batches, block_bytes):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([-1], pa.int64()), pa.array([0], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "shard", "check", "blob"])
+
+    def finished(table: pa.Table) -> pa.Table:
+        """One block: its rows with their scores."""
+        table = table.sort_by("shard")
+        head, *blobs = table.column("blob").to_pylist()
+        batch = pa.ipc.open_stream(head).read_next_batch()
+        g = _grams(batch, shared.value[0])
+        if sum(table.column("check").to_pylist()) & ((1 << 62) - 1) != _check(g.pairs, g.words):
+            raise RuntimeError("a block's rows changed between two readings: write docs first (stable=False)")
+        base, model, known = (np.add.reduceat(x.astype(float), g.at[:-1]) for x in token_scores(g, blobs, n, v))
         return pa.table(
-            [ids, pa.array(train == 0), pa.array(n), pa.array(known.astype(np.int64)), pa.array(np.full(len(n), counts.n, np.int64)), pa.array(base), pa.array(model)],
+            [batch.column(0), pa.array(~batch.column(2).to_numpy(zero_copy_only=False)), pa.array(np.diff(g.at)), pa.array(known.astype(np.int64)), pa.array(np.full(len(base), n, np.int64)), pa.array(base), pa.array(model)],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    rows = docs.withColumn("train", is_training(F.col("doc_id"), folds, left_out))
-    payload = rows.mapInArrow(tidy(dealt), "shard long, block long, kind int, p0 binary, p1 binary, p2 binary, p3 binary, p4 binary, p5 binary")
-    answers = asked_counts(docs, counts, shared, shards)
-    empty = F.lit(b"")
-    answers = answers.select("shard", F.lit(0).cast("long").alias("block"), F.lit(2).alias("kind"), "p0", "p1", *[empty.alias(f"p{k}") for k in range(2, 6)])
-    sums = payload.unionByName(answers).groupBy("shard").applyInArrow(tidy_group(looked_up), "block long, kind int, p0 binary, p1 binary, p2 binary, p3 binary")
-    return sums.groupBy("block").applyInArrow(
-        summed, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    blocks = rows.mapInArrow(tidy(heads), "block long, shard long, check long, blob binary").unionByName(found.where("block is not null").select("block", "shard", "check", "blob"))
+    return blocks.groupBy("block").applyInArrow(
+        tidy_group(finished), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )

@@ -101,7 +101,7 @@ def op9_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(_read(spark, sf_dir, "documents"))
+    return lm.score(_read(spark, sf_dir, "documents"), stable=True)
 
 
 QUERIES = {

@@ -53,64 +53,107 @@ def test_table():
     assert (found[: len(keys)] == np.arange(len(keys))).all() and (found[len(keys) :] == -1).all()
 
 
-def brute_lm(rows, folds=7, left_out=2, weights=None):
+def thue_morse(n, letters="ab"):
+    return "".join(letters[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_word_hashes_of_thue_morse_words():
+    """Words that collide under polynomial hashes modulo 2^64 whatever their base."""
+    texts = [thue_morse(n, x) for n in (2, 64, 1024, 4096, 8192) for x in ("ab", "ba")]
+    hashes, _ = words.word_hashes(*words.utf8(pa.array(texts)))
+    assert len(set(hashes.tolist())) == len(set(texts))
+
+
+def brute_lm(rows, folds=7, left_out=2):
     def train(i):
         return zlib.crc32(str("" if i is None else i).encode()) % folds != left_out
 
     texts = [(r[0], WORD.findall(lower(r[1]))) for r in rows]
-    c, pairs, contexts = Counter(), Counter(), Counter()
+    c, pairs, triples, contexts, after = Counter(), Counter(), Counter(), Counter(), defaultdict(set)
     n_docs = 0
     for i, w in texts:
         if train(i):
             n_docs += 1
             c.update([*w, "</s>"])
-            pairs.update(zip(["<s>", *w], [*w, "</s>"]))
-            contexts.update(["<s>", *w])
+            x = ["<s>", *w]
+            pairs.update(zip(x, [*w, "</s>"]))
+            for u, x, t in zip(["<s>", "<s>", *w], ["<s>", *w], [*w, "</s>"]):
+                triples[u, x, t] += 1
+                contexts[u, x] += 1
+                after[u, x].add(t)
     n, v = sum(c.values()), len(c)
     out = []
     for i, w in texts:
         tokens = [*w, "</s>"]
         p1 = [(c[t] + 1) / (n + v + 1) for t in tokens]
         score = 0.0
-        for x, t, p in zip(["<s>", *w], tokens, p1):
-            kept = x == "<s>" or contexts[x] >= lm.LEAST_CONTEXT
-            k = weights[lm.size_classes(np.array([max(contexts[x], 1)]))[0]]
-            score += math.log10((1 - k) * pairs[x, t] / max(contexts[x], 1) + k * p if kept else p)
+        for u, x, t, p in zip(["<s>", "<s>", *w], ["<s>", *w], tokens, p1):
+            p = (pairs[x, t] + lm.PRIOR * p) / ((n_docs if x == "<s>" else c[x]) + lm.PRIOR)
+            if (k := contexts[u, x]) > 0:
+                p = (max(triples[u, x, t] - lm.DISCOUNT, 0) + lm.DISCOUNT * len(after[u, x]) * p) / k
+            score += math.log10(p)
         out.append((i, not train(i), len(tokens), sum(c[t] > 0 for t in tokens), n, sum(map(math.log10, p1)), score))
     return out
 
 
-def check_lm(docs, rows):
-    got = lm.score(docs).collect()
-    weights = lm.count(docs.select("doc_id", "text"), 2, 7).weights
+def check_lm(docs, rows, **options):
+    got = lm.score(docs, **options).collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[2], round(r[5], 6))
-    want = sorted(brute_lm(rows, weights=weights), key=key)
+    want = sorted(brute_lm(rows), key=key)
     for a, b in zip(sorted(map(tuple, got), key=key), want, strict=True):
         assert a[:5] == b[:5]
         assert a[5] == pytest.approx(b[5], abs=1e-6)
-        assert a[6] == pytest.approx(b[6], abs=1e-3 + 2e-4 * b[2])
+        assert a[6] == pytest.approx(b[6], abs=1e-6 + 2e-4 * b[2])
 
 
 def test_lm_against_brute_force(docs, rows):
     check_lm(docs, rows)
 
 
-def test_lm_many_shards_and_hot_words(spark, monkeypatch):
-    """One word is more than a third of all; shards are small, so it is dealt over them."""
+def test_lm_is_a_distribution():
+    """Over all words seen, the end and one unseen word, the probabilities after any context sum to one."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{rng.integers(5)}" for _ in range(12))) for i in range(40)]
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2]
+    vocabulary = sorted({w for _, t in train for w in t.split()}) + ["unseen"]
+    data, offsets = words.utf8(pa.array([t for _, t in train]))
+    learnt = lm.Grams(*lm.tokens(data, offsets), np.ones(len(train), bool))
+    own = [f"w0 w1 {w}" for w in vocabulary]
+    asked = lm.Grams(*lm.tokens(*words.utf8(pa.array(own))), np.zeros(len(own), bool))
+    ends = lm.Grams(*lm.tokens(*words.utf8(pa.array(["w0 w1"]))), np.zeros(1, bool))
+    blobs = [blob for g in (learnt, asked, ends) for _, blob, _ in lm.asked(g, 1)]
+    (_, for_asked, for_ends), n, v = lm.answers(blobs, 0, 1, {})
+    token = lambda g, b: lm.token_scores(g, [b], n, v)[1]
+    third = [10 ** token(asked, for_asked)[k] for k in asked.at[:-1] + 2]
+    assert sum(third) + 10 ** token(ends, for_ends)[2] == pytest.approx(1, abs=1e-3)
+
+
+def test_lm_many_shards_and_hot_words(spark):
+    """One word is more than a third of all; shards and blocks are small, and contexts are split."""
     rng = np.random.default_rng(1)
     rows = [(i, " ".join("hot" if rng.random() < 0.4 else f"w{rng.integers(60)}" for _ in range(80))) for i in range(120)]
-    monkeypatch.setattr(lm, "SHARD_TOKENS", 900)
-    check_lm(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check_lm(docs, rows, shard_bytes=900, block_bytes=2000)
+    shards = -(-sum(len(t) + 1 for _, t in rows) // 900)
+    hot, totals = lm.hot_contexts(docs.withColumn("train", lm.is_training(docs.doc_id, 7, 2)), shards, lm.HOT, 1000, 2000)
+    assert hot and totals
 
 
-def test_lm_keeps_every_context(spark, monkeypatch):
-    """No context of LEAST_CONTEXT occurrences or more loses its pairs, however few words may be broadcast."""
+def test_lm_counts_every_context(spark):
+    """Words and contexts that occur once have their successors like others."""
     rng = np.random.default_rng(2)
-    rows = [(i, " ".join(f"w{int(60 * rng.random() ** 2)}" for _ in range(60)) + f" only{i}") for i in range(120)]
-    monkeypatch.setattr(lm, "SHARD_TOKENS", 900)
-    monkeypatch.setattr(lm, "MOST_CONTEXTS", 10, raising=False)
-    monkeypatch.setattr(lm, "FREQUENT", 40, raising=False)
-    check_lm(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+    rows = [(i, " ".join(f"w{int(60 * rng.random() ** 2)}" for _ in range(60)) + f" only{i} then{i} 　 " + thue_morse(4096, "ab" if i % 2 else "ba")) for i in range(120)]
+    check_lm(spark.createDataFrame(rows, "doc_id long, text string"), rows, shard_bytes=20_000)
+
+
+def test_lm_tells_repeats_apart(spark):
+    """Texts that occur twice in training score higher by token than texts that occur once."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{rng.integers(400)}" for _ in range(60))) for i in range(200)]
+    rows += [(1000 + i, t) for i, t in rows[:40]]
+    twice = {i for i in range(40) if all(zlib.crc32(str(k).encode()) % 7 != 2 for k in (i, 1000 + i))}
+    got = {r.doc_id: r.score / r.n_tokens for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect() if not r.held_out}
+    assert min(got[i] for i in twice) > max(v for i, v in got.items() if 40 <= i < 1000)
 
 
 def test_lm_held_out_and_empty(spark, empty):
