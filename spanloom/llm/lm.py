@@ -22,12 +22,12 @@ answers meet by block; no task or driver holds the whole model, nothing that
 grows with the corpus is broadcast, and a frequent word, pair or triple is one
 entry a block.  A context that would have more than HOT of a shard's entries is
 split by the word that follows; its own totals are counted apart.  Which contexts
-are split comes from a bounded sample of rows (HOT_DOCS) and moves work only.
+are split comes from a bounded sample of rows (SAMPLE_DOCS) and moves work only.
 
 Shards are ranges of the hash, so what a block sends does not grow with their
 number until they outnumber its entries; raise shard_bytes with the executors'
 memory.  Words and pairs are told apart by 64-bit hashes, and the words after one
-pair by 40 bits.
+pair by 40 bits; words that the sample finds frequent are sent as 16-bit codes.
 
 Defined results: null text is empty and scores its end alone; without training
 rows every probability is 1 (a score of 0); rows with null or repeated ids are
@@ -52,12 +52,14 @@ from spanloom.llm.shared import tidy, tidy_group, written
 
 DISCOUNT = 0.9
 PRIOR = 1000.0
-BLOCK_BYTES = 3_000_000
+BLOCK_BYTES = 6_000_000
 SHARD_BYTES = 5_000_000
 HOT = 0.25
-HOT_DOCS = 2000
-#: Steps of a quantised logarithm in one decade; the largest code is none at all.
-STEPS, NONE = 4096, 65535
+SAMPLE_DOCS = 2000
+#: Steps of a quantised logarithm in one decade (a share is within 0.5 % of its value); the largest code is none at all.
+STEPS, NONE = 256, 65535
+#: Words that have a short code between blocks and shards; one more code says that the word's own bits follow.
+CODED = 65535
 _U = np.uint64
 #: Hashes of the end of a text and of what precedes its first word.
 END, START = _U(0x452821E638D01377), _U(0xBE5466CF34E90C6C)
@@ -126,9 +128,9 @@ def unpack(blob: bytes, kinds: list, plain: list[int]) -> list[np.ndarray]:
     return out
 
 
-#: What a block sends to a shard: words, their counts, pairs, their counts, words after each pair, these words (two parts), their counts.
-_ASKED = [_U, np.uint32, _U, np.uint32, np.uint32, np.uint32, np.uint8, np.uint32]
-_ASKED_PLAIN = [5, 0, 5, 0, 0, 4, 1, 0]
+#: What a block sends to a shard: words, their counts, pairs, their counts, words after each pair, codes of these words, bits of those without (two parts), counts.
+_ASKED = [_U, np.uint32, _U, np.uint32, np.uint32, np.uint16, np.uint32, np.uint8, np.uint32]
+_ASKED_PLAIN = [5, 0, 5, 0, 0, 0, 4, 1, 0]
 #: What comes back: counts of words, counts and back-off weights of pairs, shares of triples.
 _ANSWERED = [np.int64, np.int64, np.uint16, np.uint16]
 _ANSWERED_PLAIN = [0, 0, 0, 0]
@@ -168,6 +170,8 @@ class Grams:
         self.context[moved] = which[len(own) + 1 :]
         self.triples, self.triple = np.unique(self.context.astype(_U) << _U(_TAIL) | tail, return_inverse=True)
         self.n_triples = np.bincount(self.triple, weight, minlength=len(self.triples)).astype(np.uint32)
+        self.last = np.empty(len(self.triples), np.int64)  # a triple's last word
+        self.last[self.triple] = self.word
 
 
 def part_keys(context: np.ndarray, part: np.ndarray) -> np.ndarray:
@@ -186,19 +190,46 @@ def _check(pairs: np.ndarray, found: np.ndarray) -> int:
     return (int(pairs.sum(dtype=_U)) + int(found.sum(dtype=_U))) & ((1 << 62) - 1)
 
 
-def asked(g: Grams, shards: int) -> Iterator[tuple[int, bytes, int]]:
+class Codes:
+    """Short codes of some words."""
+
+    def __init__(self, coded: np.ndarray):
+        """Hashes of distinct words, at most CODED; a word's place is its code."""
+        self.tails = np.append(coded & _TAIL_MASK, _U(0))
+        self.order = np.argsort(coded)
+        self.sorted = coded[self.order]
+
+    def of(self, own: np.ndarray) -> np.ndarray:
+        if not len(self.sorted):
+            return np.full(len(own), CODED, np.uint16)
+        at = np.minimum(np.searchsorted(self.sorted, own), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == own, self.order[at], CODED).astype(np.uint16)
+
+    def words(self, code: np.ndarray, tails: np.ndarray) -> np.ndarray:
+        """The last bits of words by code; tails are those of words without one, in order."""
+        plain = code == CODED
+        out = self.tails[np.where(plain, 0, code)]
+        out[plain] = tails
+        return out
+
+
+def asked(g: Grams, shards: int, coded: Codes) -> Iterator[tuple[int, bytes, int]]:
     """For each shard that a block has to do with: its number, the entries, and a check sum of them."""
     of_words, of_pairs = shard_of(g.words, shards), shard_of(g.pairs, shards)
     after = np.bincount((g.triples >> _U(_TAIL)).astype(np.int64), minlength=len(g.pairs)).astype(np.uint32)
     begin = np.concatenate(([0], np.cumsum(after, dtype=np.int64)))
-    tail = g.triples & _TAIL_MASK
+    code = coded.of(g.words)[g.last]
+    plain = code == CODED
+    tail = (g.triples & _TAIL_MASK)[plain]
     low, top = tail.astype(np.uint32), (tail >> _U(32)).astype(np.uint8)
+    tail_at = np.concatenate(([0], np.cumsum(plain)))
     present = np.union1d(of_words, of_pairs)
     edges = zip(present.tolist(), *(np.searchsorted(of, present, side).tolist() for of in (of_words, of_pairs) for side in ("left", "right")), strict=True)
     for s, a, b, c, d in edges:
         base = first_key(s, shards)
         e, f = begin[c], begin[d]
-        arrays = [np.diff(g.words[a:b], prepend=base), g.n_words[a:b], np.diff(g.pairs[c:d], prepend=base), g.n_pairs[c:d], after[c:d], low[e:f], top[e:f], g.n_triples[e:f]]
+        p, q = tail_at[e], tail_at[f]
+        arrays = [np.diff(g.words[a:b], prepend=base), g.n_words[a:b], np.diff(g.pairs[c:d], prepend=base), g.n_pairs[c:d], after[c:d], code[e:f], low[p:q], top[p:q], g.n_triples[e:f]]
         yield s, pack(arrays, _ASKED_PLAIN), _check(g.pairs[c:d], g.words[a:b])
 
 
@@ -248,15 +279,15 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return own, which, np.bincount(which, np.concatenate(counts), minlength=len(own)).astype(np.int64)
 
 
-def answers(blobs: list[bytes], shard: int, shards: int, totals: dict[int, tuple[int, int]]) -> tuple[list[bytes], int, int]:
+def answers(blobs: list[bytes], shard: int, shards: int, coded: Codes, totals: dict[int, tuple[int, int]]) -> tuple[list[bytes], int, int]:
     """A shard's answers to the blocks' entries, and its training words and distinct ones.  totals: count and kinds of words of split contexts."""
     base = first_key(shard, shards)
     asked = [unpack(b, _ASKED, _ASKED_PLAIN) for b in blobs]
     _, i_words, n_words = _summed([base + np.cumsum(a[0], dtype=_U) for a in asked], [a[1] for a in asked])
     pairs, i_pairs, n_pairs = _summed([base + np.cumsum(a[2], dtype=_U) for a in asked], [a[3] for a in asked])
     after = np.concatenate([a[4] for a in asked])
-    tail = np.concatenate([a[6] for a in asked]).astype(_U) << _U(32) | np.concatenate([a[5] for a in asked])
-    triples, i_triples, n_triples = _summed([np.repeat(i_pairs, after).astype(_U) << _U(_TAIL) | tail], [a[7] for a in asked])
+    tail = np.concatenate([coded.words(a[5], a[7].astype(_U) << _U(32) | a[6]) for a in asked])
+    triples, i_triples, n_triples = _summed([np.repeat(i_pairs, after).astype(_U) << _U(_TAIL) | tail], [a[8] for a in asked])
     node = (triples >> _U(_TAIL)).astype(np.int64)
     # The trie of what training rows have.
     learnt = n_triples > 0
@@ -313,27 +344,36 @@ def _grams(batch: pa.RecordBatch, hot: dict[int, int]) -> Grams:
     return Grams(own, at, batch.column(2).to_numpy(zero_copy_only=False), hot)
 
 
-def hot_contexts(rows: DataFrame, shards: int, share: float, sample: int, most: int) -> tuple[dict[int, int], dict[int, tuple[int, int]]]:
-    """Contexts with more than share of a shard's entries, by a sample, and their parts; count and kinds of words of each part's context over all rows."""
+def sampled(rows: DataFrame, shards: int, share: float, sample: int, most: int) -> tuple[Codes, dict[int, int]]:
+    """From a sample of rows: codes of frequent words, and contexts with more than share of a shard's entries, with the number of their parts."""
     if shards == 1:
-        return {}, {}
+        return Codes(np.zeros(0, _U)), {}
     n = rows.count()
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Contexts with more than one word after them, words, and (key 0) the number of triples."""
         for _, batch in _blocks(batches, most):
             g = _grams(batch, {})
             after = np.bincount((g.triples >> _U(_TAIL)).astype(np.int64), minlength=len(g.pairs))
-            often = np.append(np.flatnonzero(after > 1), -1)  # the last stands for all
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(g.pairs, _U(0))[often].view(np.int64)), pa.array(np.append(after, len(g.triples))[often]), pa.array(often < 0)], names=["key", "n", "all"])
-
-    sampled = rows.where(draw < sample / max(n, 1)).mapInArrow(tidy(entries), "key long, n long, all boolean").groupBy("key", "all").agg(F.sum("n").alias("n"))
-    sampled = written(sampled, "hot")
-    total = sampled.where("all").agg(F.sum("n")).first()[0] or 0
-    found = sampled.where(~F.col("all") & (F.col("n") * shards > F.lit(share * total))).collect()  # fewer than shards / share, and than the sample's contexts
-    hot = {int(np.int64(r["key"]).view(_U)): min(shards, int(r["n"] * shards / (share * total)) + 1) for r in found}
+            often = np.flatnonzero(after > 1)
+            key, count = np.concatenate((g.pairs[often], g.words, [_U(0)])), np.concatenate((after[often], np.bincount(g.word), [len(g.triples)]))
+            kind = np.repeat(np.array([0, 1, 2], np.int32), (len(often), len(g.words), 1))
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key.view(np.int64)), pa.array(count.astype(np.int64))], names=["kind", "key", "n"])
+
+    found = rows.where(draw < sample / max(n, 1)).mapInArrow(tidy(entries), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    found = written(found, "sample")
+    total = found.where("kind = 2").agg(F.sum("n")).first()[0] or 0
+    coded = found.where("kind = 1 and n > 1").orderBy(F.desc("n"), "key").limit(CODED).select("key").toArrow()  # bounded by CODED
+    large = found.where((F.col("kind") == 0) & (F.col("n") * shards > F.lit(share * total))).toArrow()  # bounded by shards / share and by the sample
+    hot = {int(np.int64(k).view(_U)): min(shards, int(n * shards / (share * total)) + 1) for k, n in zip(large.column("key").to_pylist(), large.column("n").to_pylist(), strict=True)}
+    return Codes(coded.column("key").to_numpy().astype(np.int64).view(_U)), hot
+
+
+def part_totals(rows: DataFrame, hot: dict[int, int], most: int) -> dict[int, tuple[int, int]]:
+    """Over all training rows, the count of each split context and of the different words after it, by its parts' keys."""
     if not hot:
-        return {}, {}
+        return {}
     shared = rows.sparkSession.sparkContext.broadcast(hot)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,13 +386,12 @@ def hot_contexts(rows: DataFrame, shards: int, share: float, sample: int, most:
 
     counts = rows.mapInArrow(tidy(counted), "key long, word long, n long").groupBy("key", "word").agg(F.sum("n").alias("n"))
     totals = {int(np.int64(r["key"]).view(_U)): (r["n"], r["kinds"]) for r in counts.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()}
-    parts = {int(part_keys(np.array([k], _U), np.array([p], _U))[0]): totals[k] for k in totals for p in range(hot[k])}
-    return hot, parts
+    return {int(part_keys(np.array([k], _U), np.array([p], _U))[0]): totals[k] for k in totals for p in range(hot[k])}
 
 
 def score(
     docs: DataFrame, folds: int = 7, left_out: int = 2, doc_id: str = "doc_id", text: str = "text", stable: bool = False,
-    block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES, hot_share: float = HOT, hot_docs: int = HOT_DOCS,
+    block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES, hot_share: float = HOT, sample_docs: int = SAMPLE_DOCS,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row.
 
@@ -366,17 +405,17 @@ def score(
     rows = docs.withColumn("train", is_training(F.col("doc_id"), folds, left_out))
     size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
-    hot, totals = hot_contexts(rows, shards, hot_share, hot_docs, block_bytes)
-    shared = spark.sparkContext.broadcast((hot, totals))
+    coded, hot = sampled(rows, shards, hot_share, sample_docs, block_bytes)
+    shared = spark.sparkContext.broadcast((coded, hot, part_totals(rows, hot, block_bytes)))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, batch in _blocks(batches, block_bytes):
-            shard, blob, check = zip(*asked(_grams(batch, shared.value[0]), shards), strict=True)
+            shard, blob, check = zip(*asked(_grams(batch, shared.value[1]), shards, shared.value[0]), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array([block] * len(shard), pa.int64()), pa.array(blob, pa.binary()), pa.array(check, pa.int64())], names=["shard", "block", "blob", "check"])
 
     def looked_up(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        out, n, v = answers(table.column("blob").to_pylist(), shard, shards, shared.value[1])
+        out, n, v = answers(table.column("blob").to_pylist(), shard, shards, shared.value[0], shared.value[2])
         nothing = pa.nulls(len(out), pa.int64())
         mine = [table.column("block"), table.column("shard"), table.column("check"), pa.array(out, pa.binary()), nothing, nothing]
         sums = [pa.array([x], t) for x, t in ((None, pa.int64()), (shard, pa.int64()), (None, pa.int64()), (None, pa.binary()), (n, pa.int64()), (v, pa.int64()))]
@@ -401,7 +440,7 @@ def score(
         table = table.sort_by("shard")
         head, *blobs = table.column("blob").to_pylist()
         batch = pa.ipc.open_stream(head).read_next_batch()
-        g = _grams(batch, shared.value[0])
+        g = _grams(batch, shared.value[1])
         if sum(table.column("check").to_pylist()) & ((1 << 62) - 1) != _check(g.pairs, g.words):
             raise RuntimeError("a block's rows changed between two readings: write docs first (stable=False)")
         base, model, known = (np.add.reduceat(x.astype(float), g.at[:-1]) for x in token_scores(g, blobs, n, v))
