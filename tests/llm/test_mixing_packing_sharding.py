@@ -131,6 +131,28 @@ def test_sharding_orders_differ_by_seed_and_spread_copies(spark):
     assert sum(places[i + 1] - places[i] == 1 for i in range(1999)) < 20
 
 
+def test_sharding_reruns_agree_however_rows_are_partitioned(docs, rows):
+    def places(table):
+        return sorted(map(str, sharding.shuffled_shards(table, 7, bucket_bytes=2000, partition_bytes=5000).collect()))
+
+    one = places(docs.repartition(3))
+    assert one == places(docs.coalesce(1)) == places(docs.orderBy("n_chars"))
+
+
+def test_sharding_numbers_equal_rows(spark, monkeypatch):
+    """Rows that repeat in every column, ids null, are a third of all; they are numbered in pieces and spread over the buckets."""
+    monkeypatch.setattr(sharding, "PIECE_ROWS", 100)
+    rows = [(None, "same")] * 1000 + [(i, f"t{i}") for i in range(2000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = (sharding.shuffled_shards(t, 5, bucket_bytes=10_000) for t in (table.repartition(7), table.repartition(2)))
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    got = one.collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(rows)
+    assert sorted((r.shard, r.slot) for r in got) == [(s, k) for s in range(5) for k in range(600)]
+    same = sorted(r.slot * 5 + r.shard for r in got if r.doc_id is None)
+    assert sum(b - a == 1 for a, b in zip(same, same[1:])) < 450  # 333 expected if mixed
+
+
 def test_write_shards(docs, spark, tmp_path):
     path = f"{tmp_path}/shards"
     sharding.write_shards(docs, path, 3)
