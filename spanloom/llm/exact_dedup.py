@@ -2,10 +2,11 @@
 
 Texts are grouped by SHA-256 digest and full text.  Each input task first
 combines its own copies (the partial aggregate).  A digest that holds more
-than a thousandth of all rows is hot: its rows are dealt over salts, each
-salt keeps one winner, and the salt winners are combined.  Every grouping
-has the text itself in its key, so content decides and not the digest alone.
-At most 1/HOT_SHARE digests can be hot, which bounds what is broadcast.
+than a thousandth of all rows is hot: its rows are dealt over salts, so many
+that a salt has PIECE_ROWS at most, each salt keeps one winner, and the salt
+winners are combined.  Every grouping, window and join has the text itself in
+its key, so content decides and not the digest alone.  At most 1/HOT_SHARE
+digests can be hot, which bounds what is broadcast.
 
 Defined results: null text counts as empty; of equal texts the row with the
 largest doc_id stays (null ids are smallest); of rows that repeat both doc_id
@@ -23,7 +24,8 @@ from spanloom.llm.shared import written
 
 #: A digest with more than this share of all rows is hot.
 HOT_SHARE = 1 / 1000
-SALTS = 64
+#: Rows of a hot digest that share a salt, or HOT_SHARE of all rows if that is less.
+PIECE_ROWS = 100_000
 _P = "__xd_"  # prefix of working columns
 
 
@@ -32,32 +34,33 @@ def _digest(text: Column) -> Column:
 
 
 def hot_digests(docs: DataFrame, text: str) -> DataFrame:
-    """Digests of more than HOT_SHARE of all rows: at most 1/HOT_SHARE of them."""
+    """Digests of more than HOT_SHARE of all rows, at most 1/HOT_SHARE of them, and the number of salts of each."""
     least = max(2, int(docs.count() * HOT_SHARE))
     counts = docs.groupBy(_digest(F.coalesce(F.col(text), F.lit(""))).alias(f"{_P}digest")).agg(F.count("*").alias("n"))
-    return written(counts.where(F.col("n") > least).select(f"{_P}digest", F.lit(True).alias(f"{_P}hot")), "hot")
+    salts = F.ceil(F.col("n") / min(least, PIECE_ROWS)).cast("long")
+    return written(counts.where(F.col("n") > least).select(f"{_P}digest", salts.alias(f"{_P}salts")), "hot")
 
 
-def _keyed(docs: DataFrame, hot: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """docs with the text to compare, its digest, and a salt that is 0 unless the digest is hot."""
+def _keyed(docs: DataFrame, hot: DataFrame, text: str) -> DataFrame:
+    """docs with the text to compare, its digest, the number of salts (null unless the digest is hot) and a salt; no result depends on a row's salt."""
     full = F.coalesce(F.col(text), F.lit(""))
     docs = docs.withColumn(f"{_P}text", full).withColumn(f"{_P}digest", _digest(full))
     docs = docs.join(F.broadcast(hot), f"{_P}digest", "left")
-    salt = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(SALTS)).cast("int")
-    return docs.withColumn(f"{_P}salt", F.when(F.col(f"{_P}hot"), salt).otherwise(F.lit(0)))
+    salt = F.pmod(F.monotonically_increasing_id(), F.col(f"{_P}salts"))
+    return docs.withColumn(f"{_P}salt", F.coalesce(salt, F.lit(0).cast("long")))
 
 
 def _combined(keyed: DataFrame, first: list[Column], again: list[Column]) -> DataFrame:
     """One row for each distinct text: local and salted winners (first), then the salt winners of hot texts (again)."""
     by = [f"{_P}digest", f"{_P}text"]
-    salted = keyed.groupBy(*by, f"{_P}salt", f"{_P}hot").agg(*first)
-    hot = salted.where(f"{_P}hot").groupBy(*by).agg(*again)
-    return salted.where(f"{_P}hot is null").select(hot.columns).unionByName(hot)
+    salted = keyed.groupBy(*by, f"{_P}salt", f"{_P}salts").agg(*first)
+    hot = salted.where(f"{_P}salts is not null").groupBy(*by).agg(*again)
+    return salted.where(f"{_P}salts is null").select(hot.columns).unionByName(hot)
 
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, with all their columns."""
-    keyed = _keyed(docs, hot_digests(docs, text), doc_id, text)
+    keyed = _keyed(docs, hot_digests(docs, text), text)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text], F.col(text).isNull().alias(f"{_P}null"))
     key = F.struct(F.col(doc_id))
     kept = _combined(
@@ -72,29 +75,21 @@ def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 def mark_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 for every row, dropped ones too."""
     hot = hot_digests(docs, text)
-    keyed = _keyed(docs.select(doc_id, text), hot, doc_id, text)
-    keyed = keyed.withColumn(f"{_P}xx", F.xxhash64(f"{_P}text"))
-    groups = _combined(
-        keyed,
-        [F.max(doc_id).alias("keep_id"), F.count("*").alias("group_size")],
-        [F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")],
-    )
-    by = [f"{_P}digest", f"{_P}xx"]
-    groups = written(groups.select(f"{_P}digest", F.xxhash64(f"{_P}text").alias(f"{_P}xx"), "keep_id", "group_size"), "groups")
-    # Groups differ in full text.  Should two share SHA-256 and xxHash64, rows could not be told apart below: stop.
-    if groups.groupBy(*by).count().where("count > 1").limit(1).count():
-        raise ValueError("two different texts share both digests; use drop_copies, which needs no labels")
-    # A hot group's row is repeated for each salt, so that its members meet it in many tasks.
-    dealt = groups.join(F.broadcast(hot), f"{_P}digest", "left").withColumn(
-        f"{_P}salt", F.explode(F.when(F.col(f"{_P}hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
-    )
-    on = [*by, f"{_P}salt"]
-    rows = keyed.select(doc_id, *on).join(dealt.select(*on, "keep_id", "group_size"), on)
-    repeat = F.row_number().over(W.partitionBy(*on, doc_id).orderBy(doc_id))
-    return rows.select(
-        F.col(doc_id),
-        "keep_id",
-        "group_size",
-        (F.col(doc_id).eqNullSafe(F.col("keep_id")) & (repeat == 1)).alias("kept"),
-        F.lower(F.hex(f"{_P}digest")).alias("text_sha256"),
-    )
+    keyed = _keyed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias(text)), hot, text)
+    by = [f"{_P}digest", f"{_P}text"]
+    sha = F.lower(F.hex(f"{_P}digest")).alias("text_sha256")
+    same = W.partitionBy(*by)
+    first = F.row_number().over(same.orderBy(F.desc_nulls_last("doc_id"))) == 1
+    cold = keyed.where(f"{_P}salts is null")
+    cold = cold.select("doc_id", F.max("doc_id").over(same).alias("keep_id"), F.count("*").over(same).alias("group_size"), first.alias("kept"), sha)
+    if hot.isEmpty():
+        return cold.withColumnRenamed("doc_id", doc_id)
+    # Hot texts: a row number tells rows of equal id apart; it is written, so that it stays as it is.
+    rows = written(keyed.where(f"{_P}salts is not null").select("doc_id", *by, f"{_P}salts", f"{_P}salt", F.monotonically_increasing_id().alias(f"{_P}row")), "hot_rows")
+    best = rows.groupBy(*by, f"{_P}salts", f"{_P}salt").agg(F.max(F.struct("doc_id", f"{_P}row")).alias("best"), F.count("*").alias("group_size"))
+    best = best.groupBy(*by, f"{_P}salts").agg(F.max("best").alias("best"), F.sum("group_size").alias("group_size"))
+    # A group's result is repeated for each salt, so that its rows meet it in many tasks.
+    dealt = best.withColumn(f"{_P}salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{_P}salts") - 1))).drop(f"{_P}salts")
+    rows = rows.join(dealt, [*by, f"{_P}salt"])
+    rows = rows.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col(f"{_P}row") == F.col(f"best.{_P}row")).alias("kept"), sha)
+    return cold.unionByName(rows).withColumnRenamed("doc_id", doc_id)

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from spanloom.llm import exact_dedup, near_dedup
 from spanloom.llm.components import components
@@ -44,6 +45,28 @@ def test_exact_hot_text_and_clashing_names(spark):
     assert exact_dedup.drop_copies(table).where("text = 'same'").first().doc_id == 2999
 
 
+def test_exact_hot_text_without_ids(spark, monkeypatch):
+    """A third of all rows has one text and no id, another third one text and one id; salts are small."""
+    monkeypatch.setattr(exact_dedup, "PIECE_ROWS", 50)
+    rows = [(None, "no id")] * 1000 + [(7, "one id")] * 1000 + [(i, f"own {i}") for i in range(1000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert {r[f"{exact_dedup._P}salts"] for r in exact_dedup.hot_digests(table, "text").collect()} == {334}
+    got = exact_dedup.mark_copies(table)
+    assert got.count() == 3000
+    assert got.where("kept and keep_id is null and group_size = 1000").count() == 1
+    assert got.where("kept and keep_id = 7 and doc_id = 7 and group_size = 1000").count() == 1
+    assert got.where("kept").count() == 1002
+    assert exact_dedup.drop_copies(table).count() == 1002
+
+
+def test_exact_tells_texts_of_one_digest_apart(docs, rows, monkeypatch):
+    """Content decides: with a digest that is the same for all texts, results are the same."""
+    want = Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.mark_copies(docs).collect())
+    monkeypatch.setattr(exact_dedup, "_digest", lambda text: F.unhex(F.sha2(F.lit("one"), 256)))
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.mark_copies(docs).collect()) == want
+    assert exact_dedup.drop_copies(docs).count() == len({r[1] or "" for r in rows})
+
+
 def test_exact_empty(empty):
     assert exact_dedup.mark_copies(empty).count() == 0
     assert exact_dedup.drop_copies(empty).count() == 0
