@@ -1,16 +1,20 @@
 """Quality rules, line first.
 
 Each line is held against three groups of rules: punctuation (it ends a
-sentence or holds several, and its words don't each drag symbols or shouts), navigation (menus
-of separators, arrows and menu words) and boilerplate (notices that sites
-repeat).  Lines that fail are removed; then a document that has lost more than
-MOST_LOST of its word characters, or keeps fewer than LEAST_WORDS words, is
-rejected.  Beside that verdict stand a few whole-text counts and the base rule
-on them.
+sentence or holds several, and its words don't each drag symbols or shouts;
+scripts that write no end marks need none), navigation (menus of separators,
+arrows, short items and menu words, page counters) and boilerplate (notices that
+sites repeat).  Lines that fail are removed; then a document that has lost more
+than MOST_LOST of its word characters, or keeps fewer than LEAST_WORDS words, is
+rejected.  Words are maximal runs of characters other than space and \\t \\n \\v
+\\f \\r throughout, so other white space is part of a word.  Beside that verdict
+stand a few whole-text counts and the base rule on them.  Lines and words are
+counted as equal only if their bytes are.
 
 Defined results: null text has no lines; a line without words is neither
-judged nor counted as lost; a text without words fails the base rule; an
-empty table gives no rows; other columns are ignored.
+judged nor counted as lost; a text without words fails the base rule; equal
+rows give equal rows; a text of any length is read whole; an empty table gives
+no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -32,36 +36,60 @@ MOST_REPEATED_PERCENT = 20
 MOST_LOST = 0.3
 _U = np.uint64
 
-# Symbols, marks and phrases of the line rules.
+# Symbols, marks, words and phrases of the line rules.
 SYMBOLS = "#*$%&|<>"
-ENDS = ".!?…。！？؟।:;\"'”’»)]"
-SEPARATORS = {"|", ">", ">>", "»", "›", "•", "·", "::", "/", "«", "<", "→", "←"}
-MENU_WORDS = {"home", "menu", "login", "logout", "register", "search", "contact", "about", "sitemap", "faq", "help", "next", "previous", "back", "share", "subscribe", "startseite", "suche", "kontakt", "impressum", "anmelden", "accueil", "recherche", "connexion", "inicio", "buscar", "contacto"}
+ENDS = ".!?…。！？｡．؟۔।॥։።:;\"'”’»›)]）】」』"
+SEPARATORS = {"|", "||", ">", ">>", "»", "›", "•", "·", "::", "/", "«", "<", "→", "←", "▸", "▶", "■", "◦", "~"}
+MENU_WORDS = {
+    "home", "homepage", "menu", "login", "logout", "register", "search", "contact", "about", "us", "sitemap", "faq", "help", "next", "previous", "back", "share", "subscribe", "archive", "archives", "categories", "tags", "forum", "blog", "news", "shop", "cart", "checkout", "account", "profile", "settings", "support", "terms", "privacy", "imprint", "print", "top", "more", "all", "page",
+    "startseite", "suche", "kontakt", "impressum", "anmelden", "abmelden", "datenschutz", "hilfe", "weiter", "zurück", "warenkorb", "übersicht",
+    "accueil", "recherche", "connexion", "panier", "aide", "suivant", "précédent", "mentions", "légales",
+    "inicio", "buscar", "contacto", "ayuda", "siguiente", "anterior", "carrito", "cuenta", "acceder",
+}
 BOILERPLATE = re.compile(
-    r"(?i)\b(?:all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|(?:use|uses|using|accept) cookies|enable javascript|javascript is (?:disabled|required)|"
-    r"click here|read more|sign up for|subscribe to our|lorem ipsum|powered by|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados)\b|\{\s*\}|©"
+    r"(?i)\b(?:all rights reserved|terms (?:of|and) (?:use|service|conditions)|privacy (?:policy|notice|settings)|cookie (?:policy|settings|notice)|(?:use|uses|using|accept|accepting) (?:all )?cookies|enable (?:javascript|cookies)|javascript is (?:disabled|required|not)|"
+    r"click here|read (?:more|the full)|continue reading|sign up (?:for|now|today)|log in to|subscribe (?:to our|now|today)|lorem ipsum|powered by|share (?:this|on)|follow us|add to (?:cart|basket)|skip to (?:content|main)|back to top|leave a (?:comment|reply)|related (?:posts|articles)|posted (?:by|in|on)|filed under|permalink|unsubscribe|your browser|advertisement|sponsored content|"
+    r"alle rechte vorbehalten|verwendet cookies|hier klicken|weiterlesen|newsletter abonnieren|tous droits réservés|utilise des cookies|cliquez ici|lire la suite|todos los derechos reservados|utiliza cookies|haga clic|leer más)\b|\{\s*\}|©|\(c\) ?(?:19|20)\d\d"
 )
+#: Words one of which each phrase has.
+TRIGGERS = {
+    "rights", "terms", "privacy", "cookie", "cookies", "javascript", "click", "read", "reading", "sign", "log", "subscribe", "lorem", "powered", "share", "follow", "add", "skip", "back", "leave", "related", "posted", "filed", "permalink", "unsubscribe", "browser", "advertisement", "sponsored",
+    "rechte", "klicken", "weiterlesen", "newsletter", "droits", "cliquez", "lire", "derechos", "haga", "leer",
+}
+_LETTERS = re.compile(r"[^\W\d_]+")
+_SIGNS = re.compile(r"[{©]|\([cC]\)")
+_RUN = re.compile(r"[#*$%&|<>~^_=+]{2}|!!|\?\?")
+COUNTER = re.compile(r"(?i)(?:page|seite|página)\s*\d+\s*(?:of|von|sur|de|/)\s*\d+|(?:\d+|\.{2,3}|…)(?:\s+(?:\d+|\.{2,3}|…)){3,}")
 _DRAGS = re.compile(r"(?:[#*$%&|<>~^_=+]{2,}|!{2,}|\?{2,})[.,;:]?$")
+#: Thai, Lao, Tibetan, Myanmar and Khmer: sentences end with a space, if with anything.
+_UNMARKED = re.compile(r"[\u0E00-\u0EFF\u0F00-\u0FFF\u1000-\u109F\u1780-\u17FF]")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def line_fails(line: str) -> str | None:
     """The group of rules that a line with words fails, or None."""
-    own = line.split()
-    bare = [w.strip(".,;:!?()").lower() for w in own]
-    separators = sum(w in SEPARATORS for w in own)
-    if separators >= 2 and separators * 10 >= len(own) or len(own) <= 4 and all(b in MENU_WORDS for b in bare if b):
+    own = _WORD.findall(line)
+    separators = 0 if SEPARATORS.isdisjoint(own) else sum(w in SEPARATORS for w in own)
+    if separators >= 2 and separators * 10 >= len(own) or COUNTER.fullmatch(line.strip()):
         return "navigation"
-    if BOILERPLATE.search(line):
+    if len(own) <= 8:
+        bare = [b for b in (w.strip(".,;:!?()").lower() for w in own) if b]
+        if bare and all(b in MENU_WORDS or b in SEPARATORS for b in bare):
+            return "navigation"
+    if (_SIGNS.search(line) or not TRIGGERS.isdisjoint(_LETTERS.findall(line.lower()))) and BOILERPLATE.search(line):
         return "boilerplate"
-    if sum(bool(_DRAGS.search(w)) for w in own) * 2 > len(own):
+    if _RUN.search(line) and sum(bool(_DRAGS.search(w)) for w in own) * 2 > len(own):
         return "punctuation"
-    # A line of several sentences is prose even if its last one is left open.
-    return None if own[-1][-1] in ENDS or sum(w[-1] in ".!?…" for w in own) >= 2 else "punctuation"
+    # A line of several sentences is prose even if its last one is left open; so is one in a script without end marks.
+    if own[-1][-1] in ENDS or sum(w[-1] in ".!?…。" for w in own) >= 2:
+        return None
+    last = own[-1]
+    return None if 2 * len(_UNMARKED.findall(last)) > len(last) else "punctuation"
 
 
 def cleaned(text: str | None) -> str:
     """The text without the lines that fail."""
-    return "\n".join(x for x in (text or "").split("\n") if not x.split() or line_fails(x) is None)
+    return "\n".join(x for x in (text or "").split("\n") if not _WORD.search(x) or line_fails(x) is None)
 
 
 def counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
@@ -84,23 +112,23 @@ def counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     edges = np.concatenate((offsets[:-1], feeds + 1))
     until = np.concatenate((offsets[1:], feeds))
     line_start, line_end = np.sort(edges), np.sort(until)
-    hashed = words.span_hashes(data, line_start, line_end) if len(data) else np.zeros(len(line_start), _U)
     row = np.searchsorted(offsets, line_start, side="right") - 1
     first_word = np.searchsorted(starts, line_start)
     worded = (first_word < len(starts)) & (starts[np.minimum(first_word, max(len(starts) - 1, 0))] < line_end) if len(starts) else np.zeros(len(line_start), bool)
-    hashed, row = hashed[worded], row[worded]
-    order = np.lexsort((hashed, row))
-    again = (hashed[order][1:] == hashed[order][:-1]) & (row[order][1:] == row[order][:-1])
+    line, row = words.numbers(data, line_start[worded], line_end[worded]), row[worded]
+    order = np.lexsort((line, row))
+    again = (line[order][1:] == line[order][:-1]) & (row[order][1:] == row[order][:-1])
     out["n_dup_lines"] = np.bincount(row[order][1:][again], minlength=n_rows)
 
-    # Windows: a window's hash takes its words' hashes and places; those found twice in a row cover their words.
+    # Windows: numbers of two words, then of four and of five; windows found twice in a row cover their words.
     per_row = np.maximum(n - WINDOW + 1, 0)
     row = np.repeat(np.arange(n_rows), per_row)
     first = np.repeat(at[:-1], per_row) + np.arange(len(row)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
-    own = words.span_hashes(data, starts, ends) if len(starts) else np.zeros(0, _U)
-    key = np.zeros(len(row), _U)
-    for k in range(WINDOW):
-        key = words.mix(key * _U(0x9E3779B97F4A7C15) + own[first + k]) if len(row) else key
+    own = words.numbers(data, starts, ends).astype(_U)
+    wide = _U(len(own) + 1)
+    two = np.unique(own[:-1] * wide + own[1:], return_inverse=True)[1].astype(_U) if len(own) else own
+    four = np.unique(two[first] * wide + two[first + 2], return_inverse=True)[1].astype(_U) if len(row) else own[:0]
+    key = four * wide + own[first + WINDOW - 1] if len(row) else four
     order = np.lexsort((key, row))
     same = (key[order][1:] == key[order][:-1]) & (row[order][1:] == row[order][:-1])
     twice = np.zeros(len(row), bool)
@@ -124,7 +152,7 @@ def clean_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                 texts = batch.column(1).slice(i, j - i).to_pylist()
                 failed = (base["n_words"] < LEAST_WORDS) | (100 * base["n_repeat_words"] > MOST_REPEATED_PERCENT * base["n_words"])
                 clean = [cleaned(t) for t in texts]
-                left = [c.split() for c in clean]
+                left = [_WORD.findall(c) for c in clean]
                 chars = np.array([sum(map(len, w)) for w in left], np.int64)
                 lost = 1 - chars / np.maximum(base["word_chars"], 1)
                 lost[base["word_chars"] == 0] = 0

@@ -6,6 +6,8 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from spanloom.llm import html_text, pii, quality, shared
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -39,6 +41,29 @@ def test_line_rules(spark):
     assert got[4].removed == 2 and got[4].clean_text == prose
 
 
+def brute_verdict(text):
+    """Kept and lost by the definition, line by line."""
+    own = WORD.findall(text or "")
+    left = [w for x in (text or "").split("\n") if (found := WORD.findall(x)) and quality.line_fails(x) is None for w in found]
+    lost = 1 - sum(map(len, left)) / max(sum(map(len, own)), 1) if own else 0
+    n_words, _, _, _, repeated = brute_counts(text)
+    return n_words >= 10 and 100 * repeated <= 20 * n_words and lost <= quality.MOST_LOST and len(left) >= quality.LEAST_WORDS, lost
+
+
+def test_quality_verdict_against_brute_force(docs, rows):
+    prose = " ".join(f"word{i}" for i in range(60)) + "."
+    wide = prose.replace(" ", "\u3000", 30)  # wide spaces are no separators
+    thai = "\n".join("ภาษาไทยเป็นภาษาที่มีระดับเสียง " * 3 + f"ข้อความ{i}กขค" for i in range(12))
+    odd, even = ("".join("ab"[(bin(i).count("1") + k) & 1] for i in range(4096)) for k in (0, 1))
+    extra = [(900, wide), (901, prose.replace(" ", "\u00a0", 30)), (902, thai), (903, f"{odd}\n{even}\n{odd}"), (904, f"{odd} a b c d {even} a b c d " * 2), (905, (prose + "\n") * 2 + "Page 1 of 5\n1 2 3 ... 9"), (906, "x. " * 40_000)]
+    table = docs.sparkSession.createDataFrame([(r[0], r[1]) for r in rows] + extra, "doc_id long, text string").withColumn("kept", F.lit("clash"))
+    got = quality.clean_lines(table).collect()
+    assert Counter((r.doc_id, r.kept, round(r.lost, 9)) for r in got) == Counter((i, k, round(x, 9)) for i, t in [(r[0], r[1]) for r in rows] + extra for k, x in [brute_verdict(t)])
+    by_id = {r.doc_id: r for r in got}
+    assert by_id[900].lost == by_id[901].lost == by_id[902].lost == 0 and by_id[900].kept and by_id[902].base_failed == (100 * brute_counts(thai)[4] > 20 * brute_counts(thai)[0])
+    assert by_id[903].n_dup_lines == 1 and by_id[905].removed == 2
+
+
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var a="</p><p>no</p>";</script></head><body>
 <header class="site"><a href=/>Site name</a></header><nav><ul><li><a>Home</a></li></ul></nav><div class="ad big">Buy this now, it is a very long advert text.</div>
 <div id="cookie-notice">We use cookies.</div><article><header class="entry-header"><h1>Title &amp; more</h1></header><p>First <b>bold</b>  text&nbsp;here.<br>After break.<p>Hi.
