@@ -1,11 +1,12 @@
 from __future__ import annotations
 
 import json
+import random
 import re
+import timeit
 from collections import Counter
 
 import pytest
-
 from pyspark.sql import functions as F
 
 from spanloom.llm import html_text, pii, quality, shared
@@ -81,6 +82,84 @@ def test_page_without_article():
     assert html_text.main_text(page) == f"{long}\nShort.\n{long}"
 
 
+def brute_blocks(page, window=3, surge=80):
+    """Line blocks by the definition: a list of lines, empty ones too, and each window's sum taken anew."""
+    rows = []
+    for text, weight, gap in zip(*html_text.lines(page)):
+        rows += [("", 0)] * gap + [(text, weight)]
+    block = lambda k: sum(w for _, w in rows[k : k + window])
+    fullest = max((block(k) for k in range(len(rows))), default=0)
+    if not fullest:
+        return ""
+    threshold = min(surge, -(-fullest // 4))
+    out, inside = [], False
+    for k, (text, weight) in enumerate(rows):
+        if not inside and 2 * weight >= threshold and block(k) >= threshold and (block(k + 1) > 0 or weight >= threshold):
+            inside = True
+        elif inside and weight == 0 and 4 * block(k + 1) < threshold:
+            inside = False
+        if inside and weight:
+            out.append(text)
+    return "\n".join(out)
+
+
+def test_line_blocks_against_brute_force():
+    """Pages of plain divs: the windows decide on most of them, and as the definition says."""
+    rng = random.Random(8)
+    decided = 0
+    for _ in range(300):
+        parts = []
+        for _ in range(rng.randint(1, 12)):
+            size = rng.choice([4, 15, 30, 60, 90, 200, 400])
+            line = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(size // 6 + 1))
+            tag = rng.choice(["p", "p", "div", "li", "h2", "section", "article" if rng.random() < 0.1 else "div"])
+            depth = rng.choice([0, 0, 1, 2, 3])
+            parts.append("<div>" * depth + f"<{tag}>{line}</{tag}>" + "</div>" * depth)
+        page = "<body>" + "".join(parts) + "</body>"
+        got = html_text.main_text(page)
+        assert got == brute_blocks(page)
+        texts, weights, _ = html_text.lines(page)
+        decided += got != "\n".join(t for t, w in zip(texts, weights) if w)
+    assert decided > 100
+
+
+def test_windows_cut_short_lines_around_the_text():
+    long = "Words of the story go on and on until the line is long enough to be text."
+    page = f"<body><div><div><p>My site</p></div></div><div><div><p>{long}</p><p>{long}</p><p>The end.</p></div></div><div><div><p>Tags here</p></div></div><div><p>Imprint</p></div>"
+    assert html_text.main_text(page) == f"{long}\n{long}\nThe end."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>x</title><meta charset=utf-8><body><p>{}</p></body>",
+        "<html><head><style>p{{}}</style><link rel=x><div><p>{}</p></div>",
+        "<div data-hidden='false'><p>{}</p></div>",
+        "<div title='the hidden class=\"ad\" id=nav'><p>{}</p></div>",
+        "<div class='side story'><p>{}</p></div>",
+        "<div class='legal news'><p>{}</p></div>",
+        "<div class='has-sidebar'><p>{}</p></div>",
+        "<div id=menu1>Menu</div><svg><text>no</text></svg><p>{}</p>",
+        "<div class='ad-box'>An advert that is long enough to pass for text, if it were not for its name.</div><p>{}</p>",
+        "<p>{}</p><div id='reader-comments'><p>A comment that is long enough to pass for text, if not for its name.</p></div>",
+        "<p aria-hidden=TRUE>A hidden line that is long enough to pass for text, as far as its length goes.</p><p>{}</p>",
+    ],
+)
+def test_what_a_page_hides_and_shows(page):
+    long = "Words of the story go on and on until the line is long enough to be text."
+    assert html_text.main_text(page.format(long)) == long
+
+
+def test_page_time_is_linear():
+    page = "<b><p>" + "<div>" * 20_000 + "</span>" * 20_000 + "</b>" * 20_000 + "x " * 100
+    assert timeit.timeit(lambda: html_text.main_text(page), number=1) < 5
+
+
+def test_pages_with_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "u", None, "t", 5), (1, "u", "<p>One line of text.", "t", 5), (1, "u", "<p>One line of text.", "t", 5)], "page_id long, url string, html string, text string, n_chars long")
+    assert sorted(map(tuple, html_text.extract(pages).collect())) == [(1, "u", "", 0)] + [(1, "u", "One line of text.", 17)] * 2
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<p>", "<nav>x</nav>", "<!-- x", "<script>var a", "<p", "&nbsp;"])
 def test_pages_without_text(page):
     assert html_text.main_text(page) == ""
