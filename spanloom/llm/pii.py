@@ -1,22 +1,32 @@
 """Personal data replaced by keyed surrogates.
 
-Detection finds e-mail addresses, phone numbers, IPv4 addresses, long account
-and card numbers, IBANs, social-security numbers, secrets and titled names.
-Each entity (type and canonical form) gets a replacement drawn by HMAC-SHA-256
-from a key: of its type, with digits for digits and letters for letters in the
-mention's own layout and case, keeping a card's Luhn validity, an IBAN's
-country and check digits, an address's validity, and a name's gender and
-script.  The same entity always gets the same surrogate, in every document.
+Detection finds e-mail addresses, phone numbers, IPv4 and IPv6 addresses, long
+account and card numbers, IBANs, social-security numbers, secrets, labelled birth
+dates and passport numbers, and names that stand after a title; and then, in the
+same text, further mentions of these people without a title, by full or family
+name.  Each entity (type and canonical form) gets a replacement drawn by
+HMAC-SHA-256 from a key: of its type, with digits for digits and letters for
+letters in the mention's own layout and case, keeping a card's Luhn validity, an
+IBAN's country and check digits, an address's validity, a secret's known prefix,
+and a name's gender and script.  The same entity always gets the same surrogate,
+in every document.
+
+Given and family names are entities of their own, so "Mr John Smith", "J. Smith",
+"Dr Smith" and a later "Smith" become one person, and a family keeps one name.  A
+given name after a title that tells no gender has the gender of the same name in
+its document, or else the only one it has in the table.
 
 Distinct entities stay distinct: the distinct entities of the whole table are
-given surrogates, and those that clash with another's surrogate or with a real
-entity are drawn again until none does.  First draws need no table, so only
-the entities drawn again are looked up: from a broadcast if they are counted
-as few, else by a join.
+given surrogates, and those that clash, as they would be printed, with another's
+surrogate or with a real entity are drawn again until none does.  First draws need
+no table, so only the entities drawn again are looked up: from a broadcast if they
+are counted as few, else by a join.
 
 Defined results: null text stays null, with no entities; overlapping
-detections go to the earlier and longer one; equal rows give equal rows; an
-empty table gives no rows; other columns are ignored.
+detections go to the earlier and longer one; equal rows give equal rows; texts of
+any length are read whole; an empty table gives no rows; other columns, whatever
+their names, are ignored.  Names that never follow a title and postal addresses
+are not found.
 """
 
 from __future__ import annotations
@@ -57,24 +67,33 @@ NAMES = {
         "last": ["Αλεξίου", "Δήμου", "Ζέρβας", "Λάμπρου", "Μάνος", "Ρήγας"],
     },
 }
-_REST = r"[^\W\d_]*(?:[-'’][^\W\d_]+)*"  # of a name after its capital
+_REST = r"[^\W\d_]*(?:[-'’](?!s\b)[^\W\d_]+)*"  # of a name after its capital
 _CAPITAL = r"(?-i:[A-ZÀ-ÖØ-ÞΆ-ΫА-ЯЁ])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-_TITLE = "|".join(sorted((re.escape(t) for x in TITLES.values() for t in x), key=len, reverse=True))
+_GENDER = {t: g for g, x in TITLES.items() for own in x for t in (own, own.upper())}
+_TITLE = "|".join(sorted(map(re.escape, _GENDER), key=len, reverse=True))
+PARTICLES = ("von", "van", "der", "den", "de", "del", "della", "di", "da", "la", "zu", "zum")
+_SURNAME = rf"(?:(?:{'|'.join(PARTICLES)})[ ])*{_CAPITAL}(?:\.|{_REST})"
+PREFIXES = ("sk", "pk", "ghp", "gho", "xoxa", "xoxb", "xoxp", "AKIA", "AIza")
 DETECT = re.compile(
     rf"""(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*(?:@|\(at\)|\[at\])(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{{2,}})
-    |(?P<secret>(?:(?<=["'`=: ])|\b)(?=[0-9a-fA-F]*\d)(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{{32,128}}(?![0-9A-Za-z])|\b(?:sk|pk|ghp|gho|xox[abp]|AKIA|AIza)[-_A-Za-z0-9]{{12,}})
+    |(?P<secret>(?:(?<=["'`=: ])|\b)(?=[0-9a-fA-F]*\d)(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{{32,128}}(?![0-9A-Za-z])|\b(?:{'|'.join(PREFIXES)})[-_A-Za-z0-9]{{12,}})
     |(?P<iban>(?<![A-Za-z0-9])[A-Z]{{2}}\d{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,4}})?(?![A-Za-z0-9]))
     |(?P<ip>(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d))
+    |(?P<ipv6>(?<![\w:.])(?:(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}|(?=[0-9A-Fa-f:]*[0-9A-Fa-f]{{3}})(?:[0-9A-Fa-f]{{1,4}}:){{1,6}}(?::[0-9A-Fa-f]{{1,4}}){{1,6}})(?![\w:]|\.\d))
+    |(?:(?:[Bb]orn(?:[ ]on)?|[Dd]ate[ ]of[ ]birth|DOB|[Gg]eboren(?:[ ]am)?|[Gg]eb\.|[Gg]eburtsdatum|[Nn]ée?[ ]le|[Nn]acid[oa][ ]el):?[ ]?(?P<birth>\d{{4}}-\d\d-\d\d|\d{{1,2}}[./-]\d{{1,2}}[./-]\d{{4}})(?!\d))
+    |(?:(?:[Pp]assport|[Rr]eisepass|[Pp]asaporte|[Pp]asseport)(?:[ ](?:no\.?|number|[Nn]r\.?|n°))?:?[ ](?P<passport>(?=[A-Z]*\d)[A-Z0-9]{{7,9}})(?![A-Za-z0-9]))
     |(?P<phone>(?<![\w+])\+1[ .\-]?\(?\d{{3}}\)?[ .\-]?\d{{3}}[ .\-]?\d{{4}}(?!\d)|(?<![\w+])\+\d{{1,3}}(?:[ .\-/]?\(?\d{{1,5}}\)?){{2,6}}(?!\d|\.\d)|(?<![\w+.-])\(\d{{3}}\)[ ]?\d{{3}}[-. ]\d{{4}}(?!\d)|(?<![\w+.-])\d{{3}}[-. ]\d{{3}}[-. ]\d{{4}}(?![\d-]))
     |(?P<card>(?<![\d.-])\d(?:[ -]?\d){{12,18}}(?![\d]|[.-]\d))
     |(?P<ssn>(?<![\d-])\d{{3}}-\d{{2}}-\d{{4}}(?![\d-]))
-    |(?P<name>\b(?P<title>{_TITLE})\.?[ ]{_CAPITAL}(?:\.|{_REST})(?:[ ]{_CAPITAL}(?:\.|{_REST})){{0,2}})""",
+    |(?P<name>\b(?P<title>(?:(?:{_TITLE})\.?[ ])+)(?P<person>{_SURNAME}(?:[ ]{_SURNAME}){{0,2}}))""",
     re.X,
 )
 #: A text without any of these has no entity; it is passed over at once.
 _HINT = re.compile(rf"[\d@]|\b(?:{_TITLE})\b|\((?:at)\)|\[at\]")
 _DIGITS = re.compile(r"\d")
+#: Tasks that the rows of one text may be dealt over.
+SALTS = 32
 
 
 def luhn(digits: str) -> int:
@@ -85,24 +104,98 @@ def luhn(digits: str) -> int:
     return total % 10
 
 
-def canonical(kind: str, mention: str, title: str | None = None) -> str:
+def canonical(kind: str, mention: str) -> str:
+    """The form that all mentions of an entity share (names: see people)."""
     if kind == "email":
         return re.sub(r"\(at\)|\[at\]", "@", mention.lower())
     if kind in ("phone", "card", "ssn"):
         return ("+" if mention.startswith("+") else "") + "".join(_DIGITS.findall(mention))
+    if kind == "birth":
+        parts = [p.zfill(2) for p in re.split(r"\D", mention)]
+        return "-".join(parts if len(parts[0]) == 4 else reversed(parts))
     if kind == "iban":
         return mention.replace(" ", "").upper()
-    if kind == "name":
-        gender = next((g for g, x in TITLES.items() if title in x), "n")
-        return gender + "|" + " ".join(mention.split(" ")[1:]).lower()
-    return mention.lower() if kind == "secret" else mention
+    return mention.lower() if kind in ("secret", "ipv6") else mention
+
+
+def _own_names(person: str) -> list[str]:
+    """Given names and the family name, without particles, in lower case."""
+    return [x.lower() for x in person.split(" ") if x not in PARTICLES]
+
+
+@lru_cache(4096)
+def _mentions(names: frozenset[str]) -> re.Pattern:
+    """Full and family names in their own case or in capitals, longest first."""
+    forms = sorted({f for n in names for f in (n, n.upper())}, key=lambda f: (-len(f), f))
+    return re.compile(r"(?<![\w@.-])(?:" + "|".join(map(re.escape, forms)) + r")(?![\w@-])")
+
+
+def people(text: str, titled: list[tuple[int, int, str, str]], taken: list[tuple[int, int]]) -> list[tuple[int, int, str, str]]:
+    """start, end (of the name alone), "name" and canonical form of each mention of the people that titles point out.
+
+    titled: start and end of the name, its titles, the name.  The canonical
+    form is gender | names in lower case; an initial is followed by = and the
+    given name it stands for, if the text has that.
+    """
+    own = []
+    for start, end, titles, person in titled:
+        gender = next((g for t in re.findall(r"[^ .]+(?:-[^ .]+)?", titles) if (g := _GENDER.get(t, "n")) != "n"), "n")
+        own.append((start, end, gender, _own_names(person)))
+    full = {(*names,): g for g in ("f", "m") for _, _, gender, names in own if gender == g and len(names) > 1}
+    for _, _, gender, names in own:
+        if len(names) > 1:
+            full.setdefault((*names,), gender)
+    forms = {}
+    for (start, end, _, person), (_, _, _, names) in zip(titled, own, strict=True):
+        forms[person] = names
+        given, family = person.split(" ")[0], person.split(" ")[-1]
+        if len(names) > 1 and given not in PARTICLES and not given.endswith("."):
+            forms.setdefault(f"{given[0]}. {family}", [f"{given[0].lower()}.", names[-1]])
+        if len(family) > 1 and not family.endswith("."):
+            forms.setdefault(family, names[-1:])
+    spans = sorted([(s, e) for s, e, _, _ in own] + taken)
+    at = 0
+    for m in _mentions(frozenset(forms)).finditer(text):
+        while at < len(spans) and spans[at][1] <= m.start():
+            at += 1
+        if at == len(spans) or spans[at][0] >= m.end():
+            names = forms.get(m[0]) or next(n for f, n in forms.items() if f.upper() == m[0])
+            own.append((m.start(), m.end(), "n", names))
+    out = []
+    for start, end, gender, names in own:
+        if gender == "n":
+            gender = full.get((*names,), "n")
+        if len(names) > 1 and names[0].endswith("."):
+            known = sorted((k, g) for k, g in full.items() if k[-1] == names[-1] and k[0].startswith(names[0][:-1]) and not k[0].endswith("."))
+            if known:
+                gender, names = (known[0][1] if gender == "n" else gender), [f"{names[0]}={known[0][0][0]}", *names[1:]]
+        out.append((start, end, "name", gender + "|" + " ".join(names)))
+    return out
 
 
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """start, end, type and canonical form of each entity, in order and apart from each other."""
     if not _HINT.search(text):
         return []
-    return [(m.start(), m.end(), m.lastgroup if m.lastgroup != "title" else "name", canonical(m.lastgroup if m.lastgroup != "title" else "name", m[0], m["title"])) for m in DETECT.finditer(text)]
+    found, titled = [], []
+    for m in DETECT.finditer(text):
+        kind = m.lastgroup
+        if m["person"]:
+            titled.append((m.start("person"), m.end("person"), m["title"], m["person"]))
+        else:
+            found.append((*m.span(kind), kind, canonical(kind, m[kind])))
+    if titled:
+        found = sorted(found + people(text, titled, [f[:2] for f in found]))
+    return found
+
+
+def parts(kind: str, canon: str) -> list[tuple[str, str]]:
+    """The entities that are drawn for a mention: itself, or its given and family names."""
+    if kind != "name":
+        return [(kind, canon)]
+    gender, names = canon.split("|", 1)
+    *given, family = names.split(" ")
+    return [("initial", x) if x.endswith(".") else ("given", f"{gender}|{x.split('=')[-1]}") for x in given] + [("initial" if family.endswith(".") else "family", family)]
 
 
 class Stream:
@@ -157,16 +250,25 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
         valid = int("".join(str(int(c, 36)) for c in canon[4:] + canon[:4])) % 97 == 1
         check = 98 - number % 97
         return f"{canon[:2]}{check if valid else (check + 1 + draw.below(90)) % 97:02d}{body}"
-    if kind == "name":
-        gender, name = canon.split("|", 1)
+    if kind == "ipv6":
+        return ":".join("".join("123456789abcdef0"[draw.below(15 + bool(k))] for k in range(len(x))) for x in canon.split(":"))
+    if kind == "birth":
+        return f"{1930 + draw.below(76)}-{1 + draw.below(12):02d}-{1 + draw.below(28):02d}"
+    if kind == "passport":
+        return "".join(_like(c, draw) for c in canon)
+    if kind in ("given", "family"):
+        gender, name = canon.split("|", 1) if kind == "given" else ("", canon)
         script = "cyrillic" if re.search("[а-яё]", name) else "greek" if re.search("[α-ωά-ώ]", name) else "latin"
-        pool = NAMES[script]
-        first = pool[gender] if gender in pool else pool["m"] + pool["f"]
-        parts = name.split(" ")
-        out = [first[draw.below(len(first))] for _ in parts[:-1]] + [pool["last"][draw.below(len(pool["last"]))]]
-        if attempt:  # doubled and trebled family names, as many as it takes
-            out[-1] += "".join("-" + pool["last"][draw.below(len(pool["last"]))] for _ in range(1 + attempt // 8))
-        return gender + "|" + " ".join(out).lower()
+        pool = NAMES[script]["last" if kind == "family" else gender] if gender != "n" else NAMES[script]["m"] + NAMES[script]["f"]
+        # Drawn again: doubled and trebled names, as many as it takes.
+        return "-".join(pool[draw.below(len(pool))] for _ in range(1 + (attempt + 1) // 2)).lower()
+    if kind == "initial":  # a cycle through the letters in an order drawn from the key: distinct, and never itself
+        script = "абвгдежзийклмнопрстуфхцчшщэюя" if re.search("[а-яё]", canon) else "αβγδεζηθικλμνξοπρστυφχψω" if re.search("[α-ω]", canon) else "abcdefghijklmnopqrstuvwxyz"
+        order = sorted(script, key=lambda c: hmac.digest(key, f"initial|{c}".encode(), sha256))
+        return order[(order.index(canon[0]) + 1) % len(order)] + "." if canon[0] in order else canon
+    prefix = next((p for p in PREFIXES if canon.startswith(p.lower())), "")
+    if prefix:
+        return prefix.lower() + "".join(_like(c, draw) for c in canon[len(prefix) :])
     out = [_like(c, draw) if not re.match("[0-9a-f]", c) or not re.fullmatch("[0-9a-f]+", canon) else "0123456789abcdef"[draw.below(16)] for c in canon]
     return "".join(out)
 
@@ -179,24 +281,42 @@ def laid_out(kind: str, mention: str, chosen: str) -> str:
     if kind == "iban":
         letters = iter(chosen)
         return "".join(c if c == " " else next(letters) for c in mention)
-    if kind == "name":
-        title, own = mention.split(" ", 1)
-        name = chosen.split("|", 1)[1]
-        name = name.upper() if own.isupper() and len(own) > 3 else " ".join("-".join(y[:1].upper() + y[1:] for y in x.split("-")) for x in name.split(" "))
-        return f"{title} {name}"
+    if kind == "birth":
+        year, month, day = chosen.split("-")
+        old = re.split(r"(\D)", mention)
+        new = [year, month, day] if len(old[0]) == 4 else [day, month, year]
+        return new[0] + old[1] + new[1] + old[3] + new[2]
     if kind == "email":
         at = re.search(r"@|\(at\)|\[at\]", mention)[0]
         chosen = chosen.replace("@", at)
         return chosen.upper().replace("(AT)", "(at)").replace("[AT]", "[at]") if mention.isupper() else chosen
-    return chosen.upper() if kind == "secret" and mention.upper() == mention else chosen
+    if kind == "secret":
+        prefix = next((p for p in PREFIXES if mention.startswith(p)), "")
+        own = "".join(c.upper() if o.isupper() else c for c, o in zip(chosen, mention, strict=True))
+        return prefix + own[len(prefix) :]
+    return chosen.upper() if kind == "ipv6" and mention.upper() == mention else chosen
+
+
+def named(mention: str, canon: str, chosen: list[str]) -> str:
+    """A name with the surrogates of its parts in its layout and case."""
+    out, chosen, forms = [], iter(chosen), iter(canon.split("|", 1)[1].split(" "))
+    for own in mention.split(" "):
+        if own in PARTICLES:
+            out.append(own)
+            continue
+        new, form = next(chosen), next(forms)
+        if "=" in form:
+            new = new[0] + "."
+        out.append(new.upper() if own.isupper() and len(own) > 2 else "-".join(x[:1].upper() + x[1:] for x in new.split("-")))
+    return " ".join(out)
 
 
 def replaced(text: str, key: bytes, again: Callable[[str, str], str | None]) -> tuple[str, list[tuple[int, int, str, str]]]:
     """The text with surrogates, and start, end (in the old text), type and replacement of each."""
     out, at, found = [], 0, []
     for start, end, kind, canon in detect(text):
-        chosen = again(kind, canon) or surrogate(key, kind, canon)
-        new = laid_out(kind, text[start:end], chosen)
+        chosen = [again(k, c) or surrogate(key, k, c) for k, c in parts(kind, canon)]
+        new = named(text[start:end], canon, chosen) if kind == "name" else laid_out(kind, text[start:end], chosen[0])
         out += [text[at:start], new]
         at = end
         found.append((start, end, kind, new))
@@ -204,11 +324,11 @@ def replaced(text: str, key: bytes, again: Callable[[str, str], str | None]) ->
 
 
 def assignments(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
-    """kind, canon, surrogate, attempt of every distinct entity of the table; surrogates are distinct and no real entity."""
+    """kind, canon, surrogate, attempt and drawn (the form it was drawn for) of every distinct entity of the table; surrogates of different drawn forms are distinct and no real entity."""
 
     def entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {(k, c) for t in batch.column(0).to_pylist() if t for _, _, k, c in detect(t)}
+            found = {p for t in batch.column(0).to_pylist() if t for _, _, k, c in detect(t) for p in parts(k, c) if p[0] != "initial"}
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([c for _, c in found], pa.string())], names=["kind", "canon"])
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,24 +339,33 @@ def assignments(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
 
     schema = "kind string, canon string, attempt int, surrogate string"
     known = written(docs.select(text).mapInArrow(entities, "kind string, canon string").distinct(), "entities")
-    now = written(known.withColumn("attempt", F.lit(0)).mapInArrow(drawn, schema), "surrogates")
-    real = known.select("kind", F.col("canon").alias("surrogate"), F.lit(True).alias("real"))
+    # A given name of unknown gender is that name's only known one.
+    name = F.substring_index("canon", "|", -1)
+    genders = known.where("kind = 'given' and canon not like 'n|%'").groupBy(name.alias("name")).agg(F.min("canon").alias("one"), F.count("*").alias("n")).where("n = 1").select("name", "one")
+    unknown = (F.col("kind") == "given") & F.col("canon").startswith("n|")
+    resolved = known.withColumn("name", F.when(unknown, name)).join(genders, "name", "left").select("kind", "canon", F.coalesce("one", "canon").alias("drawn"))
+    resolved = written(resolved, "entities")
+    forms = resolved.select("kind", F.col("drawn").alias("canon")).distinct()
+    now = written(forms.withColumn("attempt", F.lit(0)).mapInArrow(drawn, schema), "surrogates")
+    # What is printed for a given name has no gender mark.
+    printed = F.when(F.col("kind") == "given", name).otherwise(F.col("canon"))
+    real = known.select("kind", printed.alias("surrogate")).distinct()
     for _ in range(200):
         first = now.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "canon")).alias("first"), F.count("*").alias("n")).where("n > 1")
         clash = now.join(first.select("kind", "surrogate", "first"), ["kind", "surrogate"]).where("canon <> first.canon").select("kind", "canon")
         clash = written(clash.unionByName(now.join(real, ["kind", "surrogate"]).select("kind", "canon")).distinct(), "clashes")
         if clash.isEmpty():
-            return now
+            return resolved.join(now.withColumnRenamed("canon", "drawn"), ["kind", "drawn"]).select("kind", "canon", "surrogate", "attempt", "drawn")
         moved = now.join(clash.withColumn("again", F.lit(True)), ["kind", "canon"], "left")
         moved = moved.select("kind", "canon", (F.col("attempt") + F.coalesce(F.col("again").cast("int"), F.lit(0))).alias("attempt"))
         now = written(moved.mapInArrow(drawn, schema), "surrogates")
     raise RuntimeError("surrogates still clash")
 
 
-def replace_pii(docs: DataFrame, key: str = "spanloom", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def replace_pii(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text with surrogates, n_entities, and entities as JSON [[start, end, type, replacement], ...]."""
     secret = key.encode()
-    again = assignments(docs, secret, text).where("attempt > 0").select("kind", "canon", "surrogate")
+    again = assignments(docs, secret, text).where("attempt > 0 or drawn <> canon").select("kind", "canon", "surrogate")
     few = again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -262,7 +391,7 @@ def replace_pii(docs: DataFrame, key: str = "spanloom", doc_id: str = "doc_id",
 
     def mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(n, *pair) for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for pair in {(k, c) for _, _, k, c in detect(t)}]
+            found = [(n, *pair) for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for pair in {p for _, _, k, c in detect(t) for p in parts(k, c)}]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), *(pa.array([f[k] for f in found], pa.string()) for k in (1, 2))], names=["row", "kind", "canon"])
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,8 +399,10 @@ def replace_pii(docs: DataFrame, key: str = "spanloom", doc_id: str = "doc_id",
             tables = [{(x["kind"], x["canon"]): x["surrogate"] for x in own or ()} for own in batch.column(2).to_pylist()]
             yield rewritten(batch.column(0), batch.column(1).to_pylist(), [lambda a, b, t=t: t.get((a, b)) for t in tables])
 
-    # Equal texts have equal replacements, so a text's hash can stand for its row.
+    # Equal texts have equal replacements, so a text's hash can stand for its row; each is dealt over SALTS, so that no text is a hot key.
     keyed = rows.withColumn("row", F.xxhash64("text"))
-    own = keyed.select("row", "text").mapInArrow(mentions, "row long, kind string, canon string").distinct().join(again, ["kind", "canon"])
+    own = keyed.where("text is not null").select("row", "text").mapInArrow(mentions, "row long, kind string, canon string").distinct().join(again, ["kind", "canon"])
     own = own.groupBy("row").agg(F.collect_set(F.struct("kind", "canon", "surrogate")).alias("own"))
-    return keyed.join(own, "row", "left").select("doc_id", "text", "own").mapInArrow(run_joined, out)
+    own = own.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    keyed = keyed.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    return keyed.join(own, ["row", "salt"], "left").select("doc_id", "text", "own").mapInArrow(run_joined, out)

@@ -13,7 +13,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_pii(_read(spark, sf_dir, "documents"))
+    return pii.replace_pii(_read(spark, sf_dir, "documents"), key="op1")
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
