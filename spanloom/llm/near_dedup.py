@@ -11,14 +11,17 @@ are confirmed on their full sets.
 Candidates are no all-pairs lists.  In each band bucket the smallest member is
 the hub and the others are tried against it.  Where the members of a bucket
 then lie in more than one component, those outside its largest one are held
-against that whole component and against each other, set by set, in blocks.
-So every pair that shares a bucket and is not yet connected is tested, and
-links inside a component need no test.  At J = 0.8 a pair shares no bucket with
-probability (1 - 0.8^8)^64 = 8e-6.
+against the members of such buckets that lie in that component and against each
+other, set by set, in blocks.  So every pair that shares a bucket and is not yet
+connected is tested, once for all its buckets, and links inside a component need
+no test.  At J = 0.8 a pair shares no bucket with probability
+(1 - 0.8^8)^64 = 8e-6.  Sets hold 64-bit hashes without structure: two of n
+different shingles share one with probability n^2 / 4e19.
 
 Defined results: without words a document is linked with nothing; rows with
 equal doc_id are one document; rows without doc_id get the component of their
-equals, or null; an empty table gives no rows; other columns are ignored.
+equals, or null; a text of any length is read whole; an empty table gives no
+rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -41,8 +44,8 @@ BANDS, ROWS = 64, 8
 SKETCH_BITS = 1024
 #: A pair is dropped unread if its sketches estimate less than this below the threshold (six standard deviations).
 MARGIN = 0.15
-#: Bytes of sets in one block where nodes meet a component.
-BLOCK_BYTES = 2_000_000
+#: Bytes of sets in one block where nodes meet a component: MANY_BLOCKS a side, between these bounds.
+LEAST_BLOCK, MOST_BLOCK, MANY_BLOCKS = 200_000, 8_000_000, 64
 _U = np.uint64
 
 
@@ -220,11 +223,10 @@ def near_groups(
     inside = _labelled(many.select("key", "node"), labels)
     largest = inside.groupBy("key", "root").agg(F.count("*").alias("n"))
     largest = largest.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("core"), F.count("*").alias("roots")).where("roots > 1")
-    asking = inside.join(largest.select("key", "core"), "key").where("root <> core").select("core", "node").distinct()
-    asking = written(asking, "asking")
+    asked = inside.join(largest.select("key", "core"), "key").select("core", "node", (F.col("root") != F.col("core")).alias("asks"))
+    asked = written(asked.groupBy("core", "node").agg(F.max("asks").alias("asks")), "asking")
+    asking, asked = asked.where("asks").select("core", "node"), asked.select("core", "node")
     if not asking.isEmpty():
-        cores = asking.select("core").distinct()
-        asked = _labelled(classes.select("node"), labels).join(cores, F.col("root") == F.col("core")).select("core", "node").unionByName(asking).distinct()
         sets = _wanted_sets(docs, classes, asked.select("node").distinct(), sets, width)
         more = written(_block_links(asking, asked, sets, percent), "confirmed")
         if not more.isEmpty():  # links between components: join these, and their nodes follow
@@ -278,15 +280,16 @@ def _wanted_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, have: Da
 def _block_links(asking: DataFrame, asked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links of the asking nodes to the nodes asked under the same core, one at least for each pair that is similar enough.
 
-    Both sides of a core are dealt into blocks of about BLOCK_BYTES of sets by
-    a hash, and each block of the one meets each block of the other: a query
-    set against rows in blocks, with full sets, and rows grow with neither
-    side's square.
+    Both sides of a core are dealt into blocks of sets by a hash, and each block
+    of the one meets each block of the other: a query set against rows in
+    blocks, with full sets, and rows grow with neither side's square.
     """
 
     def dealt(side: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         side = side.join(sets, "node")
-        blocks = side.groupBy("core").agg(F.ceil(F.sum(F.length("set")) / BLOCK_BYTES).alias(f"{name}s"))
+        blocks = side.groupBy("core").agg(F.sum(F.length("set")).alias("bytes"))
+        size = F.greatest(F.lit(LEAST_BLOCK), F.least(F.lit(MOST_BLOCK), F.col("bytes") / MANY_BLOCKS))
+        blocks = blocks.select("core", F.ceil(F.col("bytes") / size).alias(f"{name}s"))
         return side, blocks
 
     q, q_blocks = dealt(asking, "q")

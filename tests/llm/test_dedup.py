@@ -117,6 +117,17 @@ def test_near_chains_and_large_groups(spark):
     assert Counter(tuple(r) for r in near_dedup.near_groups(table).collect()) == brute(rows)
 
 
+def test_near_many_blocks_and_thue_morse_words(spark, monkeypatch):
+    """Blocks of a few sets; words that collide under polynomial hashes; columns named like working ones."""
+    monkeypatch.setattr(near_dedup, "LEAST_BLOCK", 3000)
+    odd, even = ("".join("ab"[(bin(i).count("1") + k) & 1] for i in range(4096)) for k in (0, 1))
+    other = [f"v{i}" for i in range(150)]
+    rows = [(i, odd if i % 2 else even) for i in range(4)] + [(10, f"{odd} x y"), (11, f"{even} x y"), (12, "z " * 30_000)]
+    rows += [(100 + i, " ".join([f"n{i}" if k % 9 == i % 9 and k < 9 * (i % 4) else w for k, w in enumerate(other)])) for i in range(300)]
+    table = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, node long, set_key string")
+    assert Counter(tuple(r) for r in near_dedup.near_groups(table).collect()) == brute(rows)
+
+
 def test_near_drop(docs, empty, rows):
     kept = near_dedup.drop_near_copies(docs)
     assert kept.columns == docs.columns
