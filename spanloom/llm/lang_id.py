@@ -11,12 +11,13 @@ the score is its share of 2^-length over all languages.
 
 The sample: at most about SAMPLE_DOCS documents for each language, by a hash of
 their id, and SAMPLE_BYTES of their texts, whole texts throughout.  This bounds
-training and the size of the broadcast tables, whatever the corpus holds.
+training and the size of the broadcast tables, whatever the corpus holds; more
+than MOST_LANGUAGES different labels are an error, not cut.
 
 Defined results: null text, or text without a letter, is `und` with score 0;
 so is every text if no row has a language to learn from; of equal code lengths
-the language first in order wins; an empty table gives no rows; other columns
-are ignored.
+the language first in order wins; a text of any length is read whole; an empty
+table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ from spanloom.llm.shared import small_or_shuffled, tidy, written
 ORDER = 4
 SAMPLE_DOCS = 400
 SAMPLE_BYTES = 2_000_000
-#: A context longer than two bytes stays in the tree only if it occurred so often.
-LEAST_COUNT = 2
+#: Languages that one model may have: their trees are gathered on the driver and broadcast, about 10 MB each.
+MOST_LANGUAGES = 200
 _U = np.uint64
 
 
@@ -57,7 +58,7 @@ def grams(data: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
 
 
 def learn(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys and log2 probabilities of the grams seen, keys and log2 escape factors of the contexts kept."""
+    """Keys and log2 probabilities of the grams seen, keys and log2 escape factors of their contexts."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     offsets = np.cumsum([0, *map(len, texts)])
     gram_keys, gram_logs, context_keys, context_logs = [], [], [], []
@@ -68,7 +69,6 @@ def learn(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         context = ((keys & mask(n)) >> _U(8)) | _U((n - 1) << 56)
         own, first, which = np.unique(context, return_index=True, return_inverse=True)
         total, kinds = np.bincount(which, counts), np.bincount(which)
-        stays = (total >= LEAST_COUNT) | (n <= 3)
         p = counts / (total + kinds)[which]
         if n == 1:
             below = np.full(len(keys), 1 / 256)
@@ -77,13 +77,11 @@ def learn(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
             below = lower[1][np.searchsorted(lower[0], suffix)]
         rest = np.maximum(1 - np.bincount(which, below), 1e-9)
         escape = np.log2(kinds / (total + kinds) / rest)
-        kept = stays[which]
-        gram_keys.append(keys[kept])
-        gram_logs.append(np.log2(p[kept]))
-        context_keys.append(own[stays])
-        context_logs.append(escape[stays])
-        # What the next longer contexts exclude: this order's probability where its context stays.
-        lower = (keys, np.where(kept, p, np.exp2(np.log2(below))))
+        gram_keys.append(keys)
+        gram_logs.append(np.log2(p))
+        context_keys.append(own)
+        context_logs.append(escape)
+        lower = (keys, p)  # what the next longer contexts exclude
     return (*map(np.concatenate, (gram_keys, gram_logs, context_keys, context_logs)),)
 
 
@@ -152,6 +150,8 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int =
     labelled = labelled.where("lang is not null and text is not null")
     share = labelled.groupBy("lang").agg((F.lit(float(sample_docs)) / F.count("*")).alias("share"))
     share = written(share, "languages")
+    if share.count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = labelled.join(small_or_shuffled(share), "lang").where(draw < F.col("share")).select("lang", "text", draw.alias("draw"))
 
@@ -207,8 +207,8 @@ def identify(docs: DataFrame, held_out: int = 5) -> DataFrame:
 
 
 def label(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """All columns of docs with lang_pred and score (which replace columns of these names)."""
-    own = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    """All columns of docs with lang_pred, score and bits (which replace columns of these names)."""
+    own = [c for c in docs.columns if c not in ("lang_pred", "score", "bits")]
     row = F.struct(*[F.col(f"`{c}`") for c in own])
     out = predict(docs.select(row.alias("row"), F.col(text).alias("text")), model, "row", "text")
-    return out.select(*[F.col(f"doc_id.`{c}`").alias(c) for c in own], "lang_pred", "score")
+    return out.select(*[F.col(f"doc_id.`{c}`").alias(c) for c in own], "lang_pred", "score", "bits")

@@ -79,7 +79,8 @@ def mix(
 
     def sized(columns: list[str]) -> DataFrame:
         d = docs.withColumn("size", n_words(F.col(text)))
-        return d.select(*columns, "size", F.col(source).alias("_source"), F.col(doc_id).alias("_id"), size_class(F.col("size")).alias("_class"))
+        tie = [F.xxhash64(text).alias("_tie")] * bool(columns)  # of rows of equal size and id
+        return d.select(*columns, *tie, "size", F.col(source).alias("_source"), F.col(doc_id).alias("_id"), size_class(F.col("size")).alias("_class"))
 
     light = written(sized([]), "sizes")
     classes = light.groupBy("_source", "_class").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
@@ -103,7 +104,7 @@ def mix(
     cells = cells.join(F.broadcast(goal) if n_classes <= 100_000 else goal, F.col("_source").eqNullSafe(F.col("_g")))
     cells = written(cells.select(F.col("_source").alias("_s"), F.col("_class").alias("_c"), F.col("_salt").alias("_k"), "_before", "source_size", "target"), "cells")
 
-    place = F.row_number().over(W.partitionBy("_source", "_class", "_salt").orderBy("size", "_id"))
+    place = F.row_number().over(W.partitionBy("_source", "_class", "_salt").orderBy("size", "_id", "_tie"))
     placed = celled(sized([f"`{c}`" for c in docs.columns])).withColumn("_place", place)
     same_cell = same_class & F.col("_salt").eqNullSafe(F.col("_k"))
     placed = placed.join(small_or_shuffled(cells), same_cell)

@@ -192,7 +192,7 @@ def brute_ppm(texts, text, order=lang_id.ORDER):
             return 1 / 256
         shorter = context[1:] if context else None
         own = counts.get(context)
-        if own is None or (len(context) > 2 and sum(own.values()) < lang_id.LEAST_COUNT):
+        if own is None:
             return p(shorter, b)
         t, d = sum(own.values()), len(own)
         if b in own:
@@ -229,4 +229,4 @@ def test_language_of_odd_rows(spark, empty):
     assert lang_id.identify(empty).count() == 0
     assert all(r.lang_pred == "und" for r in lang_id.predict(docs, None).collect())
     labelled = lang_id.label(docs.withColumn("score", docs.doc_id), model)
-    assert labelled.columns == ["doc_id", "text", "lang", "lang_pred", "score"]
+    assert labelled.columns == ["doc_id", "text", "lang", "lang_pred", "score", "bits"]
