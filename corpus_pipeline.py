@@ -14,10 +14,17 @@ from spanloom.llm import exact_dedup, lang_id, mixing, near_dedup, packing
 from spanloom.llm.shared import written
 
 
+#: Most bits a byte in the best language's code for a text to be in that language.  Clean text takes 2 to 4, noise 8; a text of fewer than LEAST_BYTES tells too little.
+MOST_BITS, LEAST_BYTES = 6.7, 16
+
+
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found; those without text or a letter go."""
+    """Documents in which a language is found: those without text or a letter go, and those that no language's model predicts."""
     model = lang_id.fit(docs.select("doc_id", "text", "lang"))
-    return lang_id.label(docs, model).where("lang_pred <> 'und'").drop("lang_pred", "score")
+    size = F.octet_length("text")
+    foreign = (size >= LEAST_BYTES) & (F.col("bits") > MOST_BITS * size)
+    labelled = lang_id.label(docs, model).where("lang_pred <> 'und'").where(~F.coalesce(foreign, F.lit(False)))
+    return labelled.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
