@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 _U = np.uint64
-_COUNT = np.array([bin(b).count("1") for b in range(256)], np.uint8)
+_ONES = _U(0x0101010101010101)  # one in each byte
+_TOPS = _U(0x8080808080808080)
 #: Place of the r-th set bit in a byte.
 _PLACE = np.array([[([k for k in range(8) if b >> k & 1] + [0] * 8)[r] for r in range(8)] for b in range(256)], np.uint8)
 
@@ -14,8 +15,8 @@ class EliasFano:
     """values ascending (repeats allowed): low bits packed, high bits in unary.
 
     The i-th value's high part h sets bit h + i, so zeros end the buckets of
-    equal high parts: a search needs the places of two zeros and then looks
-    through one bucket, of one or two values on average.
+    equal high parts: a search needs the places of two zeros and then halves
+    one bucket, of one or two values on average.
     """
 
     def __init__(self, values: np.ndarray):
@@ -44,20 +45,19 @@ class EliasFano:
         """Place of the rank-th one (or zero) bit."""
         before = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones if zeros else self.ones.astype(np.int64)
         word = np.searchsorted(before, ranks, side="right") - 1
-        left = ranks - before[word]
-        at = word * 8
-        byte = np.zeros(len(ranks), np.uint8)
-        place = np.zeros(len(ranks), np.int64)
-        open_ = np.ones(len(ranks), bool)
-        for k in range(8):
-            b = self.high[at + k]
-            b = ~b if zeros else b
-            count = _COUNT[b]
-            here = open_ & (left < count)
-            byte[here], place[here] = b[here], k
-            open_ &= ~here
-            left = np.where(open_, left - count, left)
-        return (at + place) * 8 + _PLACE[byte, np.minimum(left, 7)]
+        left = (ranks - before[word]).astype(_U)
+        bits = self.high.view(_U)[word]
+        if zeros:
+            bits = ~bits
+        # Set bits up to the end of each byte, all eight at once; then the byte in which the one asked for lies.
+        sums = bits - ((bits >> _U(1)) & _U(0x5555555555555555))
+        sums = (sums & _U(0x3333333333333333)) + ((sums >> _U(2)) & _U(0x3333333333333333))
+        sums = ((sums + (sums >> _U(4))) & _U(0x0F0F0F0F0F0F0F0F)) * _ONES
+        byte = ((((left * _ONES) | _TOPS) - sums & _TOPS) >> _U(7)) * _ONES >> _U(56)
+        shift = byte << _U(3)
+        earlier = (sums << _U(8)) >> shift & _U(0xFF)
+        place = _PLACE[((bits >> shift) & _U(0xFF)).astype(np.int64), (left - earlier).astype(np.int64)]
+        return word * 64 + shift.astype(np.int64) + place
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         bit = i * self.width
@@ -84,10 +84,11 @@ class EliasFano:
         start[later] = self._select(high[later] - 1, True) - (high[later] - 1)
         end = self._select(high, True) - high
         open_ = np.flatnonzero(start < end)
-        while len(open_):
-            less = self._low(start[open_]) < low[open_]
-            open_ = open_[less]
-            start[open_] += 1
+        while len(open_):  # halve the rest of each bucket
+            middle = (start[open_] + end[open_]) >> 1
+            less = self._low(middle) < low[open_]
+            start[open_[less]] = middle[less] + 1
+            end[open_[~less]] = middle[~less]
             open_ = open_[start[open_] < end[open_]]
         out[inside] = start
         return out
