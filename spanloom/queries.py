@@ -355,11 +355,11 @@ def num_placeholder(spark, sf_dir):
     return rows.where(F.size("words") > 0)
 
 
-@query(f"with {TOKENS}, " + r"""w as (select doc_id, list(replace(upper(value), 'ẞ', 'ß') order by tok_id) as words from tokens group by doc_id) select doc_id, words[1:110] as words, len(words)::bigint as n from w""")
+@query(f"with {TOKENS}, " + r"""w as (select doc_id, list(replace(upper(value), 'ẞ', 'ß') order by tok_id) as words from tokens group by doc_id) select doc_id, words, len(words)::bigint as n from w""")
 def model_tokens(spark, sf_dir):
-    """Upper-case model input, cut to the longest sentence a model takes."""
+    """Upper-case model input, whole (neural.chunked parts what is too long for a model)."""
     words = F.transform(T.matches(F.col("text"), WORDS), T.upper)
-    return turns(spark, sf_dir).select("doc_id", F.slice(words, 1, 110).alias("words"), F.size(words).cast("long").alias("n")).where("n > 0")
+    return turns(spark, sf_dir).select("doc_id", words.alias("words"), F.size(words).cast("long").alias("n")).where("n > 0")
 
 
 # -- joins -------------------------------------------------------------------
@@ -437,13 +437,13 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _intervals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     li = read(spark, sf_dir, "lineitem")
     k = F.col("l_orderkey") * 7 + F.col("l_linenumber") * 13
-    rules = li.where("l_linenumber <= 3").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") * 40 + k % 9).cast("int").alias("start"), (5 + k % 11).cast("int").alias("len"), F.lit("R").alias("label"))
+    rules = li.select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") * 40 + k % 9).cast("int").alias("start"), (5 + k % 11).cast("int").alias("len"), F.lit("R").alias("label"))
     model = li.select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") * 37 + k % 17).cast("int").alias("start"), (3 + k % 23).cast("int").alias("len"), F.lit("M").alias("label"))
     return rules, model
 
 
 INTERVALS_SQL = """li as (select l_orderkey as doc_id, l_linenumber as n, l_orderkey * 7 + l_linenumber * 13 as k from lineitem),
-r as (select doc_id, (n * 40 + k % 9)::int as start, (5 + k % 11)::int as len, 'R' as label from li where n <= 3), m as (select doc_id, (n * 37 + k % 17)::int as start, (3 + k % 23)::int as len, 'M' as label from li)"""
+r as (select doc_id, (n * 40 + k % 9)::int as start, (5 + k % 11)::int as len, 'R' as label from li), m as (select doc_id, (n * 37 + k % 17)::int as start, (3 + k % 23)::int as len, 'M' as label from li)"""
 
 
 @query(f"""with {INTERVALS_SQL}, met as (select m.doc_id, m.start, m.len, m.label, r.start as rs, r.len as rl, r.label as rb from m join r on m.doc_id = r.doc_id and r.start <= m.start + m.len and m.start <= r.start + r.len),
@@ -632,12 +632,12 @@ def predict_chunks(spark, sf_dir):
     return rows.select("doc_id", "n", F.size("c").cast("long").alias("parts"), kept.alias("kept"))
 
 
-@query(f"""with {TOKENS}, w as (select doc_id, list(value order by tok_id) as words from tokens group by doc_id), z as (select doc_id, words, list_transform(words[1:5], lambda x: length(x) % 3) as labels from w)
+@query(f"""with {TOKENS}, w as (select doc_id, list(value order by tok_id) as words from tokens group by doc_id), z as (select doc_id, words, list_transform(words[1:len(words) - 1], lambda x: length(x) % 3) as labels from w)
 select doc_id, unnest(range(0, least(len(words), len(labels))))::int as tok_id, unnest(words[1:least(len(words), len(labels))]) as token, unnest(labels) as label from z""")
 def label_zip(spark, sf_dir):
-    """Tokens with the labels a model gave them, as far as both go."""
+    """Tokens with the labels a model gave them, one too few, as far as both go."""
     words = T.matches(F.col("text"), WORDS)
-    rows = turns(spark, sf_dir).select("doc_id", words.alias("words")).withColumn("labels", F.transform(F.slice("words", 1, 5), lambda w: F.pmod(F.length(w), F.lit(3)).cast("long")))
+    rows = turns(spark, sf_dir).select("doc_id", words.alias("words")).withColumn("labels", F.transform(F.slice("words", F.lit(1), F.greatest(F.size("words") - 1, F.lit(0))), lambda w: F.pmod(F.length(w), F.lit(3)).cast("long")))
     pairs = F.arrays_zip(F.slice("words", F.lit(1), F.least(F.size("words"), F.size("labels"))).alias("token"), F.col("labels").alias("label"))
     return rows.where("size(words) > 0").select("doc_id", F.posexplode(pairs).alias("tok_id", "p")).select("doc_id", "tok_id", "p.token", "p.label")
 
@@ -660,8 +660,12 @@ def length_batches(spark, sf_dir):
     """Batches of 32 sentences of like length in a seeded order; longer ones are dropped."""
     rows = turns(spark, sf_dir).select("doc_id", F.size(T.matches(F.col("text"), WORDS)).cast("long").alias("n")).where("n > 0")
     rows = rows.withColumn("bucket", F.floor(F.col("n") / 100))
-    place = F.row_number().over(W.partitionBy("bucket").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")) - 1
-    return rows.withColumn("batch", F.floor(place / 32)).where("n <= 500").select("doc_id", "bucket", "batch")
+    # A bucket's order is cut into cells by the hash's first digits: cells are counted and summed, rows are numbered within theirs.
+    rows = rows.withColumn("order", F.md5(F.col("doc_id").cast("string"))).withColumn("cell", F.substring("order", 1, 4))
+    before = W.partitionBy("bucket").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
+    cells = rows.groupBy("bucket", "cell").agg(F.count("*").alias("cell_rows")).withColumn("before", F.coalesce(F.sum("cell_rows").over(before), F.lit(0)))
+    place = F.col("before") + F.row_number().over(W.partitionBy("bucket", "cell").orderBy("order", "doc_id")) - 1
+    return rows.join(cells.drop("cell_rows"), ["bucket", "cell"]).withColumn("batch", F.floor(place / 32)).where("n <= 500").select("doc_id", "bucket", "batch")
 
 
 @query("select event_type, user_id, value from (select *, row_number() over (partition by event_type order by value desc, event_id) as r from events) where r <= 5")
@@ -711,10 +715,10 @@ def embedding_reduce(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").select("vec_id", *[(c if k.startswith("arg") else F.round(c, digits.get(k, 6))).alias(k) for k, c in r.items()])
 
 
-@query("""with e as (select vec_id, label, list_transform(embedding[1:10], lambda x: exp(x::double)) as x from embeddings), p as (select *, list_transform(x, lambda v: v / list_sum(x)) as p from e)
+@query("""with e as (select vec_id, label, list_transform(embedding, lambda x: exp(x::double)) as x from embeddings), p as (select *, list_transform(x, lambda v: v / list_sum(x)) as p from e)
 select vec_id, list_transform(p, lambda v: round(v, 6)) as p, (list_position(x, list_max(x)) - 1)::int as best, round(-ln(p[label % 10 + 1]), 5) as cost from p""")
 def softmax_argmax(spark, sf_dir):
-    x = F.slice("embedding", 1, 10)
+    x = F.col("embedding")
     rows = read(spark, sf_dir, "embeddings").select("vec_id", "label", neural.softmax(x).alias("p"), neural.argmax(x).alias("best"))
     cost = neural.cross_entropy(F.col("p"), F.pmod("label", F.lit(10)))
     return rows.select("vec_id", F.transform("p", lambda v: F.round(v, 6)).alias("p"), "best", F.round(cost, 5).alias("cost"))
@@ -722,13 +726,13 @@ def softmax_argmax(spark, sf_dir):
 
 @query(f"""with {TOKENS}, v as (select value, (row_number() over (order by n desc, value) + 2)::int as id from (select value, count(*) as n from tokens group by value order by n desc, value limit 500)),
 i as (select doc_id, tok_id, coalesce(id, 2) as id from tokens left join v using (value)), l as (select doc_id, list(id order by tok_id) as ids from i group by doc_id)
-select doc_id, list_concat(ids, list_transform(range(0, 64), lambda x: 1))[1:64] as ids from l""")
+select doc_id, list_concat(ids, list_transform(range(0, m - len(ids)), lambda x: 1)) as ids from l, (select max(len(ids)) as m from l)""")
 def padded_ids(spark, sf_dir):
-    """Vocabulary ids of each turn, filled up to 64."""
+    """Vocabulary ids of each turn, filled up to the longest."""
     t = turn_tokens(spark, sf_dir).withColumnRenamed("value", "token")
     ids = neural.token_ids(t, F.broadcast(metrics.vocabulary(t, 500)))
     rows = ids.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("tok_id", "id"))), lambda x: x["id"].cast("int")).alias("ids"))
-    return rows.select("doc_id", neural.padded(F.col("ids"), 64).alias("ids"))
+    return rows.select("doc_id", neural.padded(F.col("ids"), rows.agg(F.max(F.size("ids"))).first()[0] or 0).alias("ids"))
 
 
 # -- letters: every recogniser on texts made from keys ------------------------
