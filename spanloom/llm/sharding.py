@@ -31,7 +31,7 @@ from spanloom.llm.shared import prefix_offsets, small_or_shuffled, written
 
 BUCKET_BYTES = 8_000_000
 #: Buckets share shuffle partitions of so many bytes, one bucket at least.
-PARTITION_BYTES = 32_000_000
+PARTITION_BYTES = 16_000_000
 #: Equal rows are numbered in pieces of about so many.
 PIECE_ROWS = 50_000
 _KEY = ["_h1", "_h2"]
@@ -68,7 +68,7 @@ def shuffled_shards(
     scattered = _numbered(keyed)
     scattered = scattered.select(F.xxhash64(*_KEY, "_tie").alias("key"), *_KEY, "_tie", "row")
     scattered = scattered.withColumn("bucket", F.pmod("key", F.lit(buckets)))
-    partitions = min(buckets, max(64, math.ceil(total / partition_bytes)))
+    partitions = max(1, min(buckets, math.ceil(total / partition_bytes)))
     # Sorted by key, a bucket is the same whatever the order its records arrived in; sorted by bucket, so is the draw for each.
     gathered = (
         scattered.repartition(partitions, "bucket")
