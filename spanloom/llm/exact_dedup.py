@@ -90,6 +90,7 @@ def mark_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     best = best.groupBy(*by, f"{_P}salts").agg(F.max("best").alias("best"), F.sum("group_size").alias("group_size"))
     # A group's result is repeated for each salt, so that its rows meet it in many tasks.
     dealt = best.withColumn(f"{_P}salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{_P}salts") - 1))).drop(f"{_P}salts")
-    rows = rows.join(dealt, [*by, f"{_P}salt"])
+    # Repeated texts look small when compressed: not to be broadcast.
+    rows = rows.join(dealt.hint("merge"), [*by, f"{_P}salt"])
     rows = rows.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col(f"{_P}row") == F.col(f"best.{_P}row")).alias("kept"), sha)
     return cold.unionByName(rows).withColumnRenamed("doc_id", doc_id)
