@@ -46,6 +46,30 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def scanned(values: Column, zero: Column, add, block: int = 128) -> Column:
+    """For each element, add over all elements before it, from zero (add: associative, as a sum or a maximum).
+
+    An array that grows inside a fold is copied at every step, so the fold runs
+    within blocks, then over the blocks: a long text takes time in proportion.
+    """
+
+    def before(items: Column, value) -> Column:
+        start = F.struct(zero.alias("at"), F.filter(F.array(zero), lambda _: F.lit(False)).alias("out"))
+        return F.aggregate(items, start, lambda acc, i: F.struct(add(acc["at"], value(i)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+
+    def run(v: Column) -> Column:
+        last = F.size(v) - 1
+        blocks = F.sequence(F.lit(0), F.floor(last / block).cast("int"))
+        parts = F.transform(blocks, lambda b: before(F.sequence(b * block, F.least(b * block + (block - 1), last)), lambda i: F.get(v, i)))
+
+        def joined(p: Column) -> Column:
+            return F.flatten(F.zip_with(p, before(p, lambda x: x["at"])["out"], lambda x, base: F.transform(x["out"], lambda y: add(base, y))))
+
+        return F.when(last >= 0, let(parts, joined)).otherwise(F.filter(F.array(zero), lambda _: F.lit(False)))
+
+    return let(values, run)
+
+
 def spans(text: Column, pattern: str) -> Column:
     """start, len and value of each match.  Starts add up from the gaps between matches, which split gives.
 
@@ -54,16 +78,13 @@ def spans(text: Column, pattern: str) -> Column:
     none = F.array().cast(SPAN)
     zipped = F.arrays_zip(F.split(text, pattern).alias("gap"), matches(text, pattern).alias("value"))
     zipped = F.filter(zipped, lambda p: p["value"].isNotNull())
-    added = F.aggregate(
-        zipped,
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["gap"]) + F.length(p["value"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(p["gap"])).alias("start"), F.length(p["value"]).alias("len"), p["value"].alias("value")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(text.rlike(pattern), added).otherwise(none)
+    measured = F.transform(zipped, lambda p: F.struct(F.length(p["gap"]).alias("gap"), F.length(p["value"]).alias("len"), p["value"].alias("value")))
+
+    def placed(found: Column) -> Column:
+        before = scanned(F.transform(found, lambda p: p["gap"] + p["len"]), F.lit(0), lambda x, y: x + y)
+        return F.zip_with(found, before, lambda p, at: F.struct((at + p["gap"]).alias("start"), p["len"].alias("len"), p["value"].alias("value")))
+
+    return F.when(text.rlike(pattern), let(measured, placed)).otherwise(none)
 
 
 def tokens(text: Column) -> Column:

@@ -71,16 +71,27 @@ def scored(docs: DataFrame, gazetteers: Gazetteers | None = None, enabled: set[s
     return rows.select("doc_id", "f.*").where("n_entities > 0")
 
 
+def _ordered(text: Column, entities: Column) -> Column:
+    """The entities, each with its order number: how many gaps lie before it.  One sort of gaps and entities by place, and a running count."""
+
+    def counted(e: Column) -> Column:
+        gaps = F.transform(T.spans(text, r"\s+"), lambda g: F.struct(g["start"].alias("at"), F.lit(1).alias("gap"), F.lit(-1).alias("i")))
+        own = F.transform(e, lambda x, i: F.struct(x["start"].alias("at"), F.lit(0).alias("gap"), i.alias("i")))
+
+        def numbered(marks: Column) -> Column:
+            before = T.scanned(F.transform(marks, lambda m: m["gap"]), F.lit(0), lambda x, y: x + y)
+            both = F.zip_with(marks, before, lambda m, n: F.struct(m["i"].alias("i"), n.alias("n")))
+            return F.transform(F.filter(both, lambda x: x["i"] >= 0), lambda x: F.struct(F.get(e, x["i"]).alias("e"), x["n"].alias("order_num")))
+
+        return F.when(F.size(e) > 0, T.let(F.array_sort(F.concat(gaps, own)), numbered))
+
+    return T.let(entities, counted)
+
+
 def united_entities(docs: DataFrame, gazetteers: Gazetteers | None = None, text: str = "text") -> DataFrame:
-    """Names with the entities that follow them: doc_id, ue_id, start, len, n_members, members.
-
-    A token's order number is the count of gaps before it, so an entity's is
-    counted in the text before it, within the row.
-    """
-    found = docs.select("doc_id", F.col(text).alias("_text"), entities_of(text, gazetteers, None).alias("entities"))
-    rows = found.select("doc_id", F.explode("entities").alias("e"), "_text")
-    gaps = F.size(T.matches(F.substring(F.col("_text"), F.lit(1), F.col("e.start")), r"\s+"))
-    rows = rows.select("doc_id", "e.start", "e.len", "e.label", "e.value", gaps.alias("order_num"))
+    """Names with the entities that follow them: doc_id, ue_id, start, len, n_members, members."""
+    rows = docs.select("doc_id", F.explode(_ordered(F.col(text), entities_of(text, gazetteers, None))).alias("o"))
+    rows = rows.select("doc_id", "o.e.start", "o.e.len", "o.e.label", "o.e.value", "o.order_num")
     return grouping.united(rows, ["doc_id"], F.col("label") == "Name")
 
 

@@ -1,12 +1,16 @@
 from __future__ import annotations
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import checks as C
 from spanloom.functions import text as T
-from spanloom.plans.extract import extract, scored, united_entities
+from spanloom.plans.extract import _ordered, entities_of, extract, scored, united_entities
 from spanloom.operators.metrics import relevance
+from spanloom.operators.resolve import resolved
 
 GOLDEN = [
     ("Karte 5432110051294969 und 3600 6666 3333 44 und 4111 1111 1111 1111", [("CreditCard", "5432110051294969"), ("CreditCard", "3600 6666 3333 44"), ("CreditCard", "4111 1111 1111 1111")]),
@@ -100,6 +104,43 @@ def test_tokens(spark):
     assert toks("(x)") == ["(", "x", ")"]
 
 
+@pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 1000])
+def test_scanned(spark, n):
+    values = [(k * 37) % 101 - 50 for k in range(n)]
+    row = spark.createDataFrame([(values,)], "v array<int>").select(
+        T.scanned(F.col("v"), F.lit(0), lambda x, y: x + y).alias("sums"), T.scanned(F.col("v"), F.lit(-99), lambda x, y: F.greatest(x, y)).alias("tops")
+    ).first()
+    assert row.sums == [sum(values[:k]) for k in range(n)]
+    assert row.tops == [max([-99, *values[:k]]) for k in range(n)]
+
+
+def test_spans_of_a_long_text(spark):
+    text = " ".join(f"ö{k} ÄB" for k in range(30_000))
+    got = spark.createDataFrame([(text,)], "t string").select(F.explode(T.spans(F.col("t"), "[0-9]+")).alias("s")).select("s.*").collect()
+    assert [tuple(x) for x in got] == [(m.start(), len(m[0]), m[0]) for m in re.finditer("[0-9]+", text)]
+
+
+def test_resolved_against_one_list(spark):
+    kind = "struct<priority:int,start:int,len:int>"
+    draw = random.Random(5)
+    rows = [(k, [(draw.randrange(4), draw.randrange(9 * n + 1), draw.randrange(1, 7)) for _ in range(n)]) for k, n in enumerate([0, 1, 2, 5, 40, 400, 400])]
+    df = spark.createDataFrame(rows, f"k int, c array<{kind}>").select("k", resolved(F.col("c"), F.array().cast(f"array<{kind}>")).alias("out"))
+    for k, out in df.collect():
+        kept = []
+        for p, s, n in sorted(rows[k][1], key=lambda c: (c[0], -c[2], c[1])):
+            if all(b + m <= s or s + n <= b for _, b, m in kept):
+                kept.append((p, s, n))
+        assert [tuple(x) for x in out] == sorted(kept, key=lambda c: c[1])
+
+
+def test_order_numbers_count_gaps(spark):
+    text = "Herr Peter Schmidt, 030/20458931\nund  Frau Anna Weber\t01802/550444 " * 60
+    rows = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")
+    got = rows.select("doc_id", F.explode(_ordered(F.col("text"), entities_of("text", None, None))).alias("o")).select("doc_id", "o.e.start", "o.order_num").collect()
+    assert len(got) >= 240 and {r.doc_id for r in got} == {1}
+    assert all(r.order_num == len(re.findall(r"\s+", text[: r.start])) for r in got)
+
+
 def test_sentences(spark):
     row = spark.range(1).select(
         T.sentences(F.lit("Ein Satz.\nZwei! Sätze hier. Noch einer.\nHauptstr.\n5 Ende.")).alias("a"),
