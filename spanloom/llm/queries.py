@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import exact_dedup, html_text, lang_id, lm, mixing, near_dedup, packing, pii, quality, sharding
+from spanloom.llm import byte_bpe, exact_dedup, html_text, lang_id, lm, mixing, near_dedup, packing, pii, quality, sharding, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -104,6 +104,20 @@ def op10_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_read(spark, sf_dir, "documents"), stable=True)
 
 
+def op11_bpe_monoid_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = byte_bpe.encode(_read(spark, sf_dir, "documents"), decoded=True)
+    return tokens.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_tiled_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -117,6 +131,8 @@ QUERIES = {
         op8_external_shuffle,
         op9_line_first_quality,
         op10_elias_fano_lm,
+        op11_bpe_monoid_tree,
+        op13_tiled_whitening,
     )
 }
 ORACLES = {"op2_source_mixing": OP2_SQL, "op3_exact_dedup": OP3_SQL}
