@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import byte_bpe, exact_dedup, html_text, lang_id, lm, mixing, near_dedup, packing, pii, quality, sharding, whitening
+from spanloom.llm import alignment, byte_bpe, exact_dedup, html_text, lang_id, lm, mixing, near_dedup, packing, pii, quality, sharding, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -114,6 +114,10 @@ def op11_bpe_monoid_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_label_string_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_read(spark, sf_dir, "documents"), digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
 def op13_tiled_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_read(spark, sf_dir, "embeddings"))
 
@@ -132,6 +136,7 @@ QUERIES = {
         op9_line_first_quality,
         op10_elias_fano_lm,
         op11_bpe_monoid_tree,
+        op12_label_string_alignment,
         op13_tiled_whitening,
     )
 }
