@@ -28,16 +28,25 @@ PREAMBLES = {
     "phone": r"(?:Telefonnummer|Telefon|Tel|Telefax|Faxnummer|Fax|Handynummer|Handynr|Handy|Mobiltelefon|Mobilnummer|Mobil|Mobile No|Mobile|Phone No|Phone|Rufnummer)",
     "iban": r"IBAN",
     "bank_code": r"(?:BLZ|Bankleitzahl|Bank code)",
+    "owner": r"(?:Kontoinhaber|Account owner|Account holder)",
+    "bank": r"(?:Geldinstitut|Kreditinstitut|Bank name|Bank)",
     "account": r"(?:Kontonummer|Konto-Nr|Kto\.?-?Nr|Kto|Konto|Account No|Account number)",
     "customer": r"(?:Kundennummer|Kunden-Nr|Kundennr|Vertragsnummer|Vertrags-Nr|Vertragsnr|Aktenzeichen|Rechnungsnummer|Mitgliedsnummer|Customer number|Contract number|File number)",
     "birthday": r"(?:Geburtsdatum|Geburtstag|[Gg]eboren am|[Gg]eb\.? am|Geb\.?|Date of birth|DOB|born on)",
     "birthplace": r"(?:Geburtsort|[Gg]eboren in|Place of birth|P\.O\.B\.?|born in)",
     "nationality": r"(?:Staatsangehörigkeit|Staatsbürgerschaft|Nationalität|Nationality|Citizenship)",
-    "marital": r"(?:Familienstand|Personenstand|Marital status)",
+    "marital": r"(?:Familienstand|Personenstand|Beziehungsstatus|Beziehungsstand|Beziehungsverh(?:ä|ae)ltnis|Marital status|Civil status|Relationship status)",
     "tax": r"(?:Steueridentifikationsnummer|Steueridentifikationsnr|Steuer-IdNr|Steuer-ID|Steuer-Id|IdNr|Tax-ID|Tax ID|Tax number|Steuernummer|St\.?-?\s?Nr)",
     "title": r"(?:Herrn|Herr|Frau|Prof\. Dr\.|Prof\.|Dr\.|Dipl\.-Ing\.|Mrs\.|Mr\.|Ms\.|Professor|Doctor)",
 }
 _GAP = r"\s*[.:\-]{0,2}\s*"
+# What makes a company's name reach further to the left of its legal form.
+COMPANY_OPENERS = ["Deutsche", "Deutsches", "Mitteldeutsche", "Hallenbad", "Theater", "Internationale", "Kulturregion", "Tourismus", "Stadtwerke", "Kommunale", "Hotel"]
+COMPANY_LINKS = ["für", "zur", "zum", "am", "an"]
+COMPANY_MIDDLES = ["Deutschland", "(Deutschland)", "Holding", "Real Estate", "Asset", "Management", "Service", "Media", "Digital"]
+# Questions about marital status that are answered by yes or no.
+MARITAL_QUESTIONS = r"(?:Verheiratet|Ledig|Geschieden|Verwitwet|Married|Single|Divorced|Widowed)"
+YES_NO = r"(?:ja|nein|yes|no)"
 DETERMINERS = "der|die|das|eine|ein|zu|zum|von|vom|in|im|auf"
 
 
@@ -51,6 +60,8 @@ class Recognizer:
     attrs: Callable[[Column], dict[str, Column]] | None = None
     #: A pattern that a text must have before this one is tried.
     guard: str | None = None
+    #: Finds the matches' places, where no one pattern does.
+    find: Callable[[Column], Column] | None = None
     #: Characters a match can begin with.  Tested first, they spare most places the look-behind and the alternatives.
     lead: str | None = None
 
@@ -83,11 +94,90 @@ def _title(v: Column) -> Column:
     )
 
 
+def city_pattern(cities: list[str]) -> str:
+    """Names of cities, longest first; a dash or space in a name stands for either, with spaces around."""
+    names = sorted(set(cities), key=len, reverse=True)
+    return "(?:" + "|".join(r"(?:\s*-\s*|\s+)".join(map(re.escape, re.split(r"[\s-]+", n))) for n in names) + ")"
+
+
+def bank_field(kind: str) -> str:
+    """The pattern of one announced field of a bank account; group 1 is its value."""
+    preambles = "|".join(PREAMBLES[k] for k in ("owner", "bank", "account", "bank_code", "iban"))
+    word = rf"(?!(?:{preambles})(?!\p{{L}}))\p{{Lu}}[\p{{L}}.-]*"
+    value = {"account": r"\d(?:[ ]?\d){3,9}(?!\d)", "bank_code": r"\d[\d ]{6,9}\d(?!\d)"}.get(kind, rf"{word}(?:[ ](?:{word}|&|der|für|und|of)){{0,4}}")
+    # "Bank" alone also ends other words; a name after it needs a mark.
+    gap = r"\s*:\s*" if kind == "bank" else _GAP
+    return rf"(?<![\p{{L}}]){PREAMBLES[kind]}{gap}({value})"
+
+
+def records(text: Column, fields: dict[str, str], reach: int = 12) -> Column:
+    """Places of records of announced fields that may stand in any order.
+
+    Fields of all kinds are taken in order of place; one joins the open record
+    if that has no field of its kind yet and ends at most `reach` characters
+    before, else it opens a record.  A record of one field is none.
+    """
+
+    def of_kind(kind: str, pattern: str) -> Column:
+        return F.transform(T.spans(text, pattern), lambda m: F.struct(m["start"].alias("start"), (m["start"] + m["len"]).alias("stop"), F.lit(kind).alias("kind")))
+
+    found = F.concat(*[of_kind(k, p) for k, p in fields.items()])
+
+    def dealt(ordered: Column) -> Column:
+        record = "struct<start:int,stop:int,kinds:array<string>>"
+        start = F.struct(F.lit(None).cast(record).alias("open"), F.array().cast(f"array<{record}>").alias("done"))
+
+        def step(acc: Column, f: Column) -> Column:
+            o = acc["open"]
+            fits = o.isNotNull() & ~F.array_contains(o["kinds"], f["kind"]) & (f["start"] >= o["stop"]) & (f["start"] - o["stop"] <= reach)
+            # A place inside the open record belongs to a longer field that began before.
+            inside = o.isNotNull() & (f["start"] < o["stop"])
+            joined = F.struct(o["start"].alias("start"), f["stop"].alias("stop"), F.concat(o["kinds"], F.array(f["kind"])).alias("kinds"))
+            fresh = F.struct(f["start"].alias("start"), f["stop"].alias("stop"), F.array(f["kind"]).alias("kinds"))
+            opened = F.when(inside, o).when(fits, joined).otherwise(fresh).cast(record)
+            closed = F.when(fits | inside | o.isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(o)))
+            return F.struct(opened.alias("open"), closed.alias("done"))
+
+        return F.aggregate(ordered, start, step, lambda acc: F.filter(F.concat(acc["done"], F.array(acc["open"])), lambda r: F.size(r["kinds"]) > 1))
+
+    def placed(r: Column) -> Column:
+        size = r["stop"] - r["start"]
+        return F.struct(r["start"].alias("start"), size.alias("len"), F.substring(text, r["start"] + 1, size).alias("value"))
+
+    return F.transform(T.let(F.array_sort(found), dealt), placed)
+
+
+def company_to_left(suffix: str) -> str:
+    """A legal form and what belongs to it on its left.
+
+    By precedence: an opening word or an abbreviation in capitals up to four
+    words before, all between with capitals or linking words; a word before
+    `...gesellschaft mbH`; a word before the usual middle words; a number
+    beside a capitalised word; the word before, in any case but a determiner.
+    An abbreviation right before all that belongs to it too.
+    """
+    s = r"[ \t\u00a0]{1,3}"
+    short = r"\p{Lu}(?:[+&]?\p{Lu})+(?![\p{L}\p{Nd}])"
+    capital = r"\p{Lu}[\p{L}\p{Nd}.&+'-]*"
+    word = rf"(?!(?:{DETERMINERS}|und|oder|and|the|of|bei|mit|für|Co)\b)[\p{{L}}\p{{Nd}}][\p{{L}}\p{{Nd}}.&+'-]*"
+    bare = rf"(?!{suffix})"
+    between = rf"(?:{s}{bare}(?:{capital}|{'|'.join(COMPANY_LINKS)}|[-–](?=\s))){{0,3}}"
+    ways = [
+        rf"(?:{_or(COMPANY_OPENERS)}(?!\p{{L}})|{short}){between}",
+        rf"{word}{s}\p{{L}}*[Gg]esellschaft(?={s}mbH)",
+        rf"{word}(?:{s}{_or(COMPANY_MIDDLES)}(?!\p{{L}}))+",
+        rf"(?:\d{{1,3}}{s}{capital}|{capital}{s}\d{{1,3}})",
+        word,
+    ]
+    return rf"{_L}{bare}(?:{short}{s}{bare})?(?:{'|'.join(ways)}){s}{suffix}"
+
+
 def recognizers(g: Gazetteers) -> list[Recognizer]:
     """All recognisers in order of priority."""
     street = r"\p{Lu}[\p{L}.-]*(?:\s\p{Lu}?[\p{L}-]*)?(?:straße|strasse|str\.|Straße|Strasse|Str\.|allee|Allee|platz|Platz|weg|Weg|ring|Ring|markt|Markt|berg|Berg)"
     house = r"\d{1,4}(?:\s?[A-Za-z]\b)?(?:-\d{1,4})?"
-    city = _or(g.cities)
+    city = city_pattern(g.cities)
+    by_key = F.create_map(*[F.lit(x) for c in sorted(set(g.cities)) for x in (re.sub(r"[\s-]+", " ", c), c)])
     zip_city = rf"\d{{5}}\s+{city}"
     address = rf"{_L}(?:{street}\s{house}\s*[,;–-]?\s*{zip_city}|{zip_city}\s*[,;–-]?\s*{street}\s{house}|{street}\s{house}\s*[,;–-]?\s*{city}|{zip_city}){_R}"
     area = "|".join(sorted(g.area_codes, key=len, reverse=True))
@@ -96,10 +186,33 @@ def recognizers(g: Gazetteers) -> list[Recognizer]:
     phone = rf"(?<![\p{{L}}\p{{Nd}}+])(?:\+49\s?(?:\(0\)\s?)?|0049\s?|\(0|0)(?:{area}|{mobile})\)?{local}{_R}"
     first, last = _or(g.firstnames), _or(g.surnames)
     double = rf"{last}(?:\s?-\s?{last})?"
-    words = r"(?:\p{Lu}[\p{L}&.-]*\s+){1,4}"
-    suffix = rf"{_or(g.company_suffixes)}(?![\p{{L}}\p{{Nd}}])"
+    suffix = rf"(?:{_or(g.company_suffixes)}|mbH)(?![\p{{L}}\p{{Nd}}])"
     address_guard = rf"(?=[.w{_initials(g.schemes)}])(?:\.{_or(g.tlds)}\b|www\.|{_or(g.schemes)}:)"
 
+    def bank_records(text: Column) -> Column:
+        return records(text, {k: bank_field(k) for k in ("owner", "bank", "account", "bank_code")})
+
+    def bank_code(v: Column) -> Column:
+        return F.regexp_replace(F.regexp_extract(v, rf"{PREAMBLES['bank_code']}{_GAP}(\d[\d ]{{6,9}}\d)", 1), " ", "")
+
+    def bank_check(v: Column) -> Column:
+        """Both numbers are there, and the bank code is one of the list, or without a list of eight digits from a clearing area (1 to 8)."""
+        code = bank_code(v)
+        known = code.isin(g.bank_codes) if g.bank_codes else code.rlike(r"^[1-8]\d{7}$")
+        return known & (F.regexp_extract(v, bank_field("account"), 1) != "")
+
+    def bank_parts(v: Column) -> dict[str, Column]:
+        text = {k: F.nullif(F.regexp_replace(F.trim(F.regexp_extract(v, bank_field(k), 1)), r"\s+", " "), F.lit("")) for k in ("bank", "owner")}
+        return {"bank_code": bank_code(v), "account": F.regexp_replace(F.regexp_extract(v, bank_field("account"), 1), " ", "")} | text
+
+    def company_parts(v: Column) -> dict[str, Column]:
+        return {"name": F.regexp_replace(F.regexp_replace(v, r"\s+-\s*|\s*-\s+", "-"), r"\s+", " ")}
+
+    def zip_check(v: Column) -> Column:
+        code = F.regexp_extract(v, r"(?<!\d)(\d{5})(?!\d)", 1)
+        known = code.isin(g.zip_codes) if g.zip_codes else ~code.startswith("00")
+        return (code == "") | known
+
     def parts(kind: str) -> Callable[[Column], dict[str, Column]]:
         return lambda v: {kind: v}
 
@@ -113,7 +226,7 @@ def recognizers(g: Gazetteers) -> list[Recognizer]:
             "street": F.nullif(s, F.lit("")),
             "house": F.nullif(F.regexp_replace(F.regexp_extract(v, rf"({street})\s({house})", 2), " ", ""), F.lit("")),
             "zip": F.nullif(F.regexp_extract(v, r"(?<!\d)(\d{5})(?!\d)", 1), F.lit("")),
-            "city": F.nullif(F.regexp_extract(v, rf"({city})", 1), F.lit("")),
+            "city": F.try_element_at(by_key, F.regexp_replace(F.regexp_extract(v, rf"({city})", 1), r"[\s-]+", " ")),
         }
 
     def name_parts(v: Column) -> dict[str, Column]:
@@ -134,14 +247,15 @@ def recognizers(g: Gazetteers) -> list[Recognizer]:
     return [
         Recognizer("email", "Email", T.EMAIL, 0, None, parts("email")),
         Recognizer("url", "Url", T.url_pattern(g.tlds, g.schemes), 0, None, parts("url"), guard=address_guard),
-        Recognizer("address", "Address", address, 0, None, address_parts, lead=r"\p{Lu}\d"),
-        Recognizer("phone_preamble", "PhoneNumber", rf"{after('phone')}([+(]?\d(?:[\d ()/-]*\d))", 1, lambda v: (F.length(_digits(v)) >= 5) & T.bracket_balance(v), phone_parts, lead="TFHMPR"),
+        Recognizer("address", "Address", address, 0, zip_check, address_parts, lead=r"\p{Lu}\d"),
+        Recognizer("phone_preamble", "PhoneNumber", rf"{after('phone')}(\(\d[\d /-]*\d\)(?:[ /-]{{0,3}}\d+)*|[+(]?\d(?:[\d ()/-]*\d))", 1, lambda v: (F.length(_digits(v)) >= 5) & T.bracket_balance(v), phone_parts, lead="TFHMPR"),
         Recognizer("iban", "AccountNumber", rf"{_L}DE\d{{2}}(?:\s?\d{{4}}){{4}}\s?\d{{2}}{_R}", 0, lambda v: C.iban_shape(_plain(v)), iban_parts, lead="D"),
-        Recognizer("bank_preamble", "AccountNumber", rf"{after('bank_code')}(\d[\d ]{{6,9}}\d)\W{{1,5}}{PREAMBLES['account']}{_GAP}(\d{{4,10}}){_R}", 0, lambda v: F.length(F.regexp_extract(v, rf"{PREAMBLES['bank_code']}{_GAP}([\d ]+)", 1)) >= 8, lambda v: {"bank_code": F.regexp_replace(F.regexp_extract(v, rf"^{PREAMBLES['bank_code']}{_GAP}([\d ]+)", 1), " ", ""), "account": F.regexp_extract(v, r"(\d{4,10})$", 1)}, lead="B"),
-        Recognizer("customer", "CustomerNumber", rf"{after('customer')}(?:(?:Lautet|Ist|Nummer|Number|Nr|No|lautet|ist)\.?{_GAP})?((?=[\p{{Lu}}\d.-]*\d)[\p{{Lu}}\d]+(?:[.-][\p{{Lu}}\d]+)*){_R}", 1, None, parts("number"), lead="KVARMCF"),
+        Recognizer("bank_fields", "AccountNumber", "", 0, bank_check, bank_parts, find=bank_records, guard=PREAMBLES["account"]),
+        Recognizer("customer", "CustomerNumber", rf"{after('customer')}(?:(?:Lautet|Ist|Nummer|Number|Nr|No|lautet|ist)\.?{_GAP})?((?=[\p{{L}}\d.-]*\d)[\p{{Lu}}\d][\p{{L}}\d]*(?:[.-][\p{{L}}\d]+)*){_R}", 1, None, parts("number"), lead="KVARMCF"),
         Recognizer("birthday", "Birthday", rf"{after('birthday')}({_DATE})|(?<=\bam )(?:{_DATE})(?= geboren)", 0, lambda v: C.parse_date(F.regexp_extract(v, rf"({_DATE})", 1)).isNotNull(), lambda v: {"date": C.parse_date(F.regexp_extract(v, rf"({_DATE})", 1)).cast("string")}, lead=r"GgDb\d"),
         Recognizer("birthplace", "Birthplace", rf"{after('birthplace')}(?:\S+\s+){{0,3}}?({_or(g.birthplaces)})(?!\p{{L}})", 1, None, lambda v: {"place": F.regexp_replace(v, r"\(\s*(.*?)\s*\)", "($1)")}, lead="GgPb"),
-        Recognizer("marital", "MaritalStatus", rf"(?i){after('marital')}(?:\S+\s+){{0,3}}?({_or(g.marital)}){_R}", 1, None, lambda v: {"status": F.lower(v)}, lead="fpm"),
+        Recognizer("marital", "MaritalStatus", rf"(?i){after('marital')}(?:\S+\s+){{0,3}}?({_or(g.marital)}){_R}", 1, None, lambda v: {"status": F.lower(v)}, lead="fpbmcr"),
+        Recognizer("marital_answer", "MaritalStatus", rf"(?<![\p{{L}}]){MARITAL_QUESTIONS}(?: \((?:ja/nein|yes/no)\))?{_GAP}(?:\S+\s+){{0,3}}?({YES_NO}){_R}", 1, None, lambda v: {"answer": F.when(v.isin("ja", "yes"), "yes").otherwise("no")}, lead="VLGMSDW"),
         Recognizer("nationality", "Nationality", rf"(?i){after('nationality')}(?:\S+\s+){{0,3}}?({_or(g.nationalities)})\p{{L}}{{0,2}}{_R}", 1, None, lambda v: {"nationality": F.lower(v)}, lead="snc"),
         Recognizer("card", "CreditCard", rf"(?<![\p{{L}}\p{{Nd}}_.,/-])(?:\d{{13,16}}|\d{{4}}[ -]\d{{4}}[ -]\d{{4}}[ -]\d{{1,4}}|\d{{5}}[ -]\d{{5}}[ -]\d{{5}}|\d{{8}}[ -]\d{{8}}){_R}", 0, lambda v: C.luhn(_digits(v)), lambda v: {"number": _digits(v)}, lead=r"\p{Nd}"),
         Recognizer("passport", "PassportIdCardNumber", rf"{_L}(?=[A-Z0-9]*\d)(?=[A-Z0-9]*[A-Z])[A-Z0-9]{{8,10}}{_R}", 0, lambda v: C.passport(v, g.old_passport_prefixes), parts("number"), lead="A-Z0-9"),
@@ -151,8 +265,8 @@ def recognizers(g: Gazetteers) -> list[Recognizer]:
         Recognizer("ssn", "SocialSecurity", rf"{_L}\d{{2}}[ /-]{{0,3}}\d{{6}}[ /-]{{0,3}}[A-Z][ /-]{{0,3}}\d{{3}}{_R}", 0, lambda v: C.social_security(_plain(v)), lambda v: {"number": _plain(v)}, lead=r"\d"),
         Recognizer("tax", "TaxIdentification", rf"{after('tax')}(\d(?:[\d /-]*\d)){_R}", 1, lambda v: C.tax_id(_digits(v)) | C.tax_number_old(_digits(v), g.old_tax_prefixes), lambda v: {"number": _digits(v), "type": F.when(C.tax_id(_digits(v)), "New").otherwise("Old")}, lead="SIT"),
         Recognizer("company_list", "Company", rf"{_L}{_or(g.companies)}(?:\s{_or(g.company_suffixes)})?(?![\p{{L}}\p{{Nd}}])", 0, None, parts("name"), lead=_initials(g.companies)),
-        Recognizer("company_suffix", "Company", rf"{_L}(?:{words}|\p{{L}}+gesellschaft\s+){suffix}", 0, None, parts("name"), guard=rf"\s{suffix}", lead=r"\p{L}"),
-        Recognizer("company_prefix", "Company", rf"{_L}{_or(g.company_prefixes)}(?:\s+(?:-\s+)?\p{{Lu}}[\p{{L}}-]*)+", 0, None, parts("name"), lead=_initials(g.company_prefixes)),
+        Recognizer("company_suffix", "Company", company_to_left(suffix), 0, None, company_parts, guard=rf"\s{suffix}", lead=r"\p{L}\p{Nd}"),
+        Recognizer("company_prefix", "Company", rf"{_L}{_or(g.company_prefixes)}(?:[ ](?:{'|'.join(COMPANY_LINKS)}))?[ ]{{1,3}}\p{{Lu}}[\p{{L}}-]*(?:[ ]{{0,3}}-[ ]{{0,3}}\p{{Lu}}[\p{{L}}-]*|[ ]{{1,3}}\p{{Lu}}[\p{{L}}-]*)*", 0, None, company_parts, lead=_initials(g.company_prefixes)),
         Recognizer("name_title", "Name", rf"{_L}(?:{PREAMBLES['title']}\s+)+(?:{_NAME}\s+|\p{{Lu}}\.\s*)?{_NAME}", 0, None, name_parts, lead="HFPDM"),
         Recognizer("name", "Name", rf"{_L}(?={first}|{last})(?<!\b(?:{DETERMINERS})\s)(?:{first}\s?,?\s{double}|{double}\s?,?\s{first}){_R}", 0, lambda v: _not_excluded(v, g), name_parts, lead=_initials(g.firstnames, g.surnames)),
         Recognizer("phone", "PhoneNumber", phone, 0, lambda v: F.length(_digits(v)).between(7, 16) & T.bracket_balance(v), phone_parts, lead="+(0"),
@@ -166,7 +280,7 @@ def _not_excluded(v: Column, g: Gazetteers) -> Column:
 
 def candidates(text: Column, rec: Recognizer, priority: int) -> Column:
     """Array of candidates of one recogniser; where the pattern announces a value, the place is the value's."""
-    found = T.spans(text, rec.pattern)
+    found = rec.find(text) if rec.find else T.spans(text, rec.pattern)
     if rec.group:
 
         def inner(m: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
+from spanloom.operators import dictionary as D
 from spanloom.operators import grouping, metrics
 from spanloom.operators.matching import overlap_merge
 from spanloom.operators.recognizers import Recognizer, candidates, recognizers
@@ -23,13 +24,13 @@ from spanloom.sources.gazetteers import Gazetteers
 ENTITY = "struct<priority:int,label:string,recognizer:string,start:int,len:int,value:string,attrs:array<struct<key:string,value:string>>>"
 #: What a text must have before a recogniser's pattern is tried; the cheap test comes first.
 GUARDS = {
-    "email": r"@|\(at\)|\[at\]", "address": r"\d", "phone_preamble": r"\d", "iban": r"DE\d{2}", "bank_preamble": r"\d", "customer": r"\d", "birthday": r"\d", "card": r"\d{4}", "passport": r"\d",
+    "email": r"@|\(at\)|\[at\]", "address": r"\d", "phone_preamble": r"\d", "iban": r"DE\d{2}", "customer": r"\d", "birthday": r"\d", "card": r"\d{4}", "passport": r"\d",
     "car": r"\d", "health": r"[A-Z]\d{9}", "driver": r"\d{5}", "ssn": r"\d{6}", "tax": r"\d", "phone": r"\d{3}",
 }
 
 
-def entity_array(text: Column, gazetteers: Gazetteers | None = None, enabled: set[str] | None = None) -> Column:
-    """The resolved entities of a text; enabled: names of recognisers, all by default."""
+def candidate_array(text: Column, gazetteers: Gazetteers | None = None, enabled: set[str] | None = None) -> Column:
+    """All candidates of a text; enabled: names of recognisers, all by default."""
     chosen: list[tuple[int, Recognizer]] = [(k, r) for k, r in enumerate(recognizers(gazetteers or Gazetteers())) if enabled is None or r.name in enabled]
     none = F.array().cast(f"array<{ENTITY}>")
     parts = []
@@ -37,23 +38,86 @@ def entity_array(text: Column, gazetteers: Gazetteers | None = None, enabled: se
         found = candidates(text, r, k)
         guard = r.guard or GUARDS.get(r.name)
         parts.append(F.when(text.rlike(guard), found).otherwise(none) if guard else found)
-    return resolved(F.concat(none, *[F.coalesce(p, none) for p in parts]), none)
+    return F.concat(none, *[F.coalesce(p, none) for p in parts])
+
+
+def entity_array(text: Column, gazetteers: Gazetteers | None = None, enabled: set[str] | None = None) -> Column:
+    """The resolved entities of a text."""
+    return resolved(candidate_array(text, gazetteers, enabled), F.array().cast(f"array<{ENTITY}>"))
 
 
 _built: dict[tuple, Column] = {}
 
 
-def entities_of(text: str, gazetteers: Gazetteers | None, enabled: set[str] | None) -> Column:
-    """entity_array of a column by name.  Building the expression takes thousands of calls to the JVM, so it is kept."""
-    key = (id(SparkContext._active_spark_context), text, repr(gazetteers or Gazetteers()), tuple(sorted(enabled)) if enabled is not None else None)
+def _kept(make, text: str, gazetteers: Gazetteers | None, enabled: set[str] | None) -> Column:
+    """An expression on a column by name.  Building it takes thousands of calls to the JVM, so it is kept."""
+    key = (make.__name__, id(SparkContext._active_spark_context), text, repr(gazetteers or Gazetteers()), tuple(sorted(enabled)) if enabled is not None else None)
     if key not in _built:
-        _built[key] = entity_array(F.col(text), gazetteers, enabled)
+        _built[key] = make(F.col(text), gazetteers, enabled)
     return _built[key]
 
 
-def extract(docs: DataFrame, gazetteers: Gazetteers | None = None, enabled: set[str] | None = None, text: str = "text", emit_urls: bool = True) -> DataFrame:
-    """doc_id, ent_id, label, recognizer, start, len, value, attrs."""
-    found = docs.select("doc_id", entities_of(text, gazetteers, enabled).alias("entities"))
+def entities_of(text: str, gazetteers: Gazetteers | None, enabled: set[str] | None) -> Column:
+    return _kept(entity_array, text, gazetteers, enabled)
+
+
+def candidates_of(text: str, gazetteers: Gazetteers | None, enabled: set[str] | None) -> Column:
+    return _kept(candidate_array, text, gazetteers, enabled)
+
+
+#: Kinds of dictionary tables, and the recognisers whose built-in lists they replace.
+DICTIONARIES = {"company": {"company_list"}, "firstname": {"name"}, "surname": {"name"}, "birthplace": {"birthplace"}, "nationality": {"nationality"}, "marital": {"marital"}}
+
+
+def _with_dictionaries(docs: DataFrame, dictionaries: dict[str, DataFrame], gazetteers: Gazetteers | None, enabled: set[str] | None, text: str) -> DataFrame:
+    """doc_id and entities: candidates of patterns and of dictionary tables, resolved together.
+
+    Patterns run on the text where it lies; words and phrases meet by joins; then
+    each document's candidates, not its text, meet by doc_id (which is unique).
+    """
+    g = gazetteers or Gazetteers()
+    if unknown := sorted(set(dictionaries) - set(DICTIONARIES)):
+        raise ValueError(f"no dictionary of kind {', '.join(unknown)}")
+    if len({"firstname", "surname"} & set(dictionaries)) == 1:
+        raise ValueError("given names and family names are looked up together")
+    replaced = set().union(*(DICTIONARIES[k] for k in dictionaries))
+    every = recognizers(g)
+    wanted = {r.name for r in every if enabled is None or r.name in enabled}
+    priority = {r.name: k for k, r in enumerate(every)}
+    none = F.array().cast(f"array<{ENTITY}>")
+    marks = [k for k in ("birthplace", "nationality", "marital") if k in dictionaries and k in wanted]
+    base = docs.select("doc_id", candidates_of(text, gazetteers, wanted - replaced).alias("c"), *[D.announcements(F.col(text), k).alias(k) for k in marks])
+    used = {k: df for k, df in dictionaries.items() if DICTIONARIES[k] & wanted}
+    if not used:
+        return base.select("doc_id", resolved(F.col("c"), none).alias("entities"))
+    phrases = used | ({"form": docs.sparkSession.createDataFrame([(x,) for x in g.company_suffixes], "phrase string")} if "company" in used else {})
+    found = D.by_document(D.hits(docs, D.entries(phrases), text))
+    rows = base.join(found.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    h = F.coalesce("hits", F.array().cast(f"array<{D.HIT}>"))
+    parts = [F.col("c")]
+    if "company" in used:
+        parts.append(D.listed(h, "company", "form", priority["company_list"], "Company", "company_list"))
+    if "surname" in used:
+        parts.append(D.names(h, g.excluded, priority["name"]))
+    for k, label, attr in (("birthplace", "Birthplace", "place"), ("nationality", "Nationality", "nationality"), ("marital", "MaritalStatus", "status")):
+        if k in marks:
+            parts.append(D.announced(h, F.col(k), k, priority[k], label, k, attr))
+    return rows.select("doc_id", resolved(F.concat(*[p.cast(f"array<{ENTITY}>") for p in parts]), none).alias("entities"))
+
+
+def extract(
+    docs: DataFrame, gazetteers: Gazetteers | None = None, enabled: set[str] | None = None, text: str = "text", emit_urls: bool = True, dictionaries: dict[str, DataFrame] | None = None
+) -> DataFrame:
+    """doc_id, ent_id, label, recognizer, start, len, value, attrs.
+
+    dictionaries: tables of phrases (first column) by kind, of any size, instead
+    of the built-in lists of company, firstname and surname, birthplace,
+    nationality, marital.
+    """
+    if dictionaries:
+        found = _with_dictionaries(docs, dictionaries, gazetteers, enabled, text)
+    else:
+        found = docs.select("doc_id", entities_of(text, gazetteers, enabled).alias("entities"))
     rows = found.select("doc_id", F.posexplode("entities").alias("ent_id", "e"))
     out = rows.select("doc_id", "ent_id", "e.label", "e.recognizer", "e.start", "e.len", "e.value", F.map_from_entries("e.attrs").alias("attrs"))
     return out if emit_urls else out.where("label <> 'Url'")

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import checks as C
 from spanloom.functions import text as T
+from spanloom.operators import crf
+from spanloom.operators import dictionary as D
 from spanloom.operators import grouping, matching, metrics, neural
 from spanloom.plans import extract as plans
 
@@ -755,7 +757,7 @@ LETTER = [
     ("Rente ", "element_at(array('15070649C103', '13 020281 W 025', '12/190367/K/001'), cast(k % 3 + 1 as int))", "SocialSecurity"),
     ("Pass ", "element_at(array('C73Z12345', 'L6Z3PGVYC3'), cast(k % 2 + 1 as int))", "PassportIdCardNumber"),
     ("Steuer-ID ", "element_at(array('81872495633', '86 095 742 719'), cast(k % 2 + 1 as int))", "TaxIdentification"),
-    ("bei ", "concat('Nordwind ', element_at(array('Handel', 'Werke'), cast(k % 2 + 1 as int)), ' GmbH')", "Company"),
+    ("bei ", "concat(element_at(array('Nordwind', 'Stadtwerke', 'NWH'), cast(k % 3 + 1 as int)), ' ', element_at(array('Holding', 'Media'), cast(k % 2 + 1 as int)), ' GmbH')", "Company"),
     ("Mail ", "concat('kunde', cast(k as string), '@example.com')", "Email"),
     ("Seite ", "concat('www.firma', cast(k as string), '.de')", "Url"),
 ]
@@ -799,6 +801,36 @@ def letter_combined(spark, sf_dir):
     return plans.combined(docs, model).select("doc_id", "start", "len", "label", "origin")
 
 
+def built_in_dictionaries(spark: SparkSession) -> dict[str, DataFrame]:
+    """The built-in lists as tables."""
+    g = plans.Gazetteers()
+    lists = {"company": g.companies, "firstname": g.firstnames, "surname": g.surnames, "birthplace": g.birthplaces, "nationality": g.nationalities, "marital": g.marital}
+    return {k: spark.createDataFrame([(x,) for x in v], "phrase string") for k, v in lists.items()}
+
+
+@query(LETTERS_SQL + " select doc_id, label, value, start, len from s")
+def letter_dictionaries(spark, sf_dir):
+    """The letters again, with all word lists as tables that the words meet by joins."""
+    return plans.extract(letters(spark, sf_dir), dictionaries=built_in_dictionaries(spark)).select("doc_id", "label", "value", "start", "len")
+
+
+NORM = "upper(" + "replace(" * 7 + "{}" + "".join(f", '{a}', '{b}')" for a, b in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss"), ("Ä", "AE"), ("Ö", "OE"), ("Ü", "UE"))) + ")"
+
+
+@query(rf"""with b as (select regexp_extract_all(text, '[\p{{L}}\p{{Nd}}]+') as w from benchmark),
+phrases as (select list_transform(list_slice(w, 1, n), lambda x: {NORM.format("x")}) as w, n from b, (select unnest([2, 3, 5]) as n) where len(w) >= n),
+keys as (select distinct array_to_string(w, '') as key from phrases), openers as (select w[1] as opener, max(n) as most from phrases group by 1),
+texts as (select doc_id, list_transform(regexp_extract_all(text, '[\p{{L}}\p{{Nd}}]+'), lambda x: {NORM.format("x")}) as w, list_transform(string_split_regex(text, '[\p{{L}}\p{{Nd}}]+'), lambda x: length(x)) as g from documents where text is not null),
+words as (select doc_id, w, g, unnest(range(1, len(w) + 1)) as i from texts),
+opened as (select doc_id, w, g, i, unnest(range(1, least(most + 2, len(w) - i + 1) + 1)) as n from words join openers on w[i] = opener)
+select doc_id, (i - 1)::int as at, n::int as n_tok from opened join keys on array_to_string(list_slice(w, i, i + n - 1), '') = key where n = 1 or list_max(list_slice(g, i + 1, i + n - 1)) <= 4""")
+def dictionary_hits(spark, sf_dir):
+    """The openings of all benchmark passages (2, 3 and 5 words) as a dictionary, met by the words of all documents."""
+    w = T.matches(F.col("text"), D.WORD)
+    openings = read(spark, sf_dir, "benchmark").select(F.explode(F.transform(F.array(*map(F.lit, (2, 3, 5))), lambda n: F.when(F.size(w) >= n, F.array_join(F.slice(w, F.lit(1), n), " ")))).alias("phrase"))
+    return D.hits(read(spark, sf_dir, "documents"), D.entries({"opening": openings.where("phrase is not null")})).select("doc_id", "at", "n_tok")
+
+
 # -- whole plans (no SQL) ----------------------------------------------------
 
 
@@ -839,6 +871,19 @@ def rouge_pairs(spark, sf_dir):
     return metrics.rouge(rows, ["conv_id", "turn"])
 
 
+@query()
+def crf_entities(spark, sf_dir):
+    """Capitalised runs of every turn by a sequence model: its weights are learned from the shapes in four of five conversations, its tags see the neighbours' words and shapes only through them."""
+    tokens = turn_tokens(spark, sf_dir).select("doc_id", "tok_id", F.col("value").alias("token"), F.lower("value").alias("w"), T.shape(F.col("value")).alias("c"))
+    features = grouping.context_features(tokens, ["doc_id"], ["w", "c"])
+    named = F.col("c").isin("LatinFirstCapital", "MixCapital") & (F.col("tok_id") > 0)
+    before = F.lag(named).over(W.partitionBy("doc_id").orderBy("tok_id"))
+    gold = tokens.withColumn("tag", F.when(~named, "O").when(F.coalesce(before, F.lit(False)), "I-CAP").otherwise("B-CAP")).where(F.pmod(F.floor(F.col("doc_id") / 1000), F.lit(5)) != 0)
+    weights, transitions = crf.learn(gold.select("doc_id", "tok_id", "tag"), ["doc_id"], features)
+    decoded = crf.decode(features, ["doc_id"], weights, transitions)
+    return crf.label_chains(crf.tagged_tokens(tokens, decoded, ["doc_id"]), ["doc_id"])
+
+
 @query()
 def neural_tags(spark, sf_dir):
     """A tagger's forward pass over every turn (weights of a fixed seed)."""

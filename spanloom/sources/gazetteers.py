@@ -80,15 +80,17 @@ class Gazetteers:
     firstnames: list[str] = field(default_factory=lambda: "Anna Maria Sabine Petra Julia Katharina Laura Lena Sarah Eva Claudia Monika Max Hans Peter Thomas Michael Stefan Andreas Jan Paul Lukas Felix Jürgen Klaus Martin John James Mary Linda David Emma".split())
     surnames: list[str] = field(default_factory=lambda: "Müller Schmidt Schneider Fischer Weber Meyer Wagner Becker Schulz Hoffmann Koch Bauer Richter Klein Wolf Schröder Neumann Schwarz Braun Zimmermann Krüger Hartmann Lange Werner Smith Johnson Brown Miller Davis Wilson".split())
     excluded: list[tuple[str, str]] = field(default_factory=lambda: [("Max", "Weber"), ("Klein", "Wolf")])
-    cities: list[str] = field(default_factory=lambda: ["Berlin", "Hamburg", "München", "Köln", "Frankfurt am Main", "Frankfurt", "Stuttgart", "Düsseldorf", "Leipzig", "Dresden", "Bremen", "Hannover", "Nürnberg", "Bonn", "Münster", "Karlsruhe", "Mannheim", "Augsburg", "Kiel", "Freiburg", "Mainz", "Rostock", "Rotenburg (Wümme)", "Rotenburg"])
+    cities: list[str] = field(default_factory=lambda: ["Berlin", "Hamburg", "München", "Köln", "Frankfurt am Main", "Frankfurt", "Stuttgart", "Düsseldorf", "Leipzig", "Dresden", "Bremen", "Hannover", "Nürnberg", "Bonn", "Münster", "Karlsruhe", "Mannheim", "Augsburg", "Kiel", "Freiburg", "Mainz", "Rostock", "Rotenburg (Wümme)", "Rotenburg", "Alsbach", "Alsbach-Hähnlein", "Montabaur", "Schkeuditz", "Mülheim an der Ruhr"])
     birthplaces: list[str] = field(default_factory=lambda: ["Berlin", "Hamburg", "München", "Köln", "Frankfurt am Main", "Frankfurt", "Leipzig", "Dresden", "Bremen", "Wien", "Zürich", "Rotenburg (Wümme)", "Rotenburg ( Wümme )", "Rotenburg", "Paris", "London", "Madrid"])
     nationalities: list[str] = field(default_factory=lambda: "deutsch österreichisch schweizerisch französisch spanisch italienisch polnisch türkisch griechisch russisch äthiopisch britisch german austrian swiss french spanish italian polish turkish greek russian british american".split())
-    marital: list[str] = field(default_factory=lambda: ["verheiratet", "ledig", "geschieden", "verwitwet", "getrennt lebend", "married", "single", "divorced", "widowed", "separated"])
+    marital: list[str] = field(default_factory=lambda: ["verheiratet", "ledig", "geschieden", "verwitwet", "getrennt lebend", "getrennt", "verlobt", "eingetragene Lebenspartnerschaft", "durch Tod aufgelöste Lebenspartnerschaft", "durch Tod aufgeloeste Lebenspartnerschaft", "living together with the life partner", "married", "single", "divorced", "widowed", "separated"])
     companies: list[str] = field(default_factory=lambda: ["Musterwerke", "Nordlicht Reederei", "Alpenblick Hotels", "Rheintal Maschinenbau"])
-    company_suffixes: list[str] = field(default_factory=lambda: ["GmbH & Co. KG", "GmbH", "AG", "KGaA", "KG", "OHG", "UG", "SE", "e.V.", "e. V.", "eG", "Ltd.", "Inc.", "LLC", "Corp."])
+    company_suffixes: list[str] = field(default_factory=lambda: ["GmbH & Co. KG", "GmbH & Co KG", "GmbH & Co.KG", "Ltd. & Co KG", "Ltd. & Co. KG", "B.V. & Co. KG", "gGmbH", "GmbH", "AG", "AöR", "KGaA", "KG", "OHG", "UG", "SE", "e.V.", "e. V.", "eG", "B.V.", "Ltd.", "Inc.", "LLC", "Corp."])
     company_prefixes: list[str] = field(default_factory=lambda: ["Stiftung", "Verein", "Bundesverband"])
     plate_areas: list[str] = field(default_factory=lambda: "B M K S D F L H HH HB HL HRO KA MA MH DA DO DU E EN ER FR FÜ GE GÖ HD HN HSK IN J KI KL KO KS LU MD MG MS MZ N OB OF OL P PB PF R RE RT SB SG SHA SI TR TÜ UL W WI WÜ WUP ZW".split())
-    bank_codes: list[str] = field(default_factory=lambda: ["37050198", "60010070", "10000000", "20041133", "50010517", "70020270"])
+    #: Known bank codes and zip codes; without a list, any of the right form.
+    bank_codes: list[str] = field(default_factory=list)
+    zip_codes: list[str] = field(default_factory=list)
     licence_authorities: list[str] = field(default_factory=lambda: ["J010", "N070", "F010", "J430", "F013", "B072"])
     old_passport_prefixes: list[str] = field(default_factory=lambda: ["E8448", "1220", "2720", "3720"])
     old_tax_prefixes: list[str] = field(default_factory=lambda: ["918", "218", "048", "21", "93", "10"])

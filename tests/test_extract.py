@@ -35,7 +35,7 @@ GOLDEN = [
     ("Vertragsnummer AID073453343", [("CustomerNumber", "AID073453343")]),
     ("Sie erreichen www.x-kom.de, google.com und user[at]host.de", [("Url", "www.x-kom.de"), ("Url", "google.com"), ("Email", "user[at]host.de")]),
     ("Er wohnt Max-Joseph-Str. 2 B - 80333 München", [("Address", "Max-Joseph-Str. 2 B - 80333 München")]),
-    ("Wir danken der Bodensee Tourismus GmbH", [("Company", "Bodensee Tourismus GmbH")]),
+    ("Wir danken der Internationale Bodensee Tourismus GmbH", [("Company", "Internationale Bodensee Tourismus GmbH")]),
     ("Anwesend war Herr Peter Schmidt", [("Name", "Herr Peter Schmidt")]),
     ("Gez. Anna Müller, Krüger Hans", [("Name", "Anna Müller"), ("Name", "Krüger Hans")]),
 ]
