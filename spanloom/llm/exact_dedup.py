@@ -1,12 +1,13 @@
 """Exact deduplication by skew-safe combining, with DataFrame functions only.
 
-Texts are grouped by SHA-256 digest and full text.  Each input task first
-combines its own copies (the partial aggregate).  A digest that holds more
-than a thousandth of all rows is hot: its rows are dealt over salts, so many
-that a salt has PIECE_ROWS at most, each salt keeps one winner, and the salt
-winners are combined.  Every grouping, window and join has the text itself in
-its key, so content decides and not the digest alone.  At most 1/HOT_SHARE
-digests can be hot, which bounds what is broadcast.
+Texts are grouped by SHA-256 digest and full text, in three stages for every
+row.  Each input task first combines its own copies (the partial aggregate).
+Groups then meet under a salt: 0 for most, but a digest with more than
+PIECE_ROWS rows is dealt over so many salts that each has about PIECE_ROWS.
+Last, the winners of a digest's salts are combined into one.  Every grouping
+and join has the text itself in its key, so content decides and not the digest
+alone.  A text is shuffled once for each task that has it; its rows' ids travel
+with it, so rows are never joined back to texts.
 
 Defined results: null text counts as empty; of equal texts the row with the
 largest doc_id stays (null ids are smallest); of rows that repeat both doc_id
@@ -17,15 +18,12 @@ are carried along whatever their names.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanloom.llm.shared import written
+from spanloom.llm.shared import small_or_shuffled, written
 
-#: A digest with more than this share of all rows is hot.
-HOT_SHARE = 1 / 1000
-#: Rows of a hot digest that share a salt, or HOT_SHARE of all rows if that is less.
-PIECE_ROWS = 100_000
+#: Rows of one text that meet under one salt.
+PIECE_ROWS = 1000
 _P = "__xd_"  # prefix of working columns
 
 
@@ -33,19 +31,19 @@ def _digest(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def hot_digests(docs: DataFrame, text: str) -> DataFrame:
-    """Digests of more than HOT_SHARE of all rows, at most 1/HOT_SHARE of them, and the number of salts of each."""
-    least = max(2, int(docs.count() * HOT_SHARE))
+def hot_digests(docs: DataFrame, text: str, piece_rows: int | None = None) -> DataFrame:
+    """Digests of more than piece_rows rows, at most one for so many rows of docs, and the number of salts of each."""
+    piece_rows = piece_rows or PIECE_ROWS
     counts = docs.groupBy(_digest(F.coalesce(F.col(text), F.lit(""))).alias(f"{_P}digest")).agg(F.count("*").alias("n"))
-    salts = F.ceil(F.col("n") / min(least, PIECE_ROWS)).cast("long")
-    return written(counts.where(F.col("n") > least).select(f"{_P}digest", salts.alias(f"{_P}salts")), "hot")
+    salts = F.ceil(F.col("n") / piece_rows).cast("long")
+    return written(counts.where(F.col("n") > piece_rows).select(f"{_P}digest", salts.alias(f"{_P}salts")), "hot")
 
 
 def _keyed(docs: DataFrame, hot: DataFrame, text: str) -> DataFrame:
     """docs with the text to compare, its digest, the number of salts (null unless the digest is hot) and a salt; no result depends on a row's salt."""
     full = F.coalesce(F.col(text), F.lit(""))
     docs = docs.withColumn(f"{_P}text", full).withColumn(f"{_P}digest", _digest(full))
-    docs = docs.join(F.broadcast(hot), f"{_P}digest", "left")
+    docs = docs.join(small_or_shuffled(hot), f"{_P}digest", "left")
     salt = F.pmod(F.monotonically_increasing_id(), F.col(f"{_P}salts"))
     return docs.withColumn(f"{_P}salt", F.coalesce(salt, F.lit(0).cast("long")))
 
@@ -58,9 +56,9 @@ def _combined(keyed: DataFrame, first: list[Column], again: list[Column]) -> Dat
     return salted.where(f"{_P}salts is null").select(hot.columns).unionByName(hot)
 
 
-def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", piece_rows: int | None = None) -> DataFrame:
     """The rows that stay, with all their columns."""
-    keyed = _keyed(docs, hot_digests(docs, text), text)
+    keyed = _keyed(docs, hot_digests(docs, text, piece_rows), text)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text], F.col(text).isNull().alias(f"{_P}null"))
     key = F.struct(F.col(doc_id))
     kept = _combined(
@@ -72,25 +70,23 @@ def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return kept.select([value.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
-def mark_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def mark_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", piece_rows: int | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 for every row, dropped ones too."""
-    hot = hot_digests(docs, text)
+    hot = hot_digests(docs, text, piece_rows)
     keyed = _keyed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias(text)), hot, text)
     by = [f"{_P}digest", f"{_P}text"]
+    # Each salt's ids, the winner first; a salt has about piece_rows of them.
+    ids = F.sort_array(F.collect_list(F.struct("doc_id")), asc=False).alias("ids")
+    salted = keyed.groupBy(*by, f"{_P}salt", f"{_P}salts").agg(ids)
+    alone = salted.where(f"{_P}salts is null").select(f"{_P}digest", "ids", F.col("ids")[0]["doc_id"].alias("keep_id"), F.size("ids").cast("long").alias("group_size"), F.lit(True).alias("wins"))
+    if not hot.isEmpty():
+        pieces = written(salted.where(f"{_P}salts is not null"), "pieces")
+        winner = F.max(F.struct(F.col("ids")[0]["doc_id"].alias("doc_id"), F.col(f"{_P}salt").alias("salt")))
+        best = pieces.groupBy(*by).agg(winner.alias("best"), F.sum(F.size("ids")).alias("group_size"))
+        # Repeated texts look small when compressed: not to be broadcast.
+        pieces = pieces.join(best.hint("merge"), by)
+        pieces = pieces.select(f"{_P}digest", "ids", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col(f"{_P}salt") == F.col("best.salt")).alias("wins"))
+        alone = alone.unionByName(pieces)
     sha = F.lower(F.hex(f"{_P}digest")).alias("text_sha256")
-    same = W.partitionBy(*by)
-    first = F.row_number().over(same.orderBy(F.desc_nulls_last("doc_id"))) == 1
-    cold = keyed.where(f"{_P}salts is null")
-    cold = cold.select("doc_id", F.max("doc_id").over(same).alias("keep_id"), F.count("*").over(same).alias("group_size"), first.alias("kept"), sha)
-    if hot.isEmpty():
-        return cold.withColumnRenamed("doc_id", doc_id)
-    # Hot texts: a row number tells rows of equal id apart; it is written, so that it stays as it is.
-    rows = written(keyed.where(f"{_P}salts is not null").select("doc_id", *by, f"{_P}salts", f"{_P}salt", F.monotonically_increasing_id().alias(f"{_P}row")), "hot_rows")
-    best = rows.groupBy(*by, f"{_P}salts", f"{_P}salt").agg(F.max(F.struct("doc_id", f"{_P}row")).alias("best"), F.count("*").alias("group_size"))
-    best = best.groupBy(*by, f"{_P}salts").agg(F.max("best").alias("best"), F.sum("group_size").alias("group_size"))
-    # A group's result is repeated for each salt, so that its rows meet it in many tasks.
-    dealt = best.withColumn(f"{_P}salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{_P}salts") - 1))).drop(f"{_P}salts")
-    # Repeated texts look small when compressed: not to be broadcast.
-    rows = rows.join(dealt.hint("merge"), [*by, f"{_P}salt"])
-    rows = rows.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col(f"{_P}row") == F.col(f"best.{_P}row")).alias("kept"), sha)
-    return cold.unionByName(rows).withColumnRenamed("doc_id", doc_id)
+    rows = alone.select(F.posexplode("ids").alias("place", "id"), "keep_id", "group_size", "wins", sha)
+    return rows.select(F.col("id.doc_id").alias(doc_id), "keep_id", "group_size", (F.col("wins") & (F.col("place") == 0)).alias("kept"), "text_sha256")

@@ -45,12 +45,31 @@ def test_exact_hot_text_and_clashing_names(spark):
     assert exact_dedup.drop_copies(table).where("text = 'same'").first().doc_id == 2999
 
 
+def test_exact_frequent_text_that_is_a_small_share(spark, capsys):
+    """A text in one of 1500 rows is dealt over salts all the same; no row goes through a window."""
+    rows = [(i, "often" if i % 1500 == 0 else f"own {i}") for i in range(6000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    hot = exact_dedup.hot_digests(table, "text", piece_rows=2)
+    assert [r[f"{exact_dedup._P}salts"] for r in hot.collect()] == [2]
+    got = exact_dedup.mark_copies(table, piece_rows=2)
+    assert got.where("group_size = 4 and keep_id = 4500").count() == 4 and got.where("kept").count() == 5997
+    got.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "Window" not in plan and "partial_collect_list" in plan
+
+
+def test_exact_very_long_texts(spark):
+    long = "x y " * 500_000
+    table = spark.createDataFrame([(1, long), (2, long + "z"), (3, long)], "doc_id long, text string")
+    assert {(r.doc_id, r.keep_id, r.kept) for r in exact_dedup.mark_copies(table).collect()} == {(1, 3, False), (3, 3, True), (2, 2, True)}
+
+
 def test_exact_hot_text_without_ids(spark, monkeypatch):
     """A third of all rows has one text and no id, another third one text and one id; salts are small."""
     monkeypatch.setattr(exact_dedup, "PIECE_ROWS", 50)
     rows = [(None, "no id")] * 1000 + [(7, "one id")] * 1000 + [(i, f"own {i}") for i in range(1000)]
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
-    assert {r[f"{exact_dedup._P}salts"] for r in exact_dedup.hot_digests(table, "text").collect()} == {334}
+    assert {r[f"{exact_dedup._P}salts"] for r in exact_dedup.hot_digests(table, "text").collect()} == {20}
     got = exact_dedup.mark_copies(table)
     assert got.count() == 3000
     assert got.where("kept and keep_id is null and group_size = 1000").count() == 1
