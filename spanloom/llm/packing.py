@@ -10,13 +10,15 @@ is padded.
 
 Defined results: null text is empty and a document without text is its end id
 alone; null or repeated doc_ids are documents like others; an empty table
-gives no pieces; other columns are ignored.
+gives no pieces; texts of any length are tokenised whole; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +32,7 @@ from spanloom.llm.shared import prefix_offsets, small_or_shuffled, tidy, written
 LENGTH = 2048
 END_ID = 1
 SPECIAL = "<|endoftext|>"
+LONG_SPACE = re.compile(r"\s{1000}")
 _tokenizers: dict[str, tuple] = {}
 
 
@@ -44,7 +47,8 @@ def tokenizer(path: str):
 
     Where the same vocabulary lies beside it as ranks (.tiktoken), those are
     used: the ids are the same and come four times as fast.  A text that has
-    the special token's string goes to the tokenizer file itself.
+    the special token's string, or white space so long that the fast pattern
+    fails on it, goes to the tokenizer file itself.
     """
     if path in _tokenizers:
         return _tokenizers[path]
@@ -69,7 +73,7 @@ def tokenizer(path: str):
         fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
         def encode(text: str) -> np.ndarray:
-            return by_file(text) if SPECIAL in text else fast.encode_to_numpy(text).astype(np.uint32)
+            return by_file(text) if SPECIAL in text or LONG_SPACE.search(text) else fast.encode_to_numpy(text).astype(np.uint32)
 
     _tokenizers[path] = encode
     return encode
