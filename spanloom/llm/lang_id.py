@@ -9,9 +9,9 @@ frozen counts that exclusion is one factor for each context, so a text's exact
 code length is a sum of table lookups.  The language of the shortest code wins;
 the score is its share of 2^-length over all languages.
 
-The sample: at most about SAMPLE_DOCS documents for each language, by a hash of
-their id, and SAMPLE_BYTES of their texts, whole texts throughout.  This bounds
-training and the size of the broadcast tables, whatever the corpus holds; more
+The sample: about SAMPLE_DOCS different texts for each language, by a hash of the
+text, and SAMPLE_BYTES of them, whole texts throughout.  Neither null or repeated
+ids nor many copies of a text change it.  This bounds training and the size of the broadcast tables, whatever the corpus holds; more
 than MOST_LANGUAGES different labels are an error, not cut.
 
 Defined results: null text, or text without a letter, is `und` with score 0;
@@ -146,22 +146,22 @@ def fold(doc_id: Column, n: int) -> Column:
 
 
 def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
-    """A model from rows with doc_id, text and lang."""
+    """A model from rows with text and lang."""
     labelled = labelled.where("lang is not null and text is not null")
-    share = labelled.groupBy("lang").agg((F.lit(float(sample_docs)) / F.count("*")).alias("share"))
+    draw = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    share = labelled.groupBy("lang").agg((F.lit(float(sample_docs)) / F.approx_count_distinct(F.xxhash64("text"))).alias("share"))
     share = written(share, "languages")
     if share.count() > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = labelled.join(small_or_shuffled(share), "lang").where(draw < F.col("share")).select("lang", "text", draw.alias("draw"))
+    sample = labelled.join(small_or_shuffled(share), "lang").where(draw < F.col("share")).select("lang", "text").distinct().withColumn("draw", draw)
 
     def tree(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["draw", "text"])
         texts, size = [], 0
-        for t in group["text"]:
+        for t in map(str.encode, group["text"]):
             if texts and size + len(t) > sample_bytes:
                 break
-            texts.append(t.encode())
+            texts.append(t)
             size += len(texts[-1])
         parts = learn(texts)
         return pd.DataFrame({"lang": [group["lang"].iloc[0]], **{f"p{k}": [x.tobytes()] for k, x in enumerate(parts)}})

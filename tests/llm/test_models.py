@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -8,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.llm import lang_id, lm, words
 from spanloom.llm.elias_fano import EliasFano
@@ -230,3 +232,17 @@ def test_language_of_odd_rows(spark, empty):
     assert all(r.lang_pred == "und" for r in lang_id.predict(docs, None).collect())
     labelled = lang_id.label(docs.withColumn("score", docs.doc_id), model)
     assert labelled.columns == ["doc_id", "text", "lang", "lang_pred", "score", "bits"]
+
+
+def test_language_sample_does_not_depend_on_ids(spark):
+    """Without ids, with one id for all, or with many copies of one text, every language is learned."""
+    words = {"en": ["the", "cat", "sat", "here", "with", "hats"], "de": ["der", "hund", "sitzt", "hier", "und", "schläft"], "fr": ["le", "chat", "dort", "avec", "une", "souris"]}
+    rng = random.Random(9)
+    texts = [(" ".join(rng.choice(w) for _ in range(30)), x) for x, w in words.items() for _ in range(700)]
+    texts += [("the cat sat here with hats", "en")] * 3000
+    for i in (None, 7):
+        table = spark.createDataFrame([(i, t, x) for t, x in texts], "doc_id long, text string, lang string")
+        model = lang_id.fit(table)
+        assert model.languages == ["de", "en", "fr"]
+        got = lang_id.predict(table.where("text not like 'the cat sat here with hats%'").withColumn("doc_id", F.col("lang")), model).collect()
+        assert sum(r.lang_pred == r.doc_id for r in got) == len(got)
