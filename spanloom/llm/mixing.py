@@ -7,8 +7,9 @@ in an order by size class, these are summed from one random offset, and the
 document is taken once for each integer its stretch of the sum crosses.
 
 The sum is not run by one task a source: a source's size classes are cut into
-cells of about CELL_ROWS rows (more where a table is so large that there would
-be over MAX_CELLS), cells are summed in order, and rows within their cell.
+cells of about CELL_ROWS rows at every size of the table.  Classes are summed in
+order, blocks of BLOCK_CELLS cells within their class, cells within their block,
+and rows within their cell.
 
 Defined results: null text has size 0; a null source is a source of its own,
 last in order; a source without words has target 0 and nothing is taken; equal
@@ -29,7 +30,7 @@ WEIGHTS = (3, 1, 2)
 TOTAL_SHARE = 1.5
 CAP = 2
 CELL_ROWS = 1000
-MAX_CELLS = 16384
+BLOCK_CELLS = 4096
 OWN = ["size", "source_size", "target", "copies", "taken"]
 
 
@@ -85,9 +86,10 @@ def mix(
     light = written(sized([]), "sizes")
     classes = light.groupBy("_source", "_class").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     classes = written(classes, "classes")
-    rows, n_classes = classes.agg(F.sum("n"), F.count("*")).first()
-    cell_rows = max(CELL_ROWS, -(-(rows or 0) // MAX_CELLS))
-    salts = classes.select("_source", "_class", F.ceil(F.col("n") / cell_rows).cast("long").alias("_salts"))
+    n_classes = classes.count()
+    # A source has a few hundred classes at most, 8 for each power of two.
+    lower = F.coalesce(F.sum("n").over(W.partitionBy("_source").orderBy("_class").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    salts = classes.select("_source", "_class", F.ceil(F.col("n") / CELL_ROWS).cast("long").alias("_salts"), lower.alias("_lower"))
     salts = small_or_shuffled(salts.withColumnRenamed("_source", "_s").withColumnRenamed("_class", "_c"), n_classes)
     # Null-safe also where no null can be: a plain equality would add a filter on the class and count the words twice.
     same_class = F.col("_source").eqNullSafe(F.col("_s")) & F.col("_class").eqNullSafe(F.col("_c"))
@@ -98,14 +100,22 @@ def mix(
 
     sources = classes.groupBy(F.col("_source").alias("source")).agg(F.sum("words").alias("source_size"))
     goal = targets(sources, weights, total_share, cap).withColumnRenamed("source", "_g")
-    before = W.partitionBy("_source").orderBy("_class", "_salt").rowsBetween(W.unboundedPreceding, -1)
-    cells = celled(light).groupBy("_source", "_class", "_salt").agg(F.count("*").alias("n"))
-    cells = cells.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    key = ["_source", "_class", "_lower"]
+    cells = celled(light).groupBy(*key, "_salt").agg(F.count("*").alias("n")).withColumn("_block", F.floor(F.col("_salt") / BLOCK_CELLS))
+
+    def earlier(by: list[str], order: str) -> Column:
+        return F.coalesce(F.sum("n").over(W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
+    blocks = cells.groupBy(*key, "_block").agg(F.sum("n").alias("n")).withColumn("_base", F.col("_lower") + earlier(key, "_block"))
+    blocks = blocks.select(F.col("_source").alias("_bs"), F.col("_class").alias("_bc"), F.col("_block").alias("_bb"), "_base")
+    cells = cells.withColumn("_inside", earlier([*key, "_block"], "_salt"))
+    cells = cells.join(blocks, F.col("_source").eqNullSafe(F.col("_bs")) & (F.col("_class") == F.col("_bc")) & (F.col("_block") == F.col("_bb")))
+    cells = cells.withColumn("_before", F.col("_base") + F.col("_inside"))
     cells = cells.join(F.broadcast(goal) if n_classes <= 100_000 else goal, F.col("_source").eqNullSafe(F.col("_g")))
     cells = written(cells.select(F.col("_source").alias("_s"), F.col("_class").alias("_c"), F.col("_salt").alias("_k"), "_before", "source_size", "target"), "cells")
 
     place = F.row_number().over(W.partitionBy("_source", "_class", "_salt").orderBy("size", "_id", "_tie"))
-    placed = celled(sized([f"`{c}`" for c in docs.columns])).withColumn("_place", place)
+    placed = celled(sized([f"`{c}`" for c in docs.columns])).drop("_lower").withColumn("_place", place)
     same_cell = same_class & F.col("_salt").eqNullSafe(F.col("_k"))
     placed = placed.join(small_or_shuffled(cells), same_cell)
     offset = hashed(F.lit(seed), F.col("_source")) / F.lit(4294967296.0)

@@ -28,7 +28,7 @@ with light as (
   select *, length(bin(size)) * 8 + floor(size * 8 / pow(2.0, length(bin(size)) - 1))::bigint % 8 as class,
     ('0x' || substr(md5('7|' || coalesce(doc_id::varchar, '')), 1, 8))::bigint as h from light
 ), classes as (
-  select source, class, ceil(count(*)::double / greatest(1000, ceil((select count(*) from light)::double / 16384)))::bigint as salts from sized group by all
+  select source, class, ceil(count(*)::double / 1000)::bigint as salts from sized group by all
 ), celled as (
   select s.*, s.h % c.salts as salt from sized s join classes c on s.source is not distinct from c.source and s.class = c.class
 ), ranked as (

@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,7 +54,7 @@ def quantised(vector: Column, scale: int) -> Column:
 def matrix(column: pa.Array, width: int) -> np.ndarray:
     """A list column as rows of width numbers, short lists filled with 0."""
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    sizes = pa.compute.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
     if len(flat) == len(sizes) * width:
         return flat.reshape(-1, width)
     out = np.zeros((len(sizes), width), np.int64)

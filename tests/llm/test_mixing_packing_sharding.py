@@ -62,6 +62,27 @@ def test_mixing_clashing_columns_and_empty(spark, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0
 
 
+@pytest.mark.parametrize(("cell", "block"), [(1, 1), (2, 3), (1000, 4096)])
+def test_mixing_in_cells_of_any_size(docs, monkeypatch, cell, block):
+    """Whatever the cells, each source's places run from 1 to its number of rows, so its copies add up alike."""
+    monkeypatch.setattr(mixing, "CELL_ROWS", cell)
+    monkeypatch.setattr(mixing, "BLOCK_CELLS", block)
+    got = mixing.mix(docs).groupBy("source").agg({"copies": "sum", "target": "max", "source_size": "max"}).collect()
+    n = {r["source"]: r["count"] for r in docs.groupBy("source").count().collect()}
+    for r in got:
+        assert abs(r["sum(copies)"] - n[r["source"]] * r["max(target)"] / r["max(source_size)"]) <= 1
+
+
+@pytest.mark.parametrize("n", [1_000_000, 10_000_000])
+def test_packing_long_white_space(spark, n):
+    """The fast pattern fails on white space as long as this; the ids are the tokenizer file's."""
+    texts = [" " * n + "a", "\n" * n, "x" + "\t " * (n // 2) + "y"][: 3 if n == 1_000_000 else 1]
+    got = packing.pack(spark.createDataFrame([*enumerate(texts)], "doc_id int, text string"))
+    sums = {r.doc_id: r for r in got.groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()}
+    for i, text in enumerate(texts):
+        assert sums[i]["sum(length)"] == sums[i]["max(doc_tokens)"] == len(packing.tokenizer(packing.vocabulary_path())(text)) + 1
+
+
 def test_packing_round_trip(docs, rows, empty):
     from tokenizers import Tokenizer
 
