@@ -97,17 +97,6 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?<=\.)(?<!(?i:str)\.)[ \t]*\r?\n\s*|(?<=[?…])\s+(?=[\p{Lu}\p{Nd}\"„«(])"), F.trim), lambda s: s != "")
 
 
-# Abbreviations after which a dot ends no sentence.
-ABBREVIATIONS = ["Dr", "Prof", "Hr", "Fr", "Nr", "No", "Tel", "bzw", "ca", "evtl", "ggf", "inkl", "max", "min", "usw", "vgl", "z", "u", "d", "h", "St", "Str", "Mr", "Mrs", "Ms", "Jr", "Sr", "vs", "etc", "Abs", "Art", "Bd", "Co", "Inc", "Ltd"]
-
-
-def sentences_full(text: Column) -> Column:
-    """Full splitting: line feeds end sentences; ., ! and ? do before a capital, unless an abbreviation, an initial, a number or an open bracket stands there."""
-    abbreviation = "|".join(rf"\b{a}" for a in ABBREVIATIONS)
-    end = rf"\s*[\r\n]+\s*|(?<=[.!?…])(?<!(?:{abbreviation}|\b\p{{Lu}}|\b\p{{Nd}}{{1,2}})\.)[\"”»)]?\s+(?=[\"„«(]?[\p{{Lu}}])"
-    return F.filter(F.transform(F.split(text, end), F.trim), lambda s: s != "")
-
-
 def _n(value: Column, pattern: str) -> Column:
     return F.length(value) - F.length(F.regexp_replace(value, pattern, ""))
 

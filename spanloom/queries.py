@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions import checks as C
+from spanloom.functions import sentences as S
 from spanloom.functions import text as T
 from spanloom.operators import crf
 from spanloom.operators import dictionary as D
@@ -854,7 +855,8 @@ def sentences_simple(spark, sf_dir):
 @query()
 def sentences_full(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.posexplode(T.sentences_full(F.col("text"))).alias("sent_id", "sentence"))
+    rows = docs.select("doc_id", F.posexplode(S.split_full(F.col("text"))).alias("sent_id", "s"))
+    return rows.select("doc_id", "sent_id", "s.start", F.col("s.value").alias("sentence"))
 
 
 @query()

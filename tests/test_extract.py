@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import checks as C
+from spanloom.functions import sentences as S
 from spanloom.functions import text as T
 from spanloom.plans.extract import _ordered, entities_of, extract, scored, united_entities
 from spanloom.operators.metrics import relevance
@@ -144,7 +145,7 @@ def test_order_numbers_count_gaps(spark):
 def test_sentences(spark):
     row = spark.range(1).select(
         T.sentences(F.lit("Ein Satz.\nZwei! Sätze hier. Noch einer.\nHauptstr.\n5 Ende.")).alias("a"),
-        T.sentences_full(F.lit("Dr. Maier kam um 5. Er ging! Am 3. Mai\nneue Zeile.")).alias("b"),
+        S.sentences_full(F.lit("Dr. Maier kam um 5. Er ging! Am 3. Mai\nneue Zeile.")).alias("b"),
     ).first()
     assert row.a == ["Ein Satz.", "Zwei! Sätze hier. Noch einer.", "Hauptstr.\n5 Ende."]
     assert row.b == ["Dr. Maier kam um 5. Er ging!", "Am 3. Mai", "neue Zeile."]
