@@ -3,23 +3,26 @@
 Detection finds e-mail addresses, phone numbers, IPv4 and IPv6 addresses, long
 account and card numbers, IBANs, social-security numbers, secrets, labelled birth
 dates and passport numbers, and names that stand after a title; and then, in the
-same text, further mentions of these people without a title, by full or family
-name.  Each entity (type and canonical form) gets a replacement drawn by
+same text, further mentions of these people without a title, by full, family or
+given name (but for a month's name where a date is meant).  Each entity (type and canonical form) gets a replacement drawn by
 HMAC-SHA-256 from a key: of its type, with digits for digits and letters for
 letters in the mention's own layout and case, keeping a card's Luhn validity, an
 IBAN's country and check digits, an address's validity, a secret's known prefix,
 and a name's gender and script.  The same entity always gets the same surrogate,
 in every document.
 
-Given and family names are entities of their own, so "Mr John Smith", "J. Smith",
+Hyphens and apostrophes in names stay where they are, and Jr, II and the like are
+no part of a name.  Given and family names are entities of their own, so "Mr John Smith", "J. Smith",
 "Dr Smith" and a later "Smith" become one person, and a family keeps one name.  A
 given name after a title that tells no gender has the gender of the same name in
 its document, or else the only one it has in the table.
 
 Distinct entities stay distinct: the distinct entities of the whole table are
 given surrogates, and those that clash, as they would be printed, with another's
-surrogate or with a real entity are drawn again until none does.  First draws need
-no table, so only the entities drawn again are looked up: from a broadcast if they
+surrogate or with a real entity are drawn again until none does.  Birth dates are
+few, so they are not drawn: in a cycle through all dates, in an order that the key
+decides, each date's surrogate is the next one, so they differ from each other and
+from their own date, however many there are.  First draws need no table, so only the entities drawn again are looked up: from a broadcast if they
 are counted as few, else by a join.
 
 Defined results: null text stays null, with no entities; overlapping
@@ -34,7 +37,9 @@ from __future__ import annotations
 import hmac
 import json
 import re
+from calendar import monthrange
 from collections.abc import Callable, Iterator
+from datetime import date
 from functools import lru_cache
 from hashlib import sha256
 
@@ -73,16 +78,22 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _GENDER = {t: g for g, x in TITLES.items() for own in x for t in (own, own.upper())}
 _TITLE = "|".join(sorted(map(re.escape, _GENDER), key=len, reverse=True))
 PARTICLES = ("von", "van", "der", "den", "de", "del", "della", "di", "da", "la", "zu", "zum")
-_SURNAME = rf"(?:(?:{'|'.join(PARTICLES)})[ ])*{_CAPITAL}(?:\.|{_REST})"
+SUFFIXES = ("Jr", "Sr", "Jun", "Sen", "II", "III", "IV")
+_SUFFIX = rf"(?!(?:{'|'.join(SUFFIXES)})\b)"
+# Months that are names too, and words before a month.
+MONTHS = {"april", "may", "june", "august", "mai", "juni", "juli", "avril", "abril"}
+_DATED = re.compile(r"(?:\b(?:in|on|of|since|until|till|by|during|from|to|last|next|this|every|early|late|im|am|seit|bis|ab|vom|zum|ende|anfang|mitte|en|de|le)|\d\.?(?:st|nd|rd|th)?)[ ]$", re.I)
+_SURNAME = rf"{_SUFFIX}(?:(?:{'|'.join(PARTICLES)})[ ])*{_CAPITAL}(?:\.|{_REST})"
 PREFIXES = ("sk", "pk", "ghp", "gho", "xoxa", "xoxb", "xoxp", "AKIA", "AIza")
 DETECT = re.compile(
-    rf"""(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*(?:@|\(at\)|\[at\])(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{{2,}})
+    rf"""(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]{{0,63}}(?:@|\(at\)|\[at\])(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{{2,}})
     |(?P<secret>(?:(?<=["'`=: ])|\b)(?=[0-9a-fA-F]*\d)(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{{32,128}}(?![0-9A-Za-z])|\b(?:{'|'.join(PREFIXES)})[-_A-Za-z0-9]{{12,}})
     |(?P<iban>(?<![A-Za-z0-9])[A-Z]{{2}}\d{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,4}})?(?![A-Za-z0-9]))
     |(?P<ip>(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d))
     |(?P<ipv6>(?<![\w:.])(?:(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}|(?=[0-9A-Fa-f:]*[0-9A-Fa-f]{{3}})(?:[0-9A-Fa-f]{{1,4}}:){{1,6}}(?::[0-9A-Fa-f]{{1,4}}){{1,6}})(?![\w:]|\.\d))
     |(?:(?:[Bb]orn(?:[ ]on)?|[Dd]ate[ ]of[ ]birth|DOB|[Gg]eboren(?:[ ]am)?|[Gg]eb\.|[Gg]eburtsdatum|[Nn]ée?[ ]le|[Nn]acid[oa][ ]el):?[ ]?(?P<birth>\d{{4}}-\d\d-\d\d|\d{{1,2}}[./-]\d{{1,2}}[./-]\d{{4}})(?!\d))
     |(?:(?:[Pp]assport|[Rr]eisepass|[Pp]asaporte|[Pp]asseport)(?:[ ](?:no\.?|number|[Nn]r\.?|n°))?:?[ ](?P<passport>(?=[A-Z]*\d)[A-Z0-9]{{7,9}})(?![A-Za-z0-9]))
+    |(?:\b(?:Tel|Telefon|Phone|Fax|Mobil|Handy|Rufnummer)\.?:?[ ](?P<phone2>\(?0\d{{1,5}}\)?[ /-]{{1,3}}\d{{2,}}(?:[ -]\d+)*)(?!\d))
     |(?P<phone>(?<![\w+])\+1[ .\-]?\(?\d{{3}}\)?[ .\-]?\d{{3}}[ .\-]?\d{{4}}(?!\d)|(?<![\w+])\+\d{{1,3}}(?:[ .\-/]?\(?\d{{1,5}}\)?){{2,6}}(?!\d|\.\d)|(?<![\w+.-])\(\d{{3}}\)[ ]?\d{{3}}[-. ]\d{{4}}(?!\d)|(?<![\w+.-])\d{{3}}[-. ]\d{{3}}[-. ]\d{{4}}(?![\d-]))
     |(?P<card>(?<![\d.-])\d(?:[ -]?\d){{12,18}}(?![\d]|[.-]\d))
     |(?P<ssn>(?<![\d-])\d{{3}}-\d{{2}}-\d{{4}}(?![\d-]))
@@ -153,18 +164,23 @@ def people(text: str, titled: list[tuple[int, int, str, str]], taken: list[tuple
             forms.setdefault(f"{given[0]}. {family}", [f"{given[0].lower()}.", names[-1]])
         if len(family) > 1 and not family.endswith("."):
             forms.setdefault(family, names[-1:])
+        if len(names) > 1 and len(given) > 2 and given not in PARTICLES and not given.endswith("."):
+            forms.setdefault(given, [names[0], ""])  # a given name alone: no family name
     spans = sorted([(s, e) for s, e, _, _ in own] + taken)
     at = 0
     for m in _mentions(frozenset(forms)).finditer(text):
         while at < len(spans) and spans[at][1] <= m.start():
             at += 1
-        if at == len(spans) or spans[at][0] >= m.end():
+        dated = m[0].lower() in MONTHS and _DATED.search(text, max(0, m.start() - 12), m.start())
+        if not dated and (at == len(spans) or spans[at][0] >= m.end()):
             names = forms.get(m[0]) or next(n for f, n in forms.items() if f.upper() == m[0])
             own.append((m.start(), m.end(), "n", names))
     out = []
     for start, end, gender, names in own:
         if gender == "n":
             gender = full.get((*names,), "n")
+        if names[-1] == "" and gender == "n":
+            gender = next((g for g in ("f", "m") for k, own_gender in full.items() if own_gender == g and k[0] == names[0]), "n")
         if len(names) > 1 and names[0].endswith("."):
             known = sorted((k, g) for k, g in full.items() if k[-1] == names[-1] and k[0].startswith(names[0][:-1]) and not k[0].endswith("."))
             if known:
@@ -179,11 +195,11 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
         return []
     found, titled = [], []
     for m in DETECT.finditer(text):
-        kind = m.lastgroup
+        kind = (m.lastgroup or "").rstrip("2")
         if m["person"]:
             titled.append((m.start("person"), m.end("person"), m["title"], m["person"]))
         else:
-            found.append((*m.span(kind), kind, canonical(kind, m[kind])))
+            found.append((*m.span(m.lastgroup), kind, canonical(kind, m[m.lastgroup])))
     if titled:
         found = sorted(found + people(text, titled, [f[:2] for f in found]))
     return found
@@ -195,7 +211,7 @@ def parts(kind: str, canon: str) -> list[tuple[str, str]]:
         return [(kind, canon)]
     gender, names = canon.split("|", 1)
     *given, family = names.split(" ")
-    return [("initial", x) if x.endswith(".") else ("given", f"{gender}|{x.split('=')[-1]}") for x in given] + [("initial" if family.endswith(".") else "family", family)]
+    return [("initial", x) if x.endswith(".") else ("given", f"{gender}|{x.split('=')[-1]}") for x in given] + [("initial" if family.endswith(".") else "family", family)] * bool(family)
 
 
 class Stream:
@@ -212,6 +228,45 @@ class Stream:
         return value % n
 
 
+def _rounds(key: bytes, label: str, x: int, half: int, order) -> int:
+    """A keyed permutation of numbers of 2 * half bits (four Feistel rounds); the same rounds backwards undo it."""
+    left, right = x >> half, x & ((1 << half) - 1)
+    for k in order:
+        if order.step > 0:
+            left, right = right, left ^ (int.from_bytes(hmac.digest(key, f"{label}|{k}|{right}".encode(), sha256)[:4], "big") & ((1 << half) - 1))
+        else:
+            left, right = right ^ (int.from_bytes(hmac.digest(key, f"{label}|{k}|{left}".encode(), sha256)[:4], "big") & ((1 << half) - 1)), left
+    return left << half | right
+
+
+def next_date(key: bytes, canon: str) -> str:
+    """The date after this one in a cycle whose order the key decides: through the days of 1900 to 2029, or through all other dates, written as they may be."""
+    year, month, day = map(int, canon.split("-"))
+    first = date(1900, 1, 1).toordinal()
+    usual = 1900 <= year <= 2029 and 1 <= month <= 12 and 1 <= day <= monthrange(year, month)[1]
+    if usual:
+        half, size, x = 8, date(2030, 1, 1).toordinal() - first, date(year, month, day).toordinal() - first
+    else:
+        half, size, x = 14, 10_000 * 100 * 100, (year * 100 + month) * 100 + day
+
+    def member(y: int) -> bool:
+        if y >= size or usual:
+            return y < size
+        rest = y % 10_000
+        valid = 1 <= rest // 100 <= 12 and 1 <= rest % 100 <= 31
+        # A wrong month or day stays one.
+        return valid == (1 <= month <= 12 and 1 <= day <= 31) and not (1900 <= y // 10_000 <= 2029 and valid and rest % 100 <= monthrange(y // 10_000, rest // 100)[1])
+
+    place = _rounds(key, "birth", x, half, range(0, 4, 1))
+    while True:
+        place = (place + 1) % (1 << 2 * half)
+        if member(y := _rounds(key, "birth", place, half, range(3, -1, -1))):
+            break
+    if usual:
+        return date.fromordinal(first + y).isoformat()
+    return f"{y // 10_000:04d}-{y // 100 % 100:02d}-{y % 100:02d}"
+
+
 def _like(character: str, draw: Stream) -> str:
     if character.isdigit():
         return str(draw.below(10))
@@ -253,15 +308,17 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
     if kind == "ipv6":
         return ":".join("".join("123456789abcdef0"[draw.below(15 + bool(k))] for k in range(len(x))) for x in canon.split(":"))
     if kind == "birth":
-        return f"{1930 + draw.below(76)}-{1 + draw.below(12):02d}-{1 + draw.below(28):02d}"
+        return next_date(key, canon)
     if kind == "passport":
         return "".join(_like(c, draw) for c in canon)
     if kind in ("given", "family"):
         gender, name = canon.split("|", 1) if kind == "given" else ("", canon)
         script = "cyrillic" if re.search("[а-яё]", name) else "greek" if re.search("[α-ωά-ώ]", name) else "latin"
         pool = NAMES[script]["last" if kind == "family" else gender] if gender != "n" else NAMES[script]["m"] + NAMES[script]["f"]
-        # Drawn again: doubled and trebled names, as many as it takes.
-        return "-".join(pool[draw.below(len(pool))] for _ in range(1 + (attempt + 1) // 2)).lower()
+        # Each part of a double name has its own; a letter before an apostrophe stays.  Drawn again: doubled and trebled names, as many as it takes.
+        own = re.split(r"([-'’])", name)
+        out = [x if x in "-'’" or (len(x) == 1 and own[k + 1 : k + 2] in (["'"], ["’"])) else pool[draw.below(len(pool))] for k, x in enumerate(own) if x]
+        return "-".join(["".join(out), *(pool[draw.below(len(pool))] for _ in range((attempt + 1) // 2))]).lower()
     if kind == "initial":  # a cycle through the letters in an order drawn from the key: distinct, and never itself
         script = "абвгдежзийклмнопрстуфхцчшщэюя" if re.search("[а-яё]", canon) else "αβγδεζηθικλμνξοπρστυφχψω" if re.search("[α-ω]", canon) else "abcdefghijklmnopqrstuvwxyz"
         order = sorted(script, key=lambda c: hmac.digest(key, f"initial|{c}".encode(), sha256))
@@ -307,7 +364,7 @@ def named(mention: str, canon: str, chosen: list[str]) -> str:
         new, form = next(chosen), next(forms)
         if "=" in form:
             new = new[0] + "."
-        out.append(new.upper() if own.isupper() and len(own) > 2 else "-".join(x[:1].upper() + x[1:] for x in new.split("-")))
+        out.append(new.upper() if own.isupper() and len(own) > 2 else re.sub(r"(^|[-'’])(\w)", lambda m: m[1] + m[2].upper(), new))
     return " ".join(out)
 
 
@@ -349,7 +406,7 @@ def assignments(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     now = written(forms.withColumn("attempt", F.lit(0)).mapInArrow(drawn, schema), "surrogates")
     # What is printed for a given name has no gender mark.
     printed = F.when(F.col("kind") == "given", name).otherwise(F.col("canon"))
-    real = known.select("kind", printed.alias("surrogate")).distinct()
+    real = known.where("kind <> 'birth'").select("kind", printed.alias("surrogate")).distinct()
     for _ in range(200):
         first = now.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "canon")).alias("first"), F.count("*").alias("n")).where("n > 1")
         clash = now.join(first.select("kind", "surrogate", "first"), ["kind", "surrogate"]).where("canon <> first.canon").select("kind", "canon")
