@@ -485,9 +485,31 @@ def semi_anti_filter(spark, sf_dir):
 select doc_id, start, len, sum(step) over (partition by doc_id order by start, len)::int as order_num from o""")
 def word_order(spark, sf_dir):
     m = _intervals(spark, sf_dir)[1].select("doc_id", "start", "len").distinct()
-    order = W.partitionBy("doc_id").orderBy("start", "len")
-    step = F.when(F.lag(F.col("start") + F.col("len")).over(order) != F.col("start"), 1).otherwise(0)
-    return m.withColumn("step", step).select("doc_id", "start", "len", F.sum("step").over(order).cast("int").alias("order_num"))
+    return grouping.word_order(m.withColumn("is_punct", F.lit(False)), ["doc_id"]).select("doc_id", "start", "len", "order_num")
+
+
+@query(f"with {LINES_SQL}, " + """e as (select l_orderkey as doc_id, l_linenumber * (1 + l_orderkey % 5) as first_tok, case when l_partkey % 4 = 0 then 'File' else 'Customer' end as label, l_partkey::varchar as value from li),
+a as (select *, sum(case when near then 0 else 1 end) over (partition by doc_id order by first_tok) as run from (select *, coalesce(lag(label) over w = label and first_tok - lag(first_tok + 1) over w <= 3, false) as near from e window w as (partition by doc_id order by first_tok)))
+select doc_id, label, min(first_tok)::int as first_tok, (max(first_tok) + 1)::int as end_tok, count(*) as n_fields, string_agg(value, ' ' order by first_tok) as value from a group by doc_id, run, label""")
+def sequence_fields(spark, sf_dir):
+    """Numbers of one kind that follow each other closely are one."""
+    label = F.when(F.col("l_partkey") % 4 == 0, "File").otherwise("Customer")
+    place = (F.col("l_linenumber") * (1 + F.col("l_orderkey") % 5)).cast("int")
+    fields = _lines(spark, sf_dir).select(F.col("l_orderkey").alias("doc_id"), place.alias("first_tok"), F.lit(1).alias("n_tok"), label.alias("label"), F.col("l_partkey").cast("string").alias("value"))
+    return grouping.sequence_merge(fields, ["doc_id"], 3).withColumn("end_tok", F.col("end_tok").cast("int"))
+
+
+@query(f"with {LINES_SQL}, " + """e as (select l_orderkey as doc_id, l_linenumber as start, case when l_partkey % 3 = 0 then 'Name' else 'Phone' end as label, l_partkey::varchar as value from li),
+a as (select *, sum((label = 'Name')::int) over (partition by doc_id order by start) as run from e),
+g as (select doc_id, run, list(label order by start) as l, list(value order by start) as v from a where run > 0 group by doc_id, run having count(*) > 1)
+select doc_id, (row_number() over (partition by doc_id order by run) - 1)::int as ue_id, len(l) as n_members, l[1] as label_1, v[1] as value_1, v[2] as value_2, v[3] as value_3, greatest(len(l) - 3, 0)::int as n_tail, array_to_string(list_slice(v, 4, len(v)), ' ') as tail from g""")
+def united_slots(spark, sf_dir):
+    """Names and what follows them, dealt into three slots and a tail."""
+    label = F.when(F.col("l_partkey") % 3 == 0, "Name").otherwise("Phone")
+    e = _lines(spark, sf_dir).select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("start"), F.lit(1).alias("len"), label.alias("label"), F.col("l_partkey").cast("string").alias("value"), F.col("l_linenumber").alias("order_num"))
+    rows = grouping.slotted(grouping.united(e, ["doc_id"], F.col("label") == "Name"), ["doc_id"], 3)
+    tail = F.array_join(F.transform("tail", lambda x: x["value"]), " ")
+    return rows.select("doc_id", "ue_id", "n_members", "label_1", "value_1", "value_2", "value_3", F.size("tail").alias("n_tail"), tail.alias("tail"))
 
 
 @query(f"with {LINES_SQL}, " + """e as (select l_orderkey as doc_id, l_linenumber as start, 1 as len, case when l_partkey % 3 = 0 then 'Name' else 'Phone' end as label, l_linenumber * (1 + l_orderkey % 9) as order_num from li),
@@ -699,14 +721,18 @@ def bio_repair(spark, sf_dir):
 # -- model arithmetic --------------------------------------------------------
 
 
-@query("""select step, round(0.0006 * least(pow(step, -0.5), step * pow(8000.0, -1.5)) / pow(8000.0, -0.5), 12) as rate from (select unnest(range(1, 20001)) as step)""")
+@query("""select o_orderkey, o_orderkey % 20000 + 1 as step, round(0.0006 * least(pow(step, -0.5), step * pow(8000.0, -1.5)) / pow(8000.0, -0.5), 12) as rate from orders""")
 def lr_schedule(spark, sf_dir):
-    return spark.range(1, 20001).select(F.col("id").alias("step"), F.round(neural.learning_rate(F.col("id").cast("double"), 0.0006, 8000), 12).alias("rate"))
+    """The rate at the step that each order's key names."""
+    steps = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 20000 + 1).alias("step"))
+    return steps.select("o_orderkey", "step", F.round(neural.learning_rate(F.col("step").cast("double"), 0.0006, 8000), 12).alias("rate"))
 
 
-@query("""select r as row, c::int as col, round(case when c < 32 then sin(r * exp((c % 32) * (-ln(10000.0) / 31))) else cos(r * exp((c % 32) * (-ln(10000.0) / 31))) end, 6) as value from range(128) a(r), range(64) b(c)""")
+@query("""select vec_id, c::int as col, round(embedding[c + 1]::double + case when c < 32 then sin(r * exp((c % 32) * (-ln(10000.0) / 31))) else cos(r * exp((c % 32) * (-ln(10000.0) / 31))) end, 6) as value from (select vec_id, embedding, vec_id % 128 as r, unnest(range(64)) as c from embeddings)""")
 def position_table(spark, sf_dir):
-    return neural.position_table(spark, 128, 64).withColumn("value", F.round("value", 6))
+    """Every embedding plus the encoding of its place, its id modulo the length of a sentence."""
+    x = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(neural.with_positions(F.col("embedding"), F.col("vec_id") % 128, 64)).alias("col", "value"))
+    return x.withColumn("value", F.round("value", 6))
 
 
 @query("""with e as (select vec_id, list_transform(embedding, lambda x: x::double) as x from embeddings)

@@ -52,9 +52,9 @@ def test_nothing(found):
 
 def test_time_in_proportion(spark):
     took = {}
-    for n in (1000, 20_000, 80_000):
+    for n in (500, 5000, 20_000):
         docs = spark.createDataFrame([("Dr. Maier rief „Halt!“ und ging. Dann (so?) kam Frau Öz. " * n,)], "t string")
         began = time.perf_counter()
         assert docs.select(F.size(split_full(F.col("t"))).alias("n")).first().n == 2 * n
         took[n] = time.perf_counter() - began
-    assert took[80_000] < 8 * took[20_000] + 5
+    assert took[20_000] < 8 * took[5000] + 5
