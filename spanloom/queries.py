@@ -850,12 +850,12 @@ keys as (select distinct array_to_string(w, '') as key from phrases), openers as
 texts as (select doc_id, list_transform(regexp_extract_all(text, '[\p{{L}}\p{{Nd}}]+'), lambda x: {NORM.format("x")}) as w, list_transform(string_split_regex(text, '[\p{{L}}\p{{Nd}}]+'), lambda x: length(x)) as g from documents where text is not null),
 words as (select doc_id, w, g, unnest(range(1, len(w) + 1)) as i from texts),
 opened as (select doc_id, w, g, i, unnest(range(1, least(most + 2, len(w) - i + 1) + 1)) as n from words join openers on w[i] = opener)
-select doc_id, (i - 1)::int as at, n::int as n_tok from opened join keys on array_to_string(list_slice(w, i, i + n - 1), '') = key where n = 1 or list_max(list_slice(g, i + 1, i + n - 1)) <= 4""")
+select doc_id, (i - 1)::int as first_tok, n::int as n_tok from opened join keys on array_to_string(list_slice(w, i, i + n - 1), '') = key where n = 1 or list_max(list_slice(g, i + 1, i + n - 1)) <= 4""")
 def dictionary_hits(spark, sf_dir):
     """The openings of all benchmark passages (2, 3 and 5 words) as a dictionary, met by the words of all documents."""
     w = T.matches(F.col("text"), D.WORD)
     openings = read(spark, sf_dir, "benchmark").select(F.explode(F.transform(F.array(*map(F.lit, (2, 3, 5))), lambda n: F.when(F.size(w) >= n, F.array_join(F.slice(w, F.lit(1), n), " ")))).alias("phrase"))
-    return D.hits(read(spark, sf_dir, "documents"), D.entries({"opening": openings.where("phrase is not null")})).select("doc_id", "at", "n_tok")
+    return D.hits(read(spark, sf_dir, "documents"), D.entries({"opening": openings.where("phrase is not null")})).select("doc_id", F.col("at").alias("first_tok"), "n_tok")
 
 
 # -- whole plans (no SQL) ----------------------------------------------------
