@@ -142,6 +142,52 @@ def number_placeholders(words: Column) -> Column:
     return F.filter(one, lambda w, i: ~((w == NUMBER) & (i > 0) & (F.coalesce(F.element_at(one, F.greatest(i, F.lit(1))), F.lit("")) == NUMBER)))
 
 
+def _one_run(words: Column) -> Column:
+    """Neighbouring number placeholders as one, which reaches from the first one's start to the last one's end."""
+
+    def joined(w: Column) -> Column:
+        # Seen from the end: the nearest word behind each that is no number.
+        others = F.reverse(F.transform(w, lambda x, i: F.when(x["value"] == NUMBER, F.lit(-1)).otherwise(i.cast("int"))))
+        behind = F.reverse(scanned(others, F.lit(-1), lambda x, y: F.when(y < 0, x).otherwise(y)))
+
+        def run(b: Column) -> Column:
+            def each(x: Column, i: Column) -> Column:
+                stop = F.get(w, F.when(F.get(b, i) < 0, F.size(w)).otherwise(F.get(b, i)) - 1)
+                size = F.when(x["value"] == NUMBER, stop["start"] + stop["len"] - x["start"]).otherwise(x["len"])
+                first = (x["value"] != NUMBER) | (i == 0) | (F.get(w, F.greatest(i - 1, F.lit(0)))["value"] != NUMBER)
+                return F.when(first, F.struct(x["start"].alias("start"), size.alias("len"), x["value"].alias("value")))
+
+            return F.filter(F.transform(w, each), lambda x: x.isNotNull())
+
+        return let(behind, run)
+
+    return let(words, joined)
+
+
+def model_words(text: Column, urls: str) -> Column:
+    """Words as a model reads them, each with its place in the text as it stands: start, len, value.
+
+    Addresses (urls: their pattern; e-mails) are words of their own and stay as
+    they are, other marks words of one character; single hyphens and quotes of all kinds become - and ", doubled
+    marks one mark, and numbers that follow each other one placeholder.  A place
+    covers what its value stands for, so values of another length move no place.
+    """
+    address = rf"(?:{EMAIL})|(?:{urls})"
+
+    def value(v: Column) -> Column:
+        return (
+            F.when(v.rlike(rf"^(?:{address})$"), v)
+            .when(v.rlike(r"\p{Nd}") & ~v.rlike(r"\p{L}"), F.lit(NUMBER))
+            .when(v.rlike("^[-—–‐‑‒―]{1,2}$"), F.lit("-"))
+            .when(v.rlike("^(?:''|[«»“”„‘’‚‹›‛])$"), F.lit('"'))
+            .when(v == ",,", F.lit(","))
+            .otherwise(v)
+        )
+
+    found = F.transform(spans(text, rf"{address}|{TOKEN}|''|[\p{{P}}\p{{S}}]"), lambda w: F.struct(w["start"].alias("start"), w["len"].alias("len"), value(w["value"]).alias("value")))
+    return _one_run(found)
+
+
 def phrase_key(text: Column) -> Column:
     """Canonical form of a phrase: folded, upper, without . & " ' !, dashes and slashes as spaces, single spaces."""
     key = F.regexp_replace(folded_upper(text), "[.&\"'!]", "")

@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators.recognizers import DETERMINERS, PREAMBLES, _GAP, _title
+from spanloom.operators.recognizers import DETERMINERS, HOUSE, PREAMBLES, STREET, _GAP, _title
 
 #: A dictionary side of at most so many rows is broadcast.
 BROADCAST_ROWS = 100_000
@@ -28,7 +28,7 @@ SALT_ROWS = 100_000
 #: Words of one phrase lie apart by so many characters at most, none a letter or digit.
 MOST_GAP = 4
 WORD = r"[\p{L}\p{Nd}]+"
-HIT = "struct<start:int,len:int,at:int,n_tok:int,value:string,gap:string,before:string,kinds:array<string>>"
+HIT = "struct<start:int,len:int,at:int,n_tok:int,value:string,gap:string,before:string,kinds:array<string>,phrase:string>"
 
 
 def key(text: Column) -> Column:
@@ -78,7 +78,7 @@ def met(rows: DataFrame, table: DataFrame, on: str) -> DataFrame:
 
 
 def hits(docs: DataFrame, dictionary: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, start, len, at (the word's number), n_tok, value, gap and word before, kinds: every run of words that is a phrase."""
+    """doc_id, start, len, at (the word's number), n_tok, value, gap and word before, kinds, phrase (as listed; a city's first): every run of words that is a phrase."""
     most = dictionary.agg(F.max("n_words")).first()[0] or 0
     openers = dictionary.groupBy("opener").agg(F.max("n_words").alias("most")).withColumnRenamed("opener", "word")
     listed = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("w"))
@@ -95,13 +95,21 @@ def hits(docs: DataFrame, dictionary: DataFrame, text: str = "text", doc_id: str
         F.array_join(F.transform("part", lambda x: x["key"]), "").alias("key"),
         F.array_join(F.transform("part", lambda x, i: F.when(i == 0, x["value"]).otherwise(F.concat(x["gap"], x["value"]))), "").alias("value"),
     )
-    by_key = dictionary.groupBy("key").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
-    return met(grams, by_key, "key").select("doc_id", "start", F.length("value").alias("len"), "at", "n_tok", "value", "gap", "before", "kinds")
+    own = F.min_by("phrase", F.struct(F.col("kind") != "city", "phrase"))
+    by_key = dictionary.groupBy("key").agg(F.array_sort(F.collect_set("kind")).alias("kinds"), own.alias("phrase"))
+    return met(grams, by_key, "key").select("doc_id", "start", F.length("value").alias("len"), "at", "n_tok", "value", "gap", "before", "kinds", "phrase")
+
+
+def as_written(found: DataFrame, versions: DataFrame) -> DataFrame:
+    """Hits that are written as one of their phrase's versions (phrase, version), in any case and with umlauts folded or not."""
+    table = versions.select(F.col("phrase").alias("entry"), T.folded_upper(F.col("version")).alias("_version")).distinct()
+    met_ = met(found.withColumn("_version", T.folded_upper(F.regexp_replace("value", r"\s+", " "))), table, "_version")
+    return met_.where(key(F.col("entry")) == key(F.col("value"))).drop("_version")
 
 
 def by_document(found: DataFrame) -> DataFrame:
     """doc_id and its hits in order of place."""
-    fields = [F.col(c).alias(c) for c in ("start", "len", "at", "n_tok", "value", "gap", "before", "kinds")]
+    fields = [F.col(c).alias(c) for c in ("start", "len", "at", "n_tok", "value", "gap", "before", "kinds", "phrase")]
     return found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).cast(f"array<{HIT}>").alias("hits"))
 
 
@@ -186,6 +194,73 @@ def names(found: Column, excluded: list[tuple[str, str]], priority: int) -> Colu
     return F.transform(T.let(own, paired), candidate)
 
 
+#: What may stand between the parts of an address, and where a letter begins a name.
+_BETWEEN = r"\s*(?:[,;–-]\s*)?"
+_ZIP = r"(?<![\p{L}\p{Nd}])\d{5}\s+(?=\p{L})"
+
+
+def address_marks(text: Column) -> Column:
+    """Places of the parts of addresses that patterns tell: streets by their last word, house numbers, zip codes, and what leads from a street to a city or from a city to a street."""
+    house = rf"\s{HOUSE}(?![\p{{L}}\p{{Nd}}])"
+    none = F.array().cast(T.SPAN)
+
+    def spans(pattern: str, guard: str = r"\d") -> Column:
+        return F.when(text.rlike(guard), T.spans(text, pattern)).otherwise(none)
+
+    return F.struct(
+        spans(rf"(?<![\p{{L}}\p{{Nd}}]){STREET}(?!\p{{L}})").alias("streets"),
+        spans(house).alias("houses"),
+        spans(_ZIP).alias("zips"),
+        spans(rf"(?<=[\p{{L}}.])(?:(?:{house})?{_BETWEEN}{_ZIP}|{house}{_BETWEEN}(?=\p{{Lu}}))").alias("to_city"),
+        spans(rf"(?<=[\p{{L}})]){_BETWEEN}{STREET}(?!\p{{L}})(?:{house})?").alias("to_street"),
+    )
+
+
+def addresses(found: Column, marks: Column, zip_codes: list[str], priority: int) -> Column:
+    """Addresses round cities that are phrases: street and house number before or behind, a zip code or a house number at least.
+
+    Streets are phrases of kind street or those that patterns tell; a city's
+    attribute is written as it is listed, whatever dashes and spaces the text has.
+    """
+    cities, listed_streets = longest(of_kind(found, "city")), longest(of_kind(found, "street"))
+
+    def at_start(spans: Column, place: Column) -> Column:
+        return F.get(F.filter(spans, lambda x: x["start"] == place), F.lit(0))
+
+    def at_stop(spans: Column, place: Column) -> Column:
+        return F.get(F.filter(spans, lambda x: x["start"] + x["len"] == place), F.lit(0))
+
+    def built(streets_: Column, own: Column) -> Column:
+        def candidate(c: Column) -> Column:
+            stop = c["start"] + c["len"]
+            joint, zip_ = at_stop(marks["to_city"], c["start"]), at_stop(marks["zips"], c["start"])
+            before = F.coalesce(at_stop(own, joint["start"]), at_stop(F.transform(marks["streets"], _bare), joint["start"]))
+            beside = F.get(F.filter(streets_, lambda s: (s["at"] == c["at"] + c["n_tok"]) & s["gap"].rlike(rf"^{_BETWEEN}$")), F.lit(0))
+            house = at_start(marks["houses"], beside["start"] + beside["len"])
+            behind = F.coalesce(F.concat(beside["gap"], beside["value"], F.coalesce(house["value"], F.lit(""))), at_start(marks["to_street"], stop)["value"])
+            forward = before.isNotNull()
+            value = F.when(forward, F.concat(before["value"], joint["value"], c["value"])).when(zip_.isNotNull(), F.concat(zip_["value"], c["value"], F.coalesce(behind, F.lit(""))))
+            start = F.when(forward, before["start"]).otherwise(zip_["start"])
+            side = F.when(forward, joint["value"]).otherwise(F.regexp_replace(behind, rf"^{_BETWEEN}", ""))
+            number = F.when(forward, F.regexp_extract(side, rf"^\s({HOUSE})(?![\p{{L}}\p{{Nd}}])", 1)).otherwise(F.regexp_extract(side, rf"\s({HOUSE})$", 1))
+            street = F.when(forward, before["value"]).otherwise(F.regexp_replace(side, rf"\s{HOUSE}$", ""))
+            code = F.regexp_extract(F.coalesce(F.when(forward, joint["value"]), zip_["value"]), r"(\d{5})\s+$", 1)
+            listed_code = code.isin(zip_codes) if zip_codes else ~code.startswith("00")
+            # A house number of five digits is a zip code.
+            attrs = {"street": F.nullif(street, F.lit("")), "house": F.nullif(F.regexp_replace(number, r"\s", ""), F.lit("")), "zip": F.nullif(code, F.lit("")), "city": c["phrase"]}
+            span = F.struct(start.alias("start"), F.length(value).alias("len"), value.alias("value"))
+            return F.when(value.isNotNull() & ((code == "") | listed_code), _candidate(priority, "Address", "address", span, attrs))
+
+        return F.filter(F.transform(cities, candidate), lambda x: x.isNotNull())
+
+    # Both kinds of streets have a place and a value.
+    return T.let(listed_streets, lambda s: T.let(F.transform(s, _bare), lambda own: built(s, own)))
+
+
+def _bare(h: Column) -> Column:
+    return F.struct(h["start"].alias("start"), h["len"].alias("len"), h["value"].alias("value"))
+
+
 def announcements(text: Column, kind: str) -> Column:
     """For each preamble of a kind the number of the word behind it."""
     pattern = rf"(?i)(?<![\p{{L}}]){PREAMBLES[kind]}{_GAP}"

@@ -172,10 +172,14 @@ def company_to_left(suffix: str) -> str:
     return rf"{_L}{bare}(?:{short}{s}{bare})?(?:{'|'.join(ways)}){s}{suffix}"
 
 
+#: A street by its last word, and a house number.
+STREET = r"\p{Lu}[\p{L}.-]*(?:\s\p{Lu}?[\p{L}-]*)?(?:straße|strasse|str\.|Straße|Strasse|Str\.|allee|Allee|platz|Platz|weg|Weg|ring|Ring|markt|Markt|berg|Berg)"
+HOUSE = r"\d{1,4}(?:\s?[A-Za-z]\b)?(?:-\d{1,4})?"
+
+
 def recognizers(g: Gazetteers) -> list[Recognizer]:
     """All recognisers in order of priority."""
-    street = r"\p{Lu}[\p{L}.-]*(?:\s\p{Lu}?[\p{L}-]*)?(?:straße|strasse|str\.|Straße|Strasse|Str\.|allee|Allee|platz|Platz|weg|Weg|ring|Ring|markt|Markt|berg|Berg)"
-    house = r"\d{1,4}(?:\s?[A-Za-z]\b)?(?:-\d{1,4})?"
+    street, house = STREET, HOUSE
     city = city_pattern(g.cities)
     by_key = F.create_map(*[F.lit(x) for c in sorted(set(g.cities)) for x in (re.sub(r"[\s-]+", " ", c), c)])
     zip_city = rf"\d{{5}}\s+{city}"

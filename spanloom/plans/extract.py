@@ -66,7 +66,7 @@ def candidates_of(text: str, gazetteers: Gazetteers | None, enabled: set[str] |
 
 
 #: Kinds of dictionary tables, and the recognisers whose built-in lists they replace.
-DICTIONARIES = {"company": {"company_list"}, "firstname": {"name"}, "surname": {"name"}, "birthplace": {"birthplace"}, "nationality": {"nationality"}, "marital": {"marital"}}
+DICTIONARIES = {"company": {"company_list"}, "firstname": {"name"}, "surname": {"name"}, "birthplace": {"birthplace"}, "nationality": {"nationality"}, "marital": {"marital"}, "city": {"address"}, "street": {"address"}}
 
 
 def _with_dictionaries(docs: DataFrame, dictionaries: dict[str, DataFrame], gazetteers: Gazetteers | None, enabled: set[str] | None, text: str) -> DataFrame:
@@ -80,13 +80,15 @@ def _with_dictionaries(docs: DataFrame, dictionaries: dict[str, DataFrame], gaze
         raise ValueError(f"no dictionary of kind {', '.join(unknown)}")
     if len({"firstname", "surname"} & set(dictionaries)) == 1:
         raise ValueError("given names and family names are looked up together")
+    if "street" in dictionaries and "city" not in dictionaries:
+        raise ValueError("streets are looked up beside cities")
     replaced = set().union(*(DICTIONARIES[k] for k in dictionaries))
     every = recognizers(g)
     wanted = {r.name for r in every if enabled is None or r.name in enabled}
     priority = {r.name: k for k, r in enumerate(every)}
     none = F.array().cast(f"array<{ENTITY}>")
     marks = [k for k in ("birthplace", "nationality", "marital") if k in dictionaries and k in wanted]
-    base = docs.select("doc_id", candidates_of(text, gazetteers, wanted - replaced).alias("c"), *[D.announcements(F.col(text), k).alias(k) for k in marks])
+    base = docs.select("doc_id", candidates_of(text, gazetteers, wanted - replaced).alias("c"), *[D.announcements(F.col(text), k).alias(k) for k in marks], *([D.address_marks(F.col(text)).alias("address_marks")] if "city" in dictionaries and "address" in wanted else []))
     used = {k: df for k, df in dictionaries.items() if DICTIONARIES[k] & wanted}
     if not used:
         return base.select("doc_id", resolved(F.col("c"), none).alias("entities"))
@@ -99,6 +101,8 @@ def _with_dictionaries(docs: DataFrame, dictionaries: dict[str, DataFrame], gaze
         parts.append(D.listed(h, "company", "form", priority["company_list"], "Company", "company_list"))
     if "surname" in used:
         parts.append(D.names(h, g.excluded, priority["name"]))
+    if "city" in used:
+        parts.append(D.addresses(h, F.col("address_marks"), g.zip_codes, priority["address"]))
     for k, label, attr in (("birthplace", "Birthplace", "place"), ("nationality", "Nationality", "nationality"), ("marital", "MaritalStatus", "status")):
         if k in marks:
             parts.append(D.announced(h, F.col(k), k, priority[k], label, k, attr))
@@ -112,7 +116,7 @@ def extract(
 
     dictionaries: tables of phrases (first column) by kind, of any size, instead
     of the built-in lists of company, firstname and surname, birthplace,
-    nationality, marital.
+    nationality, marital; and cities and streets of addresses (city, street).
     """
     if dictionaries:
         found = _with_dictionaries(docs, dictionaries, gazetteers, enabled, text)

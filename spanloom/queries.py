@@ -19,6 +19,7 @@ from spanloom.operators import crf
 from spanloom.operators import dictionary as D
 from spanloom.operators import grouping, matching, metrics, neural
 from spanloom.plans import extract as plans
+from spanloom.sources import gazetteers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -858,6 +859,57 @@ def dictionary_hits(spark, sf_dir):
     return D.hits(read(spark, sf_dir, "documents"), D.entries({"opening": openings.where("phrase is not null")})).select("doc_id", F.col("at").alias("first_tok"), "n_tok")
 
 
+ORDERED_SQL = "c as (select c_custkey as k, c_mktsegment as street, c_custkey % 90 + 1 as house, 10000 + c_custkey % 80000 as zip, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || x[2:]), ' ') as city, p_type from customer join part on p_partkey = c_custkey)"
+
+
+def _ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k, street, house, zip, city and p_type for each customer with the part of its number: names in upper and lower case, of one and of more words."""
+    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("c_custkey"), F.initcap("p_name").alias("city"), "p_type")
+    k = F.col("c_custkey")
+    return read(spark, sf_dir, "customer").join(part, "c_custkey").select(k.alias("k"), F.col("c_mktsegment").alias("street"), (k % 90 + 1).alias("house"), (10000 + k % 80000).alias("zip"), "city", "p_type")
+
+
+@query("with " + ORDERED_SQL + """, w as (select *, replace(city, ' ', ['-', ' ', ' - '][k % 3 + 1]) as written from c)
+select k as doc_id, 8 as start, case k % 4 when 0 then street || ' ' || house || ', ' || zip || ' ' || written when 1 then zip || ' ' || written || ', ' || street || ' ' || house when 2 then street || ' ' || house || ' - ' || written else zip || ' ' || written end as value,
+  case when k % 4 < 3 then street end as street, case when k % 4 < 3 then house::varchar end as house, case when k % 4 <> 2 then zip::varchar end as zip, city from w""")
+def dictionary_addresses(spark, sf_dir):
+    """Addresses in four layouts, with cities and streets as tables; cities are written with dashes and spaces and come back as listed."""
+    rows = _ordered(spark, sf_dir)
+    written = F.replace("city", F.lit(" "), F.get(F.array(*map(F.lit, ("-", " ", " - "))), F.col("k") % 3))
+    street, code = F.concat_ws(" ", "street", "house"), F.concat_ws(" ", "zip", written)
+    layouts = F.array(F.concat_ws(", ", street, code), F.concat_ws(", ", code, street), F.concat_ws(" - ", street, written), code)
+    docs = rows.select(F.col("k").alias("doc_id"), F.concat(F.lit("Ware an "), F.get(layouts, F.col("k") % 4), F.lit("; eilt")).alias("text"))
+    lists = {"city": read(spark, sf_dir, "part").select(F.initcap("p_name")).distinct(), "street": read(spark, sf_dir, "customer").select("c_mktsegment").distinct()}
+    found = plans.extract(docs, enabled={"address"}, dictionaries=lists)
+    return found.select("doc_id", "start", "value", *[F.col("attrs")[a].alias(a) for a in ("street", "house", "zip", "city")])
+
+
+@query("""with recursive phrases as (select distinct p_type || ' & ' || p_name || '.' as phrase from part),
+letters as (select phrase, phrase as rest, '' as done from phrases
+  union all select phrase, rest[2:], unnest(case when rest[1] in ('.', '&') then [done || rest[1], done] else [done || rest[1]] end) from letters where rest <> ''),
+kept as (select distinct phrase, trim(regexp_replace(done, ' +', ' ', 'g')) as text from letters where rest = ''),
+gaps as (select phrase, text as rest, '' as done from kept
+  union all select phrase, rest[2:], unnest(case when rest[1] = ' ' then [done || ' ', done || '-'] else [done || rest[1]] end) from gaps where rest <> '')
+select distinct phrase, done as version from gaps where rest = ''""")
+def phrase_versions(spark, sf_dir):
+    """Every way to write the names made of parts, with dots and ampersands left out and dashes for spaces."""
+    part = read(spark, sf_dir, "part").select(F.concat("p_type", F.lit(" & "), "p_name", F.lit(".")).alias("phrase")).distinct()
+    return gazetteers.versions(part)
+
+
+@query("with " + ORDERED_SQL + """, w as (select *, replace(replace(p_type || ' & ' || city || '.', case when k % 2 = 0 then ' &' else '' end, ''), ' ', [' ', '-', ' - '][k % 3 + 1]) as written from c)
+select k as doc_id, 8 as start, p_type || ' & ' || city || '.' as entry, rtrim(written, '.') as value from w where k % 3 < 2""")
+def version_hits(spark, sf_dir):
+    """Names in texts, kept where they are written as their entry allows: spaced dashes are not."""
+    rows = _ordered(spark, sf_dir).withColumn("phrase", F.concat("p_type", F.lit(" & "), "city", F.lit(".")))
+    bare = F.when(F.col("k") % 2 == 0, F.replace("phrase", F.lit(" &"), F.lit(""))).otherwise(F.col("phrase"))
+    written = F.replace(bare, F.lit(" "), F.get(F.array(*map(F.lit, (" ", "-", " - "))), F.col("k") % 3))
+    docs = rows.select(F.col("k").alias("doc_id"), F.concat(F.lit("Ware an "), written, F.lit(" heute")).alias("text"))
+    entries = rows.select("phrase").distinct()
+    found = D.hits(docs, D.entries({"company": entries}))
+    return D.as_written(found, gazetteers.versions(entries)).select("doc_id", "start", "entry", "value")
+
+
 # -- whole plans (no SQL) ----------------------------------------------------
 
 
@@ -891,6 +943,14 @@ def tokens_full(spark, sf_dir):
     return matching.token_table(turns(spark, sf_dir))
 
 
+@query()
+def model_input(spark, sf_dir):
+    """Words of all documents as a model reads them, with their places in the text."""
+    g = gazetteers.Gazetteers()
+    words = T.model_words(F.coalesce("text", F.lit("")), T.url_pattern(g.tlds, g.schemes))
+    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("tok_id", "w")).select("doc_id", "tok_id", "w.start", "w.len", "w.value")
+
+
 @query()
 def rouge_pairs(spark, sf_dir):
     """Each turn against the next: words of the longest common subsequence of both whole, over their distinct words."""

@@ -62,6 +62,40 @@ def dropped_versions(phrase: str, characters: str = ".&\"'!") -> list[str]:
     return sorted({re.sub(" +", " ", "".join(x)).strip() for x in kept})
 
 
+def versions(entries: DataFrame, phrase: str = "phrase", separator: str = "-", characters: str = ".&\"'!", most: int = 10_000_000) -> DataFrame:
+    """entries with version: every way to write a phrase, its own among them, without repeats.
+
+    Each of the characters is left out or not; then each space between the words
+    that remain is a space or the separator.  A phrase of w words and c such
+    characters has at most 2 ** (w - 1 + c) versions; their sum is counted before
+    any is made, and a dictionary with more than `most` is an error: such lists
+    meet texts by operators.dictionary.key, which takes one row a phrase.  Null and
+    blank phrases have no version; a version without words is none.
+    """
+    text = F.trim(F.regexp_replace(F.col(phrase), r"\s+", " "))
+    optional = F.lit("[" + re.escape(characters) + "]")
+    rows = entries.withColumn("_text", text).where("_text <> ''").withColumn("_optional", F.regexp_count("_text", optional))
+    bits = F.col("_optional") + F.size(F.split("_text", " ")) - 1
+    planned = rows.agg(F.sum(F.pow(F.lit(2.0), bits))).first()[0] or 0.0
+    if planned > most:
+        raise ValueError(f"{planned:.0f} versions are more than {most}")
+
+    def bit(mask: Column, k: Column) -> Column:
+        return F.pmod(F.floor(mask / F.pow(F.lit(2.0), k)), F.lit(2)) == 1
+
+    def masks(n: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.pow(F.lit(2.0), n).cast("long") - 1))
+
+    # The text between optional characters, with or without the character behind each piece.
+    cut, marks = F.split("_text", optional), F.regexp_extract_all("_text", optional, F.lit(0))
+    kept = F.array_join(F.transform(cut, lambda x, k: F.when(bit(F.col("_mask"), k) & F.get(marks, k).isNotNull(), F.concat(x, F.get(marks, k))).otherwise(x)), "")
+    dropped = rows.withColumn("_mask", masks(F.col("_optional"))).withColumn("_text", F.trim(F.regexp_replace(kept, " +", " "))).where("_text <> ''")
+    dropped = dropped.drop("_mask", "_optional").dropDuplicates()
+    words = F.split("_text", " ")
+    joined = F.array_join(F.transform(words, lambda w, k: F.when(k == 0, w).when(bit(F.col("_mask"), k - 1), F.concat(F.lit(separator), w)).otherwise(F.concat(F.lit(" "), w))), "")
+    return dropped.withColumn("_mask", masks(F.size(words) - 1)).withColumn("version", joined).drop("_mask", "_text").dropDuplicates()
+
+
 def orders(labels: list[str]) -> list[tuple[str, ...]]:
     """All orders of a set of labels."""
     return list(permutations(labels))
