@@ -17,7 +17,7 @@ from spanloom.functions import sentences as S
 from spanloom.functions import text as T
 from spanloom.operators import crf
 from spanloom.operators import dictionary as D
-from spanloom.operators import grouping, matching, metrics, neural
+from spanloom.operators import grouping, matching, metrics, neural, weights
 from spanloom.plans import extract as plans
 from spanloom.sources import gazetteers
 
@@ -974,8 +974,13 @@ def crf_entities(spark, sf_dir):
 
 @query()
 def neural_tags(spark, sf_dir):
-    """A tagger's forward pass over every turn (weights of a fixed seed)."""
-    t = turn_tokens(spark, sf_dir)
-    ids = t.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("tok_id", F.pmod(F.xxhash64("value"), F.lit(1000)).cast("int").alias("id")))), lambda x: x["id"]).alias("ids"))
-    labels = ["O", "B-PER", "I-PER", "B-ORG", "I-ORG", "B-LOC", "I-LOC"]
-    return neural.predict_tags(ids.withColumnRenamed("doc_id", "sent_id"), neural.random_weights(1000, len(labels)), labels)
+    """Capitalised runs of every turn by a small encoder: vocabulary, embeddings and head are learned from four of five conversations."""
+    tokens = turn_tokens(spark, sf_dir).select("doc_id", "tok_id", F.col("value").alias("token"), T.shape(F.col("value")).alias("c"))
+    named = F.col("c").isin("LatinFirstCapital", "MixCapital") & (F.col("tok_id") > 0)
+    gold = tokens.withColumn("tag", F.when(named, "CAP").otherwise("O")).where(F.pmod(F.floor(F.col("doc_id") / 1000), F.lit(5)) != 0)
+    vocab = weights.vocabulary(gold)
+    labels = ["O", "CAP"]
+    learned = weights.sentence_ids(gold, vocab, ["doc_id"], tag="tag")
+    model = weights.fit_head(learned, weights.start_weights(learned, labels), labels)
+    every = weights.sentence_ids(tokens, vocab, ["doc_id"]).withColumnRenamed("doc_id", "sent_id")
+    return neural.predict_tags(every, model, labels)
