@@ -6,7 +6,8 @@ lines, so that a change of part shows in the distribution.  A line weighs its
 text's length; headings weigh half a surge more, and lines inside an article or
 main element a surge more.  Lines of links alone outside these, and lines of parts
 that are no article by their element, role or name (menus, adverts, forms, reader
-comments and the like), weigh nothing; so do lines outside article and main
+comments and the like), weigh nothing (a form that holds the page's own parts is
+none, and words that also name subjects need words of layout beside them); so do lines outside article and main
 where these hold half of all weight.
 
 The weights are summed over a sliding window of WINDOW lines.  Text surges at a
@@ -49,6 +50,14 @@ APART_NAMES = re.compile(
     r"nav|navbar|navigation|menus?|breadcrumbs?|pagination|pager|toolbar|header|masthead|footer|comments?|replies|discussion|disqus|respond|share|sharing|social|related|recommend\w*|"
     r"widgets?|login|signup|search|copyright|disclaimer|hidden"
 )
+#: Of these, words that also name subjects ("social-history", "market-share"): they count only beside words of layout.
+SUBJECTS = {"social", "search", "share", "sharing", "related", "discussion", "comments", "replies", "notices", "alerts", "header", "hidden", "copyright", "promotions"}
+LAYOUT = re.compile(
+    r"bar|box|form|field|input|button|btn|links?|icons?|list|items?|block|panel|pane|wrap|wrapper|container|inner|outer|section|area|region|row|col|column|top|bottom|left|right|side|site|page|global|main|primary|secondary|mobile|"
+    r"desktop|fixed|sticky|small|large|post|posts|article|articles|story|stories|content|text|entry|user|reader|thread|tools?|actions?|media|buttons|this|on|us|title|head|count|toggle|results?|print|js|is|the|x?\d+|[a-z]"
+)
+#: Elements that make the form around them the page's wrapper.
+PAGE_PARTS = {*MAIN, "h1"}
 #: A name of such words alone marks text, whatever stands beside it.
 TEXT_NAMES = {"article", "story", "content", "entry", "post", "main", "text", "body"}
 APART_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
@@ -56,7 +65,7 @@ APART_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search",
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _UNSEEN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
-_RAW_END = {x: re.compile(rf"</{x}\s*>|\Z", re.I) for x in RAW}
+_RAW_END = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.I) for x in RAW}
 
 
 def named_apart(value: str, in_main: bool) -> bool:
@@ -66,7 +75,10 @@ def named_apart(value: str, in_main: bool) -> bool:
         parts = [x for x in re.split(r"[_-]+|(?<=[a-z])(?=\d)", name) if x]
         if parts and all(x in TEXT_NAMES for x in parts):
             return False
-        if parts and parts[0] not in ("no", "has", "with", "without") and any(APART_NAMES.fullmatch(x) and not (in_main and x == "header") for x in parts):
+        if not parts or parts[0] in ("no", "has", "with", "without"):
+            continue
+        layout = all(APART_NAMES.fullmatch(x) or LAYOUT.fullmatch(x) for x in parts)
+        if any(APART_NAMES.fullmatch(x) and (layout or x not in SUBJECTS) and not (in_main and x == "header") for x in parts):
             apart = True
     return apart
 
@@ -119,6 +131,15 @@ class Open:
         self.apart_mains -= apart and name in MAIN
         return apart
 
+    def unwrap(self) -> None:
+        """Forms that are open and lie in no other part that is no article turn out to hold the page."""
+        forms = self.at.get("form")
+        if forms and self.apart == sum(self.aparts[k] for k in forms):
+            for k in forms:
+                self.aparts[k] = False
+            self.apart = 0
+            self.apart_mains = 0
+
     def place(self, name: str) -> int | None:
         """Where the element is that an end tag closes, if there is one; an inline one ends no block."""
         k = self.at.get(name)
@@ -188,6 +209,8 @@ def lines(page: str) -> tuple[list[str], list[int], list[int]]:
             heading = name in HEADINGS
         if name in VOID or m[0].endswith("/>"):
             continue
+        if name in PAGE_PARTS:
+            stack.unwrap()
         if name in MAIN and not stack.apart_mains:
             # An article can't lie in a menu or advert that was left open before it.
             while stack.apart and not stack.mains:

@@ -295,3 +295,27 @@ def test_shared_folder(spark):
     table = shared.written(spark.range(5).toDF("x"), "t")
     assert table.count() == 5
     assert shared.shared_dir(spark) in table.inputFiles()[0]
+
+
+PARAGRAPH = "A long paragraph of the article, with more than eighty characters so that a surge is found here."
+
+
+@pytest.mark.parametrize("name", ["social-history", "search-and-rescue", "market-share", "related-works-of-kant", "hidden-figures"])
+def test_names_of_subjects_are_no_parts(name):
+    assert html_text.main_text(f"<body><div id='{name}'><p>{PARAGRAPH}</p></div></body>") == PARAGRAPH
+
+
+@pytest.mark.parametrize("name", ["social-links", "share-buttons", "search-form", "related-posts", "site-header", "comments", "comments-area", "social", "search", "notice-bar"])
+def test_names_of_layout_are_parts(name):
+    assert html_text.main_text(f"<body><div><p>{PARAGRAPH}</p></div><div class='{name}'><p>Other {PARAGRAPH}</p></div></body>") == PARAGRAPH
+
+
+def test_forms_round_the_page_and_forms_in_it():
+    assert html_text.main_text(f"<body><form id='all'><h1>Title of it</h1><p>{PARAGRAPH}</p></form></body>") == f"Title of it\n{PARAGRAPH}"
+    assert html_text.main_text(f"<body><p>{PARAGRAPH}</p><form><p>Name</p><input><p>Other {PARAGRAPH}</p></form></body>") == PARAGRAPH
+    assert html_text.main_text(f"<body><p>{PARAGRAPH}</p><aside><form><h1>Join</h1><p>Other {PARAGRAPH}</p></form></aside></body>") == PARAGRAPH
+
+
+@pytest.mark.parametrize("end", ["</script>", "</script foo>", "</SCRIPT\n>", "</script/>"])
+def test_ends_of_scripts(end):
+    assert html_text.main_text(f"<body><script>var a = '</scripts>';{end}<p>{PARAGRAPH}</p></body>") == PARAGRAPH
