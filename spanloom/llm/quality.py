@@ -4,7 +4,7 @@ Each line is held against three groups of rules: punctuation (it ends a
 sentence or holds several, and its words don't each drag symbols or shouts;
 scripts that write no end marks need none), navigation (menus of separators,
 arrows, short items and menu words, page counters) and boilerplate (notices that
-sites repeat).  Lines that fail are removed; then a document that has lost more
+sites repeat; phrases that prose has too must begin their line or make most of it).  Lines that fail are removed; then a document that has lost more
 than MOST_LOST of its word characters, or keeps fewer than LEAST_WORDS words, is
 rejected.  Words are maximal runs of characters other than space and \\t \\n \\v
 \\f \\r throughout, so other white space is part of a word.  Beside that verdict
@@ -48,9 +48,11 @@ MENU_WORDS = {
 }
 BOILERPLATE = re.compile(
     r"(?i)\b(?:all rights reserved|terms (?:of|and) (?:use|service|conditions)|privacy (?:policy|notice|settings)|cookie (?:policy|settings|notice)|(?:use|uses|using|accept|accepting) (?:all )?cookies|enable (?:javascript|cookies)|javascript is (?:disabled|required|not)|"
-    r"click here|read (?:more|the full)|continue reading|sign up (?:for|now|today)|log in to|subscribe (?:to our|now|today)|lorem ipsum|powered by|share (?:this|on)|follow us|add to (?:cart|basket)|skip to (?:content|main)|back to top|leave a (?:comment|reply)|related (?:posts|articles)|posted (?:by|in|on)|filed under|permalink|unsubscribe|your browser|advertisement|sponsored content|"
+    r"sign up (?:for|now|today)|subscribe (?:to our|now|today)|lorem ipsum|powered by|follow us|skip to (?:content|main)|leave a (?:comment|reply)|related (?:posts|articles)|filed under|permalink|unsubscribe|advertisement|sponsored content|"
     r"alle rechte vorbehalten|verwendet cookies|hier klicken|weiterlesen|newsletter abonnieren|tous droits réservés|utilise des cookies|cliquez ici|lire la suite|todos los derechos reservados|utiliza cookies|haga clic|leer más)\b|\{\s*\}|©|\(c\) ?(?:19|20)\d\d"
 )
+#: Phrases that prose has too: they must begin their line, or be two thirds of its letters.
+EVERYDAY = re.compile(r"(?i)\b(?:click here|read (?:more|the full)|continue reading|log in to|share (?:this|on)|add to (?:cart|basket)|back to top|posted (?:by|in|on)|your browser)\b(?!,)")
 #: Words one of which each phrase has.
 TRIGGERS = {
     "rights", "terms", "privacy", "cookie", "cookies", "javascript", "click", "read", "reading", "sign", "log", "subscribe", "lorem", "powered", "share", "follow", "add", "skip", "back", "leave", "related", "posted", "filed", "permalink", "unsubscribe", "browser", "advertisement", "sponsored",
@@ -66,6 +68,15 @@ _UNMARKED = re.compile(r"[\u0E00-\u0EFF\u0F00-\u0FFF\u1000-\u109F\u1780-\u17FF]"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def _everyday(line: str) -> bool:
+    """Whether an everyday phrase of notices makes the line one."""
+    m = EVERYDAY.search(line)
+    if not m:
+        return False
+    letters = sum(map(len, _LETTERS.findall(line)))
+    return not _LETTERS.search(line[: m.start()]) or 3 * sum(map(len, _LETTERS.findall(m[0]))) >= 2 * letters
+
+
 def line_fails(line: str) -> str | None:
     """The group of rules that a line with words fails, or None."""
     own = _WORD.findall(line)
@@ -76,7 +87,7 @@ def line_fails(line: str) -> str | None:
         bare = [b for b in (w.strip(".,;:!?()").lower() for w in own) if b]
         if bare and all(b in MENU_WORDS or b in SEPARATORS for b in bare):
             return "navigation"
-    if (_SIGNS.search(line) or not TRIGGERS.isdisjoint(_LETTERS.findall(line.lower()))) and BOILERPLATE.search(line):
+    if (_SIGNS.search(line) or not TRIGGERS.isdisjoint(_LETTERS.findall(line.lower()))) and (BOILERPLATE.search(line) or _everyday(line)):
         return "boilerplate"
     if _RUN.search(line) and sum(bool(_DRAGS.search(w)) for w in own) * 2 > len(own):
         return "punctuation"

@@ -42,6 +42,17 @@ def test_line_rules(spark):
     assert got[4].removed == 2 and got[4].clean_text == prose
 
 
+@pytest.mark.parametrize(
+    ("line", "group"),
+    [
+        ("I read more books than you.", None), ("You may click here, it said.", None), ("click here, it said.", None), ("She asked me to share this cake.", None), ("Guards were posted by the gate at night.", None),
+        ("Click here to see the rest.", "boilerplate"), ("» Read more.", "boilerplate"), ("Posted by admin on 3 May.", "boilerplate"), ("Now click here!", "boilerplate"), ("All rights reserved.", "boilerplate"), ("We ask you to subscribe to our newsletter.", "boilerplate"),
+    ],
+)
+def test_phrases_of_notices_in_prose(line, group):
+    assert quality.line_fails(line) == group
+
+
 def brute_verdict(text):
     """Kept and lost by the definition, line by line."""
     own = WORD.findall(text or "")
