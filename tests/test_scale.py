@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom import queries as Q
 from spanloom.functions import text as T
+from spanloom.operators import metrics
 from spanloom.plans import extract as plans
 
 
@@ -60,3 +61,29 @@ def test_spans(spark, text):
             want.append((at, end - at, text[at:end]))
         at = max(end, at + 1)
     assert [tuple(x) for x in row.s] == want
+
+
+def test_a_table_in_many_small_tasks_stays(spark):
+    assert Q.spread(spark.range(0, 400, 1, 4), 50).rdd.getNumPartitions() == 4
+    assert Q.spread(spark.range(0, 404, 1, 4), 50).rdd.getNumPartitions() == 9
+    assert Q.spread(spark.range(0), 50).count() == 0
+
+
+def test_customers_and_lines_are_dealt(spark, tmp_path):
+    spark.range(25_000).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    assert largest_task(Q.digit_candidates(spark, str(tmp_path), F.lit("1"))) < 125_000
+    lines = spark.range(1200).select((F.col("id") % 300).alias("l_orderkey"), (F.col("id") % 7).cast("int").alias("l_linenumber"), F.col("id").alias("l_partkey"))
+    lines.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    before, Q.LINES = Q.LINES, 100
+    try:
+        rows = Q._lines(spark, str(tmp_path))
+        assert rows.count() == lines.select("l_orderkey", "l_linenumber").distinct().count() and largest_task(rows) < 400
+        assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    finally:
+        Q.LINES = before
+
+
+def test_common_words_in_small_slices(spark):
+    pairs = spark.createDataFrame([(k, [str(k), "a"], ["a", str(k)]) for k in range(200)], "k long, ref array<string>, hyp array<string>").coalesce(1)
+    own = {r.k: r.lcs for r in metrics.rouge_words(pairs, ["k"]).collect()}
+    assert own == {k: metrics.common_words([str(k), "a"], ["a", str(k)]) for k in range(200)}
