@@ -27,19 +27,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from spanloom.llm import words
 from spanloom.llm.words import Table
-from spanloom.llm.shared import small_or_shuffled, tidy, written
+from spanloom.llm.shared import release, small_or_shuffled, tidy, written
 
 ORDER = 4
 SAMPLE_DOCS = 400
 SAMPLE_BYTES = 2_000_000
 #: Languages that one model may have: their trees are gathered on the driver and broadcast, about 10 MB each.
 MOST_LANGUAGES = 200
+#: Bytes of text that are looked at together; a longer text stands alone.
+SLICE = 250_000
 _U = np.uint64
 
 
@@ -57,6 +60,17 @@ def grams(data: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     return key[place] | _U(n << 56)
 
 
+def gram_counts(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different grams of n bytes, in order, and how often each occurs: slice by slice, as a byte takes some 70 bytes meanwhile."""
+    parts = [np.unique(grams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n), return_counts=True) for i, j in words.slices(offsets, SLICE) if offsets[j] > offsets[i]]
+    if not parts:
+        return np.zeros(0, _U), np.zeros(0, np.int64)
+    keys, which = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    counts = np.zeros(len(keys), np.int64)
+    np.add.at(counts, which, np.concatenate([c for _, c in parts]))
+    return keys, counts
+
+
 def learn(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys and log2 probabilities of the grams seen, keys and log2 escape factors of their contexts."""
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -65,7 +79,7 @@ def learn(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     mask = lambda n: _U((1 << (8 * n)) - 1)
     lower = (np.zeros(0, _U), np.zeros(0))
     for n in range(1, ORDER + 2):
-        keys, counts = np.unique(grams(data, offsets, n), return_counts=True)
+        keys, counts = gram_counts(data, offsets, n)
         context = ((keys & mask(n)) >> _U(8)) | _U((n - 1) << 56)
         own, first, which = np.unique(context, return_index=True, return_inverse=True)
         total, kinds = np.bincount(which, counts), np.bincount(which)
@@ -164,6 +178,7 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int =
             texts.append(t)
             size += len(texts[-1])
         parts = learn(texts)
+        release()
         return pd.DataFrame({"lang": [group["lang"].iloc[0]], **{f"p{k}": [x.tobytes()] for k, x in enumerate(parts)}})
 
     rows = sample.where("text <> ''").groupBy("lang").applyInPandas(tree, "lang string, p0 binary, p1 binary, p2 binary, p3 binary").collect()
@@ -172,15 +187,16 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int =
 
 
 def predict(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score and bits (code length in that language) for every row."""
+    """doc_id, lang_pred, score and bits (code length in that language) for every row.  text may be a field of a struct doc_id (`row.text`): it then goes to Python once."""
+    field = text.removeprefix(f"{doc_id}.") if text.startswith(f"{doc_id}.") else None
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            data, offsets = words.utf8(batch.column(1))
-            letters = batch.column(2).to_numpy(zero_copy_only=False)
-            for i, j in words.slices(offsets, 250_000):
+            data, offsets = words.utf8(batch.column("text") if field is None else pc.struct_field(batch.column("doc_id"), field.strip("`")))
+            letters = batch.column("letters").to_numpy(zero_copy_only=False)
+            for i, j in words.slices(offsets, SLICE):
                 names, scores, bits = np.full(j - i, "und", object), np.zeros(j - i), np.full(j - i, np.nan)
                 if model is not None:
                     lengths = model.code_lengths(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
@@ -194,7 +210,7 @@ def predict(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text:
                 )
 
     lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), lettered.alias("letters"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), *([F.col(text).alias("text")] if field is None else []), lettered.alias("letters"))
     schema = StructType([rows.schema["doc_id"], StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("bits", DoubleType())])
     return rows.mapInArrow(tidy(run), schema)
 
@@ -210,5 +226,5 @@ def label(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
     """All columns of docs with lang_pred, score and bits (which replace columns of these names)."""
     own = [c for c in docs.columns if c not in ("lang_pred", "score", "bits")]
     row = F.struct(*[F.col(f"`{c}`") for c in own])
-    out = predict(docs.select(row.alias("row"), F.col(text).alias("text")), model, "row", "text")
+    out = predict(docs.select(row.alias("row")), model, "row", f"row.`{text}`")
     return out.select(*[F.col(f"doc_id.`{c}`").alias(c) for c in own], "lang_pred", "score", "bits")

@@ -246,3 +246,24 @@ def test_language_sample_does_not_depend_on_ids(spark):
         assert model.languages == ["de", "en", "fr"]
         got = lang_id.predict(table.where("text not like 'the cat sat here with hats%'").withColumn("doc_id", F.col("lang")), model).collect()
         assert sum(r.lang_pred == r.doc_id for r in got) == len(got)
+
+
+def test_language_id_counts_by_slices(monkeypatch):
+    """The same counts in slices of any size."""
+    texts = [b"der Hund", b"", "die Kälte".encode(), b"a" * 50, b"die"]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    for n in range(1, lang_id.ORDER + 2):
+        keys, counts = np.unique(lang_id.grams(data, offsets, n), return_counts=True)
+        for size in (1, 12, 10_000):
+            monkeypatch.setattr(lang_id, "SLICE", size)
+            got = lang_id.gram_counts(data, offsets, n)
+            assert np.array_equal(got[0], keys) and np.array_equal(got[1], counts)
+
+
+def test_labelled_texts_go_to_python_once(spark):
+    docs = spark.createDataFrame([(1, "der Hund", "de"), (2, None, None), (3, "the dog", "en")], "doc_id long, `my.text` string, lang string")
+    model = lang_id.fit(docs.withColumnRenamed("my.text", "text"))
+    out = lang_id.label(docs, model, "my.text")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("MapInArrow" in x and x.count("text") for x in plan.splitlines()) <= 1
+    assert [(r.doc_id, r["my.text"], r.lang_pred) for r in out.orderBy("doc_id").collect()] == [(1, "der Hund", "de"), (2, None, "und"), (3, "the dog", "en")]
