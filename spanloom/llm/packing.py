@@ -4,9 +4,9 @@ First pass: each task tokenises its documents, appends the end id and sums
 their tokens as it goes, so a document's start within its task's stretch is
 known at once; the ids are written to the shared folder.  Second pass: prefix
 sums over the tasks' token totals give each stretch its place in one long
-row of ids, which fixed windows cut.  A document that meets a window's edge
-gives one record on each side.  Ids are never shuffled; only the last window
-is padded.
+row of ids, which fixed windows cut, without Python.  A document that meets a
+window's edge gives one record on each side.  Ids are never shuffled; only the
+last window is padded.
 
 Defined results: null text is empty and a document without text is its end id
 alone; null or repeated doc_ids are documents like others; an empty table
@@ -24,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.shared import prefix_offsets, small_or_shuffled, tidy, written
+from spanloom.llm.shared import prefix_offsets, small_batches, small_or_shuffled, tidy, written
 
 LENGTH = 2048
 END_ID = 1
@@ -104,26 +104,18 @@ def tokenised(docs: DataFrame, path: str, end_id: int = END_ID, doc_id: str = "d
 
 def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces: doc_id, start, length, ids (binary), doc_tokens, sequence_id and offset."""
-    tokens = written(tokenised(docs, path or vocabulary_path(), end_id, doc_id, text), "tokens")
+    with small_batches(docs.sparkSession):
+        tokens = written(tokenised(docs, path or vocabulary_path(), end_id, doc_id, text), "tokens")
     totals = tokens.groupBy("part").agg(F.sum("doc_tokens").alias("n"))
     bases = small_or_shuffled(prefix_offsets(totals, "part", "n", "base"))
     placed = tokens.join(bases, "part").select("doc_id", (F.col("base") + F.col("start")).alias("at"), "doc_tokens", "ids")
-    kind = placed.schema["doc_id"].dataType.simpleString()
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(k, 512) for b in batches for k in range(0, len(b), 512)):
-            at, n = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            first = at // length
-            pieces = (at + n - 1) // length - first + 1
-            row = np.repeat(np.arange(len(n)), pieces)
-            sequence = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            begin = np.maximum(at[row], sequence * length)
-            end = np.minimum((at + n)[row], (sequence + 1) * length)
-            ids = batch.column(3).to_pylist()
-            own = [ids[r][4 * a : 4 * b] for r, a, b in zip(row.tolist(), (begin - at[row]).tolist(), (end - at[row]).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row)), pa.array(begin - at[row]), pa.array(end - begin), pa.array(own, pa.binary()), pa.array(n[row]), pa.array(sequence), pa.array(begin - sequence * length)],
-                names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
-            )
-
-    return placed.mapInArrow(tidy(cut), f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    at, end = F.col("at"), F.col("at") + F.col("doc_tokens")
+
+    def piece(sequence: Column) -> Column:
+        a, b = F.greatest(at, sequence * length), F.least(end, (sequence + 1) * length)
+        ids = F.substring("ids", (4 * (a - at) + 1).cast("int"), (4 * (b - a)).cast("int"))
+        return F.struct((a - at).alias("start"), (b - a).alias("length"), ids.alias("ids"), sequence.alias("sequence_id"), (a - sequence * length).alias("offset"))
+
+    sequences = F.sequence(F.expr(f"at div {length}"), F.expr(f"(at + doc_tokens - 1) div {length}"))
+    pieces = placed.select("doc_id", "doc_tokens", F.inline(F.transform(sequences, piece)))
+    return pieces.select("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spanloom.llm import mixing, packing, sharding
@@ -121,6 +122,33 @@ def test_packing_round_trip(docs, rows, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_cuts_without_python_and_tokenises_small_batches(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    sizes = []
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(1).nbytes])], names=["n"])
+
+    texts = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 400).alias("text"))
+
+    def tokenised(docs, *args):
+        sizes.extend(r["n"] for r in docs.select("doc_id", "text").mapInArrow(run, "n long").collect())
+        return whole(docs, *args)
+
+    whole = packing.tokenised
+    monkeypatch.setattr(packing, "tokenised", tokenised)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    pieces = packing.pack(texts)
+    assert spark.conf.get(name) == before
+    assert len(sizes) > 3 and max(sizes) < 4_000_000 and sum(sizes) > 13_000_000
+    plan = pieces._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "Python" not in plan
+    assert pieces.agg(F.sum("length")).first()[0] == 3000 * (len(packing.tokenizer(packing.vocabulary_path())("some words " * 400)) + 1)
+
+
 def test_fast_ids_are_the_files_ids():
     from tokenizers import Tokenizer
 
