@@ -94,34 +94,40 @@ def right_neighbours(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right.withColumnRenamed("first_tok", "end_tok"), [*SENT, "end_tok"])
 
 
-def overlap_merge(rules: DataFrame, model: DataFrame, block: int = 256) -> DataFrame:
+def overlap_merge(rules: DataFrame, model: DataFrame) -> DataFrame:
     """Rule and model entities of each document (doc_id, start, len, label) as one list.
 
     A model entity that touches no rule entity is added; it replaces the
     leftmost one it touches if it starts no later and is strictly longer;
-    otherwise it is dropped.  Touching ends count as an overlap.  Entities meet
-    by blocks of places, so a long document is no one group.
-    """
+    otherwise it is dropped.  Touching ends count as an overlap.
 
-    def blocked(df: DataFrame, prefix: str) -> DataFrame:
-        df = df.select("doc_id", *[F.col(c).alias(prefix + c) for c in ("start", "len", "label")])
-        first, last = F.floor(F.col(prefix + "start") / block), F.floor((F.col(prefix + "start") + F.col(prefix + "len")) / block)
-        return df.withColumn("_block", F.explode(F.sequence(first, last)))
-
-    r, m = blocked(rules, "r_"), blocked(model, "m_")
-    touch = (F.col("r_start") <= F.col("m_start") + F.col("m_len")) & (F.col("m_start") <= F.col("r_start") + F.col("r_len"))
-    met = m.join(r, ["doc_id", "_block"]).where(touch).drop("_block").distinct()
-    own = ["doc_id", "m_start", "m_len", "m_label"]
-    left = met.groupBy(*own).agg(F.min_by(F.struct("r_start", "r_len", "r_label"), F.struct("r_start", "r_len", "r_label")).alias("r"))
-    wins = left.where((F.col("m_start") <= F.col("r.r_start")) & (F.col("m_len") > F.col("r.r_len")))
-    gone = wins.select("doc_id", F.col("r.r_start").alias("start"), F.col("r.r_len").alias("len"), F.col("r.r_label").alias("label")).distinct()
-    named = [F.col("m_start").alias("start"), F.col("m_len").alias("len"), F.col("m_label").alias("label")]
-    everyone = model.select("doc_id", "start", "len", "label")
-    free = everyone.join(left.select("doc_id", *named), ["doc_id", "start", "len", "label"], "left_anti")
-    stay = rules.select("doc_id", "start", "len", "label").join(gone, ["doc_id", "start", "len", "label"], "left_anti")
-    return stay.withColumn("origin", F.lit("rules")).unionByName(
-        wins.select("doc_id", *named).distinct().withColumn("origin", F.lit("model"))
-    ).unionByName(free.withColumn("origin", F.lit("model")))
+    Both lists are shuffled once, by document, and sorted there: no join, so no
+    side is ever broadcast by an estimate (a table of keys says little of how
+    many entities its texts hold).  In order of start, the leftmost rule entity
+    that ends at or behind a place is the first that does, so only those that end
+    behind all before them are asked for.
+    """
+    fields = ["start", "len", "label"]
+    own = F.struct(*fields)
+    rows = rules.select("doc_id", *fields, F.lit(True).alias("_rule")).unionByName(model.select("doc_id", *fields, F.lit(False).alias("_rule")))
+    end = F.col("start") + F.col("len")
+    before = W.partitionBy("doc_id").orderBy(*fields).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("_reach", F.max(F.when(F.col("_rule"), end)).over(before))
+    record = F.col("_rule") & (F.col("_reach").isNull() | (end > F.col("_reach")))
+    rows = rows.withColumn("_place", F.when(record, end).when(~F.col("_rule"), F.col("start")))
+    # From the last place to the first, a rule entity before the model's that begin where it ends.
+    places = W.partitionBy("doc_id").orderBy(F.desc("_place"), F.desc("_rule")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("_left", F.last(F.when(record & F.col("_place").isNotNull(), own), ignorenulls=True).over(places))
+    met = F.coalesce(F.col("doc_id").isNotNull() & (F.col("_left.start") <= end) & F.col("start").isNotNull(), F.lit(False))
+    rows = rows.withColumn("_met", ~F.col("_rule") & met)
+    rows = rows.withColumn("_wins", F.col("_met") & F.coalesce((F.col("start") <= F.col("_left.start")) & (F.col("len") > F.col("_left.len")), F.lit(False)))
+    about = F.when(F.col("_rule"), own).when(F.col("_wins"), F.col("_left"))
+    same = W.partitionBy("doc_id", about).orderBy("_rule", *fields)
+    beaten = F.col("_rule") & F.max("_wins").over(same.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    again = F.col("_wins") & F.coalesce(F.lag(own).over(same).eqNullSafe(own) & ~F.lag("_rule").over(same), F.lit(False))
+    rows = rows.withColumns({"_beaten": beaten, "_again": again})
+    kept = rows.where(~F.col("_beaten") & ~F.col("_again") & (F.col("_rule") | F.col("_wins") | ~F.col("_met")))
+    return kept.select("doc_id", *fields, F.when(F.col("_rule"), "rules").otherwise("model").alias("origin"))
 
 
 def with_url_tokens(tokens: DataFrame, urls: DataFrame) -> DataFrame:

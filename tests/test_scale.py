@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom import queries as Q
 from spanloom.functions import text as T
-from spanloom.operators import metrics
+from spanloom.operators import matching, metrics
 from spanloom.plans import extract as plans
 
 
@@ -87,3 +89,29 @@ def test_common_words_in_small_slices(spark):
     pairs = spark.createDataFrame([(k, [str(k), "a"], ["a", str(k)]) for k in range(200)], "k long, ref array<string>, hyp array<string>").coalesce(1)
     own = {r.k: r.lcs for r in metrics.rouge_words(pairs, ["k"]).collect()}
     assert own == {k: metrics.common_words([str(k), "a"], ["a", str(k)]) for k in range(200)}
+
+
+def merged_by_hand(rules: list[tuple], model: list[tuple]) -> list[tuple]:
+    gone, out = set(), []
+    for d, start, size, label in model:
+        met = sorted(r[1:] for r in rules if r[0] == d and r[1] <= start + size and start <= r[1] + r[2])
+        if not met:
+            out.append((d, start, size, label, "model"))
+        elif start <= met[0][0] and size > met[0][1]:
+            gone.add((d, *met[0]))
+            out += [x for x in [(d, start, size, label, "model")] if x not in out]
+    return sorted(out + [(*r, "rules") for r in rules if r not in gone])
+
+
+@pytest.mark.parametrize("most", [40, 2000])
+def test_merge_is_one_shuffle_without_a_join(spark, most):
+    """No side is broadcast, however small the estimate: letters made from keys hold more entities than the keys' bytes tell."""
+    rng = random.Random(most)
+    made = lambda labels, n: [(rng.randrange(20), rng.randrange(most), rng.randrange(most // 5), rng.choice(labels)) for _ in range(n)]
+    rules, model = made("RS", 300), made("MN", 200)
+    rules, model = rules + rules[:20], model + model[:20]
+    schema = "doc_id long, start int, len int, label string"
+    rows = matching.overlap_merge(spark.createDataFrame(rules, schema), spark.createDataFrame(model, schema))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert sorted(map(tuple, rows.collect())) == merged_by_hand(rules, model)
