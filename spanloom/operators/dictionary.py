@@ -9,15 +9,22 @@ further; behind one that does, the runs of as many words as its longest phrase
 are looked up.  Both steps are equal joins: against a table that is counted as
 small by broadcast, else by a shuffle in which each frequent word of the texts is
 dealt over as many salts as its count asks for.  What comes back are the hits, so
-texts are never shuffled.
+texts are never shuffled.  A dictionary that is counted as small as a whole goes to
+the texts instead: each batch of them is searched at once, and no word is a row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanloom.functions import places
 from spanloom.functions import text as T
 from spanloom.operators.recognizers import DETERMINERS, HOUSE, PREAMBLES, STREET, _GAP, _title
 
@@ -81,6 +88,10 @@ def hits(docs: DataFrame, dictionary: DataFrame, text: str = "text", doc_id: str
     """doc_id, start, len, at (the word's number), n_tok, value, gap and word before, kinds, phrase (as listed; a city's first): every run of words that is a phrase."""
     most = dictionary.agg(F.max("n_words")).first()[0] or 0
     openers = dictionary.groupBy("opener").agg(F.max("n_words").alias("most")).withColumnRenamed("opener", "word")
+    own = F.min_by("phrase", F.struct(F.col("kind") != "city", "phrase"))
+    by_key = dictionary.groupBy("key").agg(F.array_sort(F.collect_set("kind")).alias("kinds"), own.alias("phrase"))
+    if dictionary.count() <= BROADCAST_ROWS:
+        return _searched(docs.select(F.col(doc_id).alias("doc_id"), *places.marked(F.col(text), WORD)), openers, by_key)
     listed = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("w"))
     # A phrase written in fewer words than its entry is found, one in more words up to two more.
     reach = F.lit(most + 2)
@@ -95,11 +106,98 @@ def hits(docs: DataFrame, dictionary: DataFrame, text: str = "text", doc_id: str
         F.array_join(F.transform("part", lambda x: x["key"]), "").alias("key"),
         F.array_join(F.transform("part", lambda x, i: F.when(i == 0, x["value"]).otherwise(F.concat(x["gap"], x["value"]))), "").alias("value"),
     )
-    own = F.min_by("phrase", F.struct(F.col("kind") != "city", "phrase"))
-    by_key = dictionary.groupBy("key").agg(F.array_sort(F.collect_set("kind")).alias("kinds"), own.alias("phrase"))
     return met(grams, by_key, "key").select("doc_id", "start", F.length("value").alias("len"), "at", "n_tok", "value", "gap", "before", "kinds", "phrase")
 
 
+#: For sums that tell words apart: the bytes of a word times the powers of this, so that the sum of a run follows from its words'.
+BASE = 0x9E3779B97F4A7C15
+_folds: dict[str, dict[int, str]] = {}
+
+
+def _letters(spark: SparkSession) -> dict[int, str]:
+    """The key of each letter or digit that is not its own, by Spark's rules of case (no letter beyond has two cases)."""
+    app = spark.sparkContext.applicationId
+    if app not in _folds:
+        one = spark.range(0x30, 0x20000).where("id not between 55296 and 57343").select("id", F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c"))
+        _folds[app] = {r.id: r.k for r in one.where(F.col("c").rlike(WORD)).select("id", key(F.col("c")).alias("k"), "c").where("k <> c").collect()}
+    return _folds[app]
+
+
+def _keys(words: pa.Array, fold: dict[int, str]) -> pa.Array:
+    """The keys of words (as `key` has them)."""
+    plain = pc.ascii_upper(words)
+    other = pc.not_equal(pc.binary_length(words), pc.utf8_length(words))
+    return pc.replace_with_mask(plain, other, pa.array([w.translate(fold) for w in words.filter(other).to_pylist()], pa.string()))
+
+
+def _sums(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Each key's sum, and by what the sum of what stands behind it is multiplied."""
+    size = pc.binary_length(keys).to_numpy(zero_copy_only=False).astype(np.int64)
+    data = np.frombuffer("".join(keys.to_pylist()).encode(), np.uint8).astype(np.uint64) + np.uint64(1)
+    ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
+
+    def powers(base: int) -> np.ndarray:
+        return np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(len(data), base, np.uint64))))
+
+    up = powers(BASE)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(data * up[:-1])))
+    return (total[ends[1:]] - total[ends[:-1]]) * powers(pow(BASE, -1, 2**64))[ends[:-1]], up[size]
+
+
+def _searched(texts: DataFrame, openers: DataFrame, by_key: DataFrame) -> DataFrame:
+    """The hits of a small dictionary: runs of words are compared by sums, then by their keys."""
+    listed = by_key.collect()
+    keys, opens = pa.array([r.key for r in listed], pa.string()), openers.collect()
+    data = (
+        _letters(texts.sparkSession), pa.array([r.word for r in opens], pa.string()), np.array([r.most + 2 for r in opens] + [0]), keys, np.sort(_sums(keys)[0]),
+        pa.array([r.kinds for r in listed], pa.list_(pa.string())), pa.array([r.phrase for r in listed], pa.string()),
+    )
+    shared = texts.sparkSession.sparkContext.broadcast(data)
+    out = ["start", "len", "at", "n_tok", "value", "gap", "before", "kinds", "phrase"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold, opens, longest_run, keys, sums, kinds, phrases = shared.value
+        for batch in batches:
+            for piece in places.sliced(batch):
+                w = places.located(piece)
+                if not len(w.row) or not len(sums):
+                    continue
+                coded = w.value.dictionary_encode()
+                word = coded.indices.to_numpy()
+                name = _keys(coded.dictionary, fold)
+                reach = longest_run[pc.fill_null(pc.index_in(name, value_set=opens), len(opens)).to_numpy(zero_copy_only=False)]
+                total, by = _sums(name)
+                gap = w.start - np.concatenate((np.zeros(1, np.int64), (w.start + w.len)[:-1]))
+                joins = (w.at > 0) & (gap <= MOST_GAP)
+                first = np.flatnonzero(reach[word] > 0)
+                run_sum, power, n = total[word[first]], by[word[first]], 1
+                while len(first):
+                    place = np.minimum(np.searchsorted(sums, run_sum), len(sums) - 1)
+                    likely = first[sums[place] == run_sum]
+                    if len(likely):
+                        entry = pc.index_in(pc.binary_join_element_wise(*[name.take(pa.array(word[likely + k])) for k in range(n)], ""), value_set=keys)
+                        likely, entry = likely[entry.is_valid().to_numpy(zero_copy_only=False)], entry.drop_null()
+                    if len(likely):
+                        at = w.element[likely]
+                        value = pc.binary_join_element_wise(*[w.pieces.take(pa.array(at + k)) for k in range(2 * n - 1)], "")
+                        some = w.at[likely] > 0
+                        before = w.pieces.take(pa.array(np.where(some, at - 2, 0), mask=~some))
+                        between = w.pieces.take(pa.array(at - 1, mask=~joins[likely]))
+                        yield pa.RecordBatch.from_arrays(
+                            [piece.column(0).take(pa.array(w.row[likely])), pa.array(w.start[likely], pa.int32()), pc.utf8_length(value).cast(pa.int32()), pa.array(w.at[likely], pa.int32()), pa.array(np.full(len(likely), n), pa.int32()),
+                             value, between, before, kinds.take(entry), phrases.take(entry)], names=["doc_id", *out],
+                        )
+                    n += 1
+                    more = (reach[word[first]] >= n) & (first + n - 1 < len(word))
+                    first, run_sum, power = first[more], run_sum[more], power[more]
+                    close = (w.row[first + n - 1] == w.row[first]) & joins[first + n - 1]
+                    first, run_sum, power = first[close], run_sum[close], power[close]
+                    run_sum, power = run_sum + power * total[word[first + n - 1]], power * by[word[first + n - 1]]
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.mapInArrow(run, f"doc_id {kind}, start int, len int, at int, n_tok int, value string, gap string, before string, kinds array<string>, phrase string")
+
+
 def as_written(found: DataFrame, versions: DataFrame) -> DataFrame:
     """Hits that are written as one of their phrase's versions (phrase, version), in any case and with umlauts folded or not."""
     table = versions.select(F.col("phrase").alias("entry"), T.folded_upper(F.col("version")).alias("_version")).distinct()

@@ -88,3 +88,23 @@ def test_bad_kinds(spark):
     with pytest.raises(ValueError, match="together"):
         extract(docs, dictionaries={"surname": table(spark, ["a"])})
     assert extract(docs, enabled={"company_list"}, dictionaries={"company": table(spark, [])}).count() == 0
+
+
+def test_a_small_dictionary_makes_no_row_of_a_word(spark, monkeypatch):
+    """Texts are searched by batches; the rows are those of the joins, whatever the marks, cases and slices."""
+    words = ["alpha", "Gamma", "ähre", "Straße", "STRASSE", "ŉx", "ﬁn", "ΐ", "ɤ", "𐐨𐐩", "42"]
+    gaps = [" ", "-", ". ", "     ", "￿", "\n", "🙂", ""]
+    rng = random.Random(5)
+    phrases = D.entries({k: table(spark, [" ".join(rng.choices(words, k=rng.randint(1, 3))) for _ in range(30)]) for k in ("company", "city")})
+    texts = ["".join(rng.choice(words) + rng.choice(gaps) for _ in range(rng.randint(0, 40))) for _ in range(150)] + ["", None, "￿", "alpha"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = []
+    for limit, size in ((0, 2_000_000), (100_000, 2_000_000), (100_000, 50)):
+        monkeypatch.setattr(D, "BROADCAST_ROWS", limit)
+        monkeypatch.setattr(D.places, "SLICE", size)
+        rows = D.hits(docs, phrases)
+        if limit:
+            plan = rows._jdf.queryExecution().executedPlan().toString()
+            assert "Generate" not in plan and "Join" not in plan and "Exchange" not in plan
+        found.append(sorted(map(repr, rows.collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 500
