@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import random
 import re
 from itertools import product
 
 import pytest
 from pyspark.sql import functions as F
 
+from spanloom import queries as Q
+from spanloom.functions import places
 from spanloom.functions import text as T
 from spanloom.operators import dictionary as D
 from spanloom.plans.extract import extract
@@ -105,3 +108,24 @@ def test_model_words_of_a_long_text(spark):
     (row,) = docs.select(T.model_words(F.col("text"), URLS).alias("w")).collect()
     assert len(row.w) == 2 + 2_000 and row.w[0].len == 14_999
     assert all(text[w.start : w.start + w.len] == {"[%NUM%]": "7 8"}.get(w.value, w.value) for w in row.w[1:])
+
+
+def test_model_words_by_batches(spark, monkeypatch):
+    """The same words and places without a fold over arrays: the plan has no row for a match but what Python gives back."""
+    tlds, schemes = ["de", "com", "рф"], ["https", "http"]
+    pieces = ["Am", "3.", "5", "–", "--", "„Ja“", "sagte's", "''", ",,", "٣", "ä1", "x@y.de", "https://a-b.de/x?y=1", "ü.рф", "1.рф", "№", "😀", "￿", "a￿b", "««", "[%NUM%]", "12/3", "www.1.", "\u2028"]
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(pieces) + rng.choice(["", " ", "  ", "\n"]) for _ in range(rng.randint(0, 40))) for _ in range(150)] + [t for t, _ in WORDS] + ["", "￿", "1 " * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = docs.select("doc_id", F.posexplode(T.model_words(F.coalesce("text", F.lit("")), T.url_pattern(tlds, schemes))).alias("tok_id", "w"))
+    want = sorted(map(repr, words.select("doc_id", "tok_id", "w.start", "w.len", "w.value").collect()))
+    for size in (50, 2_000_000):
+        monkeypatch.setattr(places, "SLICE", size)
+        got = places.model_words(docs, tlds, schemes)
+        assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(repr, got.collect())) == want
+
+
+def test_model_input_goes_by_batches(spark):
+    plan = Q.model_input(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
