@@ -108,3 +108,14 @@ def test_a_small_dictionary_makes_no_row_of_a_word(spark, monkeypatch):
             assert "Generate" not in plan and "Join" not in plan and "Exchange" not in plan
         found.append(sorted(map(repr, rows.collect())))
     assert found[0] == found[1] == found[2] and len(found[0]) > 500
+
+
+def test_announcements_count_words_by_one_search(spark):
+    texts = ["Geburtsort Wien", "a b-c Geburtsort: Wien, dann Geburtsort ist Ulm", "Geburtsort", "", None, "￿x￿ ä1 geburtsort in X", "kein Ort", "\\n Geburtsort\\nWien"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pattern = rf"(?i)(?<![\p{{L}}]){D.PREAMBLES['birthplace']}{D._GAP}"
+    words = F.transform(D.T.spans(F.col("text"), pattern), lambda m: F.size(F.filter(D.T.spans(F.col("text"), D.WORD), lambda x: x["start"] < m["start"] + m["len"])))
+    rows = docs.select(D.announcements(F.col("text"), "birthplace").alias("a"), F.coalesce(words, F.array().cast("array<int>")).alias("b"))
+    assert [r.a for r in rows.collect()] == [r.b for r in rows.collect()]
+    plan = docs.select(D.announcements(F.col("text"), "birthplace").alias("a"))._jdf.queryExecution().optimizedPlan().toString()
+    assert D.WORD in plan and f"regexp_replace(text#{plan.split('text#')[1].split(',')[0]}, {D.WORD}" not in plan
